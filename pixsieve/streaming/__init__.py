@@ -1,0 +1 @@
+"""Reserved: the feature set is a one-shot directory batch, so there are no streaming operators."""
