@@ -23,6 +23,11 @@ def byte_at(content: Column | str, offset: Column) -> Column:
     return F.conv(F.hex(F.substring(content, (offset + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
 
 
+def byte_position(content: Column, needle: bytes) -> Column:
+    """One-based byte position of the first needle, 0 when there is none."""
+    return F.position(F.lit(needle.decode("latin-1")), F.decode(content, "ISO-8859-1"))
+
+
 def cells(files: DataFrame, overlap: int, *keep: str, size: int = CELL) -> DataFrame:
     """keep..., base, cell: the content in pieces of ``size`` bytes plus ``overlap`` following ones.
 
@@ -155,7 +160,7 @@ def insert_tables(frames: DataFrame, segment: bytes, table_mark: bytes = b"\xff\
     Adds has_tables and replaces ``frame``; a frame without scan mark is left as it is.
     """
     has = F.contains("frame", F.lit(table_mark))
-    at = F.position(F.lit(scan_mark), F.col("frame"))
+    at = byte_position(F.col("frame"), scan_mark)
     fixed = F.concat(
         F.substring("frame", F.lit(1), at - 1), F.lit(segment), F.substring("frame", at, F.length("frame"))
     )
