@@ -107,7 +107,7 @@ def length_prefixed_wide(content: Column, offset: Column, shown: int = 256) -> C
 
 
 def bool_text(v: Column) -> Column:
-    return F.when(v != 0, "true").otherwise("false")
+    return F.when(v != 0, "true").when(v == 0, "false")
 
 
 def position_text(byte: Column, bit: Column) -> Column:
