@@ -172,68 +172,41 @@ def psd_resources(files: DataFrame, dim: DataFrame) -> DataFrame:
     return lookups.name_codes(rows, "bim_id", dim)
 
 
-def _field(name: str, value: Column) -> Column:
-    return F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"))
-
-
-def resource_fields(resources: DataFrame) -> DataFrame:
-    """Typed payloads as path, seq, bim_id, n, field, value."""
-    d = F.col("data")
-
-    def u(at, width=4) -> Column:
-        return sc.read_uint(d, at, width)
-
-    def fixed(at) -> Column:
-        return F.format_string("%.5f", sc.fixed_point(u(at)))
-
-    def single(at) -> Column:
-        return F.format_string("%.5f", sc.float32(u(at)))
-
-    def items(count: Column, make) -> Column:
-        """One group of fields per repeated item."""
-        idx = F.sequence(F.lit(0), (count - 1).cast("int"))
-        return F.when(count > 0, F.flatten(F.transform(idx, make))).otherwise(F.array().cast("array<struct<field:string,value:string>>"))
-
-    writer_len = u(5)
-    reader_at = F.lit(9) + writer_len * 2
-    flags = ("labels", "crop_marks", "color_bars", "registration_marks", "negative", "flip", "interpolate", "caption", "print_flags")
-    layouts = {
-        0x03ED: F.array(
-            _field("h_resolution", fixed(0)), _field("h_unit", enum_text("resolution_unit", u(4, 2))), _field("width_unit", enum_text("width_unit", u(6, 2))),
-            _field("v_resolution", fixed(8)), _field("v_unit", enum_text("resolution_unit", u(12, 2))), _field("height_unit", enum_text("width_unit", u(14, 2)))),
-        0x03F3: F.array(*[_field(f, sc.bool_text(u(i, 1))) for i, f in enumerate(flags)]),
-        0x0400: F.array(_field("target_layer", u(0, 2))),
-        0x0402: items(F.floor(F.length(d) / 2), lambda i: F.array(_field("layer_group", u(i * 2, 2)))),
-        0x0406: F.array(_field("quality", sc.save_quality(u(0, 2))), _field("format", sc.save_format(u(2, 2))), _field("scans", sc.save_scans(u(4, 2)))),
-        0x0408: F.concat(
-            F.array(_field("version", u(0)), _field("grid_horizontal", u(4)), _field("grid_vertical", u(8)), _field("guides", u(12))),
-            items(F.least(u(12), F.floor((F.length(d) - 16) / 5)), lambda i: F.array(
-                _field("location", u(i * 5 + 16)), _field("direction", enum_text("guide_direction", u(i * 5 + 20, 1)))))),
-        0x040A: F.array(_field("copyright", sc.bool_text(u(0, 1)))),
-        0x040C: F.array(
-            _field("format", u(0)), _field("width", u(4)), _field("height", u(8)), _field("width_bytes", u(12)), _field("total_size", u(16)),
-            _field("compressed_size", u(20)), _field("bits_per_pixel", u(24, 2)), _field("planes", u(26, 2)), _field("jfif_offset", F.lit(28))),
-        0x040D: F.array(_field("angle", u(0))),
-        0x0414: F.array(_field("seed", u(0))),
-        0x0415: F.array(_field("text", sc.length_prefixed_wide(d, F.lit(0)))),
-        0x0419: F.array(_field("altitude", u(0))),
-        0x041B: F.array(_field("text", sc.length_prefixed_wide(d, F.lit(0)))),
-        0x0421: F.array(
-            _field("version", u(0)), _field("has_merged_data", u(4, 1)), _field("writer", sc.length_prefixed_wide(d, F.lit(5))),
-            _field("reader", sc.length_prefixed_wide(d, reader_at)), _field("file_version", u(reader_at + 4 + u(reader_at) * 2))),
-        0x0424: F.array(_field("xmp", F.decode(d, "UTF-8"))),
-        0x0426: F.array(_field("style", enum_text("print_scale_style", u(0, 2))), _field("x", single(2)), _field("y", single(6)), _field("scale", single(10))),
-        0x0428: F.array(_field("version", u(0)), _field("ratio", F.format_string("%.5f", sc.float64(u(4), u(8))))),
-        0x042D: F.concat(F.array(_field("selected", u(0, 2))), items(F.least(u(0, 2), F.floor((F.length(d) - 2) / 4)), lambda i: F.array(_field("layer_id", u(i * 4 + 2))))),
-        0x0430: items(F.length(d), lambda i: F.array(_field("layer_enabled", u(i, 1)))),
-        0x2710: F.array(
-            _field("version", u(0, 2)), _field("center_crop_marks", u(2, 1)), _field("reserved", u(3, 1)), _field("bleed_width", u(4)), _field("bleed_scale", u(8, 2))),
-    }
-    value = None
-    for code, fields in layouts.items():
-        value = F.when(F.col("bim_id") == code, fields) if value is None else value.when(F.col("bim_id") == code, fields)
-    known = resources.where(F.col("bim_id").isin(list(layouts)) & (F.length("data") > 0))
-    return known.select("path", "seq", "bim_id", F.posexplode(value).alias("n", "f")).select("path", "seq", "bim_id", "n", "f.field", "f.value")
+def resource_fields(resources: DataFrame, layout: DataFrame, enums: DataFrame) -> DataFrame:
+    """Typed payloads as path, seq, bim_id, n, field, value, by joining blocks with their field layout.
+
+    A layout row names one field: its place, width and kind; ``stride`` repeats it for every item of a
+    list, whose length is stored at ``count_at`` or follows from the size of the block.
+    """
+    d, size = F.col("data"), F.length("data")
+    f = resources.select("path", "seq", "bim_id", "data").where(size > 0).join(F.broadcast(layout), "bim_id")
+    fit = F.expr("(length(data) - start) DIV stride")
+    counted = F.conv(F.hex(F.substring(d, F.col("count_at") + 1, F.col("count_width"))), 16, 10).cast("bigint")
+    times = F.when(F.col("stride") == 0, F.lit(1)).when(F.col("count_at").isNull(), fit).otherwise(F.least(fit, counted))
+    f = f.withColumn("times", times).where("times > 0")
+    f = f.select("*", F.explode(F.sequence(F.lit(0), (F.col("times") - 1).cast("int"))).alias("i"))
+
+    first_wide = sc.read_uint(d, F.col("at"), 4) * 2 + 4
+    second_wide = sc.read_uint(d, F.col("at") + first_wide, 4) * 2 + 4
+    skip = F.col("skip_wide")
+    at = F.col("at") + F.col("i") * F.col("stride") + F.when(skip > 0, first_wide).otherwise(0) + F.when(skip > 1, second_wide).otherwise(0)
+    f = f.withColumn("place", at)
+    raw = F.substring(d, (F.col("place") + 1).cast("int"), F.col("width"))
+    f = f.withColumn("raw", F.when(F.length(raw) == F.col("width"), F.conv(F.hex(raw), 16, 10).cast("bigint")))
+    e = enums.select(F.col("field").alias("enum"), F.col("value").alias("raw"), F.col("text").alias("enum_text"))
+    f = f.join(F.broadcast(e), ["enum", "raw"], "left")
+    v, k = F.col("raw"), F.col("kind")
+    value = (
+        F.when(k == "num", v.cast("string")).when(k == "bool", sc.bool_text(v)).when(k == "fixed", F.format_string("%.5f", sc.fixed_point(v)))
+        .when(k == "enum", F.coalesce("enum_text", lookups.hex_word(v))).when(k == "single", F.format_string("%.5f", sc.float32(v)))
+        .when(k == "double", F.format_string("%.5f", sc.float64(v, sc.read_uint(d, F.col("place") + 4, 4))))
+        .when(k == "quality", sc.save_quality(v).cast("string")).when(k == "format", sc.save_format(v)).when(k == "scans", sc.save_scans(v))
+        .when(k == "wide", sc.length_prefixed_wide(d, F.col("place"))).when(k == "utf8", F.decode("data", "UTF-8"))
+        .when(k == "place", F.col("place").cast("string"))
+    )
+    return f.select(
+        "path", "seq", "bim_id", (F.col("n") + F.col("i") * F.col("per")).cast("int").alias("n"), "field", value.alias("value")
+    )
 
 
 def iptc_records(resources: DataFrame, dim: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def psd_resources(spark, d):
 
 
 def psd_payloads(spark, d):
-    return ex.resource_fields(_resources(spark, d))
+    return ex.resource_fields(_resources(spark, d), dims.dim_resource_fields(spark), dims.dim_psd_enum(spark))
 
 
 def iptc_records(spark, d):

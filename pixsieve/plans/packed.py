@@ -156,9 +156,12 @@ def psd_files(spark, sf_dir: str) -> DataFrame:
             be(0, 4), be(0, 4), be(size + i, 4), be(size, 4), hx("0002 0000"), be(size, 4), hx("FFFF"), be(size + 2, 4),
             text("8BIM"), blend, be(size * 4, 1), hx("000000"), be(F.length(extra), 4), extra)
 
-    layers = F.concat(F.when(key % 2 == 0, hx("FFFE")).otherwise(hx("0002")), layer(0, F.col("p_name")), layer(1, F.col("p_brand")))
-    info = F.concat(be(F.length(layers), 4), layers)
-    content = F.concat(header, mode, be(F.length(res), 4), res, be(F.length(info), 4), info, hx("0000"))
+    p = p.select("*", sealed(res, "res"))
+    p = p.select("*", sealed(layer(0, F.col("p_name")), "layer0"))
+    p = p.select("*", sealed(layer(1, F.col("p_brand")), "layer1"))
+    p = p.select("*", sealed(F.concat(F.when(key % 2 == 0, hx("FFFE")).otherwise(hx("0002")), "layer0", "layer1"), "layers"))
+    info = F.concat(be(F.length("layers"), 4), "layers")
+    content = F.concat(header, mode, be(F.length("res"), 4), "res", be(F.length(info), 4), info, hx("0000"))
     return p.select(key.alias("path"), sealed(content, "content"))
 
 

@@ -260,6 +260,77 @@ PSD_ENUMS = (
     ("blend_mode", "lum ", "luminosity"),
 )
 
+# Resource payloads: id, then its fields as name, kind[:enumeration], offset, width in bytes.
+RESOURCE_FIELDS = (
+    (0x03ED, "h_resolution", "fixed", 0, 4),
+    (0x03ED, "h_unit", "enum:resolution_unit", 4, 2),
+    (0x03ED, "width_unit", "enum:width_unit", 6, 2),
+    (0x03ED, "v_resolution", "fixed", 8, 4),
+    (0x03ED, "v_unit", "enum:resolution_unit", 12, 2),
+    (0x03ED, "height_unit", "enum:width_unit", 14, 2),
+    (0x03F3, "labels", "bool", 0, 1),
+    (0x03F3, "crop_marks", "bool", 1, 1),
+    (0x03F3, "color_bars", "bool", 2, 1),
+    (0x03F3, "registration_marks", "bool", 3, 1),
+    (0x03F3, "negative", "bool", 4, 1),
+    (0x03F3, "flip", "bool", 5, 1),
+    (0x03F3, "interpolate", "bool", 6, 1),
+    (0x03F3, "caption", "bool", 7, 1),
+    (0x03F3, "print_flags", "bool", 8, 1),
+    (0x0400, "target_layer", "num", 0, 2),
+    (0x0406, "quality", "quality", 0, 2),
+    (0x0406, "format", "format", 2, 2),
+    (0x0406, "scans", "scans", 4, 2),
+    (0x0408, "version", "num", 0, 4),
+    (0x0408, "grid_horizontal", "num", 4, 4),
+    (0x0408, "grid_vertical", "num", 8, 4),
+    (0x0408, "guides", "num", 12, 4),
+    (0x040A, "copyright", "bool", 0, 1),
+    (0x040C, "format", "num", 0, 4),
+    (0x040C, "width", "num", 4, 4),
+    (0x040C, "height", "num", 8, 4),
+    (0x040C, "width_bytes", "num", 12, 4),
+    (0x040C, "total_size", "num", 16, 4),
+    (0x040C, "compressed_size", "num", 20, 4),
+    (0x040C, "bits_per_pixel", "num", 24, 2),
+    (0x040C, "planes", "num", 26, 2),
+    (0x040C, "jfif_offset", "place", 28, 0),
+    (0x040D, "angle", "num", 0, 4),
+    (0x0414, "seed", "num", 0, 4),
+    (0x0415, "text", "wide", 0, 0),
+    (0x0419, "altitude", "num", 0, 4),
+    (0x041B, "text", "wide", 0, 0),
+    (0x0421, "version", "num", 0, 4),
+    (0x0421, "has_merged_data", "num", 4, 1),
+    (0x0421, "writer", "wide", 5, 0),
+    (0x0424, "xmp", "utf8", 0, 0),
+    (0x0426, "style", "enum:print_scale_style", 0, 2),
+    (0x0426, "x", "single", 2, 4),
+    (0x0426, "y", "single", 6, 4),
+    (0x0426, "scale", "single", 10, 4),
+    (0x0428, "version", "num", 0, 4),
+    (0x0428, "ratio", "double", 4, 4),
+    (0x042D, "selected", "num", 0, 2),
+    (0x2710, "version", "num", 0, 2),
+    (0x2710, "center_crop_marks", "num", 2, 1),
+    (0x2710, "reserved", "num", 3, 1),
+    (0x2710, "bleed_width", "num", 4, 4),
+    (0x2710, "bleed_scale", "num", 8, 2),
+)
+# Fields behind one or two length-prefixed wide texts: the same, with the texts to skip.
+RESOURCE_FIELDS_BEHIND_TEXT = (
+    (0x0421, "reader", "wide", 5, 0, 1),
+    (0x0421, "file_version", "num", 5, 4, 2),
+)
+# List items: the same, with item size, fields per item, list start, and offset and width of its length (or None).
+RESOURCE_LISTS = (
+    (0x0402, "layer_group", "num", 0, 2, 2, 1, 0, None, None),
+    (0x0408, "location", "num", 16, 4, 5, 2, 16, 12, 4),
+    (0x0408, "direction", "enum:guide_direction", 20, 1, 5, 2, 16, 12, 4),
+    (0x042D, "layer_id", "num", 2, 4, 4, 1, 2, 0, 2),
+    (0x0430, "layer_enabled", "num", 0, 1, 1, 1, 0, None, None),
+)
+
 # TIFF 6 / EXIF 2.3 tags by section: id, name.
 EXIF_TAGS = (
     ("ifd0", 0x010E, "ImageDescription"),
@@ -497,6 +568,23 @@ def dim_psd_enum(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "field STRING, value BIGINT, text STRING")
 
 
+def dim_resource_fields(spark: SparkSession) -> DataFrame:
+    """Field layout of the typed resource payloads; n is the place of a field within its block."""
+    plain = [(b, f, k, at, w, 0, 0, 0, 0, None, None) for b, f, k, at, w in RESOURCE_FIELDS]
+    behind = [(b, f, k, at, w, skip, 0, 0, 0, None, None) for b, f, k, at, w, skip in RESOURCE_FIELDS_BEHIND_TEXT]
+    lists = [(b, f, k, at, w, 0, *rest) for b, f, k, at, w, *rest in RESOURCE_LISTS]
+    rows, seen = [], {}
+    for b, f, k, *rest in plain + behind + lists:
+        n = seen[b] = seen.get(b, -1) + 1
+        kind, _, enum = k.partition(":")
+        rows.append((b, n, f, kind, enum, *rest))
+    return spark.createDataFrame(
+        rows,
+        "bim_id INT, n INT, field STRING, kind STRING, enum STRING, at INT, width INT, skip_wide INT, stride INT, per INT, start INT, "
+        "count_at INT, count_width INT",
+    )
+
+
 def dim_exif(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(EXIF_TAGS), "section STRING, tag_id INT, name STRING")
 
