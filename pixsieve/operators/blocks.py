@@ -39,8 +39,8 @@ CLIP_BITS = {
 # --- reordering and signatures -------------------------------------------------------------------
 
 def permute(values: Column, order) -> Column:
-    """Array whose element i is values[order[i]]."""
-    return F.transform(int_array(order), lambda i: F.get(values, i))
+    """Array whose element i is values[order[i]]; plain element reads, so that they are compiled."""
+    return F.array(*[F.get(values, F.lit(int(i))) for i in order])
 
 
 def to_normal_order(table_zz: Column) -> Column:
@@ -94,7 +94,7 @@ def dequantise(coeffs: DataFrame, tables: DataFrame) -> DataFrame:
     """
     joined = coeffs.join(tables, "image_id")
     product = F.zip_with(F.slice("q", 1, 64), "table_zz", lambda a, b: wrap16(F.coalesce(a, F.lit(0)).cast("bigint") * b))
-    return joined.withColumn("coef", permute(product, UNZIGZAG)).drop("q", "table_zz")
+    return joined.withColumn("__p", product).withColumn("coef", permute(F.col("__p"), UNZIGZAG)).drop("q", "table_zz", "__p")
 
 
 _WEIGHTS = np.array(idct_weights())

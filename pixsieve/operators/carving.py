@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pixsieve.running import SPAN, row_index, running
 from pixsieve.sources.dims import STD_QUANT_LUMA, ZIGZAG, int_array
 
-CELL = 128
+CELL, SUB_CELL = 256, 16
 SOI = b"\xff\xd8\xff"
 
 
@@ -40,27 +40,37 @@ def cells(files: DataFrame, overlap: int, *keep: str, size: int = CELL) -> DataF
 
 def hits_in_cell(needle: Column, length: int | Column, size: int = CELL) -> Column:
     """Zero-based places in ``cell`` where the needle starts (within the first ``size`` bytes)."""
-    last = F.least(F.length("cell") - length, F.lit(size - 1))
-    return F.when(
-        last >= 0,
-        F.filter(F.sequence(F.lit(0), last), lambda x: F.substring("cell", x + 1, F.lit(length) if isinstance(length, int) else length) == needle),
-    )
+    width = F.lit(length) if isinstance(length, int) else length
+    last = F.least(F.length("cell") - width, F.lit(size - 1))
+    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), lambda x: F.substring("cell", x + 1, width) == needle))
 
 
 def find_all(files: DataFrame, needles: Sequence[bytes], *keep: str, ahead: int = 0) -> DataFrame:
-    """All occurrences, overlapping ones too: path, keep..., needle_no, pos[, next bytes as ``ahead``]."""
+    """All occurrences, overlapping ones too: path, keep..., needle_no, pos[, next bytes as ``ahead``].
+
+    One pass over the content whatever the number of needles: a cell goes on once per needle it holds.
+    """
     longest = max(len(n) for n in needles)
     small = cells(files, longest - 1 + ahead, "path", *keep)
-    out = None
-    for i, n in enumerate(needles):
-        lit = F.lit(n)
-        live = small.where(F.contains("cell", lit)).select("*", F.explode(hits_in_cell(lit, len(n))).alias("__x"))
-        cols = ["path", *keep, F.lit(i).alias("needle_no"), (F.col("base") + F.col("__x")).alias("pos")]
-        if ahead:
-            cols.append(F.substring("cell", F.col("__x") + 1 + len(n), F.lit(ahead)).alias("ahead"))
-        part = live.select(*cols)
-        out = part if out is None else out.unionByName(part)
-    return out
+    held = [F.when(F.contains("cell", F.lit(n)), F.struct(F.lit(i).alias("needle_no"), F.lit(n).alias("needle"))) for i, n in enumerate(needles)]
+    live = small.select("*", F.inline(F.array_compact(F.array(*held))))
+    fine = _split_cell(live, longest - 1 + ahead, "path", *keep, "needle_no", "needle")
+    hits = fine.where(F.contains("cell", F.col("needle"))).select(
+        "*", F.explode(hits_in_cell(F.col("needle"), F.length("needle"), SUB_CELL)).alias("__x")
+    )
+    cols = ["path", *keep, "needle_no", (F.col("base") + F.col("__x")).alias("pos")]
+    if ahead:
+        cols.append(F.substring("cell", F.col("__x") + 1 + F.length("needle"), F.lit(ahead)).alias("ahead"))
+    return hits.select(*cols)
+
+
+def _split_cell(live: DataFrame, overlap: int, *keep: str) -> DataFrame:
+    """Cut a cell known to hold a needle further, so that the byte-by-byte test runs on few bytes only."""
+    starts = F.sequence(F.lit(0), F.least(F.length("cell"), F.lit(CELL)) - 1, F.lit(SUB_CELL))
+    parts = F.transform(
+        starts, lambda b: F.struct((F.col("base") + b).alias("sub_base"), F.substring("cell", b + 1, F.lit(SUB_CELL + overlap)).alias("sub_cell"))
+    )
+    return live.select(*keep, F.inline(parts)).withColumnsRenamed({"sub_base": "base", "sub_cell": "cell"})
 
 
 def count_hits(files: DataFrame, needles: Sequence[bytes]) -> DataFrame:
