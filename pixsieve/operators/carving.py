@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixsieve.running import SPAN, row_index, running
+from pixsieve.running import row_index, running
 from pixsieve.sources.dims import STD_QUANT_LUMA, ZIGZAG, int_array
 
 CELL, SUB_CELL = 256, 16
@@ -115,12 +115,13 @@ def first_embedded(files: DataFrame, needle: bytes = SOI) -> DataFrame:
 
 
 def carve_extents(
-    files: DataFrame, start_mark: bytes = SOI, end_mark: bytes = b"\xff\xd9", *, ignore_end: bool = False, span: int = SPAN
+    files: DataFrame, start_mark: bytes = SOI, end_mark: bytes = b"\xff\xd9", *, ignore_end: bool = False, span: int | None = None
 ) -> DataFrame:
     """Extent of every embedded frame: path, pos, end_pos, terminated.
 
     A frame ends after the first end mark behind its start, else at the next start, else at the end of
-    the file. ``ignore_end`` leaves end marks out.
+    the file. ``ignore_end`` leaves end marks out. The marks of a path come out of one binary value (below
+    2 GiB), hence a plain window; pass a ``span`` of positions to spread very dense files.
     """
     hits = find_all(files.withColumn("length", F.length("content").cast("bigint")), [start_mark, end_mark], "length")
     at = F.col("pos").cast("bigint")
@@ -138,7 +139,7 @@ def carve_extents(
     )
 
 
-def number_frames(frames: DataFrame, ok: Column, max_size: int | None = None, span: int = SPAN) -> DataFrame:
+def number_frames(frames: DataFrame, ok: Column, max_size: int | None = None, span: int | None = None) -> DataFrame:
     """Number the suitable frames of a file from 1; frames over ``max_size`` keep their number but are not written."""
     numbered = row_index(frames.where(ok), ["path"], "pos", "__i", span=span)
     size = F.col("end_pos") - F.col("pos")

@@ -10,27 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixsieve.running import SPAN, row_index, running
+from pixsieve.running import SPAN, row_index, running, segmented
 
 
 def flag(c: Column) -> Column:
     return F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
 
 
-def restart_segments(codes: DataFrame, span: int = SPAN) -> DataFrame:
+def restart_segments(codes: DataFrame, span: int | None = SPAN) -> DataFrame:
     """Add rst_seg: how many restarts a path has seen up to and with this row."""
     return running(codes, ["path"], "seq", {"rst_seg": ("sum", flag(F.col("is_rst")))}, span=span)
 
 
-def dc_values(codes: DataFrame, span: int = SPAN) -> DataFrame:
-    """Add dc: running sum of the DC deltas per component, starting again at each restart."""
-    return running(
-        restart_segments(codes, span), ["path", "comp", "rst_seg"], "seq",
-        {"dc": ("sum", F.col("delta").cast("bigint"))}, span=span,
-    )
+def dc_values(codes: DataFrame, span: int | None = SPAN) -> DataFrame:
+    """Add rst_seg, dc (running sum of the DC deltas per component, starting again at each restart) and
+    comp_block (place of the block among those of its component)."""
+    return segmented(
+        codes, ["path"], "seq", F.col("is_rst"), {"dc": ("sum", F.col("delta").cast("bigint"))},
+        whole={"comp_block": ("sum", F.lit(1).cast("bigint"))}, seg="rst_seg", within="comp", span=span,
+    ).withColumn("comp_block", F.col("comp_block") - 1)
 
 
-def restart_check(codes: DataFrame, span: int = SPAN) -> DataFrame:
+def restart_check(codes: DataFrame, span: int | None = SPAN) -> DataFrame:
     """Expected against seen restart index; the next expectation follows the seen one."""
     marks = codes.where("is_rst").select("path", "seq", "rst")
     seen = running(marks, ["path"], "seq", {"__prev": ("max", F.struct("seq", "rst"))}, inclusive=False, span=span)
@@ -38,10 +39,9 @@ def restart_check(codes: DataFrame, span: int = SPAN) -> DataFrame:
     return seen.select("path", "seq", "rst", expected.alias("expected"), (expected != F.col("rst")).alias("mismatch"))
 
 
-def restart_overruns(codes: DataFrame, interval: int, span: int = SPAN) -> DataFrame:
+def restart_overruns(codes: DataFrame, interval: int, span: int | None = SPAN) -> DataFrame:
     """The first unit of each segment that should have been preceded by a restart; one row per segment."""
-    segs = restart_segments(codes, span)
-    at = row_index(segs, ["path", "rst_seg"], "seq", "unit", span=span)
+    at = segmented(codes, ["path"], "seq", F.col("is_rst"), {"unit": ("sum", F.lit(1).cast("bigint"))}, seg="rst_seg", inclusive=False, span=span)
     return at.where(F.col("unit") == interval).select("path", "seq", "rst_seg")
 
 
@@ -61,7 +61,7 @@ def first_n(codes: DataFrame, limits: dict[str, int]) -> DataFrame:
     return kept.select("path", "severity", "seq", "rn", (F.col("rn") == F.col("__n")).alias("last_reported"))
 
 
-def report_cap(lines: DataFrame, cap: int, span: int = SPAN) -> DataFrame:
+def report_cap(lines: DataFrame, cap: int, span: int | None = SPAN) -> DataFrame:
     """The first ``cap`` lines of each path; the line after them becomes a notice, the rest go."""
     at = row_index(lines, ["path"], "seq", "__i", span=span).where(F.col("__i") <= cap)
     notice = F.col("__i") == cap
@@ -83,13 +83,13 @@ def padded(length: Column, to: int) -> Column:
     return length + F.pmod(-length, F.lit(to))
 
 
-def record_offsets(records: DataFrame, header: int, pads: dict[str, int], span: int = SPAN) -> DataFrame:
+def record_offsets(records: DataFrame, header: int, pads: dict[str, int], span: int | None = SPAN) -> DataFrame:
     """Start offsets of a chain of length-prefixed records, one column per padding rule."""
     aggs = {n: ("sum", padded(F.col("rec_len").cast("bigint") + header, p)) for n, p in pads.items()}
     return running(records, ["path"], "seq", aggs, inclusive=False, span=span)
 
 
-def record_audit(records: DataFrame, span: int = SPAN) -> DataFrame:
+def record_audit(records: DataFrame, span: int | None = SPAN) -> DataFrame:
     """Declared against consumed length; the first bad record is reported and ends its path.
 
     Consuming too much is an error (the reader rolls back to the declared end), too little a warning.
@@ -103,13 +103,13 @@ def record_audit(records: DataFrame, span: int = SPAN) -> DataFrame:
     )
 
 
-def cut_after_bad(records: DataFrame, is_bad: Column, span: int = SPAN) -> DataFrame:
+def cut_after_bad(records: DataFrame, is_bad: Column, span: int | None = SPAN) -> DataFrame:
     """Rows of each path before its first bad row."""
     bad = running(records, ["path"], "seq", {"__bad": ("min", F.when(is_bad, F.col("seq")))}, span=span)
     return bad.where(F.col("__bad").isNull()).drop("__bad")
 
 
-def bit_positions(codes: DataFrame, span: int = SPAN) -> DataFrame:
+def bit_positions(codes: DataFrame, span: int | None = SPAN) -> DataFrame:
     """Start of every code in the scan: whole bytes, bits within the byte, and the position text."""
     used = (F.col("bits1") + F.col("bits2")).cast("bigint")
     at = running(codes, ["path"], "seq", {"__bit": ("sum", used)}, inclusive=False, span=span)
@@ -117,43 +117,50 @@ def bit_positions(codes: DataFrame, span: int = SPAN) -> DataFrame:
     return at.withColumn("pos_text", F.format_string("0x%08X.%d", "byte", "bit"))
 
 
-def coefficient_index(codes: DataFrame, block: list[str], is_eob: Column, span: int = SPAN) -> DataFrame:
+def coefficient_index(codes: DataFrame, block: list[str], is_eob: Column, reset: Column | None = None, span: int | None = SPAN) -> DataFrame:
     """Coefficient index after each code of a block; a block ends at its EOB or at index 64.
 
-    An index beyond 64 is an error and is clamped; codes after the end of the block are dropped.
+    Blocks are told apart by the ``block`` columns, or begin at each ``reset`` row (then numbered as
+    rst_seg). An index beyond 64 is an error and is clamped; codes after the end of a block are dropped.
     """
     step = (F.col("zrl") + 1).cast("bigint")
-    at = running(
-        codes.withColumn("__eob", is_eob), block, "seq",
-        {"__before": ("sum", F.when(F.col("__eob"), F.lit(0).cast("bigint")).otherwise(step)), "__ends": ("sum", flag(F.col("__eob")))},
-        inclusive=False, span=span,
-    )
+    aggs = {
+        "__before": ("sum", F.when(F.col("__eob"), F.lit(0).cast("bigint")).otherwise(step)),
+        "__ends": ("sum", flag(F.col("__eob"))),
+    }
+    marked = codes.withColumn("__eob", is_eob)
+    if reset is None:
+        at, ids = running(marked, block, "seq", aggs, inclusive=False, span=span), block
+    else:
+        at, ids = segmented(marked, block, "seq", reset, aggs, seg="rst_seg", inclusive=False, span=span), [*block, "rst_seg"]
     live = at.where((F.col("__before") < 64) & (F.col("__ends") == 0))
     after = F.when(F.col("__eob"), F.col("__before")).otherwise(F.col("__before") + step)
     return live.select(
-        *block, "seq",
+        *ids, "seq",
         F.least(after, F.lit(64)).alias("coef_idx"),
         F.when(F.col("__eob"), "eob").when(after > 64, "overrun").when(after == 64, "full").otherwise("open").alias("status"),
     )
 
 
-def block_dc_map(dc: DataFrame, blocks_per_row: int, span: int = SPAN) -> DataFrame:
+def block_dc_map(dc: DataFrame, blocks_per_row: int) -> DataFrame:
     """Per-component DC values on the block grid: the nth block of each component is the nth cell."""
-    at = row_index(dc, ["path", "comp"], "seq", "__i", span=span)
-    grid = at.groupBy("path", "__i").agg(
+    grid = dc.groupBy("path", "comp_block").agg(
         *[F.max(F.when(F.col("comp") == c, F.col("dc"))).alias(n) for c, n in ((1, "y"), (2, "cb"), (3, "cr"))]
     )
     return grid.select(
-        "path", (F.col("__i") % blocks_per_row).alias("bx"), F.expr(f"__i DIV {blocks_per_row}").alias("by"),
+        "path", (F.col("comp_block") % blocks_per_row).alias("bx"), F.expr(f"comp_block DIV {blocks_per_row}").alias("by"),
         *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ("y", "cb", "cr")],
     )
 
 
-def mcu_map(codes: DataFrame, mcus_per_row: int, span: int = SPAN) -> DataFrame:
+def mcu_map(codes: DataFrame, mcus_per_row: int, span: int | None = SPAN) -> DataFrame:
     """File position (byte, bit) of every MCU, one code per MCU."""
-    pos = bit_positions(codes, span).select("path", "seq", "byte", "bit")
-    at = row_index(pos, ["path"], "seq", "mcu", span=span)
-    return at.select("path", (F.col("mcu") % mcus_per_row).alias("mcu_x"), F.expr(f"mcu DIV {mcus_per_row}").alias("mcu_y"), "byte", "bit")
+    used = (F.col("bits1") + F.col("bits2")).cast("bigint")
+    at = running(codes, ["path"], "seq", {"__bit": ("sum", used), "mcu": ("sum", F.lit(1).cast("bigint"))}, inclusive=False, span=span)
+    return at.select(
+        "path", (F.col("mcu") % mcus_per_row).alias("mcu_x"), F.expr(f"mcu DIV {mcus_per_row}").alias("mcu_y"),
+        F.expr("__bit DIV 8").alias("byte"), (F.col("__bit") % 8).cast("int").alias("bit"),
+    )
 
 
 def look_up_positions(points: DataFrame, mcus: DataFrame, mcu_w: int, mcu_h: int) -> DataFrame:
@@ -164,13 +171,13 @@ def look_up_positions(points: DataFrame, mcus: DataFrame, mcu_w: int, mcu_h: int
     return keyed.join(mcus, ["path", "mcu_x", "mcu_y"], "left")
 
 
-def mcu_range(mcus: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows whose linear index lies between two marked ones, whichever was marked first."""
+def mcu_range(mcus: DataFrame, marks: DataFrame, order: str = "idx") -> DataFrame:
+    """Rows whose place (``order``) lies between two marked ones (path, a, b), whichever was marked first."""
     ends = marks.select("path", F.least("a", "b").alias("__lo"), F.greatest("a", "b").alias("__hi"))
-    return mcus.join(ends, "path").where(F.col("idx").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    return mcus.join(ends, "path").where(F.col(order).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
 
 
-def huffman_codes(lengths: DataFrame, span: int = SPAN) -> DataFrame:
+def huffman_codes(lengths: DataFrame, span: int | None = SPAN) -> DataFrame:
     """Canonical codes of a table: left-justified 16-bit code and mask from (path, seq, bitlen, value).
 
     Codes run by length, then by listing order. A list that needs more than the whole code space is
@@ -194,11 +201,18 @@ def huffman_prefixes(codes: DataFrame, fast_bits: int = 9) -> DataFrame:
     return short.select("path", "seq", "bitlen", "value", F.explode(F.sequence(first, first + count - 1)).alias("prefix"))
 
 
-def expand_runs(runs: DataFrame, row: list[str], span: int = SPAN) -> DataFrame:
-    """Run-length rows to samples: n < 0 repeats its value 1 - n times, n >= 0 copies 1 + n samples."""
+def expand_runs(runs: DataFrame, row: list[str], reset: Column | None = None, span: int | None = SPAN) -> DataFrame:
+    """Run-length rows to samples: n < 0 repeats its value 1 - n times, n >= 0 copies 1 + n samples.
+
+    Image rows are told apart by the ``row`` columns, or begin at each ``reset`` (then numbered rst_seg).
+    """
     size = F.when(F.col("run") < 0, 1 - F.col("run")).otherwise(1 + F.col("run")).cast("bigint")
-    at = running(runs.withColumn("__n", size), row, "seq", {"__x": ("sum", F.col("__n"))}, inclusive=False, span=span)
-    return at.select(*row, F.explode(F.sequence(F.col("__x"), F.col("__x") + F.col("__n") - 1)).alias("x"), "val")
+    sized, aggs = runs.withColumn("__n", size), {"__x": ("sum", F.col("__n"))}
+    if reset is None:
+        at, ids = running(sized, row, "seq", aggs, inclusive=False, span=span), row
+    else:
+        at, ids = segmented(sized, row, "seq", reset, aggs, seg="rst_seg", inclusive=False, span=span), [*row, "rst_seg"]
+    return at.select(*ids, F.explode(F.sequence(F.col("__x"), F.col("__x") + F.col("__n") - 1)).alias("x"), "val")
 
 
 def run_widths(runs: DataFrame, row: list[str], width: int) -> DataFrame:
@@ -207,20 +221,19 @@ def run_widths(runs: DataFrame, row: list[str], width: int) -> DataFrame:
     return runs.groupBy(*row).agg(F.sum(size).alias("expanded")).select(*row, "expanded", (F.col("expanded") == width).alias("ok"))
 
 
-def encapsulated_items(elements: DataFrame, span: int = SPAN) -> DataFrame:
-    """Which item elements hold an image: all but the first item inside encapsulated pixel data.
+def encapsulated_items(elements: DataFrame, span: int | None = SPAN) -> DataFrame:
+    """Add is_offset_table and is_jpeg to elements (path, seq, kind, ...; kind start | item | end | other).
 
-    elements: path, seq, kind (start | item | end | other). Encapsulation runs from a start element to
-    the next end; a start inside it changes nothing.
+    Encapsulation runs from a start element to the next end; a start inside it changes nothing. Its
+    first item is the offset table, all later ones hold images.
     """
     kind = F.col("kind")
-    runs = running(elements, ["path"], "seq", {"__run": ("sum", flag(kind == "end"))}, inclusive=False, span=span)
-    opened = running(runs, ["path", "__run"], "seq", {"__open": ("min", F.when(kind == "start", F.col("seq")))}, span=span)
+    opened = segmented(elements, ["path"], "seq", kind == "end", {"__open": ("min", F.when(kind == "start", F.col("seq")))}, seg="__run", span=span)
     inside = F.col("__open").isNotNull() & (F.col("seq") > F.col("__open"))
-    item = inside & (kind == "item")
-    ranked = running(opened.withColumn("__item", item), ["path", "__run"], "seq", {"item_no": ("sum", flag(F.col("__item")))}, span=span)
+    marked = opened.withColumn("__item", inside & (kind == "item"))
+    ranked = running(marked, ["path", "__run"], "seq", {"__no": ("sum", flag(F.col("__item")))}, span=span)
     return ranked.select(
-        "path", "seq", "kind",
-        (F.col("__item") & (F.col("item_no") == 1)).alias("is_offset_table"),
-        (F.col("__item") & (F.col("item_no") > 1)).alias("is_jpeg"),
+        *elements.columns,
+        (F.col("__item") & (F.col("__no") == 1)).alias("is_offset_table"),
+        (F.col("__item") & (F.col("__no") > 1)).alias("is_jpeg"),
     )

@@ -246,10 +246,10 @@ def dicom_elements(files: DataFrame, tags: DataFrame, enums: DataFrame) -> DataF
         .when((F.col("grp") == 0xFFFE) & (F.col("elem") == 0xE000), "item")
         .when((F.col("grp") == 0xFFFE) & (F.col("elem") == 0xE0DD), "end").otherwise("other")
     )
-    items = chains.encapsulated_items(rows.select("path", "seq", kind.alias("kind"))).drop("kind")
+    # all elements of a file come out of one record array, so a plain window per file is enough
+    flagged = chains.encapsulated_items(rows.withColumn("kind", kind), span=None)
     text = F.regexp_replace(F.substring_index(F.decode("data", "ISO-8859-1"), "\x00", 1), "[^\\x20-\\x7e]", "")
-    named = lookups.describe_dicom(lookups.name_dicom(rows.withColumn("value", text), tags), enums)
-    out = named.join(items, ["path", "seq"])
+    out = lookups.describe_dicom(lookups.name_dicom(flagged.withColumn("value", text), tags), enums)
     return out.select(
         "path", "seq", "offset", "grp", "elem", "name", "known", "vr", "vr_explicit", "len", "value", "text", "is_offset_table", "is_jpeg",
         F.when(F.col("is_jpeg"), F.col("offset") + 8).alias("jpeg_offset"),

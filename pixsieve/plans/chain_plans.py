@@ -60,21 +60,21 @@ def bit_positions(spark, d):
 
 
 def coef_index(spark, d):
-    segs = ch.restart_segments(inp.codes(spark, d).select("path", "seq", "zrl", "bits2", "is_rst"))
-    return ch.coefficient_index(segs, ["path", "rst_seg"], (F.col("zrl") == 0) & (F.col("bits2") == 0))
+    c = inp.codes(spark, d).select("path", "seq", "zrl", "bits2", "is_rst")
+    return ch.coefficient_index(c, ["path"], (F.col("zrl") == 0) & (F.col("bits2") == 0), reset=F.col("is_rst"))
 
 
 def block_dc(spark, d):
-    return ch.block_dc_map(dc_running(spark, d), GRID)
+    return ch.block_dc_map(ch.dc_values(inp.codes(spark, d).select("path", "seq", "comp", "delta", "is_rst")), GRID)
 
 
 def mcu_range(spark, d):
-    idx = ch.row_index(inp.codes(spark, d).select("path", "seq", "severity"), ["path"], "seq")
-    marks = idx.groupBy("path").agg(
-        F.max(F.when(F.col("severity") == "good", F.col("idx"))).alias("a"),
-        F.max(F.when(F.col("severity") == "header", F.col("idx"))).alias("b"),
+    c = inp.codes(spark, d).select("path", "seq", "severity")
+    marks = c.groupBy("path").agg(
+        F.max(F.when(F.col("severity") == "good", F.col("seq"))).alias("a"),
+        F.max(F.when(F.col("severity") == "header", F.col("seq"))).alias("b"),
     ).where("a IS NOT NULL AND b IS NOT NULL")
-    return ch.mcu_range(idx.select("path", "seq", "idx"), marks)
+    return ch.mcu_range(ch.row_index(c.select("path", "seq"), ["path"], "seq"), marks, "seq")
 
 
 def pos_lookup(spark, d):
@@ -110,7 +110,8 @@ def _runs(spark, d):
 
 
 def rle_expand(spark, d):
-    return ch.expand_runs(_runs(spark, d), ["path", "rst_seg"])
+    c = inp.codes(spark, d).select("path", "seq", (F.col("bits2") - 5).alias("run"), F.col("comp").alias("val"), "is_rst")
+    return ch.expand_runs(c, ["path"], reset=F.col("is_rst"))
 
 
 def rle_audit(spark, d):
