@@ -255,15 +255,14 @@ def hunt_needles(tables: DataFrame) -> DataFrame:
 
     A constant table is not hunted; a table with values over 255 has no one-byte form.
     """
-    t = tables.where(F.array_min("table") != F.array_max("table")).withColumn("baseline", F.array_max("table") <= 255)
-    out = None
-    for post in (False, True):
-        values = F.transform(int_array(ZIGZAG), lambda i: F.get("table", i)) if post else F.col("table")
-        for width, swapped in ENCODINGS:
-            form = f"{'post' if post else 'pre'}-{width}{'s' if swapped else ''}"
-            part = t.where(F.col("baseline") | F.lit(width > 1)).select("table_id", F.lit(form).alias("form"), _encode(values, width, swapped).alias("needle"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    t = tables.where(F.array_min("table") != F.array_max("table"))
+    t = t.select("table_id", "table", F.transform(int_array(ZIGZAG), lambda i: F.get("table", i)).alias("zz"))
+    forms = [
+        F.struct(F.lit(f"{order}-{width}{'s' if swapped else ''}").alias("form"), F.lit(width).alias("width"), _encode(F.col(c), width, swapped).alias("needle"))
+        for order, c in (("pre", "table"), ("post", "zz")) for width, swapped in ENCODINGS
+    ]
+    rows = t.select("table_id", (F.array_max("table") <= 255).alias("baseline"), F.inline(F.array(*forms)))
+    return rows.where(F.col("baseline") | (F.col("width") > 1)).select("table_id", "form", "needle")
 
 
 def standard_table(spark) -> DataFrame:
@@ -275,18 +274,21 @@ def hunt(files: DataFrame, needles: DataFrame) -> DataFrame:
 
     Files are cut into aligned blocks of 32 bytes. Wherever a needle lies, exactly one aligned block
     is the first that falls wholly inside it; so the needle's 32 possible leading blocks join the
-    files' blocks by value, and each candidate is verified against the bytes. No file meets a needle
-    it shares no block with.
+    files' blocks by hash, and each candidate is verified against the bytes. No file meets a needle
+    it shares no block with, and only hashes and positions take part in the join.
     """
     steps = F.sequence(F.lit(0), F.length("content") - BLOCK, F.lit(BLOCK))
     blocks = files.where(F.length("content") >= BLOCK).select(
-        "path", F.inline(F.transform(steps, lambda p: F.struct(p.alias("p"), F.substring("content", p + 1, F.lit(BLOCK)).alias("block"))))
+        "path", F.inline(F.transform(steps, lambda p: F.struct(p.alias("p"), F.xxhash64(F.substring("content", p + 1, F.lit(BLOCK))).alias("h"))))
     )
-    shifts = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda s: F.struct(s.alias("s"), F.substring("needle", s + 1, F.lit(BLOCK)).alias("block")))
-    keys = needles.select("table_id", "form", "needle", F.inline(shifts))
+    shifts = F.transform(
+        F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda s: F.struct(s.alias("s"), F.xxhash64(F.substring("needle", s + 1, F.lit(BLOCK))).alias("h"))
+    )
+    named = needles.withColumn("nid", F.xxhash64("needle"))
+    keys = named.select("nid", "needle").distinct().select("nid", F.inline(shifts))
     at = F.col("p") - F.col("s")
-    found = blocks.join(keys, "block").where(at >= 0).select("path", "table_id", "form", "needle", at.alias("pos"))
-    checked = found.join(files.select("path", "content"), "path")
+    found = blocks.join(keys, "h").where(at >= 0).select("path", at.alias("pos"), "nid").distinct()
+    checked = found.join(named, "nid").join(files.select("path", "content"), "path")
     return checked.where(
         F.substring("content", F.col("pos") + 1, F.length("needle")) == F.col("needle")
     ).select("path", "table_id", "form", "pos")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixsieve.operators.blocks import clip
@@ -96,28 +97,26 @@ def y_histogram(df: DataFrame) -> DataFrame:
 
 
 def y_histogram_rows(df: DataFrame) -> DataFrame:
-    """The luminance histogram as report rows of eight bins; empty rows included."""
-    hist = y_histogram(df)
-    filled = hist.groupBy("image_id", F.expr("CAST(bin DIV 8 AS INT)").alias("row_no")).agg(
-        F.array(*[F.sum(F.when(F.col("bin") % 8 == i, F.col("n")).otherwise(0)) for i in range(8)]).alias("counts")
-    )
-    frame = hist.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(Y_BINS // 8 - 1))).alias("row_no"))
-    zeros = F.array_repeat(F.lit(0).cast("bigint"), 8)
-    return frame.join(filled, ["image_id", "row_no"], "left").select(
-        "image_id", "row_no", F.array_join(F.coalesce("counts", zeros).cast("array<string>"), " ").alias("counts")
-    )
+    """The luminance histogram as report rows of eight bins; empty rows included.
+
+    An image has at most 2048 bins, so they may meet in one map.
+    """
+    per = y_histogram(df).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    rows = per.select("image_id", "m", F.explode(F.sequence(F.lit(0), F.lit(Y_BINS // 8 - 1))).alias("row_no"))
+    eight = F.array(*[F.coalesce(F.try_element_at("m", F.col("row_no") * 8 + i), F.lit(0)).cast("string") for i in range(8)])
+    return rows.select("image_id", "row_no", F.array_join(eight, " ").alias("counts"))
 
 
 def histogram_bars(df: DataFrame) -> DataFrame:
     """Bar heights 0..30: luminance in 512 bins with its own peak, RGB with one peak for all channels."""
-    step = Y_BINS // SUBSET_BINS
-    yh = y_histogram(df).groupBy("image_id", F.expr(f"bin DIV {step}").alias("bin")).agg(F.sum("n").alias("n"))
-    bins = yh.select("image_id", F.lit("y").alias("channel"), "bin", "n").unionByName(rgb_histogram(df))
-    group = F.when(F.col("channel") == "y", "y").otherwise("rgb")
-    peaks = bins.groupBy("image_id", group.alias("grp")).agg(F.greatest(F.max("n"), F.lit(1)).alias("peak"))
-    return bins.withColumn("grp", group).join(peaks, ["image_id", "grp"]).select(
-        "image_id", "channel", "bin", "n", F.expr(f"{BAR_HEIGHT} * n DIV peak").alias("height")
-    )
+    step, width = Y_BINS // SUBSET_BINS, 256 // RGB_BINS
+    y = (clip(F.col("yv"), -1024, 1023) + 1024).alias("__y")
+    cells = df.select("image_id", y, "fin_r", "fin_g", "fin_b").select("image_id", F.expr(
+        f"stack(4, 'y', __y DIV {step}, 'r', fin_r DIV {width}, 'g', fin_g DIV {width}, 'b', fin_b DIV {width}) AS (channel, bin)"))
+    bins = cells.groupBy("image_id", "channel", "bin").agg(F.count(F.lit(1)).alias("n"))
+    group = W.partitionBy("image_id", F.col("channel") == "y")
+    peaks = bins.withColumn("peak", F.greatest(F.max("n").over(group), F.lit(1)))
+    return peaks.select("image_id", "channel", "bin", "n", F.expr(f"{BAR_HEIGHT} * n DIV peak").alias("height"))
 
 
 def brightest(df: DataFrame) -> DataFrame:
