@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixsieve.running import row_index, running
+from pixsieve.sizing import side_for_join
 from pixsieve.sources.dims import STD_QUANT_LUMA, ZIGZAG, int_array
 
 CELL, SUB_CELL = 256, 16
@@ -286,6 +287,7 @@ def hunt(files: DataFrame, needles: DataFrame) -> DataFrame:
     )
     named = needles.withColumn("nid", F.xxhash64("needle"))
     keys = named.select("nid", "needle").distinct().select("nid", F.inline(shifts))
+    keys = side_for_join(keys, needles, per_row=BLOCK)
     at = F.col("p") - F.col("s")
     found = blocks.join(keys, "h").where(at >= 0).select("path", at.alias("pos"), "nid").distinct()
     checked = found.join(named, "nid").join(files.select("path", "content"), "path")

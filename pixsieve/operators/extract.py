@@ -179,7 +179,7 @@ def resource_fields(resources: DataFrame, layout: DataFrame, enums: DataFrame) -
     list, whose length is stored at ``count_at`` or follows from the size of the block.
     """
     d, size = F.col("data"), F.length("data")
-    f = resources.select("path", "seq", "bim_id", "data").where(size > 0).join(F.broadcast(layout), "bim_id")
+    f = resources.select("path", "seq", "bim_id", "data").where(size > 0).join(layout, "bim_id")
     fit = F.expr("(length(data) - start) DIV stride")
     counted = F.conv(F.hex(F.substring(d, F.col("count_at") + 1, F.col("count_width"))), 16, 10).cast("bigint")
     times = F.when(F.col("stride") == 0, F.lit(1)).when(F.col("count_at").isNull(), fit).otherwise(F.least(fit, counted))
@@ -194,7 +194,7 @@ def resource_fields(resources: DataFrame, layout: DataFrame, enums: DataFrame) -
     raw = F.substring(d, (F.col("place") + 1).cast("int"), F.col("width"))
     f = f.withColumn("raw", F.when(F.length(raw) == F.col("width"), F.conv(F.hex(raw), 16, 10).cast("bigint")))
     e = enums.select(F.col("field").alias("enum"), F.col("value").alias("raw"), F.col("text").alias("enum_text"))
-    f = f.join(F.broadcast(e), ["enum", "raw"], "left")
+    f = f.join(e, ["enum", "raw"], "left")
     v, k = F.col("raw"), F.col("kind")
     value = (
         F.when(k == "num", v.cast("string")).when(k == "bool", sc.bool_text(v)).when(k == "fixed", F.format_string("%.5f", sc.fixed_point(v)))

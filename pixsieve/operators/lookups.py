@@ -1,5 +1,7 @@
-"""Code-to-name lookups. The constant dimensions are small by construction and are broadcast;
-a registry handed in as a table is joined by key and left to the optimizer."""
+"""Code-to-name lookups as joins by key.
+
+The constant dimensions are local rows, whose size the optimizer knows exactly, so it broadcasts them;
+a registry handed in as a table is broadcast or shuffled by its own size."""
 
 from __future__ import annotations
 
@@ -22,12 +24,12 @@ def single_codes(dim: DataFrame) -> DataFrame:
 def name_codes(rows: DataFrame, code: str, dim: DataFrame) -> DataFrame:
     """Add name: the record whose single code or inclusive range holds the code, null when none."""
     names = single_codes(dim).withColumnRenamed("code", "__code")
-    return rows.join(F.broadcast(names), F.col(code) == F.col("__code"), "left").drop("__code")
+    return rows.join(names, F.col(code) == F.col("__code"), "left").drop("__code")
 
 
 def name_iptc(rows: DataFrame, dim: DataFrame) -> DataFrame:
     """Add name and type for (record, dataset); unknown ones are '?' of type UNK."""
-    out = rows.join(F.broadcast(dim), ["record", "dataset"], "left")
+    out = rows.join(dim, ["record", "dataset"], "left")
     return out.withColumns({"name": F.coalesce("name", F.lit("?")), "type": F.coalesce("type", F.lit("UNK"))})
 
 
@@ -42,19 +44,19 @@ def iptc_value(kind: Column, data: Column) -> Column:
     )
 
 
-def name_dicom(rows: DataFrame, dim: DataFrame, *, small: bool = True) -> DataFrame:
+def name_dicom(rows: DataFrame, dim: DataFrame) -> DataFrame:
     """Add name and known for (grp, elem): element 0 is always a group length, others may be unknown."""
     d = dim.select("grp", "elem", F.col("name").alias("__name"))
-    out = rows.join(F.broadcast(d) if small else d, ["grp", "elem"], "left")
+    out = rows.join(d, ["grp", "elem"], "left")
     group_length = F.format_string("Group Length (Group=%04X)", "grp")
     unknown = F.format_string("??? (%04X,%04X)", "grp", "elem")
     name = F.coalesce("__name", F.when(F.col("elem") == 0, group_length).otherwise(unknown))
     return out.withColumns({"name": name, "known": F.col("__name").isNotNull() | (F.col("elem") == 0)}).drop("__name")
 
 
-def describe_dicom(rows: DataFrame, dim: DataFrame, *, small: bool = True) -> DataFrame:
+def describe_dicom(rows: DataFrame, dim: DataFrame) -> DataFrame:
     """Add text: the meaning of an enumerated (grp, elem, value), null when it has none."""
-    return rows.join(F.broadcast(dim) if small else dim, ["grp", "elem", "value"], "left")
+    return rows.join(dim, ["grp", "elem", "value"], "left")
 
 
 def hex_word(value: Column) -> Column:
@@ -66,13 +68,13 @@ def hex_word(value: Column) -> Column:
 
 def name_psd_enum(rows: DataFrame, dim: DataFrame) -> DataFrame:
     """Add text for (field, value); values without an entry are shown as a hex word."""
-    out = rows.join(F.broadcast(dim), ["field", "value"], "left")
+    out = rows.join(dim, ["field", "value"], "left")
     return out.withColumn("text", F.coalesce("text", hex_word(F.col("value"))))
 
 
 def name_exif(rows: DataFrame, dim: DataFrame) -> DataFrame:
     """Add name and is_unknown for (section, tag_id)."""
-    out = rows.join(F.broadcast(dim), ["section", "tag_id"], "left")
+    out = rows.join(dim, ["section", "tag_id"], "left")
     return out.withColumns({
         "is_unknown": F.col("name").isNull(),
         "name": F.coalesce("name", F.format_string("Unknown Tag 0x%04X", "tag_id")),

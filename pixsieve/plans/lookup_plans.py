@@ -18,7 +18,7 @@ FIELDS = ("color_mode", "resolution_unit", "width_unit", "print_scale_style", "g
 
 def bim_lookup(spark, d):
     rows = [(c, e, n, i) for i, (c, e, n) in enumerate(SMALL_RANGES)]
-    dim = spark.createDataFrame(rows, "code INT, code_end INT, name STRING, ordinal INT")
+    dim = dims.local_rows(spark, rows, "code INT, code_end INT, name STRING, ordinal INT")
     p = inp.table(spark, d, "part").select("p_partkey", "p_size")
     return lk.name_codes(p, "p_size", dim)
 

@@ -9,12 +9,13 @@ from pixsieve.operators import blocks as blk
 from pixsieve.operators import signatures as sg
 from pixsieve.plans import inputs as inp
 from pixsieve.sources import sigdb
+from pixsieve.sources.dims import local_rows
 
 MARKERS = ("blue widget", "red bolt")
 
 
 def _exc(spark: SparkSession, rows) -> DataFrame:
-    return spark.createDataFrame(list(rows), "make STRING, model STRING")
+    return local_rows(spark, rows, "make STRING, model STRING")
 
 
 def _sigs(spark, d):

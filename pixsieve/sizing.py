@@ -1,0 +1,20 @@
+"""Broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 1_000_000
+
+
+def side_for_join(side: DataFrame, counted: DataFrame, per_row: int = 1, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark the small side of a join: broadcast when it is proven small, else sort-merge.
+
+    ``counted`` is what is counted (at most ``max_rows`` of it) and ``per_row`` how many rows of ``side`` one
+    of its rows makes. Needed where a generator hides the real size from the optimizer's estimate.
+    """
+    bound = max_rows // per_row
+    if counted.limit(bound + 1).count() <= bound:
+        return F.broadcast(side)
+    return side.hint("merge")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -549,13 +550,22 @@ def marker_name_column(code: Column) -> Column:
     return F.when(code.between(0xC0, 0xFE), F.get(table, code - 0xC0)).when(code == 0x01, "TEM").otherwise("RES")
 
 
+def local_rows(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """Rows as a local relation: the optimizer sees their exact size."""
+    fields = [f.strip().split() for f in schema.split(",")]
+    kinds = {"INT": pa.int32(), "BIGINT": pa.int64(), "STRING": pa.string()}
+    columns = list(zip(*rows))
+    table = pa.table({n: pa.array(c, kinds[t]) for (n, t), c in zip(fields, columns)})
+    return spark.createDataFrame(table)
+
+
 def dim_iptc(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(IPTC_FIELDS), "record INT, dataset INT, type STRING, name STRING")
+    return local_rows(spark, IPTC_FIELDS, "record INT, dataset INT, type STRING, name STRING")
 
 
 def dim_resource(spark: SparkSession) -> DataFrame:
     rows = [(c, e, n, i) for i, (c, e, n) in enumerate(RESOURCE_IDS)]
-    return spark.createDataFrame(rows, "code INT, code_end INT, name STRING, ordinal INT")
+    return local_rows(spark, rows, "code INT, code_end INT, name STRING, ordinal INT")
 
 
 def key_to_int(key) -> int:
@@ -565,7 +575,7 @@ def key_to_int(key) -> int:
 
 def dim_psd_enum(spark: SparkSession) -> DataFrame:
     rows = [(f, key_to_int(v), t) for f, v, t in PSD_ENUMS]
-    return spark.createDataFrame(rows, "field STRING, value BIGINT, text STRING")
+    return local_rows(spark, rows, "field STRING, value BIGINT, text STRING")
 
 
 def dim_resource_fields(spark: SparkSession) -> DataFrame:
@@ -578,22 +588,22 @@ def dim_resource_fields(spark: SparkSession) -> DataFrame:
         n = seen[b] = seen.get(b, -1) + 1
         kind, _, enum = k.partition(":")
         rows.append((b, n, f, kind, enum, *rest))
-    return spark.createDataFrame(
-        rows,
+    return local_rows(
+        spark, rows,
         "bim_id INT, n INT, field STRING, kind STRING, enum STRING, at INT, width INT, skip_wide INT, stride INT, per INT, start INT, "
         "count_at INT, count_width INT",
     )
 
 
 def dim_exif(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EXIF_TAGS), "section STRING, tag_id INT, name STRING")
+    return local_rows(spark, EXIF_TAGS, "section STRING, tag_id INT, name STRING")
 
 
 def dim_dicom(spark: SparkSession, registry: str | None = None) -> DataFrame:
     """(grp, elem, name): the core tags, or a whole registry read from a parquet table of that shape."""
     if registry is not None:
         return spark.read.parquet(registry).select("grp", "elem", "name")
-    return spark.createDataFrame(list(DICOM_CORE_TAGS), "grp INT, elem INT, name STRING")
+    return local_rows(spark, DICOM_CORE_TAGS, "grp INT, elem INT, name STRING")
 
 
 def dim_dicom_enum(spark: SparkSession, registry: str | None = None) -> DataFrame:
@@ -601,9 +611,9 @@ def dim_dicom_enum(spark: SparkSession, registry: str | None = None) -> DataFram
     if registry is not None:
         return spark.read.parquet(registry).select("grp", "elem", "value", "text")
     rows = [(0x0002, 0x0010, uid, text) for uid, text in DICOM_TRANSFER_SYNTAXES]
-    return spark.createDataFrame(rows, "grp INT, elem INT, value STRING, text STRING")
+    return local_rows(spark, rows, "grp INT, elem INT, value STRING, text STRING")
 
 
 def dim_zigzag(spark: SparkSession) -> DataFrame:
     rows = [(p, UNZIGZAG[p], ROTATE[p]) for p in range(64)]
-    return spark.createDataFrame(rows, "pos INT, zz INT, rot INT")
+    return local_rows(spark, rows, "pos INT, zz INT, rot INT")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixsieve.operators import carving as cv
+from pixsieve.sizing import side_for_join
 from pixsieve.sources.dims import STD_QUANT_LUMA, ZIGZAG
 
 
@@ -91,7 +92,7 @@ def test_patch_limits_are_reported(spark):
     assert (ok.count(), bad.count()) == (2, 2)
 
 
-def test_hunt_matches_brute_force(spark, files_of):
+def test_hunt_matches_brute_force(spark, files_of, monkeypatch):
     rng = random.Random(11)
     table = [1 + rng.randrange(250) for _ in range(64)]
     wide = [300 + i for i in range(64)]
@@ -109,6 +110,8 @@ def test_hunt_matches_brute_force(spark, files_of):
     got = {(r.path, r.table_id, r.form, r.pos) for r in cv.hunt(files_of(blobs), needles).collect()}
     assert got == {(p, t, f, h) for p, d in blobs.items() for (t, f), n in lens.items() for h in all_hits(d, n)}
     assert {g[0] for g in got} == {"a", "b", "c", "f"}
+    monkeypatch.setattr(cv, "side_for_join", lambda side, counted, per_row: side_for_join(side, counted, per_row, max_rows=1))
+    assert {(r.path, r.table_id, r.form, r.pos) for r in cv.hunt(files_of(blobs), needles).collect()} == got
 
 
 def test_hex_rows_and_container(files_of):

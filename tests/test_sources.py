@@ -111,7 +111,7 @@ def test_registry_can_be_handed_in(spark, tmp_path):
     target = str(tmp_path / "registry")
     spark.createDataFrame([(9, 1, "Private")], "grp INT, elem INT, name STRING").write.parquet(target)
     rows = spark.createDataFrame([(9, 1), (9, 0), (9, 2)], "grp INT, elem INT")
-    got = {r.elem: (r.name, r.known) for r in lk.name_dicom(rows, dims.dim_dicom(spark, target), small=False).collect()}
+    got = {r.elem: (r.name, r.known) for r in lk.name_dicom(rows, dims.dim_dicom(spark, target)).collect()}
     assert got == {1: ("Private", True), 0: ("Group Length (Group=0009)", True), 2: ("??? (0009,0002)", False)}
 
 
