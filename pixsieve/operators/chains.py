@@ -34,8 +34,9 @@ def dc_values(codes: DataFrame, span: int | None = SPAN) -> DataFrame:
 def restart_check(codes: DataFrame, span: int | None = SPAN) -> DataFrame:
     """Expected against seen restart index; the next expectation follows the seen one."""
     marks = codes.where("is_rst").select("path", "seq", "rst")
-    seen = running(marks, ["path"], "seq", {"__prev": ("max", F.struct("seq", "rst"))}, inclusive=False, span=span)
-    expected = F.coalesce((F.col("__prev.rst") + 1) % 8, F.lit(0))
+    # the latest mark before a row, packed into one number so that the totals stay a hash aggregate
+    seen = running(marks, ["path"], "seq", {"__prev": ("max", F.col("seq") * 8 + F.col("rst"))}, inclusive=False, span=span)
+    expected = F.coalesce((F.pmod(F.col("__prev"), F.lit(8)).cast("int") + 1) % 8, F.lit(0))
     return seen.select("path", "seq", "rst", expected.alias("expected"), (expected != F.col("rst")).alias("mismatch"))
 
 

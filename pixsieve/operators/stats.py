@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixsieve.operators.blocks import clip
+from pixsieve.operators.blocks import clip, with_colour
 
 STAGES = (
     ("prerange", "y", "yv"), ("prerange", "cb", "cb"), ("prerange", "cr", "cr"),
@@ -119,13 +119,17 @@ def histogram_bars(df: DataFrame) -> DataFrame:
     return peaks.select("image_id", "channel", "bin", "n", F.expr(f"{BAR_HEIGHT} * n DIV peak").alias("height"))
 
 
-def brightest(df: DataFrame) -> DataFrame:
-    """First pixel in raster order (block, index) with the highest pre-range luminance."""
-    top = F.max_by(
-        F.struct("block_id", "idx", "yv", "cb", "cr", "fin_r", "fin_g", "fin_b"),
-        F.struct(F.col("yv"), -F.col("block_id"), -F.col("idx")),
-    )
-    return df.groupBy("image_id").agg(top.alias("t")).select("image_id", "t.*")
+def brightest(blocks: DataFrame) -> DataFrame:
+    """First pixel in raster order (block, index) with the highest pre-range luminance, and its colour.
+
+    blocks: image_id, block_id, cells ARRAY of (idx, yv, cb, cr). Each block names its own brightest
+    pixel before anything is grouped, and colour is computed for the winners only.
+    """
+    keyed = F.transform("cells", lambda c: F.struct(c["yv"].alias("yv"), (-c["idx"]).alias("back"), c["cb"].alias("cb"), c["cr"].alias("cr")))
+    best = blocks.select("image_id", "block_id", F.array_max(keyed).alias("c"))
+    top = best.groupBy("image_id").agg(F.max(F.struct(F.col("c.yv").alias("yv"), (-F.col("block_id")).alias("bback"), F.col("c.back").alias("back"), F.col("c.cb").alias("cb"), F.col("c.cr").alias("cr"))).alias("t"))
+    px = top.select("image_id", (-F.col("t.bback")).alias("block_id"), (-F.col("t.back")).alias("idx"), "t.yv", "t.cb", "t.cr")
+    return with_colour(px).select("image_id", "block_id", "idx", "yv", "cb", "cr", "fin_r", "fin_g", "fin_b")
 
 
 def mean_luminance(df: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def hist_norm(spark, d):
 
 
 def brightest(spark, d):
-    return stats.brightest(_coloured(spark, d))
+    return stats.brightest(inp.pixel_cells(spark, d))
 
 
 def avg_luma(spark, d):

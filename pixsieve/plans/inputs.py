@@ -53,8 +53,8 @@ DQT = """dqt AS (
   WHERE block_id IN (SELECT min(block_id) FROM blocks GROUP BY image_id))"""
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, block_id, idx, yv, cb, cr: values beyond +-1024 occur, so that clipping fires."""
+def pixel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, block_id, cells: 64 pixels (idx, yv, cb, cr) per block; values beyond +-1024 occur."""
     rot = F.array(*[F.lit(r) for r in ROTATE])
     cells = F.transform(
         F.sequence(F.lit(0), F.lit(63)),
@@ -65,7 +65,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.get("q", F.lit(63) - i) * 8).alias("cr"),
         ),
     )
-    return block_arrays(spark, sf_dir).select("image_id", "block_id", F.inline(cells))
+    return block_arrays(spark, sf_dir).select("image_id", "block_id", cells.alias("cells"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, block_id, idx, yv, cb, cr: one row per pixel."""
+    return pixel_cells(spark, sf_dir).select("image_id", "block_id", F.inline("cells"))
 
 
 PIXELS = f"""pixels AS (

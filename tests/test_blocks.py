@@ -67,7 +67,9 @@ def test_colour_range_edges(spark):
     assert (n.y_under, n.y_over) == (2, 2)
     capped = stats.clip_counts(col, compat_cap=3).collect()[0]
     assert (capped.y_over, capped.y_under) == (2, 1)
-    assert stats.brightest(col).collect()[0].yv == 1040
+    cells = df.groupBy("image_id", "block_id").agg(F.collect_list(F.struct("idx", "yv", "cb", "cr")).alias("cells"))
+    top = stats.brightest(cells).collect()[0]
+    assert (top.yv, top.block_id, top.idx, top.fin_r) == (1040, 7, 0, 255)
     hist = {r.bin: r.n for r in stats.y_histogram(df).collect()}
     assert hist == {0: 3, 1023: 1, 1024: 1, 2047: 3} and sum(hist.values()) == len(vals)
 
