@@ -32,11 +32,12 @@ def byte_position(content: Column, needle: bytes) -> Column:
 def cells(files: DataFrame, overlap: int, *keep: str, size: int = CELL) -> DataFrame:
     """keep..., base, cell: the content in pieces of ``size`` bytes plus ``overlap`` following ones.
 
-    An empty file gives one empty cell.
+    Only the offsets are generated as an array; each piece is read from the content as its row passes,
+    so that a large file is never held twice. An empty file gives one empty cell.
     """
     starts = F.sequence(F.lit(0), F.greatest(F.length("content") - 1, F.lit(0)), F.lit(size))
-    parts = F.transform(starts, lambda b: F.struct(b.alias("base"), F.substring("content", b + 1, F.lit(size + overlap)).alias("cell")))
-    return files.select(*keep, F.inline(parts))
+    at = files.select(*keep, "content", F.explode(starts).alias("base"))
+    return at.select(*keep, "base", F.substring("content", F.col("base") + 1, F.lit(size + overlap)).alias("cell"))
 
 
 def hits_in_cell(needle: Column, length: int | Column, size: int = CELL) -> Column:
@@ -279,17 +280,16 @@ def hunt(files: DataFrame, needles: DataFrame) -> DataFrame:
     it shares no block with, and only hashes and positions take part in the join.
     """
     steps = F.sequence(F.lit(0), F.length("content") - BLOCK, F.lit(BLOCK))
-    blocks = files.where(F.length("content") >= BLOCK).select(
-        "path", F.inline(F.transform(steps, lambda p: F.struct(p.alias("p"), F.xxhash64(F.substring("content", p + 1, F.lit(BLOCK))).alias("h"))))
-    )
+    at = files.where(F.length("content") >= BLOCK).select("path", "content", F.explode(steps).alias("p"))
+    blocks = at.select("path", "p", F.xxhash64(F.substring("content", F.col("p") + 1, F.lit(BLOCK))).alias("h"))
     shifts = F.transform(
         F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda s: F.struct(s.alias("s"), F.xxhash64(F.substring("needle", s + 1, F.lit(BLOCK))).alias("h"))
     )
     named = needles.withColumn("nid", F.xxhash64("needle"))
     keys = named.select("nid", "needle").distinct().select("nid", F.inline(shifts))
     keys = side_for_join(keys, needles, per_row=BLOCK)
-    at = F.col("p") - F.col("s")
-    found = blocks.join(keys, "h").where(at >= 0).select("path", at.alias("pos"), "nid").distinct()
+    pos = F.col("p") - F.col("s")
+    found = blocks.join(keys, "h").where(pos >= 0).select("path", pos.alias("pos"), "nid").distinct()
     checked = found.join(named, "nid").join(files.select("path", "content"), "path")
     return checked.where(
         F.substring("content", F.col("pos") + 1, F.length("needle")) == F.col("needle")

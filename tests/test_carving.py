@@ -27,6 +27,13 @@ def test_find_all_matches_brute_force(files_of, blobs):
     assert got == {(p, i, h) for p, d in blobs.items() for i, n in enumerate(needles) for h in all_hits(d, n)}
 
 
+def test_find_all_crosses_cells(files_of):
+    rng = random.Random(9)
+    blobs = {str(n): bytes(rng.choice(b"ab") for _ in range(n)) for n in (511, 512, 513, 1500)}
+    got = {(r.path, r.pos) for r in cv.find_all(files_of(blobs), [b"abba"]).collect()}
+    assert got == {(p, h) for p, d in blobs.items() for h in all_hits(d, b"abba")}
+
+
 def test_find_all_reads_ahead(files_of, blobs):
     rows = cv.find_all(files_of(blobs), [b"\xff\xd8"], ahead=2).collect()
     assert rows
