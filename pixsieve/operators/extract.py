@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pixsieve.functions import scalars as sc
-from pixsieve.operators import chains, lookups, walks
+from pixsieve.operators import blocks, chains, lookups, walks
 from pixsieve.operators.carving import container_kind
 from pixsieve.sources import dims
 
@@ -36,9 +37,131 @@ def segment_data(files: DataFrame, code: int, lead: bytes) -> DataFrame:
     return hit.where(F.startswith("data", F.lit(lead))).select("path", "seq", F.substring("data", F.lit(len(lead) + 1), F.length("data")).alias("data"))
 
 
-def exif_tags(blocks: DataFrame, dim: DataFrame) -> DataFrame:
+def header_segments(files: DataFrame) -> DataFrame:
+    """path, seq, code, data: payloads of all complete header segments, from one walk over each file."""
+    segs = files.select("path", "content", F.posexplode(walks.jpeg_segments("content")).alias("seq", "s"))
+    wanted = (0xC0, 0xC1, 0xC2, 0xC4, 0xDA, 0xDB, 0xDD)
+    return segs.where(F.col("s.code").isin(*wanted) & F.col("s.complete")).select(
+        "path", "seq", F.col("s.code").alias("code"),
+        F.substring("content", (F.col("s.offset") + 5).cast("int"), (F.col("s.len") - 2).cast("int")).alias("data"),
+    )
+
+
+def _byte(at: Column | int) -> Column:
+    return sc.read_uint("data", at, 1).cast("int")
+
+
+def _nibbles(at: Column | int) -> tuple[Column, Column]:
+    v = _byte(at)
+    return F.shiftright(v, 4), v.bitwiseAND(15)
+
+
+def frames(segments: DataFrame) -> DataFrame:
+    """Frame headers: path, seq, precision, height, width, ncomp, comps (ci, h, v, tq)."""
+    f = segments.where(F.col("code").isin(0xC0, 0xC1, 0xC2)).withColumn("ncomp", _byte(5)).where(F.length("data") >= F.col("ncomp") * 3 + 6)
+
+    def comp(i: Column) -> Column:
+        h, v = _nibbles(i * 3 + 7)
+        return F.struct(_byte(i * 3 + 6).alias("ci"), h.alias("h"), v.alias("v"), _byte(i * 3 + 8).alias("tq"))
+
+    comps = F.when(F.col("ncomp") > 0, F.transform(F.sequence(F.lit(0), F.col("ncomp") - 1), comp))
+    return f.select(
+        "path", "seq", _byte(0).alias("precision"), sc.read_uint("data", 1, 2).cast("int").alias("height"),
+        sc.read_uint("data", 3, 2).cast("int").alias("width"), "ncomp", comps.alias("comps"),
+    )
+
+
+def scans(segments: DataFrame) -> DataFrame:
+    """Scan headers: path, seq, ns, comps (ci, td, ta), ss, se, ah, al and the restart interval in force (0 = none).
+
+    The interval is that of the latest DRI before the scan; headers of a path come out of one file.
+    """
+    dri = F.when(F.col("code") == 0xDD, sc.read_uint("data", 0, 2).cast("int"))
+    before = W.partitionBy("path").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    small = segments.where(F.col("code").isin(0xDA, 0xDD))
+    s = small.withColumn("rst_interval", F.coalesce(F.last(dri, True).over(before), F.lit(0))).where(F.col("code") == 0xDA)
+    s = s.withColumn("ns", _byte(0)).where(F.length("data") >= F.col("ns") * 2 + 4)
+
+    def comp(i: Column) -> Column:
+        td, ta = _nibbles(i * 2 + 2)
+        return F.struct(_byte(i * 2 + 1).alias("ci"), td.alias("td"), ta.alias("ta"))
+
+    tail = F.col("ns") * 2
+    ah, al = _nibbles(tail + 3)
+    comps = F.when(F.col("ns") > 0, F.transform(F.sequence(F.lit(0), F.col("ns") - 1), comp))
+    return s.select("path", "seq", "ns", comps.alias("comps"), _byte(tail + 1).alias("ss"), _byte(tail + 2).alias("se"), ah.alias("ah"), al.alias("al"), "rst_interval")
+
+
+def _starts(least: int, step) -> Column:
+    """Offsets of the tables inside one payload, each as long as ``step(offset)`` says; a table has ``least`` bytes."""
+    rounds = F.sequence(F.lit(1), F.greatest(F.expr(f"CAST(length(data) DIV {least} AS INT)"), F.lit(1)))
+    end = F.length("data")
+
+    def grow(acc: Column, _: Column) -> Column:
+        tail = F.element_at(acc, -1)
+        nxt = tail + step(tail)
+        return F.when(nxt < end, F.array_append(acc, nxt)).otherwise(acc)
+
+    return F.aggregate(rounds, F.array(F.lit(0)), grow)
+
+
+def quantisation_tables(segments: DataFrame) -> DataFrame:
+    """path, seq, dest_id, precision (8 or 16), table_zz; a later table replaces an earlier one of its place."""
+    def wide(at: Column) -> Column:
+        return F.shiftright(_byte(at), 4) > 0
+
+    d = segments.where((F.col("code") == 0xDB) & (F.length("data") >= 65))
+    starts = _starts(65, lambda at: F.when(wide(at), F.lit(129)).otherwise(F.lit(65)))
+    t = d.select("path", "seq", "data", F.explode(starts).alias("at"))
+    hi, lo = _nibbles(F.col("at"))
+    t = t.select("path", "seq", "data", "at", (hi > 0).alias("wide"), lo.alias("dest_id"))
+
+    def value(i: Column) -> Column:
+        at = F.col("at") + 1
+        return F.when(F.col("wide"), sc.read_uint("data", at + i * 2, 2)).otherwise(sc.read_uint("data", at + i, 1)).cast("int")
+
+    size = F.when(F.col("wide"), F.lit(129)).otherwise(F.lit(65))
+    t = t.where(F.col("at") + size <= F.length("data"))
+    return t.select(
+        "path", "seq", "dest_id", F.when(F.col("wide"), 16).otherwise(8).alias("precision"),
+        F.transform(F.sequence(F.lit(0), F.lit(63)), value).alias("table_zz"),
+    )
+
+
+def huffman_lists(segments: DataFrame) -> DataFrame:
+    """path, seq, class, dest_id, idx, bitlen, value: the code list of each Huffman table, in code order."""
+    ones = F.sequence(F.lit(1), F.lit(16))
+
+    def codes(at: Column) -> Column:
+        return F.aggregate(ones, F.lit(0), lambda acc, i: acc + F.coalesce(_byte(at + i), F.lit(0)))
+
+    d = segments.where((F.col("code") == 0xC4) & (F.length("data") >= 17))
+    t = d.select("path", "seq", "data", F.explode(_starts(17, lambda at: codes(at) + 17)).alias("at"))
+    hi, lo = _nibbles(F.col("at"))
+    lens = F.flatten(F.transform(ones, lambda i: F.array_repeat(i, F.coalesce(_byte(F.col("at") + i), F.lit(0)))))
+    rows = t.select("path", "seq", "data", "at", hi.alias("class"), lo.alias("dest_id"), F.posexplode(lens).alias("idx", "bitlen"))
+    return rows.select("path", "seq", "class", "dest_id", "idx", "bitlen", _byte(F.col("at") + 17 + F.col("idx")).alias("value"))
+
+
+def image_signatures(segments: DataFrame) -> DataFrame:
+    """Compression signature per path from its quantisation tables and luma subsampling, plain and rotated."""
+    tables = quantisation_tables(segments).groupBy("path", "dest_id").agg(F.max_by("table_zz", "seq").alias("table_zz"))
+    first = F.get("comps", 0)
+    sampling = frames(segments).groupBy("path").agg(F.min_by(F.format_string("%dx%d", first["h"], first["v"]), "seq").alias("subsampling"))
+    rows = tables.join(sampling, "path", "left").select(
+        F.col("path").alias("image_id"), "dest_id", "table_zz", F.coalesce("subsampling", F.lit("")).alias("subsampling"))
+    return blocks.compression_signature(rows)
+
+
+def icc_blocks(files: DataFrame) -> DataFrame:
+    """path, data: the first chunk of each embedded ICC profile, which holds its header."""
+    d = segment_data(files, 0xE2, b"ICC_PROFILE\x00")
+    return d.where(sc.read_uint("data", 0, 1) == 1).select("path", F.substring("data", F.lit(3), F.length("data")).alias("data"))
+
+
+def exif_tags(tiff: DataFrame, dim: DataFrame) -> DataFrame:
     """Named tags with value text from TIFF blocks (path, data)."""
-    rows = walk_rows(blocks, walks.tiff_tags, F.col("data"), "path")
+    rows = walk_rows(tiff, walks.tiff_tags, F.col("data"), "path")
     named = lookups.name_exif(rows, dim)
     return named.select("path", "section", "seq", "tag_id", "name", "is_unknown", "type", "count", tag_value().alias("value"))
 
@@ -83,9 +206,9 @@ def tag_value() -> Column:
     return F.when(F.col("count") > 0, value).otherwise("")
 
 
-def gps_position(blocks: DataFrame) -> DataFrame:
+def gps_position(tiff: DataFrame) -> DataFrame:
     """Latitude and longitude in signed degrees per path."""
-    rows = walk_rows(blocks, walks.tiff_tags, F.col("data"), "path").where("section = 'gps'")
+    rows = walk_rows(tiff, walks.tiff_tags, F.col("data"), "path").where("section = 'gps'")
     rows = rows.withColumn("r", F.when(F.col("type") == 5, rationals()))
     letter = F.decode(F.substring("data", 1, 1), "ISO-8859-1")
 
@@ -211,8 +334,8 @@ def resource_fields(resources: DataFrame, layout: DataFrame, enums: DataFrame) -
 
 def iptc_records(resources: DataFrame, dim: DataFrame) -> DataFrame:
     """Named IPTC datasets with value text out of resource 0x0404."""
-    blocks = resources.where("bim_id = 1028").select("path", F.col("data").alias("block"))
-    rows = lookups.name_iptc(walk_rows(blocks, walks.iptc_datasets, F.col("block"), "path"), dim)
+    iptc = resources.where("bim_id = 1028").select("path", F.col("data").alias("block"))
+    rows = lookups.name_iptc(walk_rows(iptc, walks.iptc_datasets, F.col("block"), "path"), dim)
     return rows.select("path", "seq", "record", "dataset", "name", "len", lookups.iptc_value(F.col("type"), F.col("data")).alias("value"))
 
 

@@ -90,7 +90,10 @@ _SUB_DIRECTORY = {0x8769: "exif", 0x8825: "gps", 0xA005: "interop"}
 
 @walker("section:str tag_id:int type:int count:long at:long little:bool data:bin")
 def tiff_tags(data: bytes):
-    """Directory entries of a TIFF block with their raw values; sub-directories are followed once."""
+    """Directory entries of a TIFF block with their raw values; sub-directories are followed once.
+
+    A maker note is followed as well when it reads like a directory (offsets from the TIFF start).
+    """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
         return
@@ -101,6 +104,10 @@ def tiff_tags(data: bytes):
             continue
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
+        if section == "maker":
+            kinds = [struct.unpack_from(order + "H", data, at + 4 + 12 * i)[0] for i in range(n)] if at + 2 + 12 * n <= len(data) else []
+            if not kinds or any(k not in _TYPE_SIZE for k in kinds):
+                continue
         for i in range(n):
             e = at + 2 + 12 * i
             if e + 12 > len(data):
@@ -109,6 +116,8 @@ def tiff_tags(data: bytes):
             size = _TYPE_SIZE.get(typ, 1) * count
             where = e + 8 if size <= 4 else struct.unpack_from(order + "I", data, e + 8)[0]
             yield section, tag, typ, count, where, order == "<", data[where : where + size]
+            if tag == 0x927C and size > 14:
+                todo.append(("maker", where))
             if tag in _SUB_DIRECTORY and size == 4:
                 todo.append((_SUB_DIRECTORY[tag], struct.unpack_from(order + "I", data, e + 8)[0]))
         after = at + 2 + 12 * n

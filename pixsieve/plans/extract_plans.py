@@ -74,8 +74,35 @@ def dicom_first_image(spark, d):
     return ex.first_dicom_image(_elements(spark, d))
 
 
+def _headers(spark, d):
+    return ex.header_segments(packed.coded_files(spark, d))
+
+
+def jpeg_frames(spark, d):
+    f = ex.frames(_headers(spark, d))
+    return f.withColumn("comps", F.array_join(F.transform("comps", lambda c: F.concat_ws(":", c["ci"], c["h"], c["v"], c["tq"])), " "))
+
+
+def jpeg_scans(spark, d):
+    f = ex.scans(_headers(spark, d))
+    return f.withColumn("comps", F.array_join(F.transform("comps", lambda c: F.concat_ws(":", c["ci"], c["td"], c["ta"])), " "))
+
+
+def jpeg_dqt(spark, d):
+    t = ex.quantisation_tables(_headers(spark, d))
+    return t.select("path", "seq", "dest_id", "precision", F.posexplode("table_zz").alias("zz", "value"))
+
+
+def jpeg_dht(spark, d):
+    return ex.huffman_lists(_headers(spark, d))
+
+
+def image_signatures(spark, d):
+    return ex.image_signatures(_headers(spark, d))
+
+
 QUERIES = {f.__name__: f for f in (
-    jpeg_segments, exif_tags, gps_position, thumbnail_extent, icc_header, psd_header, psd_resources, psd_payloads, iptc_records,
+    jpeg_segments, jpeg_frames, jpeg_scans, jpeg_dqt, jpeg_dht, image_signatures, exif_tags, gps_position, thumbnail_extent, icc_header, psd_header, psd_resources, psd_payloads, iptc_records,
     psd_layers, dicom_elements, dicom_first_image,
 )}
 
@@ -194,7 +221,28 @@ def _dicom_sql() -> str:
         for i, (at, g, e, n, known, vr, explicit, size, txt, tab, jpg) in enumerate(rows))
 
 
+_CODED = f"""c AS (SELECT vec_id AS path, (SELECT list(q ORDER BY pos) FROM blocks WHERE block_id = vec_id) AS q,
+  CASE WHEN vec_id % 2 = 0 THEN '2x2' ELSE '1x1' END AS sub FROM embeddings)"""
+_TXT = "array_to_string(list_transform({v}, lambda v: CAST({e} AS VARCHAR)), ',')"
+_ROTATED = "list_transform({zz}, lambda z: {v}[({unzz})[({rot})[z + 1] + 1] + 1])"
+
+
+def _sig_sql(turned: bool) -> str:
+    v = _ROTATED.format(zz=inp.ZZ_SQL, v="q", unzz=inp.UNZZ_SQL, rot=inp.ROT_SQL) if turned else "q"
+    return f"upper(md5(concat_ws(';', sub, {_TXT.format(v=v, e='1 + abs(v) % 255')}, {_TXT.format(v=v, e='1 + abs(v) * 97')})))"
+
+
 ORACLE = {
+    "jpeg_frames": """SELECT vec_id AS path, 2 AS seq, 8 AS precision, CAST(vec_id % 500 + 16 AS INTEGER) AS height, CAST(vec_id % 700 + 8 AS INTEGER) AS width, 3 AS ncomp,
+  CASE WHEN vec_id % 2 = 0 THEN '1:2:2:0' ELSE '1:1:1:0' END || ' 2:1:1:1 3:1:1:1' AS comps FROM embeddings""",
+    "jpeg_scans": """SELECT vec_id AS path, CASE WHEN vec_id % 4 > 0 THEN 5 ELSE 4 END AS seq, 3 AS ns, '1:0:0 2:1:1 3:1:1' AS comps, 0 AS ss, 63 AS se, 0 AS ah, 0 AS al,
+  CAST(vec_id % 4 AS INTEGER) AS rst_interval FROM embeddings""",
+    "jpeg_dqt": f"""WITH {inp.BLOCKS} SELECT block_id AS path, 1 AS seq, 0 AS dest_id, 8 AS precision, pos AS zz, 1 + abs(q) % 255 AS value FROM blocks
+UNION ALL SELECT block_id, 1, 1, 16, pos, 1 + abs(q) * 97 FROM blocks""",
+    "jpeg_dht": """SELECT vec_id AS path, 3 AS seq, 0 AS class, 0 AS dest_id, CAST(r.i AS INTEGER) AS idx, CASE WHEN r.i < vec_id % 3 THEN 2 ELSE 3 END AS bitlen,
+  CAST((r.i + 1) * 16 AS INTEGER) AS value FROM embeddings, range(4) r(i) WHERE r.i < vec_id % 3 + 2
+UNION ALL SELECT vec_id, 3, 1, 1, 0, 16, 127 FROM embeddings""",
+    "image_signatures": f"""WITH {inp.BLOCKS}, {_CODED} SELECT path AS image_id, {_sig_sql(False)} AS csig, {_sig_sql(True)} AS csig_rot FROM c""",
     "jpeg_segments": f"""WITH {_JPEG} SELECT path, CAST(seq AS INTEGER) AS seq, code, CAST("offset" AS BIGINT) AS "offset", CAST(len AS BIGINT) AS len, true AS complete, marker FROM s""",
     "exif_tags": " UNION ALL ".join(
         f"""SELECT p_partkey AS path, '{s}' AS section, {i} AS seq, {t} AS tag_id, '{n or 'Unknown Tag 0xC0DE'}' AS name, {n is None} AS is_unknown,

@@ -56,6 +56,26 @@ def jpeg_files(spark, sf_dir: str) -> DataFrame:
     return d.select("path", sealed(content, "content"))
 
 
+def coded_files(spark, sf_dir: str) -> DataFrame:
+    """Blocks as JPEG headers: an 8-bit and a 16-bit table in one DQT, two Huffman tables in one DHT, DRI, SOS."""
+    b = inp.block_arrays(spark, sf_dir)
+    key, q = F.col("block_id"), F.col("q")
+    narrow = F.unhex(F.array_join(F.transform(q, lambda v: F.lpad(F.hex(1 + F.abs(v) % 255), 2, "0")), ""))
+    wide = F.unhex(F.array_join(F.transform(q, lambda v: F.lpad(F.hex(1 + F.abs(v) * 97), 4, "0")), ""))
+    b = b.select("*", sealed(narrow, "narrow"), ).select("*", sealed(wide, "wide"))
+    n2 = key % 3
+    counts = F.concat(hx("00"), be(n2, 1), hx("02" + "00" * 13))
+    values = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), (n2 + 2).cast("int")), lambda i: F.lpad(F.hex(i * 16), 2, "0")), ""))
+    dht = F.concat(hx("00"), counts, values, hx("11" + "00" * 15 + "01" + "7F"))
+    content = F.concat(
+        hx("FFD8 FFDB 00C4 00"), "narrow", hx("11"), "wide",
+        hx("FFC0 0011 08"), be(key % 500 + 16, 2), be(key % 700 + 8, 2), hx("03 01"), F.when(key % 2 == 0, hx("22")).otherwise(hx("11")), hx("00 021101 031101"),
+        hx("FFC4"), be(F.length(dht) + 2, 2), dht, F.when(key % 4 > 0, F.concat(hx("FFDD 0004"), be(key % 4, 2))).otherwise(hx("")),
+        hx("FFDA 000C 03 0100 0211 0311 00 3F 00 A5 FFD9"),
+    )
+    return b.select(key.alias("path"), sealed(content, "content"))
+
+
 def tiff_blocks(spark, sf_dir: str) -> DataFrame:
     """Parts as TIFF blocks in both byte orders: path, data."""
     p = inp.table(spark, sf_dir, "part")
