@@ -94,6 +94,11 @@ def wide_string(content: Column, offset: Column, chars: Column, big_endian: bool
     return F.decode(data, "UTF-16BE" if big_endian else "UTF-16LE")
 
 
+def terminated_wide_string(content: Column, offset: Column, limit: int = 255, big_endian: bool = False) -> Column:
+    """16-bit text up to a zero character, at most ``limit`` characters long."""
+    return F.substring_index(wide_string(content, offset, F.lit(limit), big_endian), "\x00", 1)
+
+
 def length_prefixed_ascii(content: Column, offset: Column) -> Column:
     """u32 length and text; length 0 means a four-character code."""
     n = read_uint(content, offset, 4)
@@ -175,6 +180,18 @@ def rational(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
+def fraction_text(num: Column, den: Column) -> Column:
+    """A fraction as text: whole numbers plainly, others as num/den; a zero denominator stays visible."""
+    safe = F.when(den == 0, F.lit(1)).otherwise(den)
+    whole = (den != 0) & (num % safe == 0)
+    return F.when(whole, (num / safe).cast("bigint").cast("string")).otherwise(F.concat_ws("/", num.cast("string"), den.cast("string")))
+
+
+def dms_text(d: Column, m: Column, s: Column) -> Column:
+    """Degrees, minutes and seconds as text."""
+    return F.format_string("%d deg %d' %.3f\"", d.cast("bigint"), m.cast("bigint"), s.cast("double"))
+
+
 def degrees(d: Column, m: Column, s: Column) -> Column:
     return d + m / F.lit(60.0) + s / F.lit(3600.0)
 

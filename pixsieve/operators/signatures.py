@@ -88,6 +88,11 @@ def keep_listed(sigs: DataFrame, remaining_ids: DataFrame) -> DataFrame:
     )
 
 
+def source_of_choice(choice: Column) -> Column:
+    """Source class of a prompt answer: 0 camera, 1 software, anything else unsure."""
+    return F.when(choice == 0, "camera").when(choice == 1, "software").otherwise("unsure")
+
+
 def append_user(sigs: DataFrame, new_rows: DataFrame) -> DataFrame:
     """Append user rows (make, model, quality, csig, csig_rot, source, user_software), made consistent.
 

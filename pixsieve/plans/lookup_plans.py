@@ -101,6 +101,7 @@ def scalar_strings(spark, d):
         F.concat(F.unhex(F.lit("0102")), name, F.unhex(F.lit("7f"))).alias("junk"),
         F.concat(size, F.encode("p_name", "UTF-16BE")).alias("wide"), F.concat(size, name).alias("narrow"),
         F.concat(F.unhex(F.lit("00000000")), F.encode(F.rpad("p_name", 4, "x"), "UTF-8")).alias("code4"),
+        F.encode(F.concat("p_name", F.lit("\x00"), "p_brand"), "UTF-16LE").alias("wide_zero"),
         (F.col("p_partkey") * 7919 % 4294967296).alias("word"),
     )
     zero = F.lit(0)
@@ -113,6 +114,7 @@ def scalar_strings(spark, d):
         sc.terminated_string(F.col("c"), zero).alias("ended"),
         sc.length_prefixed_wide(F.col("wide"), zero, 6).alias("wide6"), sc.length_prefixed_ascii(F.col("narrow"), zero).alias("ascii"),
         sc.length_prefixed_ascii(F.col("code4"), zero).alias("code4"), sc.bool_text(F.col("p_size") % 2).alias("flag"),
+        sc.terminated_wide_string(F.col("wide_zero"), zero).alias("wide_ended"),
     )
 
 
@@ -146,6 +148,15 @@ def scalar_numeric(spark, d):
     )
 
 
+def scalar_fractions(spark, d):
+    f = inp.facts(spark, d)
+    w, c, n = F.col("width"), F.col("code"), F.col("n")
+    return f.select(
+        "path", "n", "scan_bytes", sc.fraction_text(w, n - 3).alias("fraction"), sc.fraction_text(c, n * 2).alias("half"),
+        sc.dms_text(c, n, F.floor(w / 8) / 8).alias("dms"),
+    )
+
+
 def scalar_md5(spark, d):
     return inp.byte_files(spark, d).select("path", sc.md5_upper(F.col("content")).alias("md5"))
 
@@ -158,7 +169,7 @@ def scalar_url(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     bim_lookup, bim_names, iptc_lookup, iptc_values, dicom_lookup, dicom_enum, psd_enum, exif_lookup, hide_unknown,
-    scalar_bits, scalar_strings, scalar_geom, scalar_numeric, scalar_md5, scalar_url,
+    scalar_bits, scalar_strings, scalar_geom, scalar_numeric, scalar_fractions, scalar_md5, scalar_url,
 )}
 
 _F = f"WITH {inp.FACTS}"
@@ -218,7 +229,7 @@ g AS (SELECT *, [word // 16777216, word // 65536 % 256, word // 256 % 256, word
 SELECT p_partkey, printf('''%s'' (0x%08X)', array_to_string(list_transform(b, lambda v: CASE WHEN v = 0 THEN '.' ELSE chr(v::INTEGER) END), ''), word) AS four,
   printf('''%d.%d.%d.%d'' (0x%08X)', b[1], b[2], b[3], b[4], word) AS dotted, p_partkey AS hex_num,
   CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END AS dec_num, substr(p_name, 3) AS fixed, p_name AS clean, p_name AS ended,
-  substr(p_name, 1, 6) AS wide6, p_name AS ascii, substr(rpad(p_name, 4, 'x'), 1, 4) AS code4, CASE WHEN p_size % 2 <> 0 THEN 'true' ELSE 'false' END AS flag FROM g""",
+  substr(p_name, 1, 6) AS wide6, p_name AS ascii, substr(rpad(p_name, 4, 'x'), 1, 4) AS code4, CASE WHEN p_size % 2 <> 0 THEN 'true' ELSE 'false' END AS flag, p_name AS wide_ended FROM g""",
     "scalar_geom": f"""{_F} SELECT path, n, scan_bytes, width // 16 AS mcu_x, height // 8 AS mcu_y, width // 8 AS blk_x, (height // 8) * 250 + width // 16 AS linear,
   (width // 8) % 2 AS css_x, scan_bytes * 16 + code % 8 AS packed, scan_bytes AS byte, code % 8 AS bit, printf('0x%08X.%d', scan_bytes, code % 8) AS pos_text FROM facts""",
     "scalar_numeric": f"""{_F}, f AS (SELECT *, scan_bytes * 37 % 4294967296 AS word FROM facts),
@@ -231,6 +242,10 @@ SELECT path, n, scan_bytes, word AS be32, word % 256 * 16777216 + word // 256 %
   CASE code % 3 + CASE WHEN n = 1 THEN 256 ELSE 0 END WHEN 0 THEN 'Standard' WHEN 1 THEN 'Optimized' WHEN 257 THEN 'Progressive' ELSE '???' END AS format,
   CASE WHEN code % 5 BETWEEN 1 AND 3 THEN (code % 5 + 2) || ' Scans' ELSE '???' END AS scans,
   round(width / nullif(n - 3, 0)::DOUBLE, 6) AS ratio, round(code + n / 60.0::DOUBLE + width / 100.0::DOUBLE / 3600.0::DOUBLE, 6) AS deg FROM g""",
+    "scalar_fractions": f"""{_F} SELECT path, n, scan_bytes,
+  CASE WHEN n <> 3 AND width % (n - 3) = 0 THEN CAST(width // (n - 3) AS VARCHAR) ELSE width || '/' || (n - 3) END AS fraction,
+  CASE WHEN code % (n * 2) = 0 THEN CAST(code // (n * 2) AS VARCHAR) ELSE code || '/' || (n * 2) END AS half,
+  printf('%d deg %d'' %.3f"', code, n, (width // 8) / 8.0::DOUBLE) AS dms FROM facts""",
     "scalar_md5": "SELECT doc_id AS path, upper(md5(text)) AS md5 FROM documents",
     "scalar_url": """WITH e AS (SELECT doc_id AS path, replace(replace(replace(replace(replace(url_encode('{a}(b)*~+|' || text), '~', '%7E'), '%7B', '{'), '%28', '('), '%29', ')'), '%2A', '*') AS esc FROM documents)
 SELECT path, CAST(length(esc) AS INTEGER) AS n, md5(esc) AS md5, true AS same FROM e""",

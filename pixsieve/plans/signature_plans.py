@@ -61,7 +61,7 @@ def sigdb_append(spark, d):
         F.lit("fine").alias("quality"),
         F.upper(F.md5("s_name")).alias("csig"),
         F.upper(F.md5(F.reverse("s_name"))).alias("csig_rot"),
-        F.element_at(F.array(F.lit("camera"), F.lit("software"), F.lit("unsure")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("source"),
+        sg.source_of_choice(F.col("s_suppkey") % 3).alias("source"),
         F.concat(F.lit("tool "), F.col("s_name")).alias("user_software"),
     )
     base = _sigs(spark, d).where("is_user").withColumns({"sw_trim": F.lit(""), "sw_disp": F.lit("")})

@@ -35,3 +35,12 @@ def write_reports(report: DataFrame, target: str) -> None:
         .select("path", "part", F.col("text").alias("value"))
         .write.mode("overwrite").partitionBy("path", "part").text(target)
     )
+
+
+def write_report_rows(report: DataFrame, target: str) -> None:
+    """The same lines as one sorted parquet table, for corpora with more files than directories are good for."""
+    part = F.expr(f"line_no DIV {LINES_PER_FILE}")
+    (
+        report.withColumn("part", part).repartition("path", "part").sortWithinPartitions("path", "part", "line_no")
+        .drop("part").write.mode("overwrite").parquet(target)
+    )

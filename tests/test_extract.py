@@ -32,6 +32,39 @@ def test_jpeg_segments(files_of):
     assert "empty" not in by
 
 
+def test_tables_of_a_header(spark, files_of):
+    dqt = seg(0xDB, b"\0" + bytes(range(1, 65)) + b"\x11" + struct.pack(">64H", *range(300, 364)) + b"\x02" + bytes([9] * 64))
+    dht = seg(0xC4, b"\x00" + bytes([0, 2, 1] + [0] * 13) + b"abc" + b"\x11" + bytes([1] + [0] * 15) + b"z")
+    sof = seg(0xC0, b"\x08\0\x10\0\x20\x03" + b"\x01\x21\x00" + b"\x02\x11\x01" + b"\x03\x11\x01")
+    sos = seg(0xDA, b"\x03\x01\x00\x02\x11\x03\x11\0\x3f\0")
+    again = seg(0xDB, b"\0" + bytes([7] * 64))
+    jpeg = b"\xff\xd8" + dqt + sof + seg(0xDD, b"\0\x05") + dht + sos + b"\x01\xff\xd9"
+    cut = b"\xff\xd8" + seg(0xDB, b"\0" + bytes(range(1, 65)) + b"\x11short") + b"\xff\xd9"
+    h = ex.header_segments(files_of({"a": jpeg, "b": b"\xff\xd8" + dqt + again + sof + b"\xff\xd9", "cut": cut})).cache()
+    f = ex.frames(h).where("path = 'a'").collect()[0]
+    assert (f.precision, f.height, f.width, f.ncomp) == (8, 16, 32, 3) and [tuple(c) for c in f.comps] == [(1, 2, 1, 0), (2, 1, 1, 1), (3, 1, 1, 1)]
+    s = ex.scans(h).collect()
+    assert len(s) == 1 and (s[0].ns, s[0].rst_interval, s[0].se) == (3, 5, 63) and [tuple(c) for c in s[0].comps] == [(1, 0, 0), (2, 1, 1), (3, 1, 1)]
+    q = {(r.path, r.seq, r.dest_id): (r.precision, list(r.table_zz)) for r in ex.quantisation_tables(h).collect()}
+    assert q["a", 1, 0] == (8, list(range(1, 65))) and q["a", 1, 1] == (16, list(range(300, 364))) and q["a", 1, 2][1] == [9] * 64
+    assert len([k for k in q if k[0] == "cut"]) == 1 and q["b", 2, 0][1] == [7] * 64
+    t = ex.huffman_lists(h).where("path = 'a'").orderBy("class", "idx").collect()
+    assert [(r["class"], r.dest_id, r.bitlen, chr(r.value)) for r in t] == [(0, 0, 2, "a"), (0, 0, 2, "b"), (0, 0, 3, "c"), (1, 1, 1, "z")]
+    g = {r.image_id: r for r in ex.image_signatures(h).collect()}
+    assert len(g) == 3 and g["a"].csig != g["b"].csig and g["a"].csig != g["a"].csig_rot
+    h.unpersist()
+
+
+def test_maker_note_that_reads_like_a_directory(spark, files_of):
+    maker = struct.pack("<H", 1) + struct.pack("<HHI", 6, 2, 4) + b"abc\0" + struct.pack("<I", 0)
+    exif = struct.pack("<H", 1) + struct.pack("<HHII", 0x927C, 7, len(maker), 44) + struct.pack("<I", 0)
+    ifd = struct.pack("<H", 1) + struct.pack("<HHII", 0x8769, 4, 1, 26) + struct.pack("<I", 0)
+    data = b"II" + struct.pack("<HI", 42, 8) + ifd + exif + maker
+    junk = data[:44] + b"\xff" * len(maker)
+    rows = ex.exif_tags(files_of({"m": data, "j": junk}).withColumnRenamed("content", "data"), dims.dim_exif(spark)).collect()
+    assert sorted((r.path, r.section, r.name) for r in rows if r.section == "maker") == [("m", "maker", "Unknown Tag 0x0006")]
+
+
 def tiff(order: str) -> bytes:
     e = "<" if order == "II" else ">"
     gps_at, data_at = 62, 104
