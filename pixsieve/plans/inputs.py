@@ -6,7 +6,7 @@ given table, so everything built on them grows with that table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixsieve.sources.dims import ROTATE, UNZIGZAG, ZIGZAG
@@ -172,8 +172,9 @@ def values_sql(name: str, columns: str, rows) -> str:
     return f"{name}({columns}) AS (SELECT * FROM (VALUES {body}))"
 
 
-def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
+def signatures(spark: SparkSession, sf_dir: str, hashed: Column | None = None) -> DataFrame:
+    """The signature table over parts; ``hashed`` is the text behind the hashes, the part name unless given."""
+    k, hashed = F.col("p_partkey"), F.col("p_name") if hashed is None else hashed
     return table(spark, sf_dir, "part").select(
         k.alias("sig_id"),
         (k % 5 == 0).alias("is_user"),
@@ -182,8 +183,8 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("make"),
         F.col("p_type").alias("model"),
         F.col("p_size").cast("string").alias("quality"),
-        F.upper(F.md5("p_name")).alias("csig"),
-        F.upper(F.md5(F.reverse("p_name"))).alias("csig_rot"),
+        F.upper(F.md5(hashed)).alias("csig"),
+        F.upper(F.md5(F.reverse(hashed))).alias("csig_rot"),
     )
 
 

@@ -82,16 +82,17 @@ def sigdb_store(spark, d):
 
 def sig_verdict(spark, d):
     k = F.col("p_partkey")
+    # software rows hash the type (and also the name of blue parts), camera rows the name: every branch occurs
     extra = inp.table(spark, d, "part").select(
         k.alias("image_id"),
         F.when(k % 11 == 0, "").otherwise(F.col("p_brand")).alias("make"),
         F.col("p_type").alias("model"),
-        F.upper(F.md5(F.when(k % 13 == 0, F.col("p_brand")).when(k % 2 == 0, F.col("p_name")).otherwise(F.reverse("p_name")))).alias("sig"),
+        F.upper(F.md5(F.when(k % 5 == 0, F.col("p_brand")).when(k % 5 == 1, F.col("p_type")).otherwise(F.col("p_name")))).alias("sig"),
         F.col("p_name").alias("software"),
         (k % 4 != 0).alias("has_makernote"),
     )
-    # a software row answers for one in ten hashes only, so that every branch of the verdict occurs
-    sigs = _sigs(spark, d).where("editor_class <> 'software' OR csig < '3'")
+    hashed = F.when((k % 3 == 1) & ~F.startswith(F.col("p_name"), F.lit("blue")), F.col("p_type")).otherwise(F.col("p_name"))
+    sigs = inp.signatures(spark, d, hashed)
     return sg.verdicts(extra, sigs, _exc(spark, inp.EXC_IS_EDIT), _exc(spark, inp.EXC_NO_MAKERNOTE), MARKERS)
 
 
@@ -170,9 +171,11 @@ SELECT sig_id, '0' || (sig_id % 4) AS version, true AS valid, make, model, csig,
     "sigdb_store": f"""WITH {inp.SIGNATURES} SELECT * FROM signatures WHERE is_user AND valid""",
     "sig_verdict": f"""WITH {inp.SIGNATURES}, {_EDIT}, {_NOMKR2},
 img AS (SELECT p_partkey AS image_id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_brand END AS make, p_type AS model,
-  upper(md5(CASE WHEN p_partkey % 13 = 0 THEN p_brand WHEN p_partkey % 2 = 0 THEN p_name ELSE reverse(p_name) END)) AS sig,
+  upper(md5(CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE p_name END)) AS sig,
   p_name AS software, p_partkey % 4 <> 0 AS has_makernote FROM part),
-live AS (SELECT * FROM signatures WHERE valid AND (editor_class <> 'software' OR csig < '3')),
+hs AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 1 AND NOT starts_with(p_name, 'blue') THEN p_type ELSE p_name END AS hashed FROM part),
+live AS (SELECT sig_id, editor_class, make, model, upper(md5(hashed)) AS csig, upper(md5(reverse(hashed))) AS csig_rot
+  FROM signatures JOIN hs ON sig_id = id WHERE valid),
 h AS (SELECT *,
   (SELECT count(*) FROM live s WHERE editor_class = 'software' AND (s.csig = i.sig OR s.csig_rot = i.sig)) AS n_software,
   (SELECT count(*) FROM live s WHERE editor_class = 'camera' AND s.make = i.make AND s.model = i.model
