@@ -53,10 +53,10 @@ DQT = """dqt AS (
   WHERE block_id IN (SELECT min(block_id) FROM blocks GROUP BY image_id))"""
 
 
-def pixel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, block_id, cells: 64 pixels (idx, yv, cb, cr) per block; values beyond +-1024 occur."""
+def _cells() -> Column:
+    """64 pixels (idx, yv, cb, cr) of a block; values beyond +-1024 occur, so that clipping fires."""
     rot = F.array(*[F.lit(r) for r in ROTATE])
-    cells = F.transform(
+    return F.transform(
         F.sequence(F.lit(0), F.lit(63)),
         lambda i: F.struct(
             i.alias("idx"),
@@ -65,12 +65,16 @@ def pixel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.get("q", F.lit(63) - i) * 8).alias("cr"),
         ),
     )
-    return block_arrays(spark, sf_dir).select("image_id", "block_id", cells.alias("cells"))
+
+
+def pixel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, block_id, cells: one row per block."""
+    return block_arrays(spark, sf_dir).select("image_id", "block_id", _cells().alias("cells"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, block_id, idx, yv, cb, cr: one row per pixel."""
-    return pixel_cells(spark, sf_dir).select("image_id", "block_id", F.inline("cells"))
+    return block_arrays(spark, sf_dir).select("image_id", "block_id", F.inline(_cells()))
 
 
 PIXELS = f"""pixels AS (
