@@ -39,8 +39,16 @@ def walker(spec: str):
         def batch(content: pa.Array) -> pa.Array:
             from pyspark.sql.pandas.types import to_arrow_type
 
-            rows = [None if v is None else [dict(zip(names, r)) for r in walk(v)] for v in content.to_pylist()]
-            return pa.array(rows, to_arrow_type(returns))
+            columns, ends = [[] for _ in names], [0]
+            for v in content.to_pylist():
+                for record in walk(v) if v is not None else ():
+                    for column, value in zip(columns, record):
+                        column.append(value)
+                ends.append(len(columns[0]))
+            out = to_arrow_type(returns)
+            fields = [out.value_type.field(i) for i in range(len(names))]
+            records = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), records, type=out)
 
         batch.__annotations__ = {"content": pa.Array, "return": pa.Array}
         return F.arrow_udf(batch, returns)
