@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixsieve.llm import exact, mixing
+from pixsieve.llm import exact, mixing, tokens
 
-MODULES = (exact, mixing)
+MODULES = (tokens, exact, mixing)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
