@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixsieve.llm import exact, mixing, tokens
+from pixsieve.llm import exact, html, mixing, tokens
 
-MODULES = (tokens, exact, mixing)
+MODULES = (tokens, exact, html, mixing)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
