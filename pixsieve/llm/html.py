@@ -40,6 +40,8 @@ MARKED = set(
 )
 #: First words of names that tell about neighbours.
 BESIDE = {"has", "with", "no", "without", "js", "not"}
+#: Words that beside "header" still name the page's own.
+PAGE_HEAD = {"header", "site", "page", "main", "top", "global", "container", "wrapper", ""}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -74,7 +76,7 @@ def marks(attributes: str, inside: bool) -> bool:
                 return True
         else:
             names = (re.split(r"[^a-z]+", x) for x in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split())
-            if any(MARKED.intersection(x) - ({"header"} if inside else set()) for x in names if x[0] not in BESIDE and "with" not in x):
+            if any(MARKED.intersection(x) - ({"header"} if inside or not PAGE_HEAD.issuperset(x) else set()) for x in names if x[0] not in BESIDE and "with" not in x):
                 return True
     return False
 
