@@ -51,3 +51,17 @@ def block_count(docs: DataFrame, text: Column, block_bytes: int = BLOCK_BYTES) -
 def remainder(id_name: str = "doc_id", n: int = 5) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_name).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def tagged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a row number of its own under a free name: repeated ids and rows stay apart."""
+    name = free_name(docs, "row_tag")
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
