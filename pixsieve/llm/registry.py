@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixsieve.llm import decontaminate, exact, html, mixing, tokens
+from pixsieve.llm import decontaminate, exact, html, mixing, tokens, toxicity
 
-MODULES = (tokens, exact, html, mixing, decontaminate)
+MODULES = (tokens, exact, html, mixing, decontaminate, toxicity)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
