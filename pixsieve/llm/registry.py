@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixsieve.llm import decontaminate, exact, html, mixing, nearcopies, tokens, toxicity
+from pixsieve.llm import decontaminate, exact, html, mixing, nearcopies, quality, tokens, toxicity
 
-MODULES = (tokens, exact, html, mixing, decontaminate, toxicity, nearcopies)
+MODULES = (tokens, exact, html, mixing, decontaminate, toxicity, nearcopies, quality)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
