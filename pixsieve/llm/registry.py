@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixsieve.llm import decontaminate, exact, html, lmscore, mixing, nearcopies, quality, tokens, toxicity
+from pixsieve.llm import decontaminate, exact, html, lmscore, mixing, nearcopies, quality, suffixes, tokens, toxicity
 
-MODULES = (tokens, exact, html, mixing, decontaminate, toxicity, nearcopies, quality, lmscore)
+MODULES = (tokens, exact, html, mixing, decontaminate, toxicity, nearcopies, quality, lmscore, suffixes)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
