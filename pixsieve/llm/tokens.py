@@ -28,7 +28,9 @@ END_ID = 2
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 #: Text handled at once, and distinct chunks remembered by a worker.
 SLICE_BYTES = 8 << 20
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: A sign that stands alone between chunks encoded together.
+MARK = "\x01"
 FILE = "doc_id long, part int, at long, n_tokens long, control binary, data binary"
 
 
@@ -58,6 +60,34 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def plain_parts(chunk: str) -> tuple[str, ...]:
+    """What a chunk is encoded as: its core and the stops and commas behind it, which the rules never join, in lower case
+    where that is plain ASCII (the tokenizer lower-cases itself)."""
+    core = chunk.rstrip(".,")
+    if not core or not core[-1].isalnum() or "<|" in chunk:
+        return (chunk,)
+    tail = chunk[len(core) :]
+    core = core.lower() if core.isascii() else core
+    return (core, tail) if tail else (core,)
+
+
+def encode_new(tok, known: dict, words: list[str], width: np.dtype) -> None:
+    """Encodes chunks a hundred at a time, a mark of one id between them; chunks that hold the mark's sign go alone."""
+    mark = tok.encode(MARK, add_special_tokens=False).ids
+    plain = [w for w in words if MARK not in w] if len(mark) == 1 else []
+    for at in range(0, len(plain), 100_000):
+        lots = [plain[a : a + 100] for a in range(at, min(at + 100_000, len(plain)), 100)]
+        for lot, e in zip(lots, tok.encode_batch_fast([f" {MARK} ".join(x) for x in lots], add_special_tokens=False), strict=True):
+            ids = np.array([*e.ids, mark[0]], np.int64)
+            data, begin, step = ids.astype(width).tobytes(), 0, width.itemsize
+            for w, end in zip(lot, np.flatnonzero(ids == mark[0]).tolist(), strict=True):
+                known[w] = data[begin * step : end * step]
+                begin = end + 1
+    alone = [w for w in words if w not in known]
+    for w, e in zip(alone, tok.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        known[w] = np.array(e.ids, width).tobytes()
+
+
 def encoded(texts: pa.Array, path: str, end_id: int, width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, each text with its end, and the number of ids up to each text's end."""
     tok, known = tokenizer(path)
@@ -66,11 +96,11 @@ def encoded(texts: pa.Array, path: str, end_id: int, width: np.dtype) -> tuple[n
     chunks = coded.dictionary.to_pylist()
     if len(known) > REMEMBERED:
         known.clear()
-    missing = [w for w in chunks if w not in known]
-    for at in range(0, len(missing), 1000):
-        some = missing[at : at + 1000]
-        for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, width).tobytes()
+    missing = {w: plain_parts(w) for w in chunks if w not in known}
+    encode_new(tok, known, list({x for parts in missing.values() for x in parts if x not in known}), width)
+    for w, parts in missing.items():
+        if len(parts) > 1 or parts[0] != w:
+            known[w] = b"".join(known[x] for x in parts)
     pieces = [known[w] for w in chunks] + [np.array([end_id], width).tobytes()]
     lengths = np.array([len(p) for p in pieces], np.int64) // width.itemsize
     flat = np.frombuffer(b"".join(pieces), width)
