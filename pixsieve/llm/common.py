@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text that one block (one group of documents handled together by one Python call) holds on average.
@@ -61,7 +61,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def tagged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """docs with a row number of its own under a free name: repeated ids and rows stay apart."""
-    name = free_name(docs, "row_tag")
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+def text_key(text: Column) -> Column:
+    """16 bytes that name a text: the first half of its SHA-256. The same in every evaluation, whatever deals the rows."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def row_key(id_name: str, text: Column) -> Column:
+    """16 bytes that name a row's id and text; rows equal in both share it."""
+    return text_key(F.concat(F.coalesce(F.col(id_name).cast("string"), F.lit("null")), F.lit("|"), text))
+
+
+def one_row_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row of those that share the key column, any: they are equal in id and text."""
+    number = free_name(rows, "row_number")
+    window = Window.partitionBy(key).orderBy(F.lit(0))
+    return rows.withColumn(number, F.row_number().over(window)).where(F.col(number) == 1).drop(number)

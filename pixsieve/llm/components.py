@@ -9,7 +9,7 @@ from pixsieve.llm.common import stored
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
-    """node, label (the smallest node of its component) for every node of edges (a, b): longs, any direction.
+    """node, label (the smallest node of its component) for every node of edges (a, b) of any type with an order, any direction.
 
     Each round takes the smallest label among a node's neighbours, then jumps to that label's own label; rounds end when
     nothing changes. Labels are written to the shared folder after each round. A node with very many edges is a skewed join

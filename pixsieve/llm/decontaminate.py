@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import stored, table, tagged, whole_text
+from pixsieve.llm.common import free_name, stored, table, text_key, whole_text
 from pixsieve.llm.words import BASE, shingles, slices, word_hashes
 
 TILE = 5
@@ -93,10 +93,10 @@ def stretches(rows: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
                     seeds = [{"k": k, "seed": s} for k, doc, h in found for s in np.unique(h[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]).tolist()]
                     out.append((tags[d], run_words.tobytes(), seeds))
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.struct([("k", pa.int32()), ("seed", pa.int64())])))
+            kinds = (pa.binary(), pa.binary(), pa.list_(pa.struct([("k", pa.int32()), ("seed", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tag", "words", "seeds"])
 
-    return rows.mapInArrow(run, "tag long, words binary, seeds array<struct<k: int, seed: long>>")
+    return rows.mapInArrow(run, "tag binary, words binary, seeds array<struct<k: int, seed: long>>")
 
 
 def tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -159,12 +159,13 @@ def common_runs(pattern: np.ndarray, mark_p: np.ndarray, text: np.ndarray, mark_
     return {h for _, h in rolled(pattern, mark_p, least)} & {h for _, h in rolled(text, mark_t, least)}
 
 
-def matches(docs: DataFrame, items: DataFrame, tag: str, text_col: str, item_id: str, item_text: str, tile: int, coverage: float) -> DataFrame:
-    """Pairs of a document row and an item it covers: tag, item, coverage, n_tiles."""
+def matches(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, tile: int, coverage: float) -> DataFrame:
+    """Pairs of a text (tag: its key) and an item it covers: tag, item, coverage, n_tiles. Equal texts are one."""
     words = stored(item_words(items, item_id, item_text, tile), "item-words")
     seeds = words.select("item", "n", "k", F.explode("seeds").alias("seed")).distinct()
     maps = bitmaps(seeds)
-    hits = stored(stretches(docs.select(F.col(tag).alias("tag"), whole_text(text_col).alias("text")), maps), "stretches")
+    hits = stretches(docs.select(text_key(whole_text(text_col)).alias("tag"), whole_text(text_col).alias("text")), maps)
+    hits = stored(hits.groupBy("tag").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds")), "stretches")
     # an item's coverage needs n * coverage words in tiles, and a tile of any length has a seed for every k words at least:
     # so many of its distinct seeds must be met that all but the rarest may be left out as a start
     often = seeds.groupBy("k", "seed").agg(F.count("*").alias("often"))
@@ -186,10 +187,10 @@ def matches(docs: DataFrame, items: DataFrame, tag: str, text_col: str, item_id:
                 found = tiles(np.frombuffer(pattern, np.uint64), np.frombuffer(text, np.uint64), k)
                 out.append((t, item, sum(x[2] for x in found) / n, len(found)))
             by_column = list(zip(*out, strict=True)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            kinds = (pa.binary(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(by_column, kinds, strict=True)], names=["tag", "item", "coverage", "n_tiles"])
 
-    return joined.mapInArrow(run, "tag long, item long, coverage double, n_tiles long").where(F.col("coverage") >= coverage - 1e-9)
+    return joined.mapInArrow(run, "tag binary, item long, coverage double, n_tiles long").where(F.col("coverage") >= coverage - 1e-9)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
@@ -199,20 +200,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     id match nothing; items of fewer than `tile` words must stand as a whole; repeated rows each get their own; an empty
     table on either side gives clean rows or none. Other columns are not read.
     """
-    rows, tag = tagged(docs, id_col, text_col)
-    found = matches(rows, items, tag, text_col, item_id, item_text, tile, coverage)
+    found = matches(docs, items, text_col, item_id, item_text, tile, coverage)
     per = found.groupBy("tag").agg(F.max("coverage").alias("coverage"), F.countDistinct("item").alias("n_items"), F.sort_array(F.collect_set("item")).alias("items"))
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tag).alias("tag")).join(per, "tag", "left").select(
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(whole_text(text_col)).alias("tag")).join(per, "tag", "left").select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<long>")).alias("items"),
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    rows, tag = tagged(docs, id_col, text_col)
-    found = matches(rows, items, tag, text_col, item_id, item_text, tile, coverage).select(F.col("tag").alias(tag)).distinct()
-    return rows.join(found, tag, "left_anti").drop(tag)
+    tag = free_name(docs, "text_key")
+    found = matches(docs, items, text_col, item_id, item_text, tile, coverage).select(F.col("tag").alias(tag)).distinct()
+    return docs.withColumn(tag, text_key(whole_text(text_col))).join(found, tag, "left_anti").drop(tag)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import table, whole_text
+from pixsieve.llm.common import free_name, table, whole_text
 
 WEIGHTS = (5, 2, 1)
 #: Relative density at the start of training for the first, second and third kind of weight; it ends at 2 minus that.
@@ -28,8 +28,8 @@ BUCKETS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, size (words of the whole text), h (hash order), bucket."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
+    """id, source, size (words of the whole text), h (hash order), bucket; with carry the whole row too."""
     text = whole_text(text_col)
     # no word holds a byte of the set, so words = places where one begins
     words = F.size(F.regexp_extract_all(text, F.lit(WORD), 0)).cast("long")
@@ -37,6 +37,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), h.alias("h"),
         F.conv(F.substring(h, 1, 3), 16, 10).cast("int").alias("bucket"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []),
     )
 
 
@@ -65,10 +66,10 @@ def targets(sized: DataFrame) -> DataFrame:
     )
 
 
-def taken_copies(docs: DataFrame, **names: str) -> DataFrame:
-    """id, source, size, source_size, kind, target, copies, done (words of the source taken before, per full pass)."""
-    sized = sizes(docs, **names)
-    goals = targets(sized)
+def taken_copies(docs: DataFrame, carry: bool = False, **names: str) -> DataFrame:
+    """id, source, size, source_size, kind, target, done (words of the source before it, per full pass), copies; with carry the row."""
+    sized = sizes(docs, carry=carry, **names)
+    goals = targets(sized.drop("row"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
@@ -85,6 +86,7 @@ def taken_copies(docs: DataFrame, **names: str) -> DataFrame:
     copies = F.when(F.col("source_size") == 0, 1).otherwise(whole + F.when(done + F.col("size") / 2 < rest, 1).otherwise(0))
     return placed.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).select(
         "id", "source", "size", "source_size", "kind", "target", done.alias("done"), copies.cast("long").alias("copies"),
+        *(["row"] if carry else []),
     )
 
 
@@ -96,12 +98,12 @@ def position(u: Column, start: Column) -> Column:
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """One row per taken copy with its training position, range-sorted by position: id, source, copy, size, position."""
+    """One row per taken copy with its training position, range-sorted by position: id, source, copy, size, position, the row if carried."""
     copy = mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     passed = F.col("done") + (F.col("copy") - 1) * F.col("source_size")
     u = F.when(F.col("target") > 0, F.least(F.lit(1.0), passed / F.col("target"))).otherwise(0.0)
     start = F.element_at(F.array(*map(F.lit, STARTS)), F.col("kind") + 1)
-    placed = copy.select("id", "source", "copy", "size", position(u, start).alias("position"))
+    placed = copy.select("id", "source", "copy", "size", position(u, start).alias("position"), *(["row"] if "row" in mixed.columns else []))
     return placed.repartitionByRange("position", "id", "copy").sortWithinPartitions("position", "id", "copy")
 
 
@@ -110,10 +112,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     Documents not taken are absent. The extra columns mix_copy and mix_position come last.
     """
-    mixed = taken_copies(docs, id_col=id_col, text_col=text_col, source_col=source_col)
-    order = training_order(mixed).select(F.col("id").alias("mix_id"), F.col("copy").alias("mix_copy"), F.col("position").alias("mix_position"))
-    joined = docs.join(order, F.col(id_col).eqNullSafe(F.col("mix_id"))).drop("mix_id")
-    return joined.repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col)
+    mixed = taken_copies(docs, carry=True, id_col=id_col, text_col=text_col, source_col=source_col)
+    names = [free_name(docs, x) for x in ("mix_copy", "mix_position")]
+    return training_order(mixed).select("row.*", F.col("copy").alias(names[0]), F.col("position").alias(names[1]))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

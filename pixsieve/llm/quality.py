@@ -4,8 +4,8 @@ Texts become symbols of 6 bits (letters of both cases, digit, a few punctuation
 ORDER symbols are counted over all trusted documents; every lower order has continuation counts, and counts, context
 totals and counts of counts are grouped and joined as tables sharded by the run. The result, one log probability per run
 met and one weight per context, has at most 64^ORDER rows whatever the corpus, so it is broadcast and each document's
-perplexity is read off in the scan. A document is kept between two quantiles of the trusted documents of its language:
-above lies junk, below lies text that repeats itself.
+perplexity is read off in the scan. A document is kept between two quantiles of the trusted documents of its language, a
+fifth of which the model does not see for that purpose: above lies junk, below lies text that repeats itself.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import stored, table, whole_text
+from pixsieve.llm.common import remainder, stored, table, whole_text
 from pixsieve.llm.words import bytes_of, slices
 
 ORDER = 4
@@ -131,7 +131,8 @@ def perplexities(docs: DataFrame, logs: np.ndarray, id_col: str, text_col: str,
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row per document: doc_id, lang, n_symbols, perplexity, lower, upper, keep. Trusted are the ids with label 1.
+    """One row per document: doc_id, lang, n_symbols, perplexity, lower, upper, keep. Trusted are the ids with label 1;
+    those whose remainder is 0 set the quantiles, the others train the model.
 
     Null and empty texts have one symbol, the end; a language without trusted documents is judged by the quantiles of all
     trusted ones, a null language is a language of its own; without any trusted document all are kept. Labels that are
@@ -140,16 +141,19 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
     trusted = marks.where("label = 1").select("label_id")
-    texts = docs.select(F.col(id_col).cast("long").alias("label_id"), whole_text(text_col).alias("text")).join(trusted, "label_id", "left_semi").select("text")
+    fifth = remainder("label_id") == 0  # kept out of the model, for the quantiles
+    texts = docs.select(F.col(id_col).cast("long").alias("label_id"), whole_text(text_col).alias("text")).where(~fifth).join(trusted, "label_id", "left_semi").select("text")
     logs = log_table(kneser_ney(run_counts(texts)))
     scored = stored(perplexities(docs, logs, id_col, text_col, lang_col), "perplexities")
     known = scored.join(trusted, F.col("doc_id") == F.col("label_id"), "left_semi")
-    quantiles = F.percentile_approx("perplexity", [low, high], 10_000)
-    by_lang = known.groupBy("lang").agg(quantiles.alias("q")).select(F.col("lang").alias("of"), "q")
-    overall = known.agg(quantiles.alias("q")).first()["q"]
-    low_all, high_all = overall or (0.0, float("inf"))
+    fresh = F.when(remainder("doc_id") == 0, F.col("perplexity"))
+    # text the model has seen lies lower than its like: the lower bound is set by all, the upper by the fifth not seen
+    bounds = (F.percentile_approx("perplexity", low, 10_000).alias("low"), F.percentile_approx(fresh, high, 10_000).alias("high"))
+    by_lang = known.groupBy("lang").agg(*bounds).select(F.col("lang").alias("of"), "low", "high")
+    low_all, high_all = known.agg(*bounds).first()
     joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
-    lower, upper = F.coalesce(F.col("q")[0], F.lit(low_all)), F.coalesce(F.col("q")[1], F.lit(high_all))
+    lower = F.coalesce("low", F.lit(0.0 if low_all is None else low_all))
+    upper = F.coalesce("high", F.lit(float("inf") if high_all is None else high_all))
     return joined.select("doc_id", "lang", "n_symbols", "perplexity", lower.alias("lower"), upper.alias("upper"), F.col("perplexity").between(lower, upper).alias("keep"))
 
 

@@ -338,12 +338,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A byte goes where it lies in a string of `length` bytes that also starts earlier: in a document of smaller id, or
     earlier in the same. Null texts count as empty; texts shorter than `length` lose nothing; null ids come last, rows that
-    repeat an id in the order they are read; an empty table gives no rows; other columns are not read.
+    repeat an id stand in an order set by their texts; an empty table gives no rows; other columns are not read.
     """
     text = whole_text(text_col).cast("binary")
     rows = docs.select(
         F.col(id_col).isNull().cast("int").alias("order"), F.col(id_col).cast("long").alias("id"),
-        F.monotonically_increasing_id().alias("tag"), text.alias("text"),
+        F.xxhash64(text).alias("tag"), text.alias("text"),
     )
     blocks = blocks_for(rows, F.col("text"), block_bytes)
     bits = shard_bits(blocks)

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pixsieve.llm.common import remainder, table, tagged, whole_text
+from pixsieve.llm.common import free_name, remainder, table, whole_text
 from pixsieve.llm.words import BASE, INVERSE, LOWER, PUNCTUATION, SPACE, bytes_of, mixed, powers, room, slices
 
 #: Labelled rows that the classifier is fitted on at most, and those of them that only the regression sees.
@@ -353,35 +354,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return chars, odds, fitted
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled_rows: int = LABELLED, tag: str | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out (its label was not used), score, predicted; with `tag` that column too.
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled_rows: int = LABELLED) -> DataFrame:
+    """One row per document: doc_id, held_out (its label was not used), score, predicted.
 
     Null and empty texts score as texts without words; a null id is held out where the remainder of the empty text says
     so; labels that are null or neither 0 nor 1 are left out, of several labels of an id the largest counts; without any
     label the score is 0.5. Repeated rows each get their score; an empty table gives no rows; other columns are not read.
     """
-    chars, odds, fitted = fit(docs, labels, id_col, text_col, label_col, labelled_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((chars, odds, fitted))  # 8 MiB
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col) == 0).alias("held_out"), whole_text(text_col).alias("text"))
+    model = fit(docs, labels, id_col, text_col, label_col, labelled_rows)
+    scored_rows = with_score(rows, model, "text", "score", drop="text")
+    return scored_rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def with_score(rows: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], text: str, score: str, drop: str | None = None) -> DataFrame:
+    """The rows with the score of the text column behind them (the column `drop` left out)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # 8 MiB
+    names = [c for c in rows.columns if c != drop]
+    at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars, odds, fitted = shared.value
         reader = Reader(chars)
         for batch in batches:
-            parts = [probability(signals(batch.column(2).slice(a, b - a), reader, odds), fitted) for a, b in slices(batch.column(2))]
-            score = np.concatenate(parts) if parts else np.zeros(0)
-            columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "tag", "score", "predicted"])
+            texts = batch.column(at)
+            parts = [probability(signals(texts.slice(a, b - a), reader, odds), fitted) for a, b in slices(texts)]
+            kept = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != drop]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*names, score])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col) == 0).alias("held_out"), whole_text(text_col).alias("text"), (F.col(tag) if tag else F.lit(0)).cast("long").alias("tag"))
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, tag long, score double, predicted int")
-    return out.withColumnRenamed("tag", tag) if tag else out.drop("tag")
+    schema = T.StructType([*(f for f in rows.schema if f.name != drop), T.StructField(score, T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, labelled_rows: int = LABELLED) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    rows, tag = tagged(docs, id_col, text_col)
-    gone = scored(rows, labels, id_col, text_col, tag=tag, **options).where(F.col("score") >= threshold).select(tag)
-    return rows.join(gone, tag, "left_anti").drop(tag)
+    text, score = free_name(docs, "whole_text"), free_name(docs, "toxicity_score")
+    model = fit(docs, labels, id_col, text_col, label_col, labelled_rows)
+    scored_rows = with_score(docs.withColumn(text, whole_text(text_col)), model, text, score, drop=text)
+    return scored_rows.where(F.col(score) < threshold).drop(score)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
