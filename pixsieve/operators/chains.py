@@ -62,12 +62,16 @@ def first_n(codes: DataFrame, limits: dict[str, int]) -> DataFrame:
     return kept.select("path", "severity", "seq", "rn", (F.col("rn") == F.col("__n")).alias("last_reported"))
 
 
-def report_cap(lines: DataFrame, cap: int, span: int | None = SPAN) -> DataFrame:
-    """The first ``cap`` lines of each path; the line after them becomes a notice, the rest go."""
-    at = row_index(lines, ["path"], "seq", "__i", span=span).where(F.col("__i") <= cap)
-    notice = F.col("__i") == cap
+def report_cap(lines: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` lines of each path; the line after them becomes a notice, the rest go.
+
+    The rank has a literal bound, so each map task sends that many lines of a path at most.
+    """
+    rank = F.row_number().over(W.partitionBy("path").orderBy("seq"))
+    at = lines.withColumn("__i", rank).where(F.col("__i") <= cap + 1)
+    notice = F.col("__i") == cap + 1
     return at.select(
-        "path", "seq", (F.col("__i") + 1).alias("line_no"),
+        "path", "seq", F.col("__i").cast("bigint").alias("line_no"),
         F.when(notice, "error").otherwise(F.col("severity")).alias("severity"),
         F.when(notice, F.lit("report truncated")).otherwise(F.col("text")).alias("text"),
     )
@@ -154,6 +158,12 @@ def block_dc_map(dc: DataFrame, blocks_per_row: int) -> DataFrame:
     )
 
 
+def look_up_blocks(points: DataFrame, grid: DataFrame, on: list[str]) -> DataFrame:
+    """Points with the DC values (y, cb, cr) of their cell on the grid of ``block_dc_map``; outside the image y is null."""
+    found = points.join(grid.select(*on, "y", "cb", "cr"), on, "left")
+    return found.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("cb", "cr")})
+
+
 def mcu_map(codes: DataFrame, mcus_per_row: int, span: int | None = SPAN) -> DataFrame:
     """File position (byte, bit) of every MCU, one code per MCU."""
     used = (F.col("bits1") + F.col("bits2")).cast("bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixsieve.operators import blocks as blk
+from pixsieve.operators import chains
 from pixsieve.operators import stats
 from pixsieve.plans import inputs as inp
 from pixsieve.sources.dims import STD_QUANT_LUMA, idct_weights
@@ -76,10 +77,6 @@ def clip_counts(spark, d):
     return stats.clip_counts(_coloured(spark, d).withColumn("clip_mask", blk.clip_mask()))
 
 
-def clip_counts_capped(spark, d):
-    return stats.clip_counts(_coloured(spark, d).withColumn("clip_mask", blk.clip_mask()), compat_cap=10)
-
-
 def rgb_hist(spark, d):
     return stats.rgb_histogram(_coloured(spark, d))
 
@@ -194,8 +191,8 @@ def blk_lookup(spark, d):
     grid = dc.groupBy("image_id", F.expr("block_id DIV 3").alias("cell")).agg(
         *[F.max(F.when(F.col("block_id") % 3 == i, F.col("v"))).alias(n) for i, n in ((0, "y"), (1, "cb"), (2, "cr"))])
     points = dc.select("image_id", F.col("block_id").alias("point"), F.expr("(block_id + 7) DIV 3").alias("cell"))
-    return points.join(grid, ["image_id", "cell"], "left").select(
-        "image_id", "point", "cell", "y", F.coalesce("cb", F.lit(0)).alias("cb"), F.coalesce("cr", F.lit(0)).alias("cr"))
+    found = chains.look_up_blocks(points, grid, ["image_id", "cell"])
+    return found.select("image_id", "point", "cell", "y", F.col("cb").cast("int").alias("cb"), F.col("cr").cast("int").alias("cr"))
 
 
 def mcu_geometry(spark, d):
@@ -214,7 +211,7 @@ def frame_flags(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    zigzag, dequant, idct, idct_fixed, expand_pixels, ycc_rgb, ycc_rgb_fixed, color_stats, clip_counts, clip_counts_capped,
+    zigzag, dequant, idct, idct_fixed, expand_pixels, ycc_rgb, ycc_rgb_fixed, color_stats, clip_counts,
     rgb_hist, y_hist, y_hist_rows, hist_norm, brightest, avg_luma, channel_extract, ycc_shift, export_scale, plane_pivot,
     signature, dqt_flags, dqt_quality, bounds_check, validate_value, support_gate, table_binding, blk_lookup,
     mcu_geometry, comp_ratio, frame_flags,
@@ -272,17 +269,6 @@ def _pick_sql(slot: int) -> str:
     return f"CASE block_id % 9 {whens} END"
 
 
-def _capped_sql() -> str:
-    """Counters in order y, cb, cr, over before under, drawing on a total of ten."""
-    order = [f"{n}_{s}" for n in ("y", "cb", "cr") for s in ("over", "under")]
-    cols, before = [], "0"
-    for c in order:
-        cols.append(f"least({c}, greatest(10 - ({before}), 0)) AS {c}")
-        before += f" + {c}"
-    rest = [f"{n}_{s}" for n in ("r", "g", "b") for s in ("over", "under")]
-    return ", ".join(cols + rest)
-
-
 ORACLE = {
     "zigzag": f"""{_B} SELECT a.block_id, a.pos, z.q AS zz, u.q AS unzz, r.q AS rot FROM blocks a
 JOIN blocks z ON z.block_id = a.block_id AND z.pos = ({inp.ZZ_SQL})[a.pos + 1]
@@ -305,8 +291,6 @@ FROM e, range(2) h(i), range(2) v(i) WHERE h.i < rep AND v.i < rep""",
         f"SELECT image_id, '{s}' AS stage, '{n}' AS channel, min({c}) AS lo, max({c}) AS hi, round(avg({c}), 4) AS mean FROM col GROUP BY image_id"
         for s, n, c in stats.STAGES),
     "clip_counts": f"{_K} SELECT image_id, {_COUNTS}, bit_or({_MASK}) AS mask FROM col GROUP BY image_id",
-    "clip_counts_capped": f"""{_K}, n AS (SELECT image_id, {_COUNTS}, bit_or({_MASK}) AS mask FROM col GROUP BY image_id)
-SELECT image_id, mask, {_capped_sql()} FROM n""",
     "rgb_hist": f"{_K}, {_RH} SELECT * FROM rh",
     "y_hist": f"{_P}, {_YH} SELECT * FROM yh",
     "y_hist_rows": f"""{_P}, {_YH} SELECT i.image_id, CAST(b.i // 8 AS INTEGER) AS row_no,

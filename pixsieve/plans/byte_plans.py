@@ -14,7 +14,7 @@ OPEN, CLOSE = b"<p>", b"</p>"
 MARKERS = ("the", "Der", "qu")
 IJG = ("que", "und")
 SEGMENT = b"=" * 0x1A4
-MAX_FRAME = 400
+MAX_FRAME = 0xFFFFFFFF  # what a file format of 32-bit sizes can hold
 
 
 def _html(spark, d):

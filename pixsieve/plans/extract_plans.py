@@ -19,7 +19,7 @@ def _exif(spark, d):
 
 
 def exif_tags(spark, d):
-    return ex.exif_tags(_exif(spark, d), dims.dim_exif(spark))
+    return ex.exif_tags(_exif(spark, d), dims.dim_exif(spark)).drop("complete")
 
 
 def gps_position(spark, d):
@@ -59,7 +59,7 @@ def iptc_records(spark, d):
 def psd_layers(spark, d):
     rows = ex.psd_layers(packed.psd_files(spark, d))
     chans = F.array_join(F.transform("chans", lambda c: F.concat_ws(":", c["id"], c["len"])), " ")
-    return rows.withColumn("chans", chans)
+    return rows.withColumn("chans", chans).drop("complete")
 
 
 def _elements(spark, d):
