@@ -270,10 +270,8 @@ def _pick_sql(slot: int) -> str:
 
 
 ORACLE = {
-    "zigzag": f"""{_B} SELECT a.block_id, a.pos, z.q AS zz, u.q AS unzz, r.q AS rot FROM blocks a
-JOIN blocks z ON z.block_id = a.block_id AND z.pos = ({inp.ZZ_SQL})[a.pos + 1]
-JOIN blocks u ON u.block_id = a.block_id AND u.pos = ({inp.UNZZ_SQL})[a.pos + 1]
-JOIN blocks r ON r.block_id = a.block_id AND r.pos = ({inp.ROT_SQL})[a.pos + 1]""",
+    "zigzag": f"""WITH {inp.ARRAYS} SELECT block_id, CAST(r.i AS INTEGER) AS pos, q[({inp.ZZ_SQL})[r.i + 1] + 1] AS zz,
+  q[({inp.UNZZ_SQL})[r.i + 1] + 1] AS unzz, q[({inp.ROT_SQL})[r.i + 1] + 1] AS rot FROM arrays, range(64) r(i)""",
     "dequant": f"{_B}, {inp.DQT}, {_DEQ} SELECT * FROM deq",
     "idct": f"""{_B}, {_IDCT_DIM} SELECT block_id, yx, round(sum(k * q), 4) AS value FROM blocks JOIN w ON pos = vu GROUP BY block_id, yx""",
     "idct_fixed": f"""{_B}, {_IDCT_DIM}, s AS (SELECT block_id, yx, sum(CAST(trunc(k * 4 * 1024) AS BIGINT) * q) AS t
@@ -313,9 +311,8 @@ UNION ALL SELECT block_id, idx, 'rgb16', ((fin_r * 256) % 256) * 256 + (fin_r *
   ((fin_b * 256) % 256) * 256 + (fin_b * 256) // 256 FROM col
 UNION ALL SELECT block_id, idx, 'ycc8', (least(greatest(yv, -1024), 1023) + 1024) // 8, (least(greatest(cb, -1024), 1023) + 1024) // 8,
   (least(greatest(cr, -1024), 1023) + 1024) // 8 FROM col""",
-    "plane_pivot": f"""{_B} SELECT a.block_id AS path, a.pos // 8 AS y, a.pos % 8 AS x, a.q AS r, b.q AS g, c.q AS b
-FROM blocks a JOIN blocks b ON a.block_id = b.block_id AND b.pos = (a.pos % 8) * 8 + a.pos // 8
-JOIN blocks c ON a.block_id = c.block_id AND c.pos = 63 - a.pos""",
+    "plane_pivot": f"""WITH {inp.ARRAYS} SELECT block_id AS path, CAST(r.i // 8 AS INTEGER) AS y, CAST(r.i % 8 AS INTEGER) AS x, q[r.i + 1] AS r,
+  q[(r.i % 8) * 8 + r.i // 8 + 1] AS g, q[64 - r.i] AS b FROM arrays, range(64) r(i)""",
     "signature": f"""{_B}, t AS (SELECT block_id, pos, 1 + abs(q) % 255 AS v FROM blocks),
 o AS (SELECT block_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos) AS p0, string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos DESC) AS p1,
   string_agg(CAST(v AS VARCHAR), ',' ORDER BY ({inp.UNZZ_SQL})[({inp.ROT_SQL})[({inp.ZZ_SQL})[pos+1]+1]+1]) AS r0,

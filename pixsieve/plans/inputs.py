@@ -34,7 +34,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_arrays(spark, sf_dir).select("block_id", "image_id", F.posexplode("q").alias("pos", "q"))
 
 
-BLOCKS = """blocks AS (
+BLOCKS = """blocks AS MATERIALIZED (
   SELECT vec_id AS block_id, label AS image_id, CAST(r.pos AS INTEGER) AS pos,
          CAST(floor(CAST(embedding[r.pos+1] AS DOUBLE)*100) AS INTEGER) AS q
   FROM embeddings, range(64) r(pos))"""
@@ -48,7 +48,7 @@ def dqt_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-DQT = """dqt AS (
+DQT = """dqt AS MATERIALIZED (
   SELECT image_id, pos AS zz, 1 + abs(q) % 255 AS value FROM blocks
   WHERE block_id IN (SELECT min(block_id) FROM blocks GROUP BY image_id))"""
 
@@ -77,10 +77,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_arrays(spark, sf_dir).select("image_id", "block_id", F.inline(_cells()))
 
 
-PIXELS = f"""pixels AS (
-  SELECT a.image_id, a.block_id, a.pos AS idx, a.q*32 AS yv, b.q*8 AS cb, c.q*8 AS cr
-  FROM blocks a JOIN blocks b ON a.block_id = b.block_id AND b.pos = (a.pos % 8)*8 + a.pos // 8
-  JOIN blocks c ON a.block_id = c.block_id AND c.pos = 63 - a.pos)"""
+#: Blocks as arrays: places are read by index, so no view joins itself.
+ARRAYS = """arrays AS MATERIALIZED (
+  SELECT vec_id AS block_id, label AS image_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE)*100) AS INTEGER)) AS q FROM embeddings)"""
+PIXELS = f"""{ARRAYS},
+pixels AS MATERIALIZED (
+  SELECT image_id, block_id, CAST(r.i AS INTEGER) AS idx, q[r.i + 1]*32 AS yv, q[(r.i % 8)*8 + r.i // 8 + 1]*8 AS cb, q[64 - r.i]*8 AS cr
+  FROM arrays, range(64) r(i))"""
 
 ZZ_SQL = sql_list(ZIGZAG)
 UNZZ_SQL = sql_list(UNZIGZAG)
