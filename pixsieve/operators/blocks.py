@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,12 +101,22 @@ def dequantise(coeffs: DataFrame, tables: DataFrame) -> DataFrame:
 _WEIGHTS = np.array(idct_weights())
 
 
+def _per_block(coef: pa.Array, kind, transform) -> pa.Array:
+    """The transform of all whole blocks of a batch at once; null for null, short and long arrays and arrays with nulls."""
+    size = pc.fill_null(pc.list_value_length(coef), 0).to_numpy(zero_copy_only=False)
+    whole = size == 64
+    if coef.flatten().null_count:
+        whole &= np.array([v is not None and None not in v for v in coef.to_pylist()], bool)
+    blocks = coef if whole.all() else coef.filter(pa.array(whole))
+    out = transform(blocks.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, 64)).ravel()
+    found = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, 64, dtype=np.int32)), pa.array(out))
+    return found if whole.all() else found.take(pa.array(np.cumsum(whole) - 1, mask=~whole))
+
+
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def idct_ac(coef: pa.Array) -> pa.Array:
     """Inverse DCT of 64 row-order coefficients without the constant term, one matrix product per batch."""
-    flat = coef.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 64)
-    out = (flat @ _WEIGHTS.T).ravel() + 0.0
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, 64, dtype=np.int32)), pa.array(out))
+    return _per_block(coef, np.float64, lambda flat: flat @ _WEIGHTS.T + 0.0)
 
 
 _FIXED = np.trunc(_WEIGHTS * 4 * 1024).astype(np.int64)
@@ -114,18 +125,20 @@ _FIXED = np.trunc(_WEIGHTS * 4 * 1024).astype(np.int64)
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def idct_ac_fixed(coef: pa.Array) -> pa.Array:
     """The same transform with 10-bit integer weights; the quarter truncates, the final shift floors."""
-    flat = coef.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 64)
-    total = flat @ _FIXED.T
-    out = ((np.sign(total) * (np.abs(total) // 4)) >> 10).astype(np.int32).ravel()
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, 64, dtype=np.int32)), pa.array(out))
+    def transform(flat: np.ndarray) -> np.ndarray:
+        total = flat @ _FIXED.T
+        return ((np.sign(total) * (np.abs(total) // 4)) >> 10).astype(np.int32)
+
+    return _per_block(coef, np.int64, transform)
 
 
-def expand_pixels(df: DataFrame, ac: str, dc: str, rep_h: Column, rep_v: Column) -> DataFrame:
+def expand_pixels(df: DataFrame, ac: Column | str, dc: str, rep_h: Column, rep_v: Column) -> DataFrame:
     """Blocks to pixels: trunc(ac * 8) + dc, each value repeated rep_h by rep_v times.
 
-    Adds x, y (inside the expanded block) and value; all other columns are kept but ``ac`` and ``dc``.
+    Adds x, y (inside the expanded block) and value; all other columns are kept but ``ac`` and ``dc``. Give ``ac`` as the
+    expression of the transform, so that it feeds the generator and is evaluated once.
     """
-    keep = [c for c in df.columns if c not in (ac, dc)]
+    keep = [c for c in df.columns if c not in ((ac, dc) if isinstance(ac, str) else (dc,))]
     cells = df.select(*keep, F.col(dc).alias("__dc"), rep_h.alias("__h"), rep_v.alias("__v"), F.posexplode(ac).alias("__p", "__a"))
     rows = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("__h") * F.col("__v") - 1)).alias("__r"))
     return rows.select(
@@ -218,8 +231,8 @@ def swap16(v: Column) -> Column:
     return F.shiftleft(v.bitwiseAND(255), 8) + F.shiftright(v, 8).bitwiseAND(255)
 
 
-def export_scale(df: DataFrame, colour: str = "rgb", bits: int = 8) -> DataFrame:
-    """Add the three exported samples e0, e1, e2 of a pixel."""
+def export_samples(colour: str = "rgb", bits: int = 8) -> list[Column]:
+    """The three exported samples e0, e1, e2 of a pixel."""
     if (colour, bits) == ("ycc", 16):
         raise ValueError("16-bit YCC export is not defined")
     if colour == "ycc":
@@ -228,7 +241,12 @@ def export_scale(df: DataFrame, colour: str = "rgb", bits: int = 8) -> DataFrame
         e = [swap16(F.shiftleft(F.col(f"fin_{c}"), 8)) for c in ("r", "g", "b")]
     else:
         e = [F.col(f"fin_{c}") for c in ("r", "g", "b")]
-    return df.withColumns({f"e{i}": c for i, c in enumerate(e)})
+    return [c.cast("int").alias(f"e{i}") for i, c in enumerate(e)]
+
+
+def export_scale(df: DataFrame, colour: str = "rgb", bits: int = 8) -> DataFrame:
+    """Add the three exported samples e0, e1, e2 of a pixel."""
+    return df.select("*", *export_samples(colour, bits))
 
 
 def planes_to_rgb(rows: DataFrame) -> DataFrame:

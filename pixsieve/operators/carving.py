@@ -6,13 +6,16 @@ inside its own task, cells without the needle are dropped at once, and only posi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixsieve.bitmaps import may_hold
+from pixsieve.operators import walks
 from pixsieve.running import row_index, running
-from pixsieve.sizing import side_for_join
 from pixsieve.sources.dims import STD_QUANT_LUMA, ZIGZAG, int_array
 
 CELL, SUB_CELL = 256, 16
@@ -141,6 +144,27 @@ def carve_extents(
     )
 
 
+def jpeg_frames(files: DataFrame, *keep: str, ignore_end: bool = False, force_soi: bool = False, force_eoi: bool = False) -> DataFrame:
+    """Embedded JPEGs, found, cut and numbered in the scanning task: path, keep..., frame_no, pos, end_pos, terminated,
+    has_tables, scan_at, frame.
+
+    A frame is walked marker by marker from its SOI, so a thumbnail inside a segment is passed over with the segment and
+    ends nothing. It ends behind its own EOI, else at the next SOI behind the place where the walk broke off, else with the
+    file. ``ignore_end`` goes on past EOIs to the next SOI. ``force_soi`` puts an SOI before a file that begins without
+    one, ``force_eoi`` an EOI behind an unterminated frame; has_tables and scan_at (place of the first scan header in the
+    frame, -1 without) are those of the walked segments.
+    """
+    found = walks.jpeg_frames(F.col("content"), F.lit(ignore_end), F.lit(force_soi))
+    at = files.select("path", *keep, "content", F.posexplode(found).alias("__no", "f"))
+    cut = F.substring("content", (F.col("f.pos") + 1).cast("int"), (F.col("f.end_pos") - F.col("f.pos")).cast("int"))
+    head = F.when(F.col("f.forced"), F.lit(b"\xff\xd8")).otherwise(F.lit(b""))
+    tail = F.when(F.lit(force_eoi) & ~F.col("f.terminated"), F.lit(b"\xff\xd9")).otherwise(F.lit(b""))
+    return at.select(
+        "path", *keep, (F.col("__no") + 1).alias("frame_no"), "f.pos", "f.end_pos", "f.terminated", "f.has_tables", "f.scan_at",
+        F.concat(head, cut, tail).alias("frame"),
+    )
+
+
 def number_frames(frames: DataFrame, ok: Column, max_size: int | None = None, span: int | None = None) -> DataFrame:
     """Number the suitable frames of a file from 1; frames over ``max_size`` keep their number but are not written."""
     numbered = row_index(frames.where(ok), ["path"], "pos", "__i", span=span)
@@ -170,10 +194,13 @@ def write_frames(frames: DataFrame, target: str) -> None:
 def insert_tables(frames: DataFrame, segment: bytes, table_mark: bytes = b"\xff\xc4", scan_mark: bytes = b"\xff\xda") -> DataFrame:
     """Motion frames without Huffman tables get a standard segment before their scan.
 
-    Adds has_tables and replaces ``frame``; a frame without scan mark is left as it is.
+    Frames of ``jpeg_frames`` know their scan header and tables from the walk, so that those of a thumbnail count for
+    nothing; other frames are searched for the marks. Adds has_tables and replaces ``frame``; a frame without scan mark is
+    left as it is.
     """
-    has = F.contains("frame", F.lit(table_mark))
-    at = byte_position(F.col("frame"), scan_mark)
+    walked = "scan_at" in frames.columns
+    has = F.col("has_tables") if walked else F.contains("frame", F.lit(table_mark))
+    at = F.col("scan_at") + 1 if walked else byte_position(F.col("frame"), scan_mark)
     fixed = F.concat(
         F.substring("frame", F.lit(1), at - 1), F.lit(segment), F.substring("frame", at, F.length("frame"))
     )
@@ -195,15 +222,6 @@ def scan_census(files: DataFrame, lead: int = 0xFF, stuffed=(0x00, 0x00), pad: i
 
 # --- patches -------------------------------------------------------------------------------------
 
-MAX_PATCHES, MAX_PATCH_BYTES = 500, 500
-
-
-def split_patches(patches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Storable patches and rejected ones: a file holds fewer than 500, each shorter than 500 bytes."""
-    ok = (F.col("ordinal") < MAX_PATCHES) & (F.col("len") < MAX_PATCH_BYTES)
-    return patches.where(ok), patches.where(~ok)
-
-
 def patched_bytes(patches: DataFrame) -> DataFrame:
     """The byte that wins at every patched offset: the patch with the highest ordinal."""
     each = patches.select("path", "ordinal", "start", "data", F.explode(F.sequence(F.lit(0), F.length("data") - 1)).alias("i"))
@@ -214,25 +232,38 @@ def patched_bytes(patches: DataFrame) -> DataFrame:
 def apply_patches(files: DataFrame, patches: DataFrame, clean: bool = False) -> DataFrame:
     """Content with all patches laid over it in ordinal order; ``clean`` returns it untouched.
 
-    Patches per file are bounded by ``split_patches``, so a file's list is small. Bytes past the end
-    of the file are not added.
+    Patches are reduced to the winning byte of each offset first, so a file's list holds one entry per byte of the file at
+    most. Files that no patch names stay in their scanning task (told apart by a bitmap over the paths); only the others
+    meet their bytes by path. Bytes past the end of the file are not added.
     """
     if clean:
         return files
-    kept, _ = split_patches(patches)
-    per = kept.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "start", "data"))).alias("__patches")
-    )
-    joined = files.join(per, "path", "left")
-
-    def lay(content: Column, p: Column) -> Column:
-        room = F.greatest(F.length(content) - p["start"], F.lit(0))
-        fit = F.substring(p["data"], F.lit(1), room.cast("int"))
-        return F.when(room > 0, F.overlay(content, fit, (p["start"] + 1).cast("int"), F.length(fit))).otherwise(content)
-
-    return joined.withColumn(
-        "content", F.when(F.col("__patches").isNull(), F.col("content")).otherwise(F.aggregate("__patches", F.col("content"), lay))
-    ).drop("__patches")
+    h = lambda c: F.xxhash64(F.col(c))
+    marked = may_hold(files, h("path"), patches.select(h("path").alias("h")))
+    bare, touched = marked.where("NOT __may").drop("__may"), marked.where("__may").drop("__may")
+    sizes = touched.select("path", F.length("content").alias("__size"))
+    inside = patched_bytes(patches).join(sizes, "path").where((F.col("off") >= 0) & (F.col("off") < F.col("__size")))
+    per = inside.groupBy("path").agg(F.collect_list("off").alias("__off"), F.collect_list("value").alias("__value"))
+    joined = touched.join(per, "path", "left")
+    names = files.columns
+    at = names.index("content")
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offs, values = batch.column(len(names)), batch.column(len(names) + 1)
+            out = []
+            for k, content in enumerate(batch.column(at)):
+                if not offs[k].is_valid or not content.is_valid:
+                    out.append(content.as_py())
+                    continue
+                body = np.frombuffer(content.as_buffer(), np.uint8).copy()
+                body[offs[k].values.to_numpy()] = values[k].values.to_numpy().astype(np.uint8)
+                out.append(body.tobytes())
+            columns = [pa.array(out, pa.binary()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    laid = joined.select(*names, "__off", "__value").mapInArrow(lay, files.schema)
+    return bare.select(*names).unionByName(laid)
 
 
 # --- table hunt ----------------------------------------------------------------------------------
@@ -271,29 +302,37 @@ def standard_table(spark) -> DataFrame:
     return spark.range(1).select(F.lit("standard").alias("table_id"), int_array(STD_QUANT_LUMA).alias("table"))
 
 
-def hunt(files: DataFrame, needles: DataFrame) -> DataFrame:
-    """All offsets of all needles (at least 63 bytes long) in all files.
+def hunt_hits(files: DataFrame, needles: DataFrame) -> DataFrame:
+    """All offsets of all distinct needles (at least 63 bytes long) in all files: path, pos, needle.
 
-    Files are cut into aligned blocks of 32 bytes. Wherever a needle lies, exactly one aligned block
-    is the first that falls wholly inside it; so the needle's 32 possible leading blocks join the
-    files' blocks by hash, and each candidate is verified against the bytes. No file meets a needle
-    it shares no block with, and only hashes and positions take part in the join.
+    Files are cut into aligned blocks of 32 bytes. Wherever a needle lies, exactly one aligned block is the first that
+    falls wholly inside it; so the needle's 32 possible leading blocks join the files' blocks by hash. Blocks that no
+    needle can begin with are dropped in the scanning task (a bitmap over the hashes); each of the others carries the
+    bytes around it, as many as a needle can reach, so the candidate is verified where it meets the needle and no content
+    takes part in a join.
     """
-    steps = F.sequence(F.lit(0), F.length("content") - BLOCK, F.lit(BLOCK))
-    at = files.where(F.length("content") >= BLOCK).select("path", "content", F.explode(steps).alias("p"))
-    blocks = at.select("path", "p", F.xxhash64(F.substring("content", F.col("p") + 1, F.lit(BLOCK))).alias("h"))
     shifts = F.transform(
         F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda s: F.struct(s.alias("s"), F.xxhash64(F.substring("needle", s + 1, F.lit(BLOCK))).alias("h"))
     )
-    named = needles.withColumn("nid", F.xxhash64("needle"))
-    keys = named.select("nid", "needle").distinct().select("nid", F.inline(shifts))
-    keys = side_for_join(keys, needles, per_row=BLOCK)
+    keys = needles.select("needle").distinct().select("needle", F.inline(shifts))
+    reach = needles.agg(F.max(F.length("needle"))).first()[0] or 0
+    steps = F.sequence(F.lit(0), F.length("content") - BLOCK, F.lit(BLOCK))
+    at = files.where(F.length("content") >= BLOCK).select("path", "content", F.explode(steps).alias("p"))
+    hashed = may_hold(at, F.xxhash64(F.substring("content", F.col("p") + 1, F.lit(BLOCK))), keys.select("h")).where("__may")
+    begin = F.greatest(F.col("p") - (BLOCK - 1), F.lit(0))
+    windows = hashed.select(
+        "path", "p", begin.alias("begin"), F.substring("content", begin + 1, F.lit(reach + 2 * BLOCK)).alias("window"),
+        F.xxhash64(F.substring("content", F.col("p") + 1, F.lit(BLOCK))).alias("h"),
+    )
     pos = F.col("p") - F.col("s")
-    found = blocks.join(keys, "h").where(pos >= 0).select("path", pos.alias("pos"), "nid").distinct()
-    checked = found.join(named, "nid").join(files.select("path", "content"), "path")
-    return checked.where(
-        F.substring("content", F.col("pos") + 1, F.length("needle")) == F.col("needle")
-    ).select("path", "table_id", "form", "pos")
+    same = F.substring("window", pos - F.col("begin") + 1, F.length("needle")) == F.col("needle")
+    return windows.join(keys, "h").where((pos >= 0) & same).select("path", pos.alias("pos"), "needle").distinct()
+
+
+def hunt(files: DataFrame, needles: DataFrame) -> DataFrame:
+    """The hits named by table and form: path, table_id, form, pos. Tables of equal bytes share their hits; to keep those
+    apart from their owners take ``hunt_hits`` and the needles as two relations."""
+    return hunt_hits(files, needles).join(needles, "needle").select("path", "table_id", "form", "pos")
 
 
 # --- hex dump and container ----------------------------------------------------------------------

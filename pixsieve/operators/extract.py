@@ -37,10 +37,14 @@ def segment_data(files: DataFrame, code: int, lead: bytes) -> DataFrame:
     return hit.where(F.startswith("data", F.lit(lead))).select("path", "seq", F.substring("data", F.lit(len(lead) + 1), F.length("data")).alias("data"))
 
 
+#: Frame headers: all SOF codes; C4, C8 and CC between them are tables, reserved and arithmetic conditioning.
+SOF = tuple(c for c in range(0xC0, 0xD0) if c not in (0xC4, 0xC8, 0xCC))
+
+
 def header_segments(files: DataFrame) -> DataFrame:
     """path, seq, code, data: payloads of all complete header segments, from one walk over each file."""
     segs = files.select("path", "content", F.posexplode(walks.jpeg_segments("content")).alias("seq", "s"))
-    wanted = (0xC0, 0xC1, 0xC2, 0xC4, 0xDA, 0xDB, 0xDD)
+    wanted = (*SOF, 0xC4, 0xDA, 0xDB, 0xDD)
     return segs.where(F.col("s.code").isin(*wanted) & F.col("s.complete")).select(
         "path", "seq", F.col("s.code").alias("code"),
         F.substring("content", (F.col("s.offset") + 5).cast("int"), (F.col("s.len") - 2).cast("int")).alias("data"),
@@ -58,7 +62,7 @@ def _nibbles(at: Column | int) -> tuple[Column, Column]:
 
 def frames(segments: DataFrame) -> DataFrame:
     """Frame headers: path, seq, precision, height, width, ncomp, comps (ci, h, v, tq)."""
-    f = segments.where(F.col("code").isin(0xC0, 0xC1, 0xC2)).withColumn("ncomp", _byte(5)).where(F.length("data") >= F.col("ncomp") * 3 + 6)
+    f = segments.where(F.col("code").isin(*SOF)).withColumn("ncomp", _byte(5)).where(F.length("data") >= F.col("ncomp") * 3 + 6)
 
     def comp(i: Column) -> Column:
         h, v = _nibbles(i * 3 + 7)
@@ -106,7 +110,7 @@ def _starts(least: int, step) -> Column:
 
 
 def quantisation_tables(segments: DataFrame) -> DataFrame:
-    """path, seq, dest_id, precision (8 or 16), table_zz; a later table replaces an earlier one of its place."""
+    """path, seq, at (offset in the segment), dest_id, precision (8 or 16), table_zz; a later table replaces an earlier one of its place."""
     def wide(at: Column) -> Column:
         return F.shiftright(_byte(at), 4) > 0
 
@@ -123,7 +127,7 @@ def quantisation_tables(segments: DataFrame) -> DataFrame:
     size = F.when(F.col("wide"), F.lit(129)).otherwise(F.lit(65))
     t = t.where(F.col("at") + size <= F.length("data"))
     return t.select(
-        "path", "seq", "dest_id", F.when(F.col("wide"), 16).otherwise(8).alias("precision"),
+        "path", "seq", "at", "dest_id", F.when(F.col("wide"), 16).otherwise(8).alias("precision"),
         F.transform(F.sequence(F.lit(0), F.lit(63)), value).alias("table_zz"),
     )
 
@@ -144,13 +148,50 @@ def huffman_lists(segments: DataFrame) -> DataFrame:
 
 
 def image_signatures(segments: DataFrame) -> DataFrame:
-    """Compression signature per path from its quantisation tables and luma subsampling, plain and rotated."""
-    tables = quantisation_tables(segments).groupBy("path", "dest_id").agg(F.max_by("table_zz", "seq").alias("table_zz"))
-    first = F.get("comps", 0)
-    sampling = frames(segments).groupBy("path").agg(F.min_by(F.format_string("%dx%d", first["h"], first["v"]), "seq").alias("subsampling"))
-    rows = tables.join(sampling, "path", "left").select(
-        F.col("path").alias("image_id"), "dest_id", "table_zz", F.coalesce("subsampling", F.lit("")).alias("subsampling"))
-    return blocks.compression_signature(rows)
+    """Compression signature per path from its quantisation tables and luma subsampling, plain and rotated.
+
+    One walk and one grouping: the tables of a header segment and the sampling of a frame header are rows of one array.
+    Of several tables for one place the last in the file counts, also within one segment.
+    """
+    first_h, first_v = _nibbles(7)
+    sampling = F.when(F.length("data") >= 9, F.format_string("%dx%d", first_h, first_v))
+    is_table = (F.col("code") == 0xDB) & (F.length("data") >= 65)
+
+    def wide(at: Column) -> Column:
+        return F.shiftright(_byte(at), 4) > 0
+
+    def table(at: Column) -> Column:
+        size = F.when(wide(at), F.lit(129)).otherwise(F.lit(65))
+        values = F.transform(
+            F.sequence(F.lit(0), F.lit(63)),
+            lambda i: F.when(wide(at), sc.read_uint("data", at + 1 + i * 2, 2)).otherwise(sc.read_uint("data", at + 1 + i, 1)).cast("int"),
+        )
+        return F.when(at + size <= F.length("data"), F.struct(_byte(at).bitwiseAND(15).alias("dest_id"), at.alias("at"), values.alias("table_zz")))
+
+    starts = _starts(65, lambda at: F.when(wide(at), F.lit(129)).otherwise(F.lit(65)))
+    rows = segments.where(is_table | F.col("code").isin(*SOF)).select(
+        "path", "seq", F.when(F.col("code").isin(*SOF), sampling).alias("subsampling"),
+        F.explode_outer(F.when(is_table, F.transform(starts, table))).alias("t"),
+    )
+    per = rows.groupBy("path", F.col("t.dest_id").alias("dest_id")).agg(
+        F.max_by(F.col("t.table_zz"), F.struct("seq", F.col("t.at"))).alias("table_zz"), F.min_by("subsampling", "seq").alias("subsampling"),
+    )
+    # the sampling stands on the rows without a table, one or none per path
+    found = F.first("subsampling", ignorenulls=True).over(W.partitionBy("path").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    whole = per.withColumn("subsampling", F.coalesce(found, F.lit(""))).where("dest_id IS NOT NULL")
+    return blocks.compression_signature(whole.withColumnRenamed("path", "image_id").select("image_id", "dest_id", "table_zz", "subsampling"))
+
+
+def thumbnail_signatures(exif: DataFrame) -> DataFrame:
+    """Compression signature of the thumbnail inside each TIFF block (path, data), plain and rotated."""
+    small = walk_rows(exif.withColumn("block", F.col("data")), walks.tiff_tags, F.col("data"), "path", "block").where("section = 'ifd1'")
+    place = small.groupBy("path").agg(
+        F.first("block").alias("block"), F.max(F.when(F.col("tag_id") == 0x0201, F.get("nums", 0))).alias("at"),
+        F.max(F.when(F.col("tag_id") == 0x0202, F.get("nums", 0))).alias("len"),
+    )
+    inside = place.where("at >= 0 AND len > 0 AND at < length(block)").select(
+        "path", F.substring("block", (F.col("at") + 1).cast("int"), F.least("len", F.length("block").cast("bigint")).cast("int")).alias("content"))
+    return image_signatures(header_segments(inside))
 
 
 def icc_blocks(files: DataFrame) -> DataFrame:
@@ -163,44 +204,27 @@ def exif_tags(tiff: DataFrame, dim: DataFrame) -> DataFrame:
     """Named tags with value text from TIFF blocks (path, data)."""
     rows = walk_rows(tiff, walks.tiff_tags, F.col("data"), "path")
     named = lookups.name_exif(rows, dim)
-    return named.select("path", "section", "seq", "tag_id", "name", "is_unknown", "type", "count", tag_value().alias("value"))
-
-
-def _unsigned(data: Column, little: Column, i: Column, width: int) -> Column:
-    big = sc.read_uint(data, i * width, width)
-    return F.when(little, sc.read_uint(data, i * width, width, True)).otherwise(big)
+    return named.select("path", "section", "seq", "tag_id", "name", "is_unknown", "type", "count", "complete", tag_value().alias("value"))
 
 
 def rationals() -> Column:
     """Fractions of a rational value as an array of (num, den)."""
-    idx = F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))
-    signed = F.col("type") == 10
-
-    def part(i: Column) -> Column:
-        v = _unsigned(F.col("data"), F.col("little"), i, 4)
-        return F.when(signed & (v >= (1 << 31)), v - (1 << 32)).otherwise(v)
-
-    return F.transform(idx, lambda i: F.struct(part(i * 2).alias("num"), part(i * 2 + 1).alias("den")))
+    idx = F.sequence(F.lit(1), F.floor(F.size("nums") / 2).cast("int"))
+    pairs = F.transform(idx, lambda i: F.struct(F.get("nums", i * 2 - 2).alias("num"), F.get("nums", i * 2 - 1).alias("den")))
+    return F.when(F.size("nums") >= 2, pairs).otherwise(F.slice(pairs, 1, 0))
 
 
 def tag_value() -> Column:
-    """Value text by TIFF type: text up to its zero byte, numbers and fractions separated by commas."""
-    idx = F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))
-    text = F.substring_index(F.decode("data", "ISO-8859-1"), "\x00", 1)
-
-    def numbers(width: int, signed: bool) -> Column:
-        def one(i: Column) -> Column:
-            v = _unsigned(F.col("data"), F.col("little"), i, width)
-            out = F.when(v >= (1 << (8 * width - 1)), v - (1 << (8 * width))).otherwise(v) if signed else v
-            return out.cast("string")
-
-        return F.array_join(F.transform(idx, one), ",")
+    """Value text by TIFF type: text up to its zero byte, numbers and fractions separated by commas, other bytes in hex.
 
+    A value that is cut off shows what is there.
+    """
+    text = F.substring_index(F.decode("data", "ISO-8859-1"), "\x00", 1)
     fractions = F.array_join(F.transform(rationals(), lambda r: F.concat_ws("/", r["num"], r["den"])), ",")
     t = F.col("type")
     value = (
-        F.when(t == 2, text).when(t.isin(1, 7), numbers(1, False)).when(t == 3, numbers(2, False)).when(t == 4, numbers(4, False))
-        .when(t.isin(5, 10), fractions).when(t == 6, numbers(1, True)).when(t == 8, numbers(2, True)).when(t == 9, numbers(4, True))
+        F.when(t == 2, text).when(t.isin(5, 10), fractions)
+        .when(F.col("nums").isNotNull(), F.array_join(F.transform("nums", lambda v: v.cast("string")), ","))
         .otherwise(F.hex("data"))
     )
     return F.when(F.col("count") > 0, value).otherwise("")
@@ -228,9 +252,9 @@ def gps_position(tiff: DataFrame) -> DataFrame:
 
 def thumbnail_extents(tags: DataFrame) -> DataFrame:
     """Offset (in the TIFF block) and length of the embedded thumbnail per path."""
+    number = F.col("value").try_cast("bigint")  # a damaged entry may hold anything
     t = tags.where("section = 'ifd1'").groupBy("path").agg(
-        F.max(F.when(F.col("tag_id") == 0x0201, F.col("value"))).cast("bigint").alias("offset"),
-        F.max(F.when(F.col("tag_id") == 0x0202, F.col("value"))).cast("bigint").alias("len"),
+        F.max(F.when(F.col("tag_id") == 0x0201, number)).alias("offset"), F.max(F.when(F.col("tag_id") == 0x0202, number)).alias("len"),
     )
     return t.where("offset IS NOT NULL")
 
@@ -315,7 +339,7 @@ def resource_fields(resources: DataFrame, layout: DataFrame, enums: DataFrame) -
     at = F.col("at") + F.col("i") * F.col("stride") + F.when(skip > 0, first_wide).otherwise(0) + F.when(skip > 1, second_wide).otherwise(0)
     f = f.withColumn("place", at)
     raw = F.substring(d, (F.col("place") + 1).cast("int"), F.col("width"))
-    f = f.withColumn("raw", F.when(F.length(raw) == F.col("width"), F.conv(F.hex(raw), 16, 10).cast("bigint")))
+    f = f.withColumn("raw", F.when(F.length(raw) == F.col("width"), sc.unsigned(raw)))
     e = enums.select(F.col("field").alias("enum"), F.col("value").alias("raw"), F.col("text").alias("enum_text"))
     f = f.join(e, ["enum", "raw"], "left")
     v, k = F.col("raw"), F.col("kind")
@@ -352,7 +376,7 @@ def psd_layers(files: DataFrame) -> DataFrame:
 
     return rows.select(
         "path", "layer", "transparency", (F.col("right") - F.col("left")).alias("width"), (F.col("bottom") - F.col("top")).alias("height"),
-        "chans", "blend_sig", enum_text("blend_mode", F.col("blend_key")).alias("blend_mode"), "opacity", "mask_len", "ranges", "name",
+        "complete", "chans", "blend_sig", enum_text("blend_mode", F.col("blend_key")).alias("blend_mode"), "opacity", "mask_len", "ranges", "name",
         sc.length_prefixed_wide(extra("luni"), F.lit(0)).alias("unicode_name"), sc.read_uint(extra("lnsr"), 0, 4).alias("name_source"),
         sc.read_uint(extra("lyid"), 0, 4).alias("layer_id"), flag("clbl").alias("blend_clipped"), flag("infx").alias("blend_interior"),
         flag("knko").alias("knockout"),

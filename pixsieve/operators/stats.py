@@ -59,25 +59,12 @@ def color_stats(df: DataFrame) -> DataFrame:
     return per.select("image_id", F.expr(f"stack({len(STAGES)}, {body}) AS (stage, channel, lo, hi, mean)"))
 
 
-def clip_counts(df: DataFrame, compat_cap: int | None = None) -> DataFrame:
-    """Pixels under and over the range per channel, and the OR of all clip bits.
-
-    ``compat_cap`` limits the YCC counters to that total per image, in channel order.
-    """
+def clip_counts(df: DataFrame) -> DataFrame:
+    """Pixels under and over the range per channel, and the OR of all clip bits."""
     aggs = []
     for n in ("y", "cb", "cr", "r", "g", "b"):
         aggs += [F.count_if(F.col(f"pre_{n}") < 0).alias(f"{n}_under"), F.count_if(F.col(f"pre_{n}") > 255).alias(f"{n}_over")]
-    out = df.groupBy("image_id").agg(*aggs, F.bit_or("clip_mask").alias("mask"))
-    if compat_cap is None:
-        return out
-    left = F.lit(compat_cap).cast("bigint")
-    capped = {}
-    for n in ("y", "cb", "cr"):
-        for side in ("over", "under"):
-            take = F.least(F.col(f"{n}_{side}"), left)
-            capped[f"{n}_{side}"] = take
-            left = left - take
-    return out.withColumns(capped)
+    return df.groupBy("image_id").agg(*aggs, F.bit_or("clip_mask").alias("mask"))
 
 
 def rgb_histogram(df: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ def _records(spec: str) -> T.ArrayType:
             typ = T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("len", T.LongType())]))
         elif kind == "keys":
             typ = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("data", T.BinaryType())]))
+        elif kind == "nums":
+            typ = T.ArrayType(T.LongType())
         else:
             typ = kinds[kind]
         fields.append(T.StructField(name, typ))
@@ -31,27 +33,38 @@ def _records(spec: str) -> T.ArrayType:
 
 
 def walker(spec: str):
-    """Turn ``walk(data) -> iterator of tuples`` into a batch UDF."""
+    """Turn ``walk(data, *options) -> iterator of tuples`` into a batch UDF; options are columns of one value each.
+
+    A walk checks its bounds and never raises on damaged bytes: it yields what it can read and marks what it can't.
+    """
     returns = _records(spec)
     names = [f.name for f in returns.elementType.fields]
 
     def wrap(walk):
-        def batch(content: pa.Array) -> pa.Array:
+        def records(content: pa.Array, options: list[pa.Array]) -> pa.Array:
             from pyspark.sql.pandas.types import to_arrow_type
 
             columns, ends = [[] for _ in names], [0]
-            for v in content.to_pylist():
-                for record in walk(v) if v is not None else ():
+            settings = [o[0].as_py() for o in options] if len(content) else []
+            for v in content:  # one value at a time, so that a batch's bytes are held once beside their records
+                for record in walk(v.as_py(), *settings) if v.is_valid else ():
                     for column, value in zip(columns, record):
                         column.append(value)
                 ends.append(len(columns[0]))
             out = to_arrow_type(returns)
             fields = [out.value_type.field(i) for i in range(len(names))]
-            records = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), records, type=out)
+            found = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, type=out)
 
-        batch.__annotations__ = {"content": pa.Array, "return": pa.Array}
-        return F.arrow_udf(batch, returns)
+        def batch(content: pa.Array) -> pa.Array:
+            return records(content, [])
+
+        def batch2(content: pa.Array, first: pa.Array, second: pa.Array) -> pa.Array:
+            return records(content, [first, second])
+
+        used = batch if walk.__code__.co_argcount == 1 else batch2
+        used.__annotations__ = dict.fromkeys(used.__code__.co_varnames[: used.__code__.co_argcount], pa.Array) | {"return": pa.Array}
+        return F.arrow_udf(used, returns)
 
     return wrap
 
@@ -92,15 +105,81 @@ def jpeg_segments(data: bytes):
             pos = stop
 
 
+def _segments(data: bytes, pos: int):
+    """(code, offset, length behind it) of the marker segments from an SOI on; code -1 where the chain breaks off."""
+    end = len(data)
+    while pos + 1 < end:
+        if data[pos] != 0xFF:
+            break
+        while pos + 1 < end and data[pos + 1] == 0xFF:
+            pos += 1
+        if pos + 1 >= end:
+            break
+        code = data[pos + 1]
+        if code == 0:
+            break
+        if code == 1 or 0xD0 <= code <= 0xD9:
+            yield code, pos, pos + 2
+            pos += 2
+            continue
+        size = int.from_bytes(data[pos + 2 : pos + 4], "big") if pos + 4 <= end else 0
+        if size < 2 or pos + 2 + size > end:
+            break
+        yield code, pos, pos + 2 + size
+        pos += 2 + size
+        if code == 0xDA:
+            found = _AFTER_SCAN.search(data, pos)
+            if found is None:
+                pos = end
+                break
+            pos = found.start()
+    yield -1, min(pos, end), min(pos, end)
+
+
+@walker("pos:long end_pos:long terminated:bool has_tables:bool scan_at:long forced:bool")
+def jpeg_frames(data: bytes, ignore_end: bool, force_soi: bool):
+    """JPEGs inside a file, one behind the other; what lies inside a frame's segments is not looked into."""
+    pos = data.find(b"\xff\xd8\xff")
+    if force_soi and pos != 0 and data:
+        pos = 0
+    while pos >= 0:
+        forced = data[pos : pos + 2] != b"\xff\xd8"
+        has_tables, scan_at, finish, broke = False, -1, None, len(data)
+        for code, at, after in _segments(data, pos):
+            if code == 0xC4 and scan_at < 0:
+                has_tables = True
+            elif code == 0xDA and scan_at < 0:
+                scan_at = at - pos + 2 * forced
+            elif code == 0xD9:
+                finish = after
+                break
+            elif code == 0xD8 and at > pos:
+                broke = at
+                break
+            elif code == -1:
+                broke = at
+        behind = broke if finish is None else finish
+        following = data.find(b"\xff\xd8\xff", max(behind, pos + 1))
+        open_end = following if following >= 0 else len(data)
+        stop = open_end if finish is None or ignore_end else finish
+        yield pos, stop, finish is not None, has_tables, scan_at, forced
+        pos = following
+
+
 _TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _SUB_DIRECTORY = {0x8769: "exif", 0x8825: "gps", 0xA005: "interop"}
 
 
-@walker("section:str tag_id:int type:int count:long at:long little:bool data:bin")
+_NUMBERS = {1: "B", 3: "H", 4: "I", 5: "I", 6: "b", 8: "h", 9: "i", 10: "i"}
+
+
+@walker("section:str tag_id:int type:int count:long at:long little:bool complete:bool nums:nums data:bin")
 def tiff_tags(data: bytes):
-    """Directory entries of a TIFF block with their raw values; sub-directories are followed once.
+    """Directory entries of a TIFF block with their raw values, numeric ones as numbers too (a fraction as two).
 
-    A maker note is followed as well when it reads like a directory (offsets from the TIFF start).
+    Sub-directories are followed once, and a maker note where it reads like a directory (offsets from the TIFF start).
+    ``complete`` is false where the declared count reaches past the block: the value then holds what is there. A directory
+    that is cut off ends, and the next one queued is read.
     """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
@@ -119,12 +198,18 @@ def tiff_tags(data: bytes):
         for i in range(n):
             e = at + 2 + 12 * i
             if e + 12 > len(data):
-                return
+                break
             tag, typ, count = struct.unpack_from(order + "HHI", data, e)
-            size = _TYPE_SIZE.get(typ, 1) * count
+            width = _TYPE_SIZE.get(typ, 1)
+            size = width * count
             where = e + 8 if size <= 4 else struct.unpack_from(order + "I", data, e + 8)[0]
-            yield section, tag, typ, count, where, order == "<", data[where : where + size]
-            if tag == 0x927C and size > 14:
+            body = data[where : where + size]
+            nums = None
+            if typ in _NUMBERS:
+                held = len(body) // width * (2 if typ in (5, 10) else 1)
+                nums = list(struct.unpack_from(f"{order}{held}{_NUMBERS[typ]}", body))
+            yield section, tag, typ, count, where, order == "<", len(body) == size, nums, body
+            if tag == 0x927C:
                 todo.append(("maker", where))
             if tag in _SUB_DIRECTORY and size == 4:
                 todo.append((_SUB_DIRECTORY[tag], struct.unpack_from(order + "I", data, e + 8)[0]))
@@ -146,7 +231,7 @@ def image_resources(data: bytes):
         at = pos + 6 + (name_len + 2) // 2 * 2
         size = int.from_bytes(data[at : at + 4], "big")
         body = data[at + 4 : at + 4 + size]
-        yield bim_id, name, pos, size, len(body) == size, body
+        yield bim_id, name, pos, size, at + 4 <= end and len(body) == size, body
         pos = at + 4 + (size + 1) // 2 * 2
 
 
@@ -160,51 +245,67 @@ def iptc_datasets(data: bytes):
         pos += 5 + size
 
 
-@walker("layer:int transparency:bool top:long left:long bottom:long right:long chans:chans blend_sig:str blend_key:long opacity:int mask_len:long ranges:int name:str extra:keys")
+@walker("layer:int transparency:bool top:long left:long bottom:long right:long chans:chans blend_sig:str blend_key:long opacity:int mask_len:long ranges:int name:str extra:keys complete:bool")
 def psd_layers(data: bytes):
-    """Layer records of a layer-and-mask section (starting at its layer-info length)."""
+    """Layer records of a layer-and-mask section (starting at its layer-info length); coordinates are signed.
+
+    The record at which the section ends too early is given with the fields that are there, ``complete`` false.
+    """
     if len(data) < 6 or data[:4] == b"\x00\x00\x00\x00":
         return
     (count,) = struct.unpack_from(">h", data, 4)
     pos = 6
     for i in range(abs(count)):
+        box, chans, blend, mask_len, ranges, name, extra = [None] * 4, [], (None, None, None), None, None, None, []
+        cut = (i, count < 0)
         if pos + 18 > len(data):
+            yield *cut, *box, chans, *blend, mask_len, ranges, name, extra, False
             return
-        top, left, bottom, right, n = struct.unpack_from(">IIIIH", data, pos)
+        *box, n = struct.unpack_from(">iiiiH", data, pos)
         pos += 18
-        chans = [dict(zip(("id", "len"), struct.unpack_from(">HI", data, pos + 6 * c))) for c in range(n)]
+        chans = [dict(zip(("id", "len"), struct.unpack_from(">HI", data, pos + 6 * c))) for c in range(min(n, (len(data) - pos) // 6))]
         pos += 6 * n
+        if pos + 16 > len(data):
+            yield *cut, *box, chans, *blend, mask_len, ranges, name, extra, False
+            return
         sig, key, opacity = struct.unpack_from(">4sIB", data, pos)
+        blend = (sig.decode("latin-1"), key, opacity)
         (extra_len,) = struct.unpack_from(">I", data, pos + 12)
         pos += 16
         stop = pos + extra_len
-        (mask_len,) = struct.unpack_from(">I", data, pos)
-        pos += 4 + mask_len
-        (range_len,) = struct.unpack_from(">I", data, pos)
-        pos += 4 + range_len
-        name_len = data[pos]
-        name = data[pos + 1 : pos + 1 + name_len].decode("latin-1")
-        pos += (name_len + 4) // 4 * 4
-        extra = []
-        while pos + 12 <= stop and data[pos : pos + 4] == b"8BIM":
+        whole = stop <= len(data)
+        if pos + 4 <= len(data):
+            (mask_len,) = struct.unpack_from(">I", data, pos)
+            pos += 4 + mask_len
+        if mask_len is not None and pos + 4 <= len(data):
+            (range_len,) = struct.unpack_from(">I", data, pos)
+            ranges = max(range_len - 8, 0) // 8
+            pos += 4 + range_len
+        if ranges is not None and pos < len(data):
+            name_len = data[pos]
+            name = data[pos + 1 : pos + 1 + name_len].decode("latin-1")
+            whole = whole and pos + 1 + name_len <= stop
+            pos += (name_len + 4) // 4 * 4
+        else:
+            whole = False
+        while whole and pos + 12 <= stop and data[pos : pos + 4] == b"8BIM":
             (size,) = struct.unpack_from(">I", data, pos + 8)
             extra.append({"key": data[pos + 4 : pos + 8].decode("latin-1"), "data": data[pos + 12 : pos + 12 + size]})
             pos += 12 + (size + 3) // 4 * 4
+        yield *cut, *box, chans, *blend, mask_len, ranges, name, extra, whole
+        if not whole:
+            return
         pos = stop
-        yield (i, count < 0, top, left, bottom, right, chans, sig.decode("latin-1"), key, opacity, mask_len,
-               max(range_len - 8, 0) // 8, name, extra)
 
 
 _VR_SHORT = set("AE AS AT CS DA DS DT FL FD IS LO LT PN SH SL SS ST TM UI UL US".split())
-_VR_LONG = set("OB OF OW SQ UN UT".split())
+_VR_LONG = set("OB OD OF OL OV OW SQ SV UC UN UR UT UV".split())
 
 
 @walker("grp:int elem:int vr:str vr_explicit:bool offset:long header:int len:long undefined:bool data:bin")
 def dicom_elements(data: bytes):
-    """Data elements behind the preamble. An undefined length counts as 0; items have no VR.
-
-    Values longer than 200 bytes are left in the file: data is null for them.
-    """
+    """Data elements behind the preamble, values whole; pixel data and its items (their place and length are given) stay in
+    the file. An undefined length counts as 0; items have no VR."""
     pos = 132
     if data[128:132] != b"DICM":
         return
@@ -220,6 +321,7 @@ def dicom_elements(data: bytes):
             header, size, explicit, vr = 8, struct.unpack_from("<I", data, pos + 4)[0], False, "??"
         undefined = size == 0xFFFFFFFF
         size = 0 if undefined else size
-        body = data[pos + header : pos + header + size] if size <= 200 else None
+        pixels = item or (grp, elem) == (0x7FE0, 0x0010)
+        body = data[pos + header : pos + header + (min(size, 4) if pixels else size)]
         yield grp, elem, vr, explicit, pos, header, size, undefined, body
         pos += header + size

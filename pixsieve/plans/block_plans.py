@@ -52,9 +52,9 @@ def idct_fixed(spark, d):
 
 def expand_pixels(spark, d):
     c = _dequantised(spark, d)
-    ready = c.select("block_id", "comp", blk.idct_ac("coef").alias("ac"), F.get("coef", 0).alias("dc"))
+    ready = c.select("block_id", "comp", "coef", F.get("coef", 0).alias("dc"))
     rep = F.when(F.col("comp") == 1, F.lit(1)).otherwise(F.lit(2))
-    return blk.expand_pixels(ready, "ac", "dc", rep, rep)
+    return blk.expand_pixels(ready, blk.idct_ac("coef"), "dc", rep, rep).drop("coef")
 
 
 _RGB = ("block_id", "idx", "pre_y", "pre_cb", "pre_cr", "fin_y", "fin_cb", "fin_cr", "pre_r", "pre_g", "pre_b", "fin_r", "fin_g", "fin_b")
@@ -112,12 +112,9 @@ def ycc_shift(spark, d):
 
 
 def export_scale(spark, d):
-    c = _coloured(spark, d)
-    out = None
-    for mode, (colour, bits) in {"rgb8": ("rgb", 8), "rgb16": ("rgb", 16), "ycc8": ("ycc", 8)}.items():
-        part = blk.export_scale(c, colour, bits).select("block_id", "idx", F.lit(mode).alias("mode"), "e0", "e1", "e2")
-        out = part if out is None else out.unionByName(part)
-    return out
+    modes = {"rgb8": ("rgb", 8), "rgb16": ("rgb", 16), "ycc8": ("ycc", 8)}
+    forms = [F.struct(F.lit(mode).alias("mode"), *blk.export_samples(colour, bits)) for mode, (colour, bits) in modes.items()]
+    return _coloured(spark, d).select("block_id", "idx", F.inline(F.array(*forms)))
 
 
 def plane_pivot(spark, d):
