@@ -97,5 +97,6 @@ def batch_progress(files: DataFrame, order: str, span: int = SPAN) -> DataFrame:
     """Add i, n and percent in the order of an integer file number; no task sees the whole list."""
     whole = files.withColumn("__all", F.lit(0))
     at = running(whole, ["__all"], order, {"i": ("sum", F.lit(1).cast("bigint"))}, span=span).drop("__all")
-    total = files.agg(F.count(F.lit(1)).alias("n"))
-    return at.crossJoin(F.broadcast(total)).withColumn("percent", F.col("i") * 100.0 / F.col("n"))
+    # the total is the index of the last file: one row, read off the numbered rows
+    last = at.groupBy(F.lit(0).alias("__one")).agg(F.max("i").alias("n"))
+    return at.withColumn("__one", F.lit(0)).join(F.broadcast(last), "__one").drop("__one").withColumn("percent", F.col("i") * 100.0 / F.col("n"))

@@ -428,25 +428,95 @@ EXIF_TAGS = (
     ("gps", 0x1E, "GPSDifferential"),
 )
 
-# DICOM data elements needed by the element scan; the full registry is an input table.
+# Fixed values of DICOM PS3.6: meta, general, patient, acquisition, relationship and image elements. A whole registry can be handed in.
 DICOM_CORE_TAGS = (
     (0x0002, 0x0001, "File Meta Information Version"),
     (0x0002, 0x0002, "Media Storage SOP Class UID"),
     (0x0002, 0x0003, "Media Storage SOP Instance UID"),
     (0x0002, 0x0010, "Transfer Syntax UID"),
     (0x0002, 0x0012, "Implementation Class UID"),
+    (0x0002, 0x0013, "Implementation Version Name"),
+    (0x0002, 0x0016, "Source Application Entity Title"),
     (0x0008, 0x0005, "Specific Character Set"),
     (0x0008, 0x0008, "Image Type"),
+    (0x0008, 0x0012, "Instance Creation Date"),
+    (0x0008, 0x0013, "Instance Creation Time"),
     (0x0008, 0x0016, "SOP Class UID"),
     (0x0008, 0x0018, "SOP Instance UID"),
+    (0x0008, 0x0020, "Study Date"),
+    (0x0008, 0x0021, "Series Date"),
+    (0x0008, 0x0022, "Acquisition Date"),
+    (0x0008, 0x0023, "Content Date"),
+    (0x0008, 0x0030, "Study Time"),
+    (0x0008, 0x0031, "Series Time"),
+    (0x0008, 0x0032, "Acquisition Time"),
+    (0x0008, 0x0033, "Content Time"),
+    (0x0008, 0x0050, "Accession Number"),
     (0x0008, 0x0060, "Modality"),
+    (0x0008, 0x0064, "Conversion Type"),
     (0x0008, 0x0070, "Manufacturer"),
+    (0x0008, 0x0080, "Institution Name"),
+    (0x0008, 0x0090, "Referring Physician's Name"),
+    (0x0008, 0x1010, "Station Name"),
+    (0x0008, 0x1030, "Study Description"),
+    (0x0008, 0x103E, "Series Description"),
+    (0x0008, 0x1090, "Manufacturer's Model Name"),
+    (0x0008, 0x2111, "Derivation Description"),
+    (0x0010, 0x0010, "Patient's Name"),
+    (0x0010, 0x0020, "Patient ID"),
+    (0x0010, 0x0030, "Patient's Birth Date"),
+    (0x0010, 0x0040, "Patient's Sex"),
+    (0x0010, 0x1010, "Patient's Age"),
+    (0x0010, 0x1020, "Patient's Size"),
+    (0x0010, 0x1030, "Patient's Weight"),
+    (0x0010, 0x4000, "Patient Comments"),
+    (0x0018, 0x0015, "Body Part Examined"),
+    (0x0018, 0x0050, "Slice Thickness"),
+    (0x0018, 0x0060, "KVP"),
+    (0x0018, 0x0080, "Repetition Time"),
+    (0x0018, 0x0081, "Echo Time"),
+    (0x0018, 0x0087, "Magnetic Field Strength"),
+    (0x0018, 0x0088, "Spacing Between Slices"),
+    (0x0018, 0x1000, "Device Serial Number"),
+    (0x0018, 0x1020, "Software Versions"),
+    (0x0018, 0x1030, "Protocol Name"),
+    (0x0018, 0x1150, "Exposure Time"),
+    (0x0018, 0x1151, "X-Ray Tube Current"),
+    (0x0018, 0x1164, "Imager Pixel Spacing"),
+    (0x0018, 0x5100, "Patient Position"),
+    (0x0020, 0x000D, "Study Instance UID"),
+    (0x0020, 0x000E, "Series Instance UID"),
+    (0x0020, 0x0010, "Study ID"),
+    (0x0020, 0x0011, "Series Number"),
+    (0x0020, 0x0012, "Acquisition Number"),
+    (0x0020, 0x0013, "Instance Number"),
+    (0x0020, 0x0020, "Patient Orientation"),
+    (0x0020, 0x0032, "Image Position (Patient)"),
+    (0x0020, 0x0037, "Image Orientation (Patient)"),
+    (0x0020, 0x0052, "Frame of Reference UID"),
+    (0x0020, 0x1041, "Slice Location"),
+    (0x0020, 0x4000, "Image Comments"),
     (0x0028, 0x0002, "Samples per Pixel"),
     (0x0028, 0x0004, "Photometric Interpretation"),
+    (0x0028, 0x0006, "Planar Configuration"),
+    (0x0028, 0x0008, "Number of Frames"),
     (0x0028, 0x0010, "Rows"),
     (0x0028, 0x0011, "Columns"),
+    (0x0028, 0x0030, "Pixel Spacing"),
+    (0x0028, 0x0034, "Pixel Aspect Ratio"),
     (0x0028, 0x0100, "Bits Allocated"),
+    (0x0028, 0x0101, "Bits Stored"),
+    (0x0028, 0x0102, "High Bit"),
+    (0x0028, 0x0103, "Pixel Representation"),
+    (0x0028, 0x0106, "Smallest Image Pixel Value"),
+    (0x0028, 0x0107, "Largest Image Pixel Value"),
+    (0x0028, 0x1050, "Window Center"),
+    (0x0028, 0x1051, "Window Width"),
+    (0x0028, 0x1052, "Rescale Intercept"),
+    (0x0028, 0x1053, "Rescale Slope"),
+    (0x0028, 0x1054, "Rescale Type"),
     (0x0028, 0x2110, "Lossy Image Compression"),
+    (0x0028, 0x2112, "Lossy Image Compression Ratio"),
     (0x7FE0, 0x0010, "Pixel Data"),
     (0xFFFE, 0xE000, "Item"),
     (0xFFFE, 0xE00D, "Item Delimitation Item"),

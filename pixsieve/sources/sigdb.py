@@ -36,5 +36,5 @@ def storable(sigs: DataFrame) -> DataFrame:
 
 
 def store(sigs: DataFrame, target: str) -> None:
-    """Overwrite ``target`` with the valid user rows, hash-spread so that no task holds one make."""
+    """Overwrite ``target`` with the valid user rows."""
     storable(sigs).write.mode("overwrite").parquet(target)

@@ -174,3 +174,52 @@ def test_icc_header(files_of):
     r = rows["ok"]
     assert (r.size, r.cmm, r.version, r.intent, r.signature_ok, str(r.created)) == (160, "ADBE", "2.1", 1, True, "1999-06-03 00:01:02")
     assert rows["bad"].created is None
+
+
+def test_long_values_stay_whole(spark, files_of):
+    el = lambda g, e, rest: struct.pack("<HH", g, e) + rest
+    blob = b"\0" * 128 + b"DICM" + el(0x10, 0x4000, b"UT\0\0" + struct.pack("<I", 5000) + b"x" * 5000) + el(0x10, 0x20, b"LO" + struct.pack("<H", 4) + b"id12")
+    e = ex.dicom_elements(files_of({"d": blob}), dims.dim_dicom(spark), dims.dim_dicom_enum(spark)).orderBy("seq").collect()
+    assert [(r.name, r.len, len(r.value)) for r in e] == [("Patient Comments", 5000, 5000), ("Patient ID", 4, 4)]
+
+
+def layered(name: str, box=(0, 0, 4, 4)) -> bytes:
+    wide = struct.pack(">I", len(name)) + name.encode("utf-16-be")
+    extra = struct.pack(">II", 0, 0) + b"\0\0\0\0" + b"8BIMluni" + struct.pack(">I", len(wide)) + wide + b"\0" * (-len(wide) % 4)
+    record = struct.pack(">iiiiH", *box, 1) + struct.pack(">HI", 0, 2) + b"8BIMnorm" + b"\xff\0\0\0" + struct.pack(">I", len(extra)) + extra
+    info = struct.pack(">h", 1) + record
+    info = struct.pack(">I", len(info)) + info
+    return b"8BPS\0\1" + b"\0" * 6 + struct.pack(">HIIHH", 3, 4, 4, 8, 3) + struct.pack(">I", 0) + struct.pack(">I", 0) + struct.pack(">I", len(info)) + info
+
+
+def test_layers_signed_whole_and_cut(files_of):
+    name = "n" * 1000
+    whole = layered(name, (-5, -5, 10, 10))
+    blobs = {"whole": whole} | {f"cut{k:04}": whole[:k] for k in range(40, len(whole), 37)}
+    rows = {r.path: r for r in ex.psd_layers(files_of(blobs)).collect()}
+    r = rows["whole"]
+    assert (r.width, r.height, r.unicode_name, r.complete) == (15, 15, name, True)
+    assert all(not r.complete for p, r in rows.items() if p != "whole")
+
+
+def test_damaged_tags_end_no_job(spark, files_of):
+    def block(count: int, typ: int = 4, tail: bytes = b"") -> bytes:
+        return b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 0x0201, typ, count, 8) + struct.pack("<HHII", 0x0112, 3, 1, 6) + struct.pack("<I", 0) + tail
+
+    blobs = {f"{c:x}-{t}": block(c, t) for c in (0xFFFFFFFF, 0x7FFFFFFF, 0, 3) for t in range(0, 14)}
+    good = block(1)
+    blobs |= {f"cut{k}": good[:k] for k in range(len(good))} | {"text": b"II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHII", 0x0201, 2, 3, 0) + b"1,2"}
+    tags = ex.exif_tags(files_of(blobs).withColumnRenamed("content", "data"), dims.dim_exif(spark))
+    rows = tags.collect()
+    assert sum(r.path.startswith("ffffffff") for r in rows) == 28 and not any(r.complete for r in rows if r.path.startswith("ffffffff") and r.tag_id == 0x0201)
+    moved = tags.withColumn("section", F.lit("ifd1"))
+    assert ex.thumbnail_extents(moved).count() > 0
+
+
+def test_a_later_table_of_one_segment_counts(files_of):
+    def jpeg(*tables: int) -> bytes:
+        dqt = b"".join(b"\0" + bytes([v]) * 64 for v in tables)
+        return b"\xff\xd8\xff\xdb" + struct.pack(">H", len(dqt) + 2) + dqt + b"\xff\xc9\0\x0b\x08\0\x08\0\x08\x01\x01\x11\0\xff\xd9"
+
+    got = {r.image_id: (r.csig, r.csig_rot) for r in ex.image_signatures(ex.header_segments(files_of({"twice": jpeg(7, 9), "once": jpeg(9), "other": jpeg(7)}))).collect()}
+    assert got["twice"] == got["once"] != got["other"]
