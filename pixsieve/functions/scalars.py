@@ -106,9 +106,12 @@ def length_prefixed_ascii(content: Column, offset: Column) -> Column:
     return F.decode(F.substring(content, (offset + 5).cast("int"), size.cast("int")), "ISO-8859-1")
 
 
-def length_prefixed_wide(content: Column, offset: Column, shown: int = 256) -> Column:
-    """u32 character count and UTF-16BE text, the first ``shown`` characters of it."""
-    return F.left(wide_string(content, offset + 4, read_uint(content, offset, 4)), F.lit(shown))
+def length_prefixed_wide(content: Column, offset: Column, shown: int | None = None) -> Column:
+    """u32 character count and UTF-16BE text, whole as far as the bytes go; ``shown`` clips it for display."""
+    there = F.floor((F.length(content) - offset - 4) / 2)
+    n = F.greatest(F.least(read_uint(content, offset, 4), there), F.lit(0))
+    text = wide_string(content, offset + 4, n)
+    return text if shown is None else F.left(text, F.lit(shown))
 
 
 def bool_text(v: Column) -> Column:
@@ -121,6 +124,14 @@ def position_text(byte: Column, bit: Column) -> Column:
 
 # --- numbers in bytes ----------------------------------------------------------------------------
 
+def unsigned(data: Column) -> Column:
+    """The number in up to 8 bytes, high byte first; 8 bytes from 2^63 on wrap to negative numbers."""
+    digits = F.hex(data)
+    small = F.conv(digits, 16, 10).try_cast("bigint")
+    high, low = (F.conv(F.substring(digits, a, 8), 16, 10).cast("bigint") for a in (1, 9))
+    return F.when(F.length(data) == 8, F.shiftleft(high, 32).bitwiseOR(low)).otherwise(small)
+
+
 def read_uint(content: Column, offset: Column | int, width: int, little: bool = False) -> Column:
     """Unsigned number of 1, 2, 4 or 8 bytes at a zero-based offset; null when the bytes are not all there."""
     at = (offset + 1).cast("int") if isinstance(offset, Column) else F.lit(offset + 1)
@@ -128,7 +139,7 @@ def read_uint(content: Column, offset: Column | int, width: int, little: bool =
     digits = F.hex(data)
     if little:
         digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
-    return F.when(F.length(data) == width, F.conv(digits, 16, 10).cast("bigint"))
+    return F.when(F.length(data) == width, unsigned(F.unhex(digits)) if width == 8 else F.conv(digits, 16, 10).cast("bigint"))
 
 
 def read_int16(content: Column, offset: Column | int) -> Column:

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixsieve.operators import carving as cv
-from pixsieve.sizing import side_for_join
 from pixsieve.sources.dims import STD_QUANT_LUMA, ZIGZAG
 
 
@@ -93,13 +92,22 @@ def test_patches_highest_ordinal_wins(spark, files_of):
     assert all(want[p][o] == v for (p, o), v in winners.items() if o < len(want[p]))
 
 
-def test_patch_limits_are_reported(spark):
-    rows = [("f", 0, 0, 3), ("f", 499, 0, 499), ("f", 500, 0, 1), ("f", 1, 0, 500)]
-    ok, bad = cv.split_patches(spark.createDataFrame(rows, "path STRING, ordinal INT, start INT, len INT"))
-    assert (ok.count(), bad.count()) == (2, 2)
+def test_no_patch_is_too_long_or_too_late(spark, files_of):
+    body = bytes(range(256)) * 4
+    rows = [("f", 600, 5, 600, bytearray(b"\x01" * 600)), ("f", 3, 0, 40, bytearray(b"\x02" * 40)), ("g", 1, 1020, 9, bytearray(b"\x03" * 9)), ("none", 0, 0, 1, bytearray(b"\x04"))]
+    patches = spark.createDataFrame(rows, "path STRING, ordinal INT, start INT, len INT, data BINARY")
+    got = {r.path: bytes(r.content) for r in cv.apply_patches(files_of({"f": body, "g": body, "h": body}), patches).collect()}
+    assert got == {"f": b"\x02" * 5 + b"\x01" * 600 + body[605:], "g": body[:1020] + b"\x03" * 4, "h": body}
 
 
-def test_hunt_matches_brute_force(spark, files_of, monkeypatch):
+def test_untouched_files_stay_out_of_shuffles(spark, files_of):
+    patches = spark.createDataFrame([("f", 0, 0, 1, bytearray(b"z"))], "path STRING, ordinal INT, start INT, len INT, data BINARY")
+    plan = cv.apply_patches(files_of({"f": b"abc"}), patches)._jdf.queryExecution().executedPlan().toString()
+    bare = plan.split("Union")[1].split("MapInArrow")[0]
+    assert "BroadcastHashJoin" in bare and "hashpartitioning(path" not in bare.split("MapInArrow")[0].split("BroadcastExchange")[0]
+
+
+def test_hunt_matches_brute_force(spark, files_of):
     rng = random.Random(11)
     table = [1 + rng.randrange(250) for _ in range(64)]
     wide = [300 + i for i in range(64)]
@@ -117,8 +125,17 @@ def test_hunt_matches_brute_force(spark, files_of, monkeypatch):
     got = {(r.path, r.table_id, r.form, r.pos) for r in cv.hunt(files_of(blobs), needles).collect()}
     assert got == {(p, t, f, h) for p, d in blobs.items() for (t, f), n in lens.items() for h in all_hits(d, n)}
     assert {g[0] for g in got} == {"a", "b", "c", "f"}
-    monkeypatch.setattr(cv, "side_for_join", lambda side, counted, per_row: side_for_join(side, counted, per_row, max_rows=1))
-    assert {(r.path, r.table_id, r.form, r.pos) for r in cv.hunt(files_of(blobs), needles).collect()} == got
+
+
+def test_hunt_of_a_table_that_many_images_share(spark, files_of):
+    rng = random.Random(12)
+    table = [1 + rng.randrange(250) for _ in range(64)]
+    blobs = {f"z{i}": bytes(4000) for i in range(20)} | {"hit": bytes(77) + bytes(table) + bytes(500)}  # zero blocks dominate
+    needles = cv.hunt_needles(spark.createDataFrame([(f"t{i}", table) for i in range(50)], "table_id STRING, table ARRAY<INT>"))
+    hits = cv.hunt_hits(files_of(blobs), needles)
+    assert [(r.path, r.pos, bytes(r.needle)) for r in hits.collect()] == [("hit", 77, bytes(table))]
+    named = cv.hunt(files_of(blobs), needles).collect()
+    assert {r.table_id for r in named} == {f"t{i}" for i in range(50)} and {r.pos for r in named} == {77}
 
 
 def test_hex_rows_and_container(files_of):
@@ -137,3 +154,38 @@ def test_tables_go_in_before_the_scan(files_of):
     f = files_of({"a": b"\xff\xd8\xff\xe9\xff\xdaXX", "b": b"\xff\xc4\xff\xdaXX", "c": b"zz"}).withColumnRenamed("content", "frame")
     got = {r.path: (r.has_tables, bytes(r.frame)) for r in cv.insert_tables(f, b"TAB").collect()}
     assert got == {"a": (False, b"\xff\xd8\xff\xe9TAB\xff\xdaXX"), "b": (True, b"\xff\xc4\xff\xdaXX"), "c": (False, b"zz")}
+
+
+SOI, EOI = b"\xff\xd8", b"\xff\xd9"
+
+
+def segment(code: int, body: bytes) -> bytes:
+    return bytes([0xFF, code]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def camera(thumbnail: bytes, tables: bool = True) -> bytes:
+    """A JPEG whose APP1 holds a whole small JPEG."""
+    dht = segment(0xC4, b"\x00" * 17) if tables else b""
+    return SOI + segment(0xE1, b"Exif\x00\x00" + thumbnail) + segment(0xDB, bytes(65)) + dht + segment(0xDA, b"\x01\x01\x00\x00\x3f\x00") + b"ab\xff\x00cd\xff\xd0ef" + EOI
+
+
+def test_frames_end_at_their_own_eoi(files_of):
+    thumb = SOI + segment(0xC4, bytes(17)) + segment(0xDA, b"\x01\x01\x00\x00\x3f\x00") + b"t" + EOI
+    one, two = camera(thumb), camera(thumb, tables=False)
+    data = b"junk" + one + b"between" + two + b"x" + one[:60]
+    got = cv.jpeg_frames(files_of({"f": data, "none": b"no picture", "empty": b""})).orderBy("frame_no").collect()
+    assert [(r.path, r.frame_no, r.terminated, r.has_tables) for r in got] == [("f", 1, True, True), ("f", 2, True, False), ("f", 3, False, False)]
+    assert [bytes(r.frame) for r in got] == [one, two, one[:60]]
+    assert [r.scan_at for r in got] == [one.rindex(b"\xff\xda"), two.rindex(b"\xff\xda"), -1]
+    fixed = cv.insert_tables(cv.jpeg_frames(files_of({"f": two})), b"TAB").collect()[0]
+    at = two.rindex(b"\xff\xda")
+    assert bytes(fixed.frame) == two[:at] + b"TAB" + two[at:]
+
+
+def test_forced_marks(files_of):
+    whole = camera(b"")
+    cut = whole[2:-2]
+    got = cv.jpeg_frames(files_of({"f": cut}), force_soi=True, force_eoi=True).collect()
+    assert [(bytes(r.frame), r.terminated) for r in got] == [(whole, False)]
+    two = cv.jpeg_frames(files_of({"f": whole + b"tail" + whole}), ignore_end=True).orderBy("frame_no").collect()
+    assert [bytes(r.frame) for r in two] == [whole + b"tail", whole]

@@ -50,7 +50,7 @@ SPANS = {
     "dc": lambda c, s: ch.dc_values(c, span=s).select("path", "seq", "dc"),
     "restart": lambda c, s: ch.restart_check(c, span=s),
     "overrun": lambda c, s: ch.restart_overruns(c, 4, span=s),
-    "cap": lambda c, s: ch.report_cap(c.withColumn("text", F.col("severity")), 9, span=s),
+    "cap": lambda c, s: ch.report_cap(c.withColumn("text", F.col("severity")), 9),
     "offsets": lambda c, s: ch.record_offsets(c, 12, {"a": 2, "b": 4}, span=s).select("path", "seq", "a", "b"),
     "bits": lambda c, s: ch.bit_positions(c, span=s).select("path", "seq", "byte", "bit"),
     "items": lambda c, s: ch.encapsulated_items(
