@@ -10,8 +10,13 @@ from pixsieve.llm.common import stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Rows that a Python worker is handed at once: whole documents pass through, so fewer than Spark's default.
+BATCH_ROWS = "2000"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, learned from the labels of these documents, does not reject."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
