@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -368,7 +369,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def with_score(rows: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], text: str, score: str, drop: str | None = None) -> DataFrame:
-    """The rows with the score of the text column behind them (the column `drop` left out)."""
+    """The rows with the score of the text column (a string, null as empty) behind them; the column `drop` is left out."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # 8 MiB
     names = [c for c in rows.columns if c != drop]
     at = rows.columns.index(text)
@@ -377,20 +378,22 @@ def with_score(rows: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]
         chars, odds, fitted = shared.value
         reader = Reader(chars)
         for batch in batches:
-            texts = batch.column(at)
-            parts = [probability(signals(texts.slice(a, b - a), reader, odds), fitted) for a, b in slices(texts)]
-            kept = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != drop]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*names, score])
+            for a, b in slices(batch.column(at)):  # a slice goes on at once: no second copy of a batch is held
+                part = batch.slice(a, b - a)
+                values = probability(signals(pc.fill_null(part.column(at), ""), reader, odds), fitted)
+                kept = [c for k, c in enumerate(part.columns) if rows_names[k] != drop]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(values)], names=[*names, score])
 
+    rows_names = rows.columns
     schema = T.StructType([*(f for f in rows.schema if f.name != drop), T.StructField(score, T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, labelled_rows: int = LABELLED) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    text, score = free_name(docs, "whole_text"), free_name(docs, "toxicity_score")
+    score = free_name(docs, "toxicity_score")
     model = fit(docs, labels, id_col, text_col, label_col, labelled_rows)
-    scored_rows = with_score(docs.withColumn(text, whole_text(text_col)), model, text, score, drop=text)
+    scored_rows = with_score(docs, model, text_col, score)
     return scored_rows.where(F.col(score) < threshold).drop(score)
 
 

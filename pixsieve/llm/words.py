@@ -8,7 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+#: Text handled at once, just below a power of two: tables of powers are kept in such sizes.
+SLICE_BYTES = (2 << 20) - (64 << 10)
 #: Word breaks: space and the control characters 9 to 13. Lower case of A to Z. ASCII punctuation.
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
