@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixsieve.bitmaps import may_hold
 from pixsieve.llm.common import remainder, stored, table, whole_text
 from pixsieve.llm.words import bytes_of, slices
 
@@ -142,7 +143,11 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
     trusted = marks.where("label = 1").select("label_id")
     fifth = remainder("label_id") == 0  # kept out of the model, for the quantiles
-    texts = docs.select(F.col(id_col).cast("long").alias("label_id"), whole_text(text_col).alias("text")).where(~fifth).join(trusted, "label_id", "left_semi").select("text")
+    # a bitmap of fixed size over the ids leaves most other texts where they are; the join behind it, whose sides both grow
+    # with the corpus, is a merge at every size
+    texts = docs.select(F.col(id_col).cast("long").alias("label_id"), whole_text(text_col).alias("text")).where(~fifth)
+    texts = may_hold(texts, F.xxhash64("label_id"), trusted.select(F.xxhash64("label_id").alias("h"))).where("__may").drop("__may")
+    texts = texts.join(trusted.hint("merge"), "label_id", "left_semi").select("text")
     logs = log_table(kneser_ney(run_counts(texts)))
     scored = stored(perplexities(docs, logs, id_col, text_col, lang_col), "perplexities")
     known = scored.join(trusted, F.col("doc_id") == F.col("label_id"), "left_semi")
