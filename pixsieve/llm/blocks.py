@@ -33,7 +33,7 @@ def packed_rows(rows: DataFrame, blocks: int, key: Column) -> DataFrame:
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -60,12 +60,12 @@ def unpacked(packed: pa.ChunkedArray | pa.Array) -> pa.Table:
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays of one message, compressed. Sorted 64-bit keys travel as their differences, byte planes apart."""
+    """Arrays of one message, compressed, byte planes apart; sorted 64-bit keys travel as their differences."""
     parts, head = [], []
     for a in arrays:
         ascending = a.dtype == np.uint64 and len(a) > 1 and bool((a[1:] >= a[:-1]).all())
-        body = np.diff(a, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T if ascending else a
-        parts.append(np.ascontiguousarray(body).tobytes())
+        body = np.ascontiguousarray(np.diff(a, prepend=np.uint64(0)) if ascending else a)
+        parts.append(np.ascontiguousarray(body.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
         head.append((a.dtype.str, len(a), ascending))
     raw = json.dumps(head).encode().ljust(64) + b"\n" + b"".join(parts)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
@@ -77,9 +77,11 @@ def unpack_arrays(packed: bytes | pa.Buffer) -> list[np.ndarray]:
     at = raw.index(b"\n") + 1
     out = []
     for kind, n, ascending in json.loads(raw[:at]):
-        a = np.frombuffer(raw, kind, n, at)
-        at += a.nbytes
-        out.append(np.cumsum(np.ascontiguousarray(a.view(np.uint8).reshape(8, n).T).view(np.uint64).ravel()) if ascending else a)
+        kind = np.dtype(kind)
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        at += planes.nbytes
+        a = np.ascontiguousarray(planes.T).view(kind).ravel()
+        out.append(np.cumsum(a) if ascending else a)
     return out
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixsieve.llm.blocks import answered, blocks_for, by_shard, messages, pack_arrays, packed_rows, shard_bits, unpack_arrays, unpacked
+from pixsieve.llm.blocks import MESSAGE, blocks_for, by_shard, messages, pack_arrays, packed_rows, shard_bits, unpack_arrays, unpacked
 from pixsieve.llm.common import remainder, stored, table, whole_text
 from pixsieve.llm.words import BASE, mixed, slices, word_hashes
 
@@ -55,19 +55,20 @@ def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def ask(bits: int):
-    """A block's messages: kind 0 its words and kind 1 its pairs, with training counts; pairs also with their first word."""
+    """A block's messages, with training counts: to even shards its words, to odd ones its pairs, those of training text
+    with the place of their first word among the block's words."""
 
     def run(key, part):
         block = key[0].as_py()
         rows = unpacked(part["packed"])
         words, counts = block_words(rows)
         train = np.repeat(~rows["held_out"].to_numpy(), counts)
-        out = [(2 * s, block, pack_arrays(k[a:b], n[a:b])) for k, n in [counted(words, train)] for s, a, b in by_shard(k, bits)]
+        vocabulary, n = counted(words, train)
+        out = [(2 * s, block, pack_arrays(vocabulary[a:b], n[a:b])) for s, a, b in by_shard(vocabulary, bits)]
         pairs, at = pair_keys(words, counts)
         found, n = counted(pairs, train[at])
-        before = np.zeros(len(found), np.uint64)
-        before[np.searchsorted(found, pairs)] = words[at - 1]
-        # a pair that no training text here holds asks only; its first word is known to whoever counted it
+        before = np.zeros(len(found), np.uint32)
+        before[np.searchsorted(found, pairs)] = np.searchsorted(vocabulary, words[at - 1])
         some = n > 0
         for s, a, b in by_shard(found, bits):
             out.append((2 * s + 1, block, pack_arrays(found[a:b], n[a:b], before[a:b][some[a:b]])))
@@ -90,8 +91,9 @@ COUNTED = "shard int, block int, packed binary, kind int"
 
 
 def count_shard(bits: int):
-    """Sums of a shard: replies to the blocks (kind 0: totals in asking order), what kept pairs hold of their first words
-    (kind 1, to the words' shards), and its sums over all keys (kind 2)."""
+    """Sums of a shard: replies to the blocks (kind 0: totals in asking order); of words, the blocks' questions again (kind
+    4); of pairs, what the kept ones hold of their first words, each told to one block that counted it (kind 1); and sums
+    over all keys (kind 2)."""
 
     def run(key, part):
         part = part.sort_by("block")
@@ -100,15 +102,18 @@ def count_shard(bits: int):
         keys, places, total = merge(asked)
         out = [(shard, b, pack_arrays(total[at].astype(np.uint32 if total.max(initial=0) < 1 << 32 else np.int64)), 0) for b, at in zip(blocks, places, strict=True)]
         if shard % 2:
-            before = np.zeros(len(keys), np.uint64)
-            for at, m in zip(places, asked, strict=True):
-                before[at[m[1] > 0]] = m[2]
-            kept = np.flatnonzero(total >= KEPT)
-            word, at = np.unique(before[kept], return_inverse=True)
-            held = [np.bincount(at, weights=w, minlength=len(word)).astype(np.int64) for w in (total[kept], total[kept] == 2, total[kept] > 2)]
-            out += [(2 * s, -1 - shard, pack_arrays(word[a:b], *(x[a:b] for x in held)), 1) for s, a, b in by_shard(word, bits)]
+            told = np.zeros(len(keys), bool)
+            for b, at, m in zip(blocks, places, asked, strict=True):
+                own = at[m[1] > 0]
+                mine = np.flatnonzero(~told[own] & (total[own] >= KEPT))
+                told[own] = True
+                word, where = np.unique(m[2][mine], return_inverse=True)
+                n = total[own[mine]]
+                held = [np.bincount(where, weights=w, minlength=len(word)).astype(np.int64) for w in (n, n == 2, n > 2)]
+                out.append((shard, b, pack_arrays(word, *held), 1))
             sums = [int((total == k).sum()) for k in (1, 2, 3, 4)]
         else:
+            out += [(shard, b, pack_arrays(m[0]), 4) for b, m in zip(blocks, asked, strict=True)]
             sums = [int(total.sum()), int((total > 0).sum())]
         out.append((shard, -1, pack_arrays(np.array(sums, np.int64)), 2))
         cols = list(zip(*out, strict=True))
@@ -117,6 +122,25 @@ def count_shard(bits: int):
     return run
 
 
+def spell_block(bits: int):
+    """For a block: what it was told of its words' places (kind 1), by the words themselves, to the words' shards."""
+
+    def run(key, told, words):
+        if not told.num_rows or not words.num_rows:
+            return messages([])
+        # shards are ranges of keys: in their order the block's questions are its sorted words
+        vocabulary = np.concatenate([unpack_arrays(x.as_buffer())[0] for x in words.sort_by("of_shard")["keys"]])
+        sums = np.zeros((3, len(vocabulary)), np.int64)
+        for x in told["packed"]:
+            word, *parts = unpack_arrays(x.as_buffer())
+            for k in range(3):
+                sums[k][word] += parts[k]
+        some = np.flatnonzero(sums[0])
+        return messages([(2 * s, key[0].as_py(), pack_arrays(vocabulary[some[a:b]], *(x[some[a:b]] for x in sums))) for s, a, b in by_shard(vocabulary[some], bits)])
+
+    return run
+
+
 def weigh_shard(key, asked, held):
     """For a shard of words: to each block, what kept pairs hold of each of its words as first word (count, twos, more)."""
     if not asked.num_rows:
@@ -238,7 +262,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     blocks = blocks_for(rows, F.col("text"), block_bytes)
     bits = shard_bits(blocks)
     packed = packed_rows(rows, blocks, F.struct("id", "text"))
-    asked = stored(packed.groupBy("block").applyInArrow(ask(bits), "shard int, block int, packed binary"), "lm-asked", "uncompressed")
+    asked = packed.groupBy("block").applyInArrow(ask(bits), MESSAGE)
     counts = stored(asked.groupBy("shard").applyInArrow(count_shard(bits), COUNTED), "lm-counts", "uncompressed")
     n_train = n_words = 0
     sums = np.zeros(4, np.int64)
@@ -248,8 +272,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
             sums += found
         else:
             n_train, n_words = n_train + int(found[0]), n_words + int(found[1])
-    words = asked.where("shard % 2 = 0").groupBy("shard")
-    held = words.cogroup(counts.where("kind = 1").groupBy("shard")).applyInArrow(weigh_shard, "shard int, block int, packed binary")
+    words = counts.where("kind = 4").drop("kind")
+    # both sides come from one table: the second takes column names of its own
+    asked_words = words.select(F.col("shard").alias("of_shard"), F.col("block").alias("at_block"), F.col("packed").alias("keys"))
+    held = counts.where("kind = 1").drop("kind").groupBy("block").cogroup(asked_words.groupBy("at_block")).applyInArrow(spell_block(bits), MESSAGE)
+    held = words.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(weigh_shard, MESSAGE)
     replies = counts.where("kind = 0").union(held.withColumn("kind", F.lit(3)))
     scored = packed.groupBy("block").cogroup(replies.groupBy("block"))
     return scored.applyInArrow(score_block(bits, n_train, n_words, discounts(*sums.tolist())), SCORED)
