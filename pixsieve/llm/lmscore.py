@@ -19,7 +19,7 @@ from pixsieve.llm.blocks import MESSAGE, blocks_for, by_shard, messages, pack_ar
 from pixsieve.llm.common import remainder, stored, table, whole_text
 from pixsieve.llm.words import BASE, mixed, slices, word_hashes
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 11 << 20
 #: Pairs that occur less often are left to the backoff.
 KEPT = 2
 END = np.uint64(0xE17A1465E17A1465)
