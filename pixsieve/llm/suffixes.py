@@ -33,7 +33,9 @@ from pixsieve.llm.radix import common_prefix
 from pixsieve.llm.words import BASE, INVERSE, bytes_of, mixed, powers, room, slices
 
 LENGTH = 100
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
+#: Text whose anchors are worked out at once: the windows' minima take some 60 bytes for each of its bytes.
+ANCHOR_BYTES = (1 << 19) - (1 << 12)
 
 
 def anchors(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +80,7 @@ class Block:
         self.ids = rows["id"].fill_null(0).to_numpy()
         bodies, sizes, parts, base = [], [], [], 0
         for chunk in rows["text"].chunks:
-            for a, b in slices(chunk):
+            for a, b in slices(chunk, ANCHOR_BYTES):
                 body, offsets = bytes_of(chunk.slice(a, b - a))
                 place, first, last, h = anchors(body, offsets, length)
                 parts.append((place + base, first + base, last + base, h))
