@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import table, whole_text
+from pixsieve.llm.common import stored, table, whole_text
 
 # Fixed values of the HTML standard: elements that hold no text, elements that end a block, elements without an end tag.
 SILENT = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "math", "select", "option", "canvas", "audio", "video", "noembed", "noframes", "xmp"}
@@ -252,6 +252,7 @@ def stop_words(pages: DataFrame, html_col: str = "html", share: float = 0.004) -
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "word", "n"])
 
     counts = pages.select(whole_text(html_col)).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "page-words")
     totals = counts.where("word IS NULL").select(F.col("lang").alias("l"), F.col("n").alias("total"))
     often = counts.where("word IS NOT NULL").join(totals, F.col("lang") == F.col("l")).where(F.col("n") >= share * F.col("total"))
     # at most 1 / share words a language; a language of few words in all is of no use and left out
