@@ -2,9 +2,9 @@
 
 Five-word shingles are labelled with their occurrence number. A sketch takes the `picked` smallest labelled shingles under
 its own hash and keeps them in text order, so two texts share a sketch with a probability that falls with their edit
-distance. Texts that share a sketch are compared with the first text of that sketch, never all with all; those that turn
-out unlike it are compared with what the triangle inequality of the indel distance and shingle histograms (exact bounds)
-leave of the others, so that no link is lost. A comparison aligns the two shingle sequences in a band just wide enough for
+distance. Texts that share a sketch are compared with the one of them that shares most in all, never all with all; those that turn
+out unlike it are compared with what exact bounds (lengths, shingles that no other text has, the triangle inequality of the indel
+distance, shingle histograms) leave of the others, so that no link is lost. A comparison aligns the two shingle sequences in a band just wide enough for
 the threshold: matched shingles over all distinct ones must reach it. Classes are the connected components.
 """
 
@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import stored, table, tagged, whole_text
+from pixsieve.llm.common import free_name, one_row_each, row_key, stored, table, text_key, whole_text
 from pixsieve.llm.components import components
 from pixsieve.llm.words import mixed, shingles, slices, word_hashes
 
@@ -26,8 +26,9 @@ SIMILARITY = 0.8
 SKETCHES, PICKED = 24, 5
 #: Texts of few shingles also get sketches of two, which a missing shingle spoils less often.
 SHORT, SHORT_SKETCHES, SHORT_PICKED = 16, 12, 2
-BINS = 64
-SKETCH_ROWS = "sketch int, key long, body long, tag long, n int, bins binary"
+#: Bins of the shingle histograms that bound a pair's matches.
+COARSE, BINS = 32, 512
+SKETCH_ROWS = "sketch int, key long, tag binary, n int"
 
 
 def labelled(h: np.ndarray, per: np.ndarray) -> np.ndarray:
@@ -66,19 +67,18 @@ def salts_of(n: int, first: int) -> np.ndarray:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """From (tag, body, text): a row per sketch, and one with sketch -1 that carries the text's shingle histogram."""
+    """From (tag, text), tag naming the text: a row per sketch."""
     salts, short_salts = salts_of(SKETCHES, 1), salts_of(SHORT_SKETCHES, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(2)):
-                words, counts, _, _ = word_hashes(batch.column(2).slice(a, b - a))
+            for a, b in slices(batch.column(1)):
+                words, counts, _, _ = word_hashes(batch.column(1).slice(a, b - a))
                 h, per = shingles(words, counts, SHINGLE, short=True)
                 marked = labelled(h, per)
                 ends = np.cumsum(per)
-                tags = batch.column(0).slice(a, b - a).to_numpy()
-                bodies = batch.column(1).slice(a, b - a).to_numpy()
-                keys, numbers, at, bins = [], [], [], []
+                tags = batch.column(0).slice(a, b - a)
+                keys, numbers, at = [], [], []
                 for d in np.flatnonzero(per):
                     own = marked[ends[d] - per[d] : ends[d]]
                     keys.append(sketch_keys(own, salts, PICKED))
@@ -87,18 +87,13 @@ def sketches(rows: DataFrame) -> DataFrame:
                         keys.append(sketch_keys(own, short_salts, SHORT_PICKED))
                         numbers.append(np.arange(SKETCHES, SKETCHES + SHORT_SKETCHES))
                     at.append(np.full(SKETCHES + (SHORT_SKETCHES if per[d] < SHORT else 0), d))
-                    bins.append(np.bincount((h[ends[d] - per[d] : ends[d]] >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes())
-                some = np.flatnonzero(per)
-                key = np.concatenate([*keys, bodies[some].view(np.uint64)]) if keys else np.zeros(0, np.uint64)
-                number = np.concatenate([*numbers, np.full(len(some), -1)]) if keys else np.zeros(0, np.int64)
-                doc = np.concatenate([*at, some]).astype(np.int64) if keys else np.zeros(0, np.int64)
-                carried = pa.concat_arrays([pa.nulls(len(key) - len(some), pa.binary()), pa.array(bins, pa.binary())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(number, pa.int32()), pa.array(key.view(np.int64)), pa.array(bodies[doc]), pa.array(tags[doc]), pa.array(per[doc], pa.int32()), carried],
-                    names=[x.split()[0] for x in SKETCH_ROWS.split(", ")],
-                )
+                key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                number = np.concatenate(numbers) if keys else np.zeros(0, np.int64)
+                doc = np.concatenate(at).astype(np.int64) if keys else np.zeros(0, np.int64)
+                columns = [pa.array(number, pa.int32()), pa.array(key.view(np.int64)), tags.take(pa.array(doc)), pa.array(per[doc], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH_ROWS.split(", ")])
 
-    return rows.select("tag", "body", "text").mapInArrow(run, SKETCH_ROWS)
+    return rows.select("tag", "text").mapInArrow(run, SKETCH_ROWS)
 
 
 def least_matches(n1: int, n2: int, similarity: float) -> int:
@@ -156,7 +151,7 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     left = texts.select(F.col("tag").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("tag").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return joined.mapInArrow(run, "a long, b long, distance long, alike boolean")
+    return joined.mapInArrow(run, "a binary, b binary, distance long, alike boolean")
 
 
 def numbers(texts: pa.Array) -> list[np.ndarray]:
@@ -169,25 +164,25 @@ def numbers(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def shared_bins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a, b).sum(axis=1)
-
-
 def links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between the first rows of different texts, from (tag, body, text).
+    """Verified links (a, b) between different texts, from (tag, text), tag naming the text.
 
     Every pair of one sketch is linked directly, or through texts that it is linked with, or shown to be unlike.
     """
     drawn = stored(sketches(rows), "sketches")
-    member = drawn.where("sketch >= 0").groupBy("sketch", "key", "body").agg(F.min("tag").alias("tag"), F.min("n").alias("n"))
+    member = drawn.groupBy("sketch", "key", "tag").agg(F.min("n").alias("n"))
     member = stored(member, "members")
-    bucket = member.groupBy("sketch", "key").agg(F.min(F.struct("tag", "n")).alias("head"), F.count("*").alias("held")).where("held > 1")
-    starred = member.join(bucket.select("sketch", "key", "head"), ["sketch", "key"]).where("tag <> head.tag")
+    bucket = member.groupBy("sketch", "key").agg(F.count("*").alias("held")).where("held > 1")
+    shared = stored(member.join(bucket, ["sketch", "key"]), "shared-sketches")
+    # the head of a sketch is the text that shares most over all its sketches: the original of edited copies, if it is there
+    fame = shared.groupBy("tag").agg(F.sum("held").alias("fame"))
+    heads = shared.join(fame, "tag").groupBy("sketch", "key").agg(F.max(F.struct("fame", "tag", "n")).alias("head"))
+    starred = shared.join(heads, ["sketch", "key"]).where("tag <> head.tag")
     starred = stored(starred.select("sketch", "key", "tag", "n", F.col("head.tag").alias("head"), F.col("head.n").alias("head_n")), "starred")
     fits = F.least("n", "head_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "head_n")
     first = starred.where(fits).select(F.col("head").alias("a"), F.col("tag").alias("b")).distinct()
     involved = starred.select("tag").union(starred.select("head")).distinct()
-    texts = stored(rows.select("tag", "text").join(involved, "tag"), "near-texts")
+    texts = stored(one_row_each(rows.select("tag", "text").join(involved, "tag", "left_semi"), "tag"), "near-texts")
     seen = stored(compared(first, texts, similarity), "compared")
     # what is unlike its head may be like another member of the sketch
     known = seen.select(F.col("a").alias("head"), F.col("b").alias("tag"), "distance", "alike")
@@ -198,20 +193,80 @@ def links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.coalesce("distance", (F.col("n") + F.col("head_n")).cast("long")).alias("farthest"),
     )
     judged = stored(judged, "judged")
-    stray = judged.where("NOT alike").select("sketch", "key", *(F.col(c).alias(f"s_{c}") for c in ("tag", "n", "nearest", "farthest")))
+    astray = judged.groupBy("sketch", "key").agg(F.bool_or(~F.col("alike")).alias("some"), F.min("n").alias("least_n")).where("some").drop("some")
+    open_sketches = judged.join(astray, ["sketch", "key"], "left_semi").select("tag").distinct()
+    open_texts = texts.join(open_sketches, "tag", "left_semi")
+    lone = stored(lone_shingles(open_texts), "lone-shingles")
+    # a shingle that no other text of these sketches has matches nothing: what is left must do
+    usable = judged.join(lone, "tag", "left").withColumn("usable", F.col("n") - F.coalesce("lone", F.lit(0)))
+    share = F.lit(similarity / (1 + similarity))
+    enough = lambda usable, n, other: F.col(usable) >= share * (F.col(n) + F.col(other)) - 1e-6
+    members = usable.join(astray, ["sketch", "key"]).where(enough("usable", "n", "least_n") & (F.col("usable") >= F.lit(similarity - 1e-9) * F.col("n")))
+    members = stored(members.drop("least_n", "lone").join(histograms(open_texts), "tag"), "open-members")
+    stray = members.where("NOT alike").select("sketch", "key", *(F.col(c).alias(f"s_{c}") for c in ("tag", "n", "nearest", "farthest", "usable", "coarse", "bins")))
+    at_most = lambda c: F.aggregate(F.zip_with(c, f"s_{c}", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    need = share * (F.col("n") + F.col("s_n")) - 1e-6
     gap = F.greatest(F.col("s_nearest") - F.col("farthest"), F.col("nearest") - F.col("s_farthest"))
     room = (F.col("n") + F.col("s_n")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
-    more = stray.join(judged, ["sketch", "key"]).where((F.col("tag") != F.col("s_tag")) & (F.col("alike") | (F.col("tag") > F.col("s_tag"))))
-    more = more.where((F.least("n", "s_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "s_n")) & (gap <= room))
+    more = stray.join(members, ["sketch", "key"]).where(
+        (F.col("tag") != F.col("s_tag")) & (F.col("alike") | (F.col("tag") > F.col("s_tag")))
+        & (F.least("n", "s_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "s_n")) & (gap <= room)
+        & enough("usable", "n", "s_n") & enough("s_usable", "n", "s_n")
+        # the dearer a bound, the later
+        & F.when(enough("usable", "n", "s_n") & enough("s_usable", "n", "s_n") & (gap <= room), F.when(at_most("coarse") >= need, at_most("bins") >= need)).eqNullSafe(True)
+    )
     more = more.select(F.least("tag", "s_tag").alias("a"), F.greatest("tag", "s_tag").alias("b")).distinct()
     linked = components(seen.where("alike"), "first-classes")
     of = lambda side: linked.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
     open_pairs = more.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    possible = by_histogram(open_pairs, drawn.where("sketch = -1").select("tag", "n", "bins"), similarity)
-    late = compared(stored(possible, "possible"), texts, similarity)
+    late = compared(stored(open_pairs, "possible"), texts, similarity)
     return stored(seen.where("alike").select("a", "b").union(late.where("alike").select("a", "b")), "links")
 
 
+def lone_shingles(texts: DataFrame) -> DataFrame:
+    """From different texts (tag, text): tag, lone (how many of a text's shingles stand in no other of them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, own in enumerate(numbers(batch.column(1))):
+                h, n = np.unique(own, return_counts=True)
+                tags = batch.column(0).take(pa.array(np.full(len(h), k)))
+                yield pa.RecordBatch.from_arrays([tags, pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["tag", "h", "n"])
+
+    each = texts.select("tag", "text").mapInArrow(run, "tag binary, h long, n long")
+    single = each.groupBy("h").agg(F.count("*").alias("held"), F.min("tag").alias("tag"), F.min("n").alias("n")).where("held = 1")
+    return single.groupBy("tag").agg(F.sum("n").alias("lone"))
+
+
+def histograms(texts: DataFrame) -> DataFrame:
+    """From different texts (tag, text): tag, coarse and bins (shingles by the leading bits of their number)."""
+    bits = np.uint64(64 - (BINS - 1).bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = [np.bincount((own >> bits).astype(np.int64), minlength=BINS) for own in numbers(batch.column(1))]
+            coarse = [b.reshape(COARSE, -1).sum(axis=1) for b in bins]
+            columns = [pa.array(x, pa.list_(pa.int32())) for x in (coarse, bins)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["tag", "coarse", "bins"])
+
+    return texts.select("tag", "text").mapInArrow(run, "tag binary, coarse array<int>, bins array<int>")
+
+
+def lone_shingles(texts: DataFrame) -> DataFrame:
+    """From different texts (tag, text): tag, lone (how many of a text's shingles stand in no other of them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, own in enumerate(numbers(batch.column(1))):
+                h, n = np.unique(own, return_counts=True)
+                tags = batch.column(0).take(pa.array(np.full(len(h), k)))
+                yield pa.RecordBatch.from_arrays([tags, pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["tag", "h", "n"])
+
+    each = texts.select("tag", "text").mapInArrow(run, "tag binary, h long, n long")
+    single = each.groupBy("h").agg(F.count("*").alias("held"), F.min("tag").alias("tag"), F.min("n").alias("n")).where("held = 1")
+    return single.groupBy("tag").agg(F.sum("n").alias("lone"))
+
+
 def by_histogram(pairs: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle histograms leave room for enough matches: an exact upper bound."""
 
@@ -224,41 +279,48 @@ def by_histogram(pairs: DataFrame, bins: DataFrame, similarity: float) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(names.index(c)).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     side = lambda s: bins.select(F.col("tag").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
-
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, tag: str | None = None) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), class_size (rows), n_links, kept (one row a class); `tag` too if named.
 
-    Words are compared without case (A to Z). A null text counts as empty. Equal texts are one class; texts without words
-    are alike only if equal; a text of fewer than five words has one shingle of them all. n_links counts the different texts
-    that this one was verified with; class ids are null where all ids of the class are. Of a class the row with the smallest
-    id stays, null ids last, ties by place. An empty table gives no rows; other columns are not read.
-    """
-    docs, own = (docs, tag) if tag else tagged(docs, id_col, text_col)
+def near_nodes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """One row per different text: tag, held (rows), n_links, class_size, has_id and first (the class's smallest id), best (the row key that stays)."""
     text = whole_text(text_col)
-    rows = docs.select(F.col(own).alias("tag"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("body"), text.alias("text"))
-    found = links(rows.select("tag", "body", "text"), similarity)
+    rows = docs.select(text_key(text).alias("tag"), F.col(id_col).cast("long").alias("id"), row_key(id_col, text).alias("row"), text.alias("text"))
+    found = links(rows.select("tag", "text"), similarity)
     labels = components(found, "classes")
     ends = found.select(F.col("a").alias("node"), F.col("b").alias("other")).union(found.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    keyed = rows.select("tag", "id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    copies = keyed.groupBy("digest").agg(F.min("tag").alias("node"), F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("best"), F.count("*").alias("held"))
-    nodes = copies.join(labels, "node", "left").join(degree, "node", "left").select("digest", "best", "held", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "node").alias("label"))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
+    copies = rows.groupBy(F.col("tag").alias("node")).agg(best.alias("best"), F.count("*").alias("held"))
+    nodes = copies.join(labels, "node", "left").join(degree, "node", "left").select("node", "best", "held", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "node").alias("label"))
     nodes = stored(nodes, "near-nodes")
     classes = nodes.groupBy("label").agg(F.min("best").alias("first"), F.sum("held").alias("class_size"))
-    placed = nodes.join(classes, "label").select("digest", "n_links", "first", "class_size")
-    return keyed.join(placed, "digest").select(
-        F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", "n_links", (F.col("tag") == F.col("first.tag")).alias("kept"),
-        *([F.col("tag").alias(tag)] if tag else []),
+    return nodes.join(classes, "label").select(F.col("node").alias("tag"), "n_links", "first", "class_size")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id of its class), class_size (rows), n_links, kept (one row a class).
+
+    Words are compared without case (A to Z). A null text counts as empty. Equal texts are one class; texts without words
+    are alike only if equal; a text of fewer than five words has one shingle of them all. n_links counts the different texts
+    that this one was verified with; class ids are null where all ids of the class are. Of a class the row with the smallest
+    id stays, null ids last, one of rows equal in id and text. An empty table gives no rows; other columns are not read.
+    """
+    text = whole_text(text_col)
+    number = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(0)))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("tag"), row_key(id_col, text).alias("row")).withColumn("number", number)
+    return keyed.join(near_nodes(docs, id_col, text_col, similarity), "tag").select(
+        F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", "n_links",
+        ((F.col("row") == F.col("first.row")) & (F.col("number") == 1)).alias("kept"),
     )
 
 
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One document of every class, with all its columns."""
-    rows, tag = tagged(docs, id_col, text_col)
-    gone = near_classes(rows, id_col, text_col, similarity, tag).where("NOT kept").select(tag)
-    return rows.join(gone, tag, "left_anti").drop(tag)
+    key = free_name(docs, "row_key")
+    stay = near_nodes(docs, id_col, text_col, similarity).select(F.col("first.row").alias(key)).distinct()
+    rows = docs.withColumn(key, row_key(id_col, whole_text(text_col))).join(stay, key, "left_semi")
+    return one_row_each(rows, key).drop(key)
 
 
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
