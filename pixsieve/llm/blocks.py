@@ -105,13 +105,17 @@ def messages(rows: list[tuple[int, int, bytes]], names: tuple[str, str, str] = (
     return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=list(names))
 
 
-def answered(requests: DataFrame, answer: Callable[[list[list[np.ndarray]]], list[tuple[np.ndarray, ...]]]) -> DataFrame:
-    """Per shard the answers to all blocks: answer gets each block's arrays and gives each block's reply."""
+Answer = Callable[[list[list[np.ndarray]]], list[tuple[np.ndarray, ...]]]
+
+
+def answered(requests: DataFrame, answer: Answer, odd: Answer | None = None) -> DataFrame:
+    """Per shard the answers to all blocks: answer gets each block's arrays and gives each block's reply; odd, if given, does so in shards of odd number."""
 
     def run(key, asked):
         asked = asked.sort_by("block")
         blocks = asked["block"].to_pylist()
-        replies = answer([unpack_arrays(x.as_buffer()) for x in asked["packed"]])
+        own = odd if odd and key[0].as_py() % 2 else answer
+        replies = own([unpack_arrays(x.as_buffer()) for x in asked["packed"]])
         return messages([(key[0].as_py(), b, pack_arrays(*r)) for b, r in zip(blocks, replies, strict=True)])
 
     return requests.groupBy("shard").applyInArrow(run, MESSAGE)

@@ -4,18 +4,23 @@ Every string of `length` bytes has an anchor inside it, chosen by its content al
 smallest hash. So equal strings have their anchors at the same place, and it is enough to sort the suffixes that begin at
 anchors (about one position in 26) together with the bytes that stand before them.
 
-1. Blocks of documents send the hashes of their anchors' runs to shards (hash ranges), which answer where a run stands in
-   another block too; an anchor whose run is unique belongs to no repeated string and is done with.
+1. Blocks of documents send the hashes of their anchors' runs to shards (hash ranges), each with the number of different
+   surroundings it has in the block. Shards answer where a run stands in another block too; an anchor whose run is unique
+   belongs to no repeated string and is done with. A run of more surroundings than a few a block is hot.
 2. Each block sorts what is left, drops suffixes equal in all their bytes to an earlier one of the block (they are
    repeats), and sends each shard a sorted, front-coded run: per suffix the length of the prefix shared with the one before
    and the bytes after it.
 3. A shard merges the runs of all blocks with a loser tree that compares prefix lengths first and bytes only beyond them.
    The merge also yields the shared prefixes of neighbours, hence for every depth the groups of equal right parts; the left
    parts are ranked likewise. A string is a right group and a left group; all but its earliest place are repeats.
-4. Blocks mark the bytes of repeated strings, count and hash what is left.
-
-Strings are compared by their bytes; hashes only choose anchors and shards. Equal suffixes of a block travel once, so a
-passage that very many documents share costs a shard one entry per block.
+4. The anchors of hot runs take no part in 2 and 3, as all of a run's entries meet in one shard. Each of their strings goes
+   its own way, by the hash of all its bytes: blocks ask which strings another block has too, send the bytes and earliest
+   place of those, and shards answer which stand earlier. The edges of a hot line, different in every document, end with the
+   question.
+5. Blocks mark the bytes of repeated strings, count and hash what is left.
+
+Strings are compared by their bytes; hashes only choose anchors and shards. Equal suffixes of a block travel once, and so do
+equal strings of hot runs: a run costs a shard a few entries per block, however many documents hold it in whatever text.
 """
 
 from __future__ import annotations
@@ -36,15 +41,20 @@ LENGTH = 100
 BLOCK_BYTES = 6 << 20
 #: Text whose anchors are worked out at once: the windows' minima take some 60 bytes for each of its bytes.
 ANCHOR_BYTES = (1 << 19) - (1 << 12)
+#: A run is hot with more different surroundings than this in all, and than so many for each block.
+HOT, HOT_PER_BLOCK = 256, 2
+#: Strings whose bytes are gathered at once.
+GATHERED = 1 << 14
 
 
-def anchors(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per anchor: its place, the first and last start of a string that it anchors, and its run's hash. Strings lie inside a text."""
+def anchors(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per anchor: its place, the first and last start of a string that it anchors, its run's hash, and that of all its
+    strings' bytes and its place in them. Strings lie inside a text."""
     k = length // 2
     n = len(body)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     size = room(n)
     running = np.zeros(n + 1, np.uint64)
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers(BASE, size)[:n], out=running[1:])
@@ -63,11 +73,12 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     valid = starts + length <= offsets[text + 1]
     starts, where, text = starts[valid], where[valid].astype(np.int64), text[valid]
     if not len(starts):
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     begins = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (text[1:] != text[:-1])]))
     ends = np.append(begins[1:], len(starts)) - 1
-    place = where[begins]
-    return place, starts[begins], starts[ends], h[place]
+    place, first, last = where[begins], starts[begins], starts[ends]
+    around = mixed((running[last + length] - running[first]) * powers(INVERSE, size)[first] + (last - first).astype(np.uint64))
+    return place, first, last, h[place], mixed(around + (place - first).astype(np.uint64))
 
 
 class Block:
@@ -82,8 +93,8 @@ class Block:
         for chunk in rows["text"].chunks:
             for a, b in slices(chunk, ANCHOR_BYTES):
                 body, offsets = bytes_of(chunk.slice(a, b - a))
-                place, first, last, h = anchors(body, offsets, length)
-                parts.append((place + base, first + base, last + base, h))
+                place, first, last, h, around = anchors(body, offsets, length)
+                parts.append((place + base, first + base, last + base, h, around))
                 bodies.append(body)
                 sizes.append(np.diff(offsets))
                 base += len(body)
@@ -91,17 +102,46 @@ class Block:
         self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
         none = np.zeros(0, np.int64)
-        self.place, self.first, self.last, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none.astype(np.uint64))
+        empty = (none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        self.place, self.first, self.last, self.hash, self.around = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
 
-    def survivors(self, replies, bits: int) -> tuple[list[tuple], list[int], np.ndarray]:
-        """The anchors whose run is not unique: (shard, suffix, bytes before reversed, least and most bytes before, row, place),
-        sorted and without repeats of a suffix, what each stands for among the block's anchors, and the repeats."""
+    def kinds(self, replies, bits: int) -> np.ndarray:
+        """Per anchor whether its run is unique (0), stands elsewhere too (1), or is hot (2)."""
         keys, at, n = np.unique(self.hash, return_inverse=True, return_counts=True)
-        common = n > 1
-        got = dict(zip(replies["shard"].to_pylist(), replies["packed"], strict=True))
-        for s, a, b in by_shard(keys, bits):
-            common[a:b] |= unpack_arrays(got[s].as_buffer())[0]
-        kept = np.flatnonzero(common[at])
+        kind = (n > 1).astype(np.uint8)
+        for (s, a, b), own in zip(by_shard(keys, bits), answers(replies, keys, bits), strict=True):
+            kind[a:b] = np.maximum(kind[a:b], own)
+        return kind[at]
+
+    def strings(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The strings of hot runs: where they start, in order, their hashes, and which of them is the first with the same bytes.
+        One whose hash, but not bytes, an earlier one has counts as a first."""
+        hot = np.flatnonzero(kinds == 2)
+        n = self.last[hot] - self.first[hot] + 1
+        starts = np.repeat(self.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        h = np.zeros(len(starts), np.uint64)
+        for a in range(0, len(starts), GATHERED):
+            at, own = starts[a : a + GATHERED], h[a : a + GATHERED]
+            for j in range(self.length):
+                own[:] = own * np.uint64(BASE) + (self.body[at + j].astype(np.uint64) + np.uint64(1))
+        h = mixed(h)
+        _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+        of = rep[inverse]
+        again = np.flatnonzero(of != np.arange(len(of)))
+        for a in range(0, len(again), GATHERED):
+            own = again[a : a + GATHERED]
+            other = own[(self.gathered(starts[own]) != self.gathered(starts[of[own]])).any(axis=1)]
+            of[other] = other
+        return starts, h, of
+
+    def gathered(self, starts: np.ndarray) -> np.ndarray:
+        """The bytes of strings, one a row."""
+        return self.body[starts[:, None] + np.arange(self.length)]
+
+    def survivors(self, kinds: np.ndarray, bits: int) -> tuple[list[tuple], list[int], np.ndarray]:
+        """The anchors whose run is neither unique nor hot: (shard, suffix, bytes before reversed, least and most bytes before,
+        row, place), sorted and without repeats of a suffix, what each stands for among the block's anchors, and the repeats."""
+        kept = np.flatnonzero(kinds == 1)
         raw, shards = self.body.tobytes(), shards_of(self.hash[kept], bits).tolist()
         text = (np.searchsorted(self.begins, self.place[kept], "right") - 1).tolist()
         rows = []
@@ -123,38 +163,112 @@ def shards_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
+def answers(replies, keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The shards' replies about a block's sorted keys, in the order of by_shard."""
+    got = dict(zip(replies["shard"].to_pylist(), replies["packed"], strict=True))
+    return [unpack_arrays(got[s].as_buffer())[0] for s, _, _ in by_shard(keys, bits)]
+
+
+def of_kind(replies, kind: int):
+    return replies.filter(pa.array([k == kind for k in replies["kind"].to_pylist()], pa.bool_()))
+
+
 def ask_runs(bits: int, length: int):
-    """Phase 1, blocks: the distinct hashes of anchored runs."""
+    """Phase 1, blocks: the distinct hashes of anchored runs, and how many surroundings each has."""
 
     def run(key, part):
-        keys = np.unique(Block(part["packed"], length).hash)
-        return messages([(s, key[0].as_py(), pack_arrays(keys[a:b])) for s, a, b in by_shard(keys, bits)])
+        block = Block(part["packed"], length)
+        order = np.lexsort((block.around, block.hash))
+        h, around = block.hash[order], block.around[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
+        keys, n = np.unique(h[fresh], return_counts=True)
+        n = n.astype(np.uint32)
+        return messages([(s, key[0].as_py(), pack_arrays(keys[a:b], n[a:b])) for s, a, b in by_shard(keys, bits)])
 
     return run
 
 
-def shared_runs(asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray]]:
-    """Phase 1, shards: which hashes another block sent too."""
+def shared_runs(hot: int):
+    """Phase 1, shards: which hashes another block sent too (1), and which have more than `hot` surroundings (2)."""
+
+    def answer(asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray]]:
+        keys, at, n = np.unique(np.concatenate([m[0] for m in asked]), return_inverse=True, return_counts=True)
+        around = np.bincount(at, weights=np.concatenate([m[1] for m in asked]), minlength=len(keys))
+        kind = np.where(around > hot, 2, n > 1).astype(np.uint8)
+        return [(kind[np.searchsorted(keys, m[0])],) for m in asked]
+
+    return answer
+
+
+def shared_strings(asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray]]:
+    """Hot runs, shards: which strings' hashes another block sent too."""
     keys, n = np.unique(np.concatenate([m[0] for m in asked]), return_counts=True)
     return [(n[np.searchsorted(keys, m[0])] > 1,) for m in asked]
 
 
+def shared_firsts(h: np.ndarray, of: np.ndarray, replies, bits: int) -> np.ndarray:
+    """Which strings of hot runs a block sends, sorted by hash: the first of each that another block may have too."""
+    keys, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+    shared = np.concatenate([np.zeros(0, bool), *answers(replies, keys, bits)])
+    number = np.arange(len(h))
+    own = np.flatnonzero((of == number) & (shared[inverse] | (rep[inverse] != number)))
+    return own[np.argsort(h[own], kind="stable")]
+
+
+def send_strings(bits: int, length: int):
+    """Hot runs, blocks: bytes and earliest places of strings that another block may have too."""
+
+    def run(key, part, replies):
+        asked = of_kind(replies, 3)
+        if not part.num_rows or not asked.num_rows:
+            return messages([])
+        block = Block(part["packed"], length)
+        starts, h, of = block.strings(block.kinds(of_kind(replies, 1), bits))
+        own = shared_firsts(h, of, asked, bits)
+        out = []
+        for s, a, b in by_shard(h[own], bits):
+            at = starts[own[a:b]]
+            text = np.searchsorted(block.begins, at, "right") - 1
+            out.append((s, key[0].as_py(), pack_arrays(block.gathered(at).ravel(), block.order[text], block.ids[text], block.tag[text], at - block.begins[text])))
+        return messages(out)
+
+    return run
+
+
+def later_strings(length: int):
+    """Hot runs, shards: which strings stand in an earlier place too."""
+
+    def answer(asked: list[list[np.ndarray]]) -> list[tuple[np.ndarray]]:
+        body, *place = (np.concatenate([m[k] for m in asked]) for k in range(5))
+        _, string = np.unique(body.view(f"V{length}"), return_inverse=True)
+        order = np.lexsort((*place[::-1], string))
+        later = np.zeros(len(order), bool)
+        later[order[1:]] = string[order[1:]] == string[order[:-1]]
+        ends = np.cumsum([len(m[1]) for m in asked])
+        return [(later[b - len(m[1]) : b],) for m, b in zip(asked, ends.tolist(), strict=True)]
+
+    return answer
+
+
 def send_suffixes(bits: int, length: int):
-    """Phase 2, blocks: a sorted, front-coded run of suffixes for each shard."""
+    """Phase 2, blocks: to even shards a sorted, front-coded run of suffixes, to odd ones the hashes of hot runs' strings."""
 
     def run(key, part, replies):
         if not part.num_rows:
             return messages([])
         block = Block(part["packed"], length)
-        rows, _, _ = block.survivors(replies, bits)
+        kinds = block.kinds(replies, bits)
+        rows, _, _ = block.survivors(kinds, bits)
         out, at = [], 0
         while at < len(rows):
             to = at
             while to < len(rows) and rows[to][0] == rows[at][0]:
                 to += 1
-            out.append((rows[at][0], key[0].as_py(), front_coded(rows[at:to], block)))
+            out.append((2 * rows[at][0], key[0].as_py(), front_coded(rows[at:to], block)))
             at = to
-        return messages(out)
+        keys = np.unique(block.strings(kinds)[1])
+        return messages(out + [(2 * s + 1, key[0].as_py(), pack_arrays(keys[a:b])) for s, a, b in by_shard(keys, bits)])
 
     return run
 
@@ -292,16 +406,14 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def cut_block(bits: int, length: int, with_text: bool):
-    """Phase 4, blocks: marks, counts and hashes."""
+    """Phase 5, blocks: marks, counts and hashes."""
 
     def run(key, part, replies):
         if not part.num_rows:
             return empty_result()
         block = Block(part["packed"], length)
-        kinds = replies["kind"].to_pylist()
-        first = replies.filter(pa.array([k == 1 for k in kinds], pa.bool_()))
-        second = replies.filter(pa.array([k == 2 for k in kinds], pa.bool_()))
-        rows, own, repeats = block.survivors(first, bits)
+        kinds, second = block.kinds(of_kind(replies, 1), bits), of_kind(replies, 2)
+        rows, own, repeats = block.survivors(kinds, bits)
         got = dict(zip(second["shard"].to_pylist(), second["packed"], strict=True))
         step = np.zeros(len(block.body) + 1, np.int32)
         np.add.at(step, block.first[repeats], 1)
@@ -313,6 +425,13 @@ def cut_block(bits: int, length: int, with_text: bool):
             hit = np.flatnonzero(after > 0)
             np.add.at(step, block.place[mine[hit]] - before[hit], 1)
             np.add.at(step, block.place[mine[hit]] + after[hit], -1)
+        starts, h, of = block.strings(kinds)
+        if len(starts):
+            sent = shared_firsts(h, of, of_kind(replies, 3), bits)
+            later = np.concatenate([np.zeros(0, bool), *answers(of_kind(replies, 4), h[sent], bits)])
+            repeats = starts[np.concatenate([np.flatnonzero(of != np.arange(len(of))), sent[later]])]
+            np.add.at(step, repeats, 1)
+            np.add.at(step, repeats + length, -1)
         gone = np.cumsum(step[:-1]) > 0
         removed, spans, digest, texts = [], [], [], []
         for a, b in zip(block.begins[:-1], block.begins[1:], strict=True):
@@ -335,12 +454,13 @@ def empty_result() -> pa.Table:
     return pa.table([pa.array([], k) for k in kinds], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES, with_text: bool = True) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES, with_text: bool = True, hot: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text (the bytes that stay, if asked for).
 
     A byte goes where it lies in a string of `length` bytes that also starts earlier: in a document of smaller id, or
     earlier in the same. Null texts count as empty; texts shorter than `length` lose nothing; null ids come last, rows that
-    repeat an id stand in an order set by their texts; an empty table gives no rows; other columns are not read.
+    repeat an id stand in an order set by their texts; an empty table gives no rows; other columns are not read. A run of
+    more than `hot` surroundings is dealt out by its strings; the result does not depend on it.
     """
     text = whole_text(text_col).cast("binary")
     rows = docs.select(
@@ -351,10 +471,16 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = shard_bits(blocks)
     packed = packed_rows(rows, blocks, F.struct("id", "tag"))
     asked = packed.groupBy("block").applyInArrow(ask_runs(bits, length), MESSAGE)
-    common = stored(answered(asked, shared_runs), "common-runs", "uncompressed")
+    hot = max(HOT, HOT_PER_BLOCK * blocks) if hot is None else hot
+    common = stored(answered(asked, shared_runs(hot)), "common-runs", "uncompressed")
     sent = packed.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(send_suffixes(bits, length), MESSAGE)
-    marks = stored(answered(sent, lambda m: covers(m, length)), "repeat-marks", "uncompressed")
-    replies = common.withColumn("kind", F.lit(1)).union(marks.withColumn("kind", F.lit(2)))
+    marks = stored(answered(sent, lambda m: covers(m, length), shared_strings), "repeat-marks", "uncompressed")
+    kind = F.when(F.col("shard") % 2 == 0, 2).otherwise(3)
+    replies = common.withColumn("kind", F.lit(1)).union(marks.select(F.floor(F.col("shard") / 2).cast("int").alias("shard"), "block", "packed", kind.alias("kind")))
+    if not marks.where("shard % 2 = 1").isEmpty():
+        strings = packed.groupBy("block").cogroup(replies.where("kind <> 2").groupBy("block")).applyInArrow(send_strings(bits, length), MESSAGE)
+        later = stored(answered(strings, later_strings(length)), "later-strings", "uncompressed")
+        replies = replies.union(later.withColumn("kind", F.lit(4)))
     cut = packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut_block(bits, length, with_text), RESULT)
     return cut if with_text else cut.drop("kept_text")
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -95,6 +96,33 @@ def test_repeats_equal_brute_force(spark, odd_docs, no_docs):
     assert suffixes.cut_repeats(no_docs).count() == 0
 
 
+def test_hot_runs_are_dealt_out_by_their_strings(spark):
+    rng = np.random.default_rng(6)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh é"), int(n)))
+    line, passage, tail = noise(70), noise(130), noise(40)
+    texts = [noise(rng.integers(0, 200)) + (line, passage, line + tail)[k % 3] + noise(rng.integers(0, 200)) for k in range(300)]
+    texts += [texts[4], texts[4], passage + passage, line, "z" * 300, "z" * 200]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    want = brute_cut(rows, 100)
+    for hot in (0, 8, None):
+        out = suffixes.cut_repeats(docs, block_bytes=9000, hot=hot).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == want
+
+    # a shard of suffixes gets no more of a run, however many texts hold it
+    sink = pa.BufferOutputStream()
+    table = pa.table({"order": [0] * len(rows), "id": [i for i, _ in rows], "tag": [0] * len(rows), "text": pa.array([t.encode() for t in texts], pa.binary())})
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    part = pa.table({"packed": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    asked = suffixes.ask_runs(0, 100)([pa.scalar(0)], part)["packed"]
+    reply = suffixes.shared_runs(20)([blocks.unpack_arrays(asked[0].as_buffer())])[0]
+    replies = pa.table({"shard": [0], "packed": pa.array([blocks.pack_arrays(*reply)], pa.binary())})
+    block = suffixes.Block(part["packed"], 100)
+    sent, _, _ = block.survivors(block.kinds(replies, 0), 0)
+    assert max(Counter(bytes(r[1][:50]) for r in sent).values()) <= 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=8), max_size=8), min_size=1, max_size=6))
 def test_loser_tree_merge(runs):
