@@ -1,11 +1,12 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-Texts become symbols of 6 bits (letters of both cases, digit, a few punctuation classes, classes of other bytes). Runs of
-ORDER symbols are counted over all trusted documents; every lower order has continuation counts, and counts, context
-totals and counts of counts are grouped and joined as tables sharded by the run. The result, one log probability per run
-met and one weight per context, has at most 64^ORDER rows whatever the corpus, so it is broadcast and each document's
-perplexity is read off in the scan. A document is kept between two quantiles of the trusted documents of its language, a
-fifth of which the model does not see for that purpose: above lies junk, below lies text that repeats itself.
+Symbols are whole code points, whatever the script, and a break at the ends of a text. Runs of ORDER symbols are counted
+over all trusted documents; every lower order has continuation counts. Counts, context totals and counts of counts are
+grouped and joined as tables of the whole runs; only discounts reach the driver. To score, blocks of documents ask shards
+for the runs they hold (see blocks), of 1 to ORDER symbols and by 64-bit numbers; a shard answers with a run's discounted
+share and with its weight as a context, and the block puts them together. A document is kept between two quantiles of the
+trusted documents of its language, a fifth of which the model does not see for that purpose: above lies junk, below lies
+text that repeats itself.
 """
 
 from __future__ import annotations
@@ -18,54 +19,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixsieve.bitmaps import may_hold
+from pixsieve.llm.blocks import MESSAGE, blocks_for, by_shard, messages, pack_arrays, packed_rows, shard_bits, unpack_arrays, unpacked
 from pixsieve.llm.common import remainder, stored, table, whole_text
-from pixsieve.llm.words import bytes_of, slices
+from pixsieve.llm.words import BASE, bytes_of, mixed, slices
 
 ORDER = 4
 LOW, HIGH = 0.002, 0.995
-BITS = 6
+BLOCK_BYTES = 6 << 20
+#: A symbol is a code point and one, 0 is the break; ORDER - 1 symbols fit a 64-bit number.
+BITS = 21
+MASK = (1 << BITS) - 1
+SYMBOLS = 0x110000 + 1
 
-SYMBOL = np.zeros(256, np.uint8)
-SYMBOL[97:123] = np.arange(1, 27)
-SYMBOL[65:91] = np.arange(27, 53)
-SYMBOL[48:58] = 53
-for _k, _signs in enumerate((b".", b",", b"-'", b"!?", b":;()\"")):
-    SYMBOL[list(_signs)] = 54 + _k
-SYMBOL[[c for c in range(33, 127) if SYMBOL[c] == 0]] = 59
-SYMBOL[128:] = 60 + np.arange(128) % 4
 
-
-def symbol_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ORDER symbols as numbers, one for each symbol of each text (breaks stand before a text and once after it), and how many each has."""
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, and how many each has."""
     body, offsets = bytes_of(texts)
-    symbols = SYMBOL[body]
+    lead = np.flatnonzero((body & 0xC0) != 0x80)
+    size = np.diff(np.append(lead, len(body)))
+    code = body[lead].astype(np.int64)
+    code &= np.where(code < 0x80, 0x7F, np.where(code < 0xE0, 0x1F, np.where(code < 0xF0, 0x0F, 0x07)))
+    for j in (1, 2, 3):
+        more = np.flatnonzero(size > j)
+        code[more] = code[more] << 6 | body[lead[more] + j] & 0x3F
+    return np.minimum(code, 0x10FFFF) + 1, np.diff(np.searchsorted(lead, offsets))
+
+
+def symbol_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ORDER symbols, one for each symbol of each text (breaks stand before a text and once after it), as a number
+    of the first ones and the last, and how many each text has."""
+    symbols, n = code_points(texts)
     lead = ORDER - 1
-    n = np.diff(offsets)
-    padded = np.zeros(len(symbols) + len(n) * (lead + 1), np.uint32)
-    begins = offsets[:-1] + np.arange(len(n)) * (lead + 1) + lead
-    at = np.repeat(begins - offsets[:-1], n) + np.arange(len(symbols))
-    padded[at] = symbols
-    code = np.zeros(len(padded), np.uint32)
-    for j in range(ORDER):
-        code[lead:] = (code[lead:] << np.uint32(BITS)) | padded[j : len(padded) - lead + j]
+    padded = np.zeros(len(symbols) + len(n) * (lead + 1), np.int64)
+    begins = np.cumsum(n) - n + np.arange(len(n)) * (lead + 1) + lead
+    padded[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(len(symbols))] = symbols
     ends = np.cumsum(n + 1)
-    places = np.repeat(begins - (ends - (n + 1)), n + 1) + np.arange(ends[-1] if len(n) else 0)
-    return code[places], n + 1
+    at = np.repeat(begins - (ends - (n + 1)), n + 1) + np.arange(ends[-1] if len(n) else 0)
+    context = np.zeros(len(at), np.int64)
+    for j in range(lead, 0, -1):
+        context = context << BITS | padded[at - j]
+    return context, padded[at], n + 1
+
+
+def numbered(k: int, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The 64-bit number of a run of k symbols: k - 1 and the last."""
+    return mixed(mixed(context.astype(np.uint64) + np.uint64(k * BASE % (1 << 64))) * np.uint64(BASE) + last.astype(np.uint64))
 
 
 def run_counts(texts: DataFrame) -> DataFrame:
-    """gram, n over all texts of the one column."""
+    """context, last, n over all texts of the one column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << (BITS * ORDER), np.int64)
         for batch in batches:
-            for a, b in slices(batch.column(0), 8 << 20):
-                grams, n = np.unique(symbol_runs(batch.column(0).slice(a, b - a))[0], return_counts=True)
-                total[grams] += n
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
+            for a, b in slices(batch.column(0), 4 << 20):
+                context, last, _ = symbol_runs(batch.column(0).slice(a, b - a))
+                _, at, n = np.unique(numbered(ORDER, context, last), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(context[at]), pa.array(last[at]), pa.array(n)], names=["context", "last", "n"])
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "context long, last long, n long").groupBy("context", "last").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -80,55 +91,149 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """Per order from 1 up: (gram, part) with the discounted share, and (context, weight) of the lower order."""
+    """Per order from 1 up: (context, last, part) with the discounted share, and (context, weight) of the lower order."""
     orders = []
     level = stored(counts, "runs-of-all")
     for order in range(ORDER, 0, -1):
         d1, d2, d3 = discounts(level)
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        context = F.shiftright("gram", BITS)
-        totals = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.sum(cut).alias("held"))
-        parts = level.withColumn("context", context).join(totals, "context").select("gram", ((F.col("n") - cut) / F.col("total")).alias("part"))
+        totals = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut).alias("held"))
+        parts = level.join(totals, "context").select("context", "last", ((F.col("n") - cut) / F.col("total")).alias("part"))
         orders.append((parts, totals.select("context", (F.col("held") / F.col("total")).alias("weight"))))
         if order > 1:
-            lower = F.col("gram").bitwiseAND((1 << (BITS * (order - 1))) - 1)
-            level = stored(level.groupBy(lower.alias("gram")).agg(F.count("*").alias("n")), f"runs-of-{order - 1}")
+            lower = F.col("context").bitwiseAND(F.lit((1 << (BITS * (order - 2))) - 1))
+            level = stored(level.groupBy(lower.alias("context"), "last").agg(F.count("*").alias("n")), f"runs-of-{order - 1}")
     return orders[::-1]
 
 
 def log_table(orders: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
-    """ln P of every run of ORDER symbols; at most 64^k rows an order reach the driver."""
-    p = np.full(1, 1 / (1 << BITS))
-    for k, (parts, weights) in enumerate(orders, 1):
-        size = 1 << (BITS * k)
-        weight = np.ones(size >> BITS, np.float32)
-        rows = weights.toArrow()
-        weight[rows["context"].to_numpy()] = rows["weight"].to_numpy()
-        p = np.tile(p if k > 1 else np.repeat(p, 1 << BITS), 1 if k == 1 else 1 << BITS).astype(np.float32)
-        p *= np.repeat(weight, 1 << BITS)
-        rows = parts.toArrow()
-        p[rows["gram"].to_numpy()] += rows["part"].to_numpy().astype(np.float32)
-    return np.log(np.maximum(p, 1e-12))
-
-
-def perplexities(docs: DataFrame, logs: np.ndarray, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity."""
-    shared = docs.sparkSession.sparkContext.broadcast(logs.astype(np.float16))  # 2 bytes for each of 64^ORDER runs
+    """A small model whole, to look at: after each context met, ln P of up to 63 symbols and, as the 64th, of all others."""
+    parts = [{(r.context, r.last): r.part for r in x.collect()} for x, _ in orders]
+    weights = [{r.context: r.weight for r in x.collect()} for _, x in orders]
+    known = sorted({last for _, last in parts[0]})
+    if len(known) > 63:
+        raise ValueError("more than 63 symbols")
+    out = []
+    for context in sorted(weights[-1]):
+        p = np.zeros(64)
+        p[: len(known)], p[63] = 1 / SYMBOLS, 1 - len(known) / SYMBOLS
+        for k in range(ORDER):
+            own = context & ((1 << (BITS * k)) - 1)
+            p *= weights[k].get(own, 1.0)
+            p[: len(known)] += [parts[k].get((own, s), 0.0) for s in known]
+        out.append(p)
+    return np.log(np.maximum(np.concatenate(out), 1e-12))
+
+
+def model_rows(orders: list[tuple[DataFrame, DataFrame]], bits: int) -> DataFrame:
+    """shard, h, context, value: the shares of all runs by their number, and the weights of those that are contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            value, size = [], []
-            for a, b in slices(batch.column(2)):
-                codes, n = symbol_runs(batch.column(2).slice(a, b - a))
-                sums = np.add.reduceat(own[codes].astype(np.float64), np.cumsum(n) - n)
-                value.append(np.exp(-sums / n))
-                size.append(n)
-            columns = [pa.array(np.concatenate(size) if size else [], pa.int64()), pa.array(np.concatenate(value) if value else [], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "lang", "n_symbols", "perplexity"])
+            k, context, last = (batch.column(c).to_numpy() for c in range(3))
+            h = np.zeros(len(k), np.uint64)
+            for own in np.unique(k):
+                h[k == own] = numbered(int(own), context[k == own], last[k == own])
+            shard = (h >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(h), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h.view(np.int64)), batch.column(3), batch.column(4)], names=["shard", "h", "context", "value"])
+
+    rows = None
+    for k, (parts, weights) in enumerate(orders, 1):
+        both = parts.select(F.lit(k).cast("long").alias("k"), "context", "last", F.lit(False).alias("as_context"), F.col("part").alias("value"))
+        if k > 1:  # the one weight of order 1 is the driver's
+            of = F.shiftright("context", BITS), F.col("context").bitwiseAND(F.lit(MASK))
+            both = both.union(weights.select(F.lit(k - 1).cast("long"), *of, F.lit(True), "weight"))
+        rows = both if rows is None else rows.union(both)
+    return rows.mapInArrow(run, "shard int, h long, context boolean, value double")
+
+
+class Runs:
+    """The distinct runs of a block's texts, their numbers by length, and those of their contexts."""
+
+    def __init__(self, rows: pa.Table):
+        context, last, number, sizes = [], [], [], []
+        for chunk in rows["text"].chunks:
+            for a, b in slices(chunk):
+                c, x, n = symbol_runs(chunk.slice(a, b - a))
+                h, at, where = np.unique(numbered(ORDER, c, x), return_index=True, return_inverse=True)
+                context.append(c[at])
+                last.append(x[at])
+                number.append((h, where.astype(np.int32)))
+                sizes.append(n)
+        h, at = np.unique(np.concatenate([x for x, _ in number]), return_index=True)
+        context, last = np.concatenate(context)[at], np.concatenate(last)[at]
+        self.where = np.concatenate([np.searchsorted(h, own)[where].astype(np.int32) for own, where in number])
+        self.sizes = np.concatenate(sizes)
+        low = lambda k: context & ((1 << (BITS * k)) - 1)
+        self.runs = [numbered(k, low(k - 1), last) for k in range(1, ORDER + 1)]
+        self.contexts = [numbered(k, low(k) >> BITS, context & MASK) for k in range(1, ORDER)]
+        self.keys = np.unique(np.concatenate([*self.runs, *self.contexts]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double")
+
+def ask(bits: int):
+    """Blocks: the numbers of all runs and contexts that their texts hold."""
+
+    def run(key, part):
+        keys = Runs(unpacked(part["packed"])).keys
+        return messages([(s, key[0].as_py(), pack_arrays(keys[a:b])) for s, a, b in by_shard(keys, bits)])
+
+    return run
+
+
+def answer(key, asked, model):
+    """Shards: to each block its runs' shares (0 if the model has none) and their weights as contexts (1 if none)."""
+    if not asked.num_rows:
+        return messages([])
+    h, kind, value = model["h"].to_numpy().view(np.uint64), model["context"].to_numpy().astype(bool), model["value"].to_numpy()
+    order = np.argsort(h)
+    sides = [(h[own], value[own], missing) for own, missing in ((order[~kind[order]], 0.0), (order[kind[order]], 1.0))]
+    out = []
+    for block, packed in zip(asked["block"].to_pylist(), asked["packed"], strict=True):
+        keys, reply = unpack_arrays(packed.as_buffer())[0], []
+        for known, values, missing in sides:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                reply.append(np.where(known[at] == keys, values[at], missing).astype(np.float32))
+            else:
+                reply.append(np.full(len(keys), missing, np.float32))
+        out.append((key[0].as_py(), block, pack_arrays(*reply)))
+    return messages(out)
+
+
+SCORED = "doc_id long, lang string, n_symbols long, perplexity double"
+
+
+def score_block(bits: int, weight: float):
+    """A block's rows; weight is what order 1 leaves to any symbol."""
+
+    def run(key, part, replies):
+        rows = unpacked(part["packed"])
+        runs = Runs(rows)
+        got = dict(zip(replies["shard"].to_pylist(), replies["packed"], strict=True))
+        found = [unpack_arrays(got[s].as_buffer()) for s, _, _ in by_shard(runs.keys, bits)]
+        share, left = (np.concatenate([x[k] for x in found]).astype(np.float64) for k in (0, 1))
+        p = np.full(len(runs.runs[0]), 1 / SYMBOLS)
+        for k, own in enumerate(runs.runs):
+            p *= left[np.searchsorted(runs.keys, runs.contexts[k - 1])] if k else weight
+            p += share[np.searchsorted(runs.keys, own)]
+        n = runs.sizes
+        sums = np.add.reduceat(np.log(p)[runs.where], np.cumsum(n) - n)
+        return pa.table([rows["id"], rows["lang"], pa.array(n, pa.int64()), pa.array(np.exp(-sums / n))], names=[x.split()[0] for x in SCORED.split(", ")])
+
+    return run
+
+
+def perplexities(docs: DataFrame, orders: list[tuple[DataFrame, DataFrame]], id_col: str, text_col: str, lang_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), whole_text(text_col).alias("text"))
+    blocks = blocks_for(rows, F.col("text"), block_bytes)
+    bits = shard_bits(blocks)
+    packed = packed_rows(rows, blocks, F.struct("id", "text"))
+    first = orders[0][1].first()
+    asked = packed.groupBy("block").applyInArrow(ask(bits), MESSAGE)
+    model = model_rows(orders, bits)
+    replies = stored(asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, MESSAGE), "run-shares", "uncompressed")
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(bits, first.weight if first else 1.0), SCORED)
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -148,8 +253,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("label_id"), whole_text(text_col).alias("text")).where(~fifth)
     texts = may_hold(texts, F.xxhash64("label_id"), trusted.select(F.xxhash64("label_id").alias("h"))).where("__may").drop("__may")
     texts = texts.join(trusted.hint("merge"), "label_id", "left_semi").select("text")
-    logs = log_table(kneser_ney(run_counts(texts)))
-    scored = stored(perplexities(docs, logs, id_col, text_col, lang_col), "perplexities")
+    scored = stored(perplexities(docs, kneser_ney(run_counts(texts)), id_col, text_col, lang_col), "perplexities")
     known = scored.join(trusted, F.col("doc_id") == F.col("label_id"), "left_semi")
     fresh = F.when(remainder("doc_id") == 0, F.col("perplexity"))
     # text the model has seen lies lower than its like: the lower bound is set by all, the upper by the fifth not seen

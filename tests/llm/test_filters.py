@@ -161,6 +161,45 @@ def test_quality_model_is_a_distribution(spark):
     assert abs(sums - 1).max() < 1e-3
 
 
+def brute_perplexity(trusted, texts):
+    grams = lambda t: [tuple("\ue000" * 3 + t + "\ue000")[i : i + 4] for i in range(len(t) + 1)]
+    level, orders = Counter(g for t in trusted for g in grams(t)), []
+    for _ in range(4):
+        n1, n2, n3, n4 = (sum(n == k for n in level.values()) for k in (1, 2, 3, 4))
+        d = (0.5, 0.75, 0.75)
+        if n1 and n2:
+            y = n1 / (n1 + 2 * n2)
+            d = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5
+            d = [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
+        total, held = Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            held[g[:-1]] += d[min(n, 3) - 1]
+        orders.insert(0, ({g: (n - d[min(n, 3) - 1]) / total[g[:-1]] for g, n in level.items()}, {c: held[c] / total[c] for c in total}))
+        level = Counter(g[1:] for g in level)
+
+    def log_p(g):
+        p = 1 / quality.SYMBOLS
+        for k, (parts, weights) in enumerate(orders, 1):
+            p = parts.get(g[-k:], 0) + weights.get(g[-k:][:-1], 1) * p
+        return np.log(p)
+
+    return [float(np.exp(-np.mean([log_p(g) for g in grams(t)]))) for t in texts]
+
+
+def test_quality_model_reads_every_script(spark):
+    rng = np.random.default_rng(4)
+    trusted = [" ".join(rng.choice(["слово", "текст", "дело", "文字列", "λόγος", "12", "19", "🙂"], 30)) for _ in range(20)]
+    texts = [*trusted, "", "q", "дело текст", "".join(rng.permutation(list(trusted[0]))), "文列字 λόογς", "e\u0301 \x00"]
+    docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(texts)], "doc_id LONG, text STRING, lang STRING").repartition(4)
+    orders = quality.kneser_ney(quality.run_counts(spark.createDataFrame([(t,) for t in trusted], "text STRING")))
+    got = {r.doc_id: (r.n_symbols, r.perplexity) for r in quality.perplexities(docs, orders, "doc_id", "text", "lang", 300).collect()}
+    want = brute_perplexity(trusted, texts)
+    assert [got[i][0] for i in range(len(texts))] == [len(t) + 1 for t in texts]
+    assert [got[i][1] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+    assert got[23][1] > 3 * max(want[:20])  # the same letters in no order
+
+
 def test_quality_tells_junk(spark, odd_docs, no_docs):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("aeiounrstl"), 4)) for _ in range(80)]
