@@ -1,8 +1,8 @@
 """Log probability of whole texts under a weighted backoff automaton learned from the training documents.
 
 Words and pairs are counted over all training documents by sharded count joins (see blocks), each block asking for its own.
-The model interpolates a pair's discounted count with the smoothed unigram; pairs seen once are left to the backoff, the
-discounts come from the counts of counts. As an automaton: a state for every word that has kept successors and one root;
+The model interpolates a pair's discounted count with the smoothed unigram; the query keeps
+every pair, however rare; the discounts come from the counts of counts. As an automaton: a state for every word that has kept successors and one root;
 arcs from a state carry log10 P(word | state); the failure arc carries log10 of the state's backoff weight to the root,
 which has an arc for every word and one for the unknown. A block's texts are read left to right side by side, every
 text carrying its state and its sum.
@@ -20,7 +20,7 @@ from pixsieve.llm.common import remainder, stored, table, whole_text
 from pixsieve.llm.words import BASE, mixed, slices, word_hashes
 
 BLOCK_BYTES = 11 << 20
-#: Pairs that occur less often are left to the backoff.
+#: Pairs that occur less often are left to the backoff, unless a caller keeps all (1, as the query does).
 KEPT = 2
 END = np.uint64(0xE17A1465E17A1465)
 
@@ -87,10 +87,12 @@ def merge(asked: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray],
     return keys, places, total
 
 
+#: What is told of a first word's kept pairs: their count, and how many occur once, twice and more often.
+HELD = 4
 COUNTED = "shard int, block int, packed binary, kind int"
 
 
-def count_shard(bits: int):
+def count_shard(bits: int, kept: int):
     """Sums of a shard: replies to the blocks (kind 0: totals in asking order); of words, the blocks' questions again (kind
     4); of pairs, what the kept ones hold of their first words, each told to one block that counted it (kind 1); and sums
     over all keys (kind 2)."""
@@ -105,11 +107,11 @@ def count_shard(bits: int):
             told = np.zeros(len(keys), bool)
             for b, at, m in zip(blocks, places, asked, strict=True):
                 own = at[m[1] > 0]
-                mine = np.flatnonzero(~told[own] & (total[own] >= KEPT))
+                mine = np.flatnonzero(~told[own] & (total[own] >= kept))
                 told[own] = True
                 word, where = np.unique(m[2][mine], return_inverse=True)
                 n = total[own[mine]]
-                held = [np.bincount(where, weights=w, minlength=len(word)).astype(np.int64) for w in (n, n == 2, n > 2)]
+                held = [np.bincount(where, weights=w, minlength=len(word)).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)]
                 out.append((shard, b, pack_arrays(word, *held), 1))
             sums = [int((total == k).sum()) for k in (1, 2, 3, 4)]
         else:
@@ -130,10 +132,10 @@ def spell_block(bits: int):
             return messages([])
         # shards are ranges of keys: in their order the block's questions are its sorted words
         vocabulary = np.concatenate([unpack_arrays(x.as_buffer())[0] for x in words.sort_by("of_shard")["keys"]])
-        sums = np.zeros((3, len(vocabulary)), np.int64)
+        sums = np.zeros((HELD, len(vocabulary)), np.int64)
         for x in told["packed"]:
             word, *parts = unpack_arrays(x.as_buffer())
-            for k in range(3):
+            for k in range(HELD):
                 sums[k][word] += parts[k]
         some = np.flatnonzero(sums[0])
         return messages([(2 * s, key[0].as_py(), pack_arrays(vocabulary[some[a:b]], *(x[some[a:b]] for x in sums))) for s, a, b in by_shard(vocabulary[some], bits)])
@@ -142,23 +144,23 @@ def spell_block(bits: int):
 
 
 def weigh_shard(key, asked, held):
-    """For a shard of words: to each block, what kept pairs hold of each of its words as first word (count, twos, more)."""
+    """For a shard of words: to each block, what kept pairs hold of each of its words as first word (count, ones, twos, more)."""
     if not asked.num_rows:
         return messages([])
     asked = asked.sort_by("block")
     wanted = [unpack_arrays(x.as_buffer()) for x in asked["packed"]]
     keys = np.unique(np.concatenate([m[0] for m in wanted]))
-    sums = np.zeros((3, len(keys)), np.int64)
+    sums = np.zeros((HELD, len(keys)), np.int64)
     for x in held["packed"]:
         word, *parts = unpack_arrays(x.as_buffer())
         at = np.searchsorted(keys, word)
-        for k in range(3):
+        for k in range(HELD):
             sums[k][at] += parts[k]
     out = []
     for block, m in zip(asked["block"].to_pylist(), wanted, strict=True):
         at = np.searchsorted(keys, m[0])
         some = np.flatnonzero(sums[0][at])
-        out.append((key[0].as_py(), block, pack_arrays(some, *(sums[k][at][some] for k in range(3)))))
+        out.append((key[0].as_py(), block, pack_arrays(some, *(sums[k][at][some] for k in range(HELD)))))
     return messages(out)
 
 
@@ -170,6 +172,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float]:
     return min(max(2 - 3 * y * n3 / n2, 0.1), 1.9), min(max(3 - 4 * y * n4 / n3, 0.1), 2.9)
 
 
+def once_discount(n1: int, n2: int) -> float:
+    """What kept pairs of count 1 give to the backoff."""
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.75
+
+
 class Automaton:
     """States, arcs and failure arcs that one block can meet, as arrays.
 
@@ -208,7 +215,7 @@ class Automaton:
         return total
 
 
-def score_block(bits: int, n_train: int, n_words: int, cuts: tuple[float, float]):
+def score_block(bits: int, n_train: int, n_words: int, cuts: tuple[float, float, float], least: int):
     """A block's rows from its packed texts and the replies to its questions."""
 
     def run(key, part, replies):
@@ -217,11 +224,11 @@ def score_block(bits: int, n_train: int, n_words: int, cuts: tuple[float, float]
         got = {(k, s): unpack_arrays(x.as_buffer()) for k, s, x in zip(replies["kind"].to_pylist(), replies["shard"].to_pylist(), replies["packed"], strict=True)}
         vocabulary, where = np.unique(words, return_inverse=True)
         c = np.zeros(len(vocabulary), np.int64)
-        held = np.zeros((3, len(vocabulary)), np.int64)
+        held = np.zeros((HELD, len(vocabulary)), np.int64)
         for s, a, b in by_shard(vocabulary, bits):
             c[a:b] = got[0, 2 * s][0]
             some, *parts = got[3, 2 * s]
-            for k in range(3):
+            for k in range(HELD):
                 held[k][a:b][some] = parts[k]
         pairs, at = pair_keys(words, counts)
         found, first = np.unique(pairs, return_index=True)
@@ -230,11 +237,11 @@ def score_block(bits: int, n_train: int, n_words: int, cuts: tuple[float, float]
             n[a:b] = got[0, 2 * s + 1][0]
         before, after = where[at - 1][first], where[at][first]
         unigram = (c + 0.5) / (n_train + 0.5 * (n_words + 1))
-        d2, d3 = cuts
+        d1, d2, d3 = cuts
         # what kept pairs hold of a word, less their discounts; the rest goes on to the root
-        backoff = np.where(c > 0, 1 - (held[0] - d2 * held[1] - d3 * held[2]) / np.maximum(c, 1), 1.0)
-        kept = np.flatnonzero(n >= KEPT)
-        share = (n[kept] - np.where(n[kept] == 2, d2, d3)) / np.maximum(c[before[kept]], 1)
+        backoff = np.where(c > 0, 1 - (held[0] - d1 * held[1] - d2 * held[2] - d3 * held[3]) / np.maximum(c, 1), 1.0)
+        kept = np.flatnonzero(n >= least)
+        share = (n[kept] - np.select([n[kept] == 1, n[kept] == 2], [d1, d2], d3)) / np.maximum(c[before[kept]], 1)
         arcs = np.log10(share + backoff[before[kept]] * unigram[after[kept]])
         machine = Automaton(vocabulary, np.log10(unigram), np.log10(backoff), found[kept], arcs)
         docs = np.repeat(np.arange(len(counts)), counts)
@@ -251,7 +258,7 @@ def score_block(bits: int, n_train: int, n_words: int, cuts: tuple[float, float]
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, kept: int = KEPT) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are compared by 64-bit numbers. Null and empty texts are their end alone; a null id belongs to the part of the
@@ -263,7 +270,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     bits = shard_bits(blocks)
     packed = packed_rows(rows, blocks, F.struct("id", "text"))
     asked = packed.groupBy("block").applyInArrow(ask(bits), MESSAGE)
-    counts = stored(asked.groupBy("shard").applyInArrow(count_shard(bits), COUNTED), "lm-counts", "uncompressed")
+    counts = stored(asked.groupBy("shard").applyInArrow(count_shard(bits, kept), COUNTED), "lm-counts", "uncompressed")
     n_train = n_words = 0
     sums = np.zeros(4, np.int64)
     for shard, values in counts.where("kind = 2").select("shard", "packed").collect():  # a few numbers a shard
@@ -279,12 +286,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     held = words.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(weigh_shard, MESSAGE)
     replies = counts.where("kind = 0").union(held.withColumn("kind", F.lit(3)))
     scored = packed.groupBy("block").cogroup(replies.groupBy("block"))
-    return scored.applyInArrow(score_block(bits, n_train, n_words, discounts(*sums.tolist())), SCORED)
+    ones = sums.tolist()
+    cuts = once_discount(ones[0], ones[1]), *discounts(*ones)
+    return scored.applyInArrow(score_block(bits, n_train, n_words, cuts, kept), SCORED)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log probability beside its unigram base."""
-    return scores(table(spark, sf_dir, "documents"))
+    return scores(table(spark, sf_dir, "documents"), kept=1)
 
 
 QUERIES = {"op9_lm_score": op9_lm_score}

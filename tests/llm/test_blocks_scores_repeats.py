@@ -57,6 +57,30 @@ def test_scores_equal_brute_force(spark, odd_docs, no_docs):
     assert lmscore.scores(no_docs).count() == 0
 
 
+def test_the_query_keeps_pairs_seen_once(spark, tmp_path):
+    texts = ["a b c", "a b d", "a c d a b", "b c a", "c d", "a d b c", "c a d", "b a", "d c b"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in lmscore.op9_lm_score(spark, str(tmp_path)).collect()}
+    end, c, p = "", Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            w = [*t.split(), end]
+            c.update(w)
+            p.update(zip(w, w[1:]))  # noqa: B905
+    of = Counter(p.values())
+    assert of[1] and of[2]
+    cut = (lmscore.once_discount(of[1], of[2]), *lmscore.discounts(of[1], of[2], of[3], of[4]))
+    uni = lambda w: (c[w] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1))
+    for i, t in rows:
+        w = [*t.split(), end]
+        s = math.log10(uni(w[0]))
+        for h, z in zip(w, w[1:]):  # noqa: B905
+            kept = {x: p[h, x] - cut[min(p[h, x], 3) - 1] for x in c if p[h, x]}
+            s += math.log10(kept.get(z, 0) / c[h] + (1 - sum(kept.values()) / c[h]) * uni(z))
+        assert abs(got[i] - s) < 1e-9
+
+
 def brute_cut(rows, length):
     seen, out = set(), []
     for i, t in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
