@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixsieve.llm import decontaminate, exact, html, lmscore, merkle, mixing, nearcopies, quality, suffixes, tokens, toxicity
+from pixsieve.llm import collocations, decontaminate, exact, html, lmscore, merkle, mixing, nearcopies, quality, suffixes, tokens, topk, toxicity
 
-MODULES = (tokens, exact, html, mixing, decontaminate, toxicity, nearcopies, quality, lmscore, suffixes, merkle)
+MODULES = (tokens, exact, html, mixing, decontaminate, toxicity, nearcopies, quality, lmscore, suffixes, merkle, collocations, topk)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
