@@ -6,16 +6,15 @@ inside its own task, cells without the needle are dropped at once, and only posi
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixsieve.bitmaps import may_hold
 from pixsieve.operators import walks
 from pixsieve.running import row_index, running
+from pixsieve.sources.files import write_files
 from pixsieve.sources.dims import STD_QUANT_LUMA, ZIGZAG, int_array
 
 CELL, SUB_CELL = 256, 16
@@ -191,6 +190,21 @@ def write_frames(frames: DataFrame, target: str) -> None:
     frames.write.mode("overwrite").parquet(target)
 
 
+def file_root(path: Column) -> Column:
+    """A path without its extension, as frame names begin; a leading slash is left out."""
+    return F.regexp_replace(F.regexp_replace(path.cast("string"), r"^/+", ""), r"(?<=[^/])\.[^./]*$", "")
+
+
+def write_frame_files(frames: DataFrame, target: str, root: Column | None = None, overwrite: bool = False) -> None:
+    """Every frame as a file of its own, ``<root>.<frame_no>.jpg``, written by the task that cut it.
+
+    The root is the path without its extension; hand in another where two files of a folder differ by extension only,
+    since a name that occurs twice ends the write.
+    """
+    name = frame_name(file_root(F.col("path")) if root is None else root, F.col("frame_no"))
+    write_files(frames.select(name.alias("name"), F.col("frame").alias("content")), target, overwrite)
+
+
 def insert_tables(frames: DataFrame, segment: bytes, table_mark: bytes = b"\xff\xc4", scan_mark: bytes = b"\xff\xda") -> DataFrame:
     """Motion frames without Huffman tables get a standard segment before their scan.
 
@@ -220,52 +234,6 @@ def scan_census(files: DataFrame, lead: int = 0xFF, stuffed=(0x00, 0x00), pad: i
     return rows.withColumn("kind", kind.otherwise("marker"))
 
 
-# --- patches -------------------------------------------------------------------------------------
-
-def patched_bytes(patches: DataFrame) -> DataFrame:
-    """The byte that wins at every patched offset: the patch with the highest ordinal."""
-    each = patches.select("path", "ordinal", "start", "data", F.explode(F.sequence(F.lit(0), F.length("data") - 1)).alias("i"))
-    each = each.select("path", "ordinal", (F.col("start") + F.col("i")).alias("off"), byte_at("data", F.col("i")).alias("value"))
-    return each.groupBy("path", "off").agg(F.max_by("value", "ordinal").alias("value"))
-
-
-def apply_patches(files: DataFrame, patches: DataFrame, clean: bool = False) -> DataFrame:
-    """Content with all patches laid over it in ordinal order; ``clean`` returns it untouched.
-
-    Patches are reduced to the winning byte of each offset first, so a file's list holds one entry per byte of the file at
-    most. Files that no patch names stay in their scanning task (told apart by a bitmap over the paths); only the others
-    meet their bytes by path. Bytes past the end of the file are not added.
-    """
-    if clean:
-        return files
-    h = lambda c: F.xxhash64(F.col(c))
-    marked = may_hold(files, h("path"), patches.select(h("path").alias("h")))
-    bare, touched = marked.where("NOT __may").drop("__may"), marked.where("__may").drop("__may")
-    sizes = touched.select("path", F.length("content").alias("__size"))
-    inside = patched_bytes(patches).join(sizes, "path").where((F.col("off") >= 0) & (F.col("off") < F.col("__size")))
-    per = inside.groupBy("path").agg(F.collect_list("off").alias("__off"), F.collect_list("value").alias("__value"))
-    joined = touched.join(per, "path", "left")
-    names = files.columns
-    at = names.index("content")
-
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offs, values = batch.column(len(names)), batch.column(len(names) + 1)
-            out = []
-            for k, content in enumerate(batch.column(at)):
-                if not offs[k].is_valid or not content.is_valid:
-                    out.append(content.as_py())
-                    continue
-                body = np.frombuffer(content.as_buffer(), np.uint8).copy()
-                body[offs[k].values.to_numpy()] = values[k].values.to_numpy().astype(np.uint8)
-                out.append(body.tobytes())
-            columns = [pa.array(out, pa.binary()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    laid = joined.select(*names, "__off", "__value").mapInArrow(lay, files.schema)
-    return bare.select(*names).unionByName(laid)
-
-
 # --- table hunt ----------------------------------------------------------------------------------
 
 BLOCK = 32

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixsieve.operators import carving as cv
+from pixsieve.operators import patches as pt
 from pixsieve.operators import signatures as sg
 from pixsieve.plans import inputs as inp
 from pixsieve.sources.dims import STD_QUANT_LUMA
@@ -112,12 +113,12 @@ def _patches(spark, d):
 
 
 def byte_patch(spark, d):
-    out = cv.apply_patches(_docs(spark, d), _patches(spark, d))
+    out = pt.apply_patches(_docs(spark, d), _patches(spark, d))
     return out.select("path", F.length("content").alias("size"), F.md5("content").alias("md5"))
 
 
 def patch_bytes(spark, d):
-    return cv.patched_bytes(_patches(spark, d))
+    return pt.patched_bytes(_patches(spark, d)).withColumn("off", F.col("off").cast("int"))
 
 
 def dqt_hunt(spark, d):

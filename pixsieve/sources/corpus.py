@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,46 +27,31 @@ def read_files(
 ) -> DataFrame:
     """path, modificationTime, length, content of a directory; select without content to skip reading it.
 
-    The binary source leaves out files of zero bytes, which a batch has to report; ``with_empty`` lists
-    them in tasks of their own, one per directory right under the root.
+    Spark lists the directory once, on whatever file system the root names (without a scheme: the cluster's default one),
+    many directories by many tasks. The binary source then leaves out files of zero bytes, which a batch has to report;
+    ``with_empty`` adds those of the same listing that it does not read, without their time.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if not extract_all:
         reader = reader.option("pathGlobFilter", _glob(exts))
     files = reader.load(root)
-    return files.unionByName(_empty_files(spark, root, recursive, None if extract_all else exts)) if with_empty else files
-
-
-def _empty_files(spark: SparkSession, root: str, recursive: bool, exts: Sequence[str] | None) -> DataFrame:
-    shown = root.rstrip("/") if ":" in root else "file:" + root.rstrip("/")
-    wanted = None if exts is None else tuple(e.lower() for e in exts)
-
-    def inside(filesystem: fs.FileSystem, base: str, folder: str, deep: bool) -> Iterator[fs.FileInfo]:
-        place = base + "/" + folder if folder else base
-        return iter(filesystem.get_file_info(fs.FileSelector(place, recursive=deep)))
-
-    def open_root() -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = open_root()
-        for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                found = [
-                    (shown + i.path[len(base):], i.mtime) for i in inside(filesystem, base, folder, bool(folder))
-                    if i.type == fs.FileType.File and i.size == 0 and (wanted is None or i.path.lower().endswith(wanted))
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in found], pa.string()), pa.array([t for _, t in found], pa.timestamp("us", tz="UTC"))],
-                    ["path", "modificationTime"])
-
-    folders = [""]
-    if recursive:
-        filesystem, base = open_root()
-        folders += [i.base_name for i in inside(filesystem, base, "", False) if i.type == fs.FileType.Directory]
-    tasks = spark.createDataFrame([(f,) for f in folders], "folder STRING").repartition(len(folders), "folder")
-    empty = tasks.mapInArrow(listed, "path STRING, modificationTime TIMESTAMP")
-    return empty.select("path", "modificationTime", F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
+    if not with_empty:
+        return files
+    empty = listed(files).join(files.select("path"), "path", "left_anti")
+    return files.unionByName(empty.select(
+        "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content")))
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """path of every file that a file source has listed, empty ones too; the listing stays in the JVM, where Spark holds it anyway."""
+    spark = files.sparkSession
+    strings = spark._jvm.org.apache.hadoop.util.StringUtils
+    # the way from an array to a list that needs no call per name; URLs hold no line ends
+    paths = strings.getStringCollection(strings.join("\n", files._jdf.inputFiles()), "\n")
+    names = DataFrame(spark._jsparkSession.createDataset(paths, spark._jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    # a listing gives names as URLs, the binary source plain ones, without an empty authority; a plus sign stands for itself
+    plain = F.regexp_replace("value", r"^([A-Za-z][\w+.-]*):///", "$1:/")
+    return names.select(F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))).alias("path"))
 
 
 def plan_batch(

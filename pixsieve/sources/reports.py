@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixsieve.running import SPAN, row_index
+from pixsieve.sources.files import write_files
 
 SEVERITIES = ("normal", "header", "header_desc", "warn", "error", "good")
 LINES_PER_FILE = 1 << 20
@@ -37,6 +38,16 @@ def write_reports(report: DataFrame, target: str) -> None:
     )
 
 
+def write_report_files(report: DataFrame, target: str, overwrite: bool = False) -> None:
+    """One text file per path, named after it with .txt behind: its lines in order, each with its end of line.
+
+    A path's lines are sorted by Spark, which spills, and streamed into its file. A leading slash is left out.
+    """
+    name = F.concat(F.regexp_replace(F.col("path").cast("string"), "^/+", ""), F.lit(".txt"))
+    rows = report.repartition("path").sortWithinPartitions("path", "line_no")
+    write_files(rows.select(name.alias("name"), F.encode(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")), "UTF-8").alias("content")), target, overwrite)
+
+
 def write_report_rows(report: DataFrame, target: str) -> None:
     """The same lines as one sorted parquet table, for corpora with more files than directories are good for."""
     part = F.expr(f"line_no DIV {LINES_PER_FILE}")

@@ -67,46 +67,6 @@ def test_start_offsets_exclude_the_start(files_of):
         "at0": (0, 0, 5), "later": (0, 2, 2), "no": (0, 0, 0), "only": (0, 0, 0), "empty": (0, 0, 0)}
 
 
-def test_patches_highest_ordinal_wins(spark, files_of):
-    rng = random.Random(5)
-    blobs = {f"f{i}": bytes(rng.randrange(256) for _ in range(n)) for i, n in enumerate((0, 3, 40, 200))}
-    patches = []
-    for p in blobs:
-        for o in range(12):
-            data = bytes(rng.randrange(256) for _ in range(rng.randrange(1, 9)))
-            patches.append((p, o, rng.randrange(0, 60), len(data), bytearray(data)))
-    df = spark.createDataFrame(patches, "path STRING, ordinal INT, start INT, len INT, data BINARY")
-    want = {}
-    for p, content in blobs.items():
-        out = bytearray(content)
-        for _, o, s, n, data in sorted((x for x in patches if x[0] == p), key=lambda x: x[1]):
-            for i, b in enumerate(data):
-                if s + i < len(out):
-                    out[s + i] = b
-        want[p] = bytes(out)
-    got = {r.path: bytes(r.content) for r in cv.apply_patches(files_of(blobs), df).collect()}
-    assert got == want
-    clean = {r.path: bytes(r.content) for r in cv.apply_patches(files_of(blobs), df, clean=True).collect()}
-    assert clean == blobs
-    winners = {(r.path, r.off): r.value for r in cv.patched_bytes(df).collect()}
-    assert all(want[p][o] == v for (p, o), v in winners.items() if o < len(want[p]))
-
-
-def test_no_patch_is_too_long_or_too_late(spark, files_of):
-    body = bytes(range(256)) * 4
-    rows = [("f", 600, 5, 600, bytearray(b"\x01" * 600)), ("f", 3, 0, 40, bytearray(b"\x02" * 40)), ("g", 1, 1020, 9, bytearray(b"\x03" * 9)), ("none", 0, 0, 1, bytearray(b"\x04"))]
-    patches = spark.createDataFrame(rows, "path STRING, ordinal INT, start INT, len INT, data BINARY")
-    got = {r.path: bytes(r.content) for r in cv.apply_patches(files_of({"f": body, "g": body, "h": body}), patches).collect()}
-    assert got == {"f": b"\x02" * 5 + b"\x01" * 600 + body[605:], "g": body[:1020] + b"\x03" * 4, "h": body}
-
-
-def test_untouched_files_stay_out_of_shuffles(spark, files_of):
-    patches = spark.createDataFrame([("f", 0, 0, 1, bytearray(b"z"))], "path STRING, ordinal INT, start INT, len INT, data BINARY")
-    plan = cv.apply_patches(files_of({"f": b"abc"}), patches)._jdf.queryExecution().executedPlan().toString()
-    bare = plan.split("Union")[1].split("MapInArrow")[0]
-    assert "BroadcastHashJoin" in bare and "hashpartitioning(path" not in bare.split("MapInArrow")[0].split("BroadcastExchange")[0]
-
-
 def test_hunt_matches_brute_force(spark, files_of):
     rng = random.Random(11)
     table = [1 + rng.randrange(250) for _ in range(64)]
