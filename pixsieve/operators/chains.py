@@ -182,10 +182,18 @@ def look_up_positions(points: DataFrame, mcus: DataFrame, mcu_w: int, mcu_h: int
     return keyed.join(mcus, ["path", "mcu_x", "mcu_y"], "left")
 
 
-def mcu_range(mcus: DataFrame, marks: DataFrame, order: str = "idx") -> DataFrame:
-    """Rows whose place (``order``) lies between two marked ones (path, a, b), whichever was marked first."""
-    ends = marks.select("path", F.least("a", "b").alias("__lo"), F.greatest("a", "b").alias("__hi"))
-    return mcus.join(ends, "path").where(F.col(order).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+def mcu_range(mcus: DataFrame, marks: DataFrame, order: str = "idx", span: int = SPAN) -> DataFrame:
+    """Rows whose place (``order``, not negative) lies between two marked ones (path, a, b), whichever was marked first.
+
+    Both sides are cut to spans of places, so a path with most rows meets its marks in as many tasks as it has spans: in
+    the spans at a range's ends the place decides, those between are whole. A row in two marked ranges comes twice.
+    """
+    ends = marks.select("path", F.least("a", "b").cast("bigint").alias("__lo"), F.greatest("a", "b").cast("bigint").alias("__hi")).where("__hi >= 0")
+    low, high = F.floor(F.greatest("__lo", F.lit(0)) / span), F.floor(F.col("__hi") / span)
+    held = ends.select("path", "__lo", "__hi", F.explode(F.sequence(low, high)).alias("__span"))
+    inner = (F.col("__span") * span >= F.col("__lo")) & ((F.col("__span") + 1) * span - 1 <= F.col("__hi"))
+    cut = mcus.withColumn("__span", F.floor(F.col(order) / span)).join(held.withColumn("__whole", inner), ["path", "__span"])
+    return cut.where(F.col("__whole") | F.col(order).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi", "__span", "__whole")
 
 
 def huffman_codes(lengths: DataFrame, span: int | None = SPAN) -> DataFrame:
