@@ -325,3 +325,49 @@ def dicom_elements(data: bytes):
         body = data[pos + header : pos + header + (min(size, 4) if pixels else size)]
         yield grp, elem, vr, explicit, pos, header, size, undefined, body
         pos += header + size
+
+
+@walker("version:str seq:int make:str model:str editor:int quality:str csig:str csig_rot:str subsampling:str sw_trim:str sw_disp:str complete:bool")
+def signature_records(data: bytes, header: str, versions: str):
+    """Records of a binary user signature table: header, version, then sections of a name, a count and so many records.
+
+    Texts end with a zero or a line end, in bytes or, where the header reads so, in UTF-16. Versions that are not listed
+    (as text, two characters each) and files with another header give nothing; version 01 has no rotated signature. A record
+    at which the file ends is given as far as it goes, ``complete`` false, as is one without a number for its editor.
+    """
+    for coding, unit in (("utf-16-le", 2), ("latin-1", 1)):
+        if data.startswith(header.encode(coding)):
+            break
+    else:
+        return
+    pos, whole = 0, True
+
+    def text() -> str:
+        nonlocal pos, whole
+        begin = pos
+        while pos + unit <= len(data):
+            sign = int.from_bytes(data[pos : pos + unit], "little")
+            pos += unit
+            if sign in (0, 10):
+                return data[begin : pos - unit].decode(coding, "replace")
+        whole, pos = False, len(data)
+        return data[begin : pos - (pos - begin) % unit].decode(coding, "replace")
+
+    if text() != header:
+        return
+    version = text()
+    if len(version) != 2 or version not in versions.split(","):
+        return
+    seq = 0
+    while whole and text() == "*DB*" and pos + 4 <= len(data):
+        count = int.from_bytes(data[pos : pos + 4], "little")
+        pos += 4
+        for _ in range(count):
+            if pos >= len(data):
+                return
+            make, model, editor, quality, csig = (text() for _ in range(5))
+            csig_rot = "" if version == "01" else text()
+            rest = [text() for _ in range(3)]
+            number = editor.strip().isdecimal() and len(editor.strip()) < 10
+            yield version, seq, make, model, int(editor) if number else None, quality, csig, csig_rot, *rest, whole and number
+            seq += 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pixsieve.operators import carving as cv
+from pixsieve.operators import needles as nd
 from pixsieve.operators import patches as pt
 from pixsieve.operators import signatures as sg
 from pixsieve.plans import inputs as inp
@@ -93,6 +94,24 @@ def classify_container(spark, d):
     return _containers(spark, d).select("path", F.length("content").alias("size"), cv.container_kind(F.col("content")).alias("kind"))
 
 
+def _needles(spark, d):
+    """Beginnings of the benchmark texts, in three lengths: nested needles, and such as overlap themselves."""
+    b = inp.table(spark, d, "benchmark").select("text")
+    each = b.select(F.explode(F.array(*[F.substring("text", 1, n) for n in (2, 4, 9)])).alias("t"))
+    return each.select(F.encode("t", "UTF-8").alias("needle"))
+
+
+def needle_table(spark, d):
+    hits = nd.find_needles(_docs(spark, d), _needles(spark, d))
+    return hits.select("path", F.decode("needle", "UTF-8").alias("needle"), "pos")
+
+
+def marker_table(spark, d):
+    """Markers by rank: the first words of the benchmark texts; of those in a document the first one."""
+    words = inp.table(spark, d, "benchmark").select(F.col("item_id").alias("rank"), F.split_part("text", F.lit(" "), F.lit(2)).alias("marker"))
+    return nd.first_listed(inp.byte_files(spark, d).select("path", "text"), words)
+
+
 def comment_sw(spark, d):
     t = inp.byte_files(spark, d)
     return t.select("path", sg.contains_any(F.col("text"), MARKERS).alias("is_software"))
@@ -132,7 +151,7 @@ def dqt_hunt(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     byte_search, next_prev, offset_mode, first_embedded, carve_extent, carve_no_end, frame_number, frame_names, mjpeg_dht,
-    scan_census, hex_rows, classify_container, comment_sw, ijg_sw, byte_patch, patch_bytes, dqt_hunt,
+    scan_census, hex_rows, classify_container, comment_sw, ijg_sw, needle_table, marker_table, byte_patch, patch_bytes, dqt_hunt,
 )}
 
 _DOCS = "docs AS (SELECT doc_id AS path, text, hex(encode(text)) AS hx FROM documents)"
@@ -202,6 +221,14 @@ SELECT * FROM t UNION ALL SELECT path, 128, false, '...', '' FROM docs WHERE len
     "classify_container": f"""WITH {_CONT} SELECT path, CAST(length(hx) // 2 AS INTEGER) AS size, CASE WHEN starts_with(hx, '384250530001') THEN 'psd'
   WHEN substr(hx, 257, 8) = '4449434D' THEN 'dicom' WHEN starts_with(hx, 'FFD8FF') THEN 'jpeg'
   WHEN starts_with(hx, '52494646') AND substr(hx, 17, 8) = '41564920' THEN 'avi' ELSE 'unknown' END AS kind FROM c""",
+    "needle_table": f"""WITH c AS (SELECT path, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM (SELECT doc_id AS path, string_split(text, '') AS l FROM documents)),
+g AS (SELECT path, CAST(coalesce(sum(octet_length(encode(c))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos,
+  unnest([{', '.join(' || '.join(['c', *(f'lead(c, {j}) OVER w' for j in range(1, n))]) for n in (2, 4, 9))}]) AS t FROM c WINDOW w AS (PARTITION BY path ORDER BY i)),
+n AS (SELECT DISTINCT t FROM (SELECT unnest([text[1:2], text[1:4], text[1:9]]) AS t FROM benchmark) WHERE t <> '')
+SELECT DISTINCT g.path, g.t AS needle, g.pos FROM g JOIN n ON g.t = n.t""",
+    "marker_table": """WITH w AS (SELECT item_id AS rank, split_part(text, ' ', 2) AS marker FROM benchmark),
+h AS (SELECT d.doc_id AS path, rank, marker FROM documents d, w WHERE marker <> '' AND contains(d.text, marker))
+SELECT path, marker FROM h QUALIFY row_number() OVER (PARTITION BY path ORDER BY rank, marker) = 1""",
     "comment_sw": f"WITH {_DOCS} SELECT path, " + " OR ".join(f"contains(text, '{m}')" for m in MARKERS) + " AS is_software FROM docs",
     "ijg_sw": f"""WITH {_DOCS}, e AS (SELECT path, CASE WHEN contains(text, 'que') THEN 'que' WHEN contains(text, 'und') THEN 'und' END AS encoder FROM docs)
 SELECT * FROM e WHERE encoder IS NOT NULL""",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pixsieve.operators import blocks as blk
 from pixsieve.operators import signatures as sg
 from pixsieve.plans import inputs as inp
-from pixsieve.sources import sigdb
+from pixsieve.plans import packed
+from pixsieve.sources import files, sigdb
 from pixsieve.sources.dims import local_rows
 
 MARKERS = ("blue widget", "red bolt")
@@ -80,6 +81,39 @@ def sigdb_store(spark, d):
     return sigdb.storable(_sigs(spark, d))
 
 
+def sigdb_update(spark, d):
+    """A stored table loaded, edited and stored to the same place, then read again."""
+    target = files.shared_folder(spark)
+    sigdb.store(_sigs(spark, d), target)
+    loaded = sigdb.load(spark, target)
+    edited = loaded.withColumns({"quality": F.concat("quality", F.lit("!")), "valid": F.col("sig_id") % 3 > 0})
+    sigdb.store(edited, target)
+    return sigdb.load(spark, target).select("sig_id", "make", "model", "quality", "csig")
+
+
+HEADER = "signature table"
+
+
+def binary_tables(spark, d):
+    """Suppliers as binary tables, one file per nation: versions 00 to 04 by nation, 03 in UTF-16, one record cut off in every seventh."""
+    s = inp.table(spark, d, "supplier").withColumns({"n": F.col("s_nationkey"), "k": F.col("s_suppkey")})
+    version = F.format_string("%02d", F.col("n") % 5)
+    coding = lambda c: F.when(F.col("n") % 5 == 3, F.encode(c, "UTF-16LE")).otherwise(F.encode(c, "ISO-8859-1"))
+    old = F.col("n") % 5 == 1
+    sig = F.upper(F.md5("s_name"))
+    texts = F.concat_ws("\0", F.concat(F.lit("Make#"), "n"), "s_name", (F.col("k") % 6).cast("string"), F.lit("fine"), sig,
+                        F.when(~old, F.reverse(sig)), F.lit("2x1"), F.lit(""), F.concat(F.lit("tool "), "k"))
+    per = s.groupBy("n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.concat(texts, F.lit("\0")).alias("t")))), lambda r: r["t"]), "").alias("body"), F.count("*").alias("held"))
+    head = F.concat(F.lit(f"{HEADER}\0"), version, F.lit("\0*DB*\0"))
+    body = F.when(F.col("n") % 7 == 0, F.expr("substring(body, 1, length(body) - 3)")).otherwise(F.concat("body", F.lit("*Z*\0")))
+    content = F.concat(coding(head), packed.ordered(F.col("held"), 4, F.lit(True)), coding(body))
+    return per.select(F.col("n").alias("path"), packed.sealed(content, "content"))
+
+
+def sigdb_binary(spark, d):
+    return sigdb.read_binary(binary_tables(spark, d), HEADER)
+
+
 def sig_verdict(spark, d):
     k = F.col("p_partkey")
     # software rows hash the type (and also the name of blue parts), camera rows the name: every branch occurs
@@ -131,6 +165,8 @@ QUERIES = {
     "sigdb_append": sigdb_append,
     "sigdb_load": sigdb_load,
     "sigdb_store": sigdb_store,
+    "sigdb_update": sigdb_update,
+    "sigdb_binary": sigdb_binary,
     "sig_verdict": sig_verdict,
     "label_verdicts": label_verdicts,
 }
@@ -169,6 +205,12 @@ FROM supplier""",
 SELECT sig_id, '0' || (sig_id % 4) AS version, true AS valid, make, model, csig,
   CASE WHEN sig_id % 4 = 1 THEN '' ELSE csig_rot END AS csig_rot, '' AS sw_disp FROM signatures WHERE sig_id % 4 <> 0""",
     "sigdb_store": f"""WITH {inp.SIGNATURES} SELECT * FROM signatures WHERE is_user AND valid""",
+    "sigdb_update": f"""WITH {inp.SIGNATURES} SELECT sig_id, make, model, quality || '!' AS quality, csig FROM signatures WHERE is_user AND valid AND sig_id % 3 > 0""",
+    "sigdb_binary": """WITH s AS (SELECT *, s_nationkey AS n, s_suppkey AS k, s_nationkey % 7 = 0 AND s_suppkey = max(s_suppkey) OVER (PARTITION BY s_nationkey) AS cut FROM supplier)
+SELECT n AS path, printf('%02d', n % 5) AS version, CAST(row_number() OVER (PARTITION BY n ORDER BY k) - 1 AS INTEGER) AS seq, NOT cut AS valid,
+  ['unset', 'camera', 'software', 'unsure', 'unset', 'unset'][k % 6 + 1] AS editor_class, 'Make#' || n AS make, s_name AS model, 'fine' AS quality,
+  upper(md5(s_name)) AS csig, CASE WHEN n % 5 = 1 THEN '' ELSE reverse(upper(md5(s_name))) END AS csig_rot, '2x1' AS subsampling, '' AS sw_trim,
+  CASE WHEN cut THEN substr('tool ' || k, 1, length('tool ' || k) - 2) ELSE 'tool ' || k END AS sw_disp FROM s WHERE n % 5 IN (1, 2, 3)""",
     "sig_verdict": f"""WITH {inp.SIGNATURES}, {_EDIT}, {_NOMKR2},
 img AS (SELECT p_partkey AS image_id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_brand END AS make, p_type AS model,
   upper(md5(CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN p_type ELSE p_name END)) AS sig,

@@ -69,7 +69,7 @@ def test_signature_store_and_load(spark, tmp_path):
     s = spark.createDataFrame(rows, cols)
     target = str(tmp_path / "db")
     sigdb.store(s, target)
-    stored = spark.read.parquet(target)
+    stored = sigdb.load(spark, target)
     assert [r.sig_id for r in stored.collect()] == [1]
     loaded = sigdb.load_versions({"01": stored.drop("csig_rot", "is_user", "valid"), "00": stored, "03": stored.drop("is_user", "valid")})
     assert sorted((r.version, r.csig_rot, r.sw_disp) for r in loaded.collect()) == [("01", "", ""), ("03", "Y", "")]
@@ -118,3 +118,59 @@ def test_registry_can_be_handed_in(spark, tmp_path):
 def test_marker_names():
     names = {c: dims.marker_name(c) for c in (0xC0, 0xC2, 0xC4, 0xCC, 0xD3, 0xD8, 0xDA, 0xE1, 0xFE, 0x01, 0x02)}
     assert names == {0xC0: "SOF0", 0xC2: "SOF2", 0xC4: "DHT", 0xCC: "DAC", 0xD3: "RST3", 0xD8: "SOI", 0xDA: "SOS", 0xE1: "APP1", 0xFE: "COM", 1: "TEM", 2: "RES"}
+
+
+SIGS = "sig_id INT, is_user BOOLEAN, valid BOOLEAN, make STRING"
+
+
+def test_a_table_can_be_stored_from_itself(spark, tmp_path):
+    target = str(tmp_path / "db")
+    with pytest.raises(ValueError, match="no signature table"):
+        sigdb.load(spark, target)
+    sigdb.store(spark.createDataFrame([(i, True, True, "A") for i in range(20)], SIGS), target)
+    for step in range(5):
+        loaded = sigdb.load(spark, target)
+        sigdb.store(loaded.withColumns({"make": F.concat("make", F.lit("+")), "valid": F.col("sig_id") != step}), target)
+    assert sorted((r.sig_id, r.make) for r in sigdb.load(spark, target).collect()) == [(i, "A+++++") for i in range(5, 20)]
+    assert len([p for p in (tmp_path / "db").iterdir() if p.name.startswith(sigdb.SNAPSHOT)]) == 3
+    assert not [p for p in (tmp_path / "db").iterdir() if p.name.startswith(sigdb.POINTER + "-")]
+
+
+def test_a_store_that_dies_leaves_the_old_table(spark, tmp_path):
+    target = str(tmp_path / "db")
+    sigdb.store(spark.createDataFrame([(1, True, True, "A")], SIGS), target)
+    before = sigdb.current(spark, target)
+    dying = sigdb.load(spark, target).withColumn("make", F.raise_error(F.lit("killed")).cast("string"))
+    with pytest.raises(Exception, match="killed"):
+        sigdb.store(dying, target)
+    assert sigdb.current(spark, target) == before and [r.make for r in sigdb.load(spark, target).collect()] == ["A"]
+    # a whole snapshot whose pointer was never switched does not count either
+    spark.createDataFrame([(2, True, True, "B")], SIGS).write.parquet(f"{target}/{sigdb.SNAPSHOT}0000000009-x")
+    assert [r.make for r in sigdb.load(spark, target).collect()] == ["A"]
+
+
+def binary_table(header, version, records, wide, end="*Z*", count=None):
+    coding = "utf-16-le" if wide else "latin-1"
+    text = lambda x: (x + "\0").encode(coding)
+    body = b"".join(text(f) for r in records for f in r)
+    n = len(records) if count is None else count
+    return text(header) + text(version) + text("*DB*") + n.to_bytes(4, "little") + body + text(end)
+
+
+def test_binary_tables_of_all_versions(spark, files_of):
+    long = [("Make é", f"m{i}", str(i % 5), "q", "AA", "BB", "2x1", "t", "d") for i in range(300)]
+    old = [r[:5] + r[6:] for r in long]
+    blobs = {
+        "v1": binary_table("Tool", "01", old, False), "v2": binary_table("Tool", "02", long, False), "v3": binary_table("Tool", "03", long, True),
+        "v0": binary_table("Tool", "00", long, False), "v9": binary_table("Tool", "09", long, False), "other": binary_table("Toll", "03", long, True),
+        "cut": binary_table("Tool", "03", long[:2], True)[:-40], "endless": binary_table("Tool", "02", long[:2], False, count=2**32 - 1),
+        "letter": binary_table("Tool", "02", [("M", "m", "x", *long[0][3:])], False), "empty": b"", "head": b"Tool\0",
+    }
+    rows = sigdb.read_binary(files_of(blobs), "Tool").collect()
+    by = {p: sorted((r for r in rows if r.path == p), key=lambda r: r.seq) for p in blobs}
+    assert {p: len(r) for p, r in by.items()} == {"v1": 300, "v2": 300, "v3": 300, "v0": 0, "v9": 0, "other": 0, "cut": 2, "endless": 3, "letter": 1, "empty": 0, "head": 0}
+    for p in ("v1", "v2", "v3"):
+        got = [(r.make, r.model, r.editor_class, r.quality, r.csig, r.csig_rot, r.subsampling, r.sw_trim, r.sw_disp, r.valid) for r in by[p]]
+        assert got == [(*r[:2], [*sigdb.EDITORS, "unset"][int(r[2])], *r[3:5], "" if p == "v1" else "BB", *r[6:], True) for r in long]
+    assert [r.valid for r in by["cut"]] == [True, False] and [r.valid for r in by["endless"]] == [True, True, False]
+    assert [r.valid for r in by["letter"]] == [False]
