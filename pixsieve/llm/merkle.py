@@ -13,10 +13,11 @@ is a running sum over parts. No task holds more of a language than one part or o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixsieve.llm.common import stored, table
+from pixsieve.llm.ranks import ranked
 
 BITS = 8
 DIGITS = 64
@@ -34,25 +35,6 @@ def leaf_hash(docs: DataFrame, names: tuple[str, ...], **instead: Column) -> Col
     return F.sha2(F.concat(*(field(instead.get(c, F.col(f"`{c}`"))) for c in names)), 256)
 
 
-def ranked(nodes: DataFrame, group: str, order: tuple[str, ...]) -> DataFrame:
-    """The nodes, stored, with rank (place in the group from 0, in ascending order) and n (nodes of the group).
-
-    Rows equal in all of group and order may stand in either order; rand splits them where they are many.
-    """
-    keys = [F.col(group), *(F.col(c).asc_nulls_first() for c in order)]
-    # a place within the task: the low 33 bits of the id that Spark gives each row of a partition
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    in_order = nodes.repartitionByRange(*keys, F.rand(7)).sortWithinPartitions(*keys)
-    rows = stored(in_order.select("*", F.spark_partition_id().alias("part"), place.alias("place")), "merkle-nodes")
-    parts = rows.groupBy(group, "part").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("held"))
-    whole = Window.partitionBy(group)
-    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        group, "part", (F.coalesce(F.sum("held").over(before), F.lit(0)) - F.col("first")).alias("shift"), F.sum("held").over(whole).alias("n")
-    )
-    return rows.join(offsets, [group, "part"]).withColumn("rank", F.col("place") + F.col("shift")).drop("part", "place", "shift")
-
-
 def parents(level: Column) -> Column:
     """The level above a level's string: the hashes of its 128-digit substrings, the last of which may have 64."""
     pairs = F.ceil(F.length(level) / (2 * DIGITS)).cast("int")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pixsieve.llm.blocks import pack_arrays, unpack_arrays
 from pixsieve.llm.common import stored, table
+from pixsieve.llm.ranks import ranked
 
 K = 20
 EVERY = 20
@@ -30,6 +31,8 @@ LEVELS = (4, 16)
 #: Bytes that a chunk's numbers take at most as 64-bit ones, and its vectors at most (a power of two).
 CHUNK_BYTES = 8 << 20
 CHUNK_ROWS = 4096
+#: Queries that meet a chunk at once.
+BLOCK = 512
 #: Chunks whose queries meet another chunk in one call.
 SLAB = 128
 KINDS = (np.int8, np.int16, np.int32, np.int64)
@@ -101,25 +104,30 @@ def outline(rows: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(statistics(rows.astype(np.float64), n), axis=1)
 
 
-def products(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Exact inner products; where doubles might not hold them, by Python's whole numbers, kept within 64 bits."""
-    largest = max(float(np.abs(rows.astype(np.float64)).max(initial=0)), 1.0) * max(float(np.abs(one.astype(np.float64)).max(initial=0)), 1.0)
-    if largest * max(len(one), 1) < 2.0**52:
-        return (rows.astype(np.float64) @ one.astype(np.float64)).astype(np.int64)
-    exact = rows.astype(object) @ one.astype(object)
-    return np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in exact], np.int64)
+def products(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Exact inner products of all rows with all others, as 64-bit numbers.
+
+    In floats where they hold every partial sum, else in Python's whole numbers, kept within 64 bits.
+    """
+    largest = [max(float(np.abs(x.astype(np.float64)).max(initial=0)), 1.0) for x in (rows, others)]
+    bound = largest[0] * largest[1] * max(rows.shape[1], 1)
+    if bound < 2.0**52:
+        kind = np.float32 if bound < 2.0**23 else np.float64
+        return (rows.astype(kind) @ others.astype(kind).T).astype(np.int64)
+    exact = rows.astype(object) @ others.astype(object).T
+    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def floors(queries: np.ndarray, rows: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
     """Per query the score that k of these rows reach, each as often as it has copies; minus infinity if they are fewer."""
-    out = np.full(len(queries), -np.inf)
-    for i, q in enumerate(queries):
-        score = products(rows, q)
-        order = np.argsort(-score.astype(np.float64), kind="stable")
-        enough = np.searchsorted(np.cumsum(copies[order]), k)
-        if enough < len(order):
-            out[i] = float(score[order[enough]])
-    return out
+    if int(copies.sum()) < k or not len(queries):
+        return np.full(len(queries), -np.inf)
+    score = products(queries, rows)
+    best = np.argpartition(score, max(0, len(rows) - k), axis=1)[:, -k:]  # k distinct vectors are k rows at least
+    score = np.take_along_axis(score, best, axis=1)
+    order = np.argsort(score, axis=1)[:, ::-1]
+    enough = (np.cumsum(copies[np.take_along_axis(best, order, axis=1)], axis=1) < k).sum(axis=1)
+    return np.take_along_axis(np.take_along_axis(score, order, axis=1), enough[:, None], axis=1)[:, 0].astype(np.float64)
 
 
 class Chunk:
@@ -131,28 +139,28 @@ class Chunk:
         self.length = float(np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1)).max(initial=0))
         self.outlines = [outline(rows, n) for n in LEVELS]
 
-    def search(self, queries: np.ndarray, floor: np.ndarray, k: int):
-        """Per query that has any: its place, and score, id and number of its first k hits, ties by id."""
-        outlines = [outline(queries, n) for n in LEVELS]
+    def search(self, queries: np.ndarray, floor: np.ndarray, number: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(number, score, id, own) of each query's first k hits that reach its floor, ties by id.
+
+        Each level keeps the candidates that some query can still reach, so the next one has fewer columns.
+        """
         slack = 1e-9 * np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * self.length + 1e-6
-        coarse = outlines[0] @ self.outlines[0].T
-        for i, q in enumerate(queries):
-            least = floor[i] - slack[i]
-            at = np.flatnonzero(coarse[i] >= least)
-            for own, all_rows in zip(outlines[1:], self.outlines[1:], strict=True):
-                at = at[all_rows[at] @ own[i] >= least]
-            if not len(at):
-                continue
-            score = products(self.rows[at], q)
-            order = np.argsort(-score.astype(np.float64), kind="stable")
-            enough = min(int(np.searchsorted(np.cumsum(self.copies[at[order]]), k)), len(order) - 1)
-            reach = score >= max(score[order[enough]], least)
-            at, score = at[reach], score[reach]
-            n = self.copies[at]
-            ids = self.ids[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            score, own_number = np.repeat(score, n), np.repeat(self.own[at], n)
-            first = np.lexsort((ids, -score.astype(object) if (score == -(2**63)).any() else -score))[:k]
-            yield i, score[first], ids[first], own_number[first]
+        least = (floor - slack)[:, None]
+        columns = np.arange(len(self.rows))
+        for n, every in zip(LEVELS, self.outlines, strict=True):
+            columns = columns[(outline(queries, n) @ every[columns].T >= least).any(axis=0)]
+        score = products(queries, self.rows[columns])
+        query, column = np.nonzero(score >= least)
+        score, at = score[query, column], columns[column]
+        n = self.copies[at]
+        ids = self.ids[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        query, score, own = np.repeat(query, n), np.repeat(score, n), np.repeat(self.own[at], n)
+        order = np.lexsort((ids, ~score, query))  # the complement turns a 64-bit order round
+        query = query[order]
+        first = np.searchsorted(query, query)
+        order = order[np.arange(len(order)) - first < k]
+        query = np.repeat(np.arange(len(queries)), np.minimum(np.bincount(query, minlength=len(queries)), k))
+        return number[query], score[order], ids[order], own[order] == number[query]
 
 
 def chunk_bits(places: int) -> int:
@@ -161,21 +169,19 @@ def chunk_bits(places: int) -> int:
 
 
 def distinct_vectors(rows: DataFrame, every: int, k: int) -> DataFrame:
-    """number, vec, ids (the k smallest), asked (some row is a query): stored, in the order of places and code."""
+    """number (from 0, in the order of places, code and vec), vec, places, ids (the k smallest), asked (some row is a query)."""
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("nth") <= k)
     each = first.groupBy("vec", "places", "code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = rows.where(F.col("vec_id") % every == 0).select("vec").distinct().withColumn("asked", F.lit(True))
     flagged = each.join(asked, "vec", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    in_order = flagged.repartitionByRange("places", "code", "vec").sortWithinPartitions("places", "code", "vec")
-    return stored(in_order.select(F.monotonically_increasing_id().alias("number"), "vec", "places", "ids", "asked"), "vectors")
+    placed = ranked(flagged.withColumn("all", F.lit(0)), "all", ("places", "code", "vec"))
+    return placed.select(F.col("rank").alias("number"), "vec", "places", "ids", "asked")
 
 
 def chunks(vectors: DataFrame, k: int) -> DataFrame:
     """c (0, 1, ...), packed (candidates), queries (packed with their floors, null without any): stored, one row a chunk."""
     places = vectors.agg(F.max("places")).first()[0] or 0
-    # numbers begin anew in each part, so a chunk never holds more than its bits say
-    chunked = vectors.withColumn("chunk", F.shiftright("number", chunk_bits(places)))
-    dense = chunked.select("chunk").distinct().withColumn("c", F.row_number().over(Window.orderBy("chunk")) - 1)
+    chunked = vectors.withColumn("c", F.shiftright("number", chunk_bits(places)).cast("int"))
 
     def pack(key, rows):
         rows = rows.sort_by("number")
@@ -192,8 +198,7 @@ def chunks(vectors: DataFrame, k: int) -> DataFrame:
         packed = pack_arrays(numbers.ravel(), size, np.concatenate(ids), copies, number)
         return pa.table({"c": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([packed], pa.binary()), "queries": pa.array([queries], pa.binary())})
 
-    held = chunked.join(dense, "chunk").select("c", "number", "vec", "places", "ids", "asked")
-    return stored(held.groupBy("c").applyInArrow(pack, "c int, packed binary, queries binary"), "vector-chunks")
+    return stored(chunked.groupBy("c").applyInArrow(pack, "c int, packed binary, queries binary"), "vector-chunks")
 
 
 def hits(packed: DataFrame, k: int) -> DataFrame:
@@ -209,8 +214,9 @@ def hits(packed: DataFrame, k: int) -> DataFrame:
             places = max(int(size[0]), *(int(width[0]) for _, width, _, _ in parts))
             chunk = Chunk(widened(numbers, size, len(copies), places), ids, copies, own)
             for values, width, floor, number in parts:
-                for i, score, vec_id, whose in chunk.search(widened(values, width, len(number), places), floor, k):
-                    out.append((np.full(len(score), number[i]), score, vec_id, whose == number[i]))
+                queries = widened(values, width, len(number), places)
+                for a in range(0, len(number), BLOCK):
+                    out.append(chunk.search(queries[a : a + BLOCK], floor[a : a + BLOCK], number[a : a + BLOCK], k))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
         return pa.table([pa.array(c) for c in cols], names=["number", "score", "vec_id", "own"])
 
@@ -232,8 +238,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Ties go to the smaller id. Rows that repeat an id or a vector are rows of their own: each is a query, and a candidate to
     the others. Of vectors of unequal length the missing places count as 0. Null ids, null vectors and those with a
-    component that is null, not finite or beyond 64 bits take no part; scores beyond 64 bits stay at the limit; a query alone has no hits; an empty table gives no
-    rows. Other columns are not read.
+    component that is null, not finite or beyond 64 bits take no part; scores beyond 64 bits stay at the limit; a query alone
+    has no hits; an empty table gives no rows. Other columns are not read.
     """
     read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
     rows = stored(whole_numbers(read, scale), "whole-numbers")
