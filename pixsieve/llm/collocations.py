@@ -5,8 +5,9 @@ fingerprint a difference of prefix polynomials: one modulo two primes (62 bits),
 apart whose first ones collide. Both together are the key. Tasks add up equal keys before they send them on, with a pointer
 to one occurrence: 29 bits of its text's hash, the byte where it begins, its number of words.
 
-Words and pairs are counted first. Runs of three and four words are counted in a second scan, and only where every pair in
-them may be frequent, as a bitmap sized by the number of frequent pairs says; a full bitmap costs time, never a phrase.
+A first scan counts words and pairs by 40 bits of the first fingerprint, in narrow rows; what is frequent there goes into a
+bitmap sized by their number. A second one does the same with runs of three words whose pairs the bitmap holds. The third
+counts by the whole key, and only runs whose shorter runs may all be frequent; a full bitmap costs time, never a phrase.
 Only frequent keys get their words: the pointers join the texts they point to, the words at that place are fingerprinted
 again, and a text that merely shares the 29 bits is known by its other fingerprint. All that follows are joins of phrases.
 
@@ -47,12 +48,15 @@ PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (911_382_323, 972_663_749)
 WIDE_BASE = 0xD6E8FEB86659FD93
 TAG_BITS, PLACE_BITS, LENGTH_BITS = 29, 31, 3
-#: Bytes of text whose fingerprints are worked out at once, and keys that a task adds up before it sends some on.
-SLICE_BYTES = 2 << 20
+#: Bits of a fingerprint by which the first scan counts.
+HASH_BITS = 40
+#: Bytes of text whose fingerprints are worked out at once (tables of powers are kept in powers of two), and keys that a
+#: task adds up before it sends some on.
+SLICE_BYTES = (1 << 19) - (1 << 12)
 HELD_KEYS = 1 << 20
-#: The bitmap of frequent pairs: eight bits a pair, within these bounds (2^28 bits are 32 MiB).
+#: The bitmap of frequent runs: so many bits each, so that few others pass, within these bounds (2^28 bits are 32 MiB).
+BITS_EACH = 64
 BITMAP_BITS = (20, 28)
-COUNTS = "fp long, guard long, n long, pointer long"
 
 
 @lru_cache(maxsize=16)
@@ -82,16 +86,19 @@ class Prefixes:
         self.wide = np.zeros(n + 1, np.uint64)
         np.cumsum(value * powers(WIDE_BASE, self.size)[:n], out=self.wide[1:])
 
-    def of(self, first: np.ndarray, last: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(fp, guard) of the stretches, with their languages' numbers mixed in."""
+    def fingerprints(self, first: np.ndarray, last: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Of the stretches, with their languages' numbers mixed in."""
         halves = []
         for base, prime, sums in zip(BASES, PRIMES, self.sums, strict=True):
             p = np.uint64(prime)
             part = sums[last] + p - sums[first]
             halves.append(part % p * prime_powers(pow(base, -1, prime), prime, self.size)[first] % p)
+        return mixed((halves[0] << np.uint64(31) | halves[1]) ^ lang)
+
+    def guards(self, first: np.ndarray, last: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Their second fingerprints."""
         wide = (self.wide[last] - self.wide[first]) * powers(pow(WIDE_BASE, -1, 1 << 64), self.size)[first]
-        fp = mixed((halves[0] << np.uint64(31) | halves[1]) ^ lang)
-        return fp, mixed(wide + (last - first).astype(np.uint64)) ^ lang
+        return mixed(wide + (last - first).astype(np.uint64)) ^ lang
 
 
 def lang_number(lang: str) -> np.uint64:
@@ -146,86 +153,123 @@ class Words:
     def __len__(self) -> int:
         return len(self.first)
 
-    def runs(self, k: int, joined: np.ndarray) -> np.ndarray:
-        """First words of the runs of k words whose neighbours are all joined."""
-        if len(self) < k:
-            return np.zeros(0, np.int64)
-        ok = np.ones(len(self) - k + 1, bool)
-        for j in range(k - 1):
-            ok &= joined[j : j + len(ok)]
-        return np.flatnonzero(ok)
-
 
-Counts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Counts = list[np.ndarray]
 
 
 def added(parts: list[Counts]) -> Counts:
-    """Equal keys added up, the smallest pointer kept; keys that share fp alone stay apart, in more rows than one perhaps."""
-    fp, guard, n, pointer = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """Equal keys added up; parts: fp, n, and in the last scan guard and pointer, of which the smallest stays. Keys that share
+    fp alone stay apart, in more rows than one perhaps."""
+    fp, n, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(fp):
-        return fp, guard, n, pointer
+        return [fp, n, *more]
     order = np.argsort(fp, kind="stable")
-    fp, guard = fp[order], guard[order]
-    begins = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (guard[1:] != guard[:-1])]))
-    return fp[begins], guard[begins], np.add.reduceat(n[order], begins), np.minimum.reduceat(pointer[order], begins)
-
-
-def count_batches(counts: Counts, rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    fp, guard, n, pointer = counts
-    for a in range(0, len(fp), rows):
-        cols = [x[a : a + rows].view(np.int64) for x in (fp, guard, n, pointer)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["fp", "guard", "n", "pointer"])
-
-
-def batch_counts(batch: pa.RecordBatch, lengths: tuple[int, ...], pairs: np.ndarray | None) -> Iterator[Counts]:
-    """Counts of the runs of these lengths in a batch (tag, lang, text); with a bitmap of pairs only runs whose pairs it holds."""
-    langs = batch.column(1).dictionary_encode()
-    numbers = np.array([lang_number(x) for x in langs.dictionary.to_pylist()], np.uint64)
-    lang = numbers[langs.indices.to_numpy()] if len(langs) else np.zeros(0, np.uint64)
-    tag = batch.column(0).to_numpy().astype(np.int64) << (PLACE_BITS + LENGTH_BITS)
-    body, offsets = bytes_of(batch.column(2))
-    for at, to in cuts(body, offsets, SLICE_BYTES):
-        words = Words(body, offsets, at, to)
-        if not len(words):
-            continue
-        prefixes, joined, parts = Prefixes(words.laid), words.joined, []
-        if pairs is not None:
-            i = words.runs(2, joined)
-            fp, _ = prefixes.of(words.first[i], words.last[i + 1], lang[words.text[i]])
-            joined = joined.copy()
-            joined[i] = held(pairs, fp)
-        else:  # the empty phrase counts all words
-            text, n = np.unique(words.text, return_counts=True)
-            parts.append((*empty_phrase(lang[text]), n.astype(np.int64), tag[text]))
-        for k in lengths:
-            i = words.runs(k, joined)
-            fp, guard = prefixes.of(words.first[i], words.last[i + k - 1], lang[words.text[i]])
-            parts.append((fp, guard, np.ones(len(i), np.int64), tag[words.text[i]] | words.place[i] << LENGTH_BITS | k))
+    fp = fp[order]
+    new = np.concatenate([[True], fp[1:] != fp[:-1]])
+    if more:
+        guard = more[0][order]
+        new[1:] |= guard[1:] != guard[:-1]
+    begins = np.flatnonzero(new)
+    whole = [fp[begins], np.add.reduceat(n[order], begins)]
+    return [*whole, guard[begins], np.minimum.reduceat(more[1][order], begins)] if more else whole
+
+
+class Batch:
+    """Slices of a batch of (tag, lang, text), and the numbers of their languages."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        langs = batch.column(1).dictionary_encode()
+        numbers = np.array([lang_number(x) for x in langs.dictionary.to_pylist()], np.uint64)
+        self.lang = numbers[langs.indices.to_numpy()] if len(langs) else np.zeros(0, np.uint64)
+        self.tag = batch.column(0).to_numpy().astype(np.int64) << (PLACE_BITS + LENGTH_BITS)
+        self.body, self.offsets = bytes_of(batch.column(2))
+
+    def slices(self) -> Iterator[tuple[Words, Prefixes, np.ndarray]]:
+        """Words, their prefixes, and the number of each word's language."""
+        for at, to in cuts(self.body, self.offsets, SLICE_BYTES):
+            words = Words(self.body, self.offsets, at, to)
+            if len(words):
+                yield words, Prefixes(words.laid), self.lang[words.text]
+
+
+def runs_held(words: Words, prefixes: Prefixes, lang: np.ndarray, bits: np.ndarray | None, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length the runs whose shorter ones of these lengths the bitmap holds: length, first words, fingerprints.
+
+    Of a length that is not the last only those that the bitmap holds themselves.
+    """
+    ok = np.ones(len(words), bool)
+    for k in lengths:
+        if k > 1:
+            both = ok[:-1] & ok[1:]
+            i = np.flatnonzero(both & words.joined if k == 2 else both)
+        else:
+            i = np.arange(len(words))
+        fp = prefixes.fingerprints(words.first[i], words.last[i + k - 1], lang[i])
+        if bits is not None and k < lengths[-1]:
+            here = held(bits, fp)
+            i, fp = i[here], fp[here]
+        yield k, i, fp
+        ok[:] = False
+        ok[i] = True
+
+
+def hashes_of(batch: Batch, bits: np.ndarray | None, lengths: range, counted_from: int) -> Iterator[Counts]:
+    """The leading bits of the fingerprints of runs_held, of those of counted_from words or more."""
+    for words, prefixes, lang in batch.slices():
+        fp = np.concatenate([fp for k, _, fp in runs_held(words, prefixes, lang, bits, lengths) if k >= counted_from])
+        yield added([[fp >> np.uint64(64 - HASH_BITS), np.ones(len(fp), np.int64)]])
+
+
+def runs_of(batch: Batch, bits: np.ndarray) -> Iterator[Counts]:
+    """The runs of one to four words whose shorter runs the bitmap holds, and empty phrases, which count all words."""
+    for words, prefixes, lang in batch.slices():
+        text, n = np.unique(words.text, return_counts=True)
+        empty = empty_phrase(batch.lang[text])
+        parts = [[empty[0], n.astype(np.int64), empty[1], batch.tag[text]]]
+        for k, i, fp in runs_held(words, prefixes, lang, bits, range(1, LONGEST + 1)):
+            pointer = batch.tag[words.text[i]] | words.place[i] << LENGTH_BITS | k
+            parts.append([fp, np.ones(len(i), np.int64), prefixes.guards(words.first[i], words.last[i + k - 1], lang[i]), pointer])
         yield added(parts)
 
 
-def counted(rows: DataFrame, lengths: tuple[int, ...], min_count: int, pairs: bytes | None = None) -> DataFrame:
-    """fp, guard, n, pointer of all runs of these lengths that occur min_count times or more, and of empty phrases.
+def added_up(rows: DataFrame, counts_of, schema: str) -> DataFrame:
+    """What counts_of gives of the batches of rows, added up as far as a task holds it."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def sent(counts: Counts, size: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(counts[0]), size):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + size].view(np.int64)) for x in counts], names=names)
 
-    rows: (tag, lang, text) without nulls.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if pairs is None else np.frombuffer(pairs, np.uint8)
         parts, held_keys = [], 0
         for batch in batches:
-            for counts in batch_counts(batch, lengths, bits):
+            for counts in counts_of(Batch(batch)):
                 parts.append(counts)
                 held_keys += len(counts[0])
                 if held_keys > HELD_KEYS:
                     parts = [added(parts)]
                     held_keys = len(parts[0][0])
                     if held_keys > HELD_KEYS // 2:
-                        yield from count_batches(parts[0])
+                        yield from sent(parts[0])
                         parts, held_keys = [], 0
         if parts:
-            yield from count_batches(added(parts))
+            yield from sent(added(parts))
+
+    return rows.select("tag", "lang", "text").mapInArrow(run, schema)
+
+
+def frequent_hashes(rows: DataFrame, min_count: int, bitmap_bytes: bytes | None = None) -> DataFrame:
+    """h: the leading HASH_BITS of the fingerprints of runs that may occur min_count times or more: of words and pairs, with
+    their bitmap of runs of three words. Stored."""
+    bits = lambda: None if bitmap_bytes is None else np.frombuffer(bitmap_bytes, np.uint8)
+    lengths, counted_from = (range(1, 3), 1) if bitmap_bytes is None else (range(2, 4), 3)
+    each = added_up(rows, lambda batch: hashes_of(batch, bits(), lengths, counted_from), "h long, n long")
+    return stored(each.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("h"), "phrase-hashes")
+
 
-    each = rows.select("tag", "lang", "text").mapInArrow(run, COUNTS)
+def counted(rows: DataFrame, bitmap_bytes: bytes, min_count: int) -> DataFrame:
+    """fp, guard, n, pointer of all runs that occur min_count times or more, and of empty phrases. rows: (tag, lang, text) without nulls."""
+    each = added_up(rows, lambda batch: runs_of(batch, np.frombuffer(bitmap_bytes, np.uint8)), "fp long, n long, guard long, pointer long")
     whole = each.groupBy("fp", "guard").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
     return whole.where((F.col("n") >= min_count) | (words_in(F.col("pointer")) == 0))
 
@@ -239,12 +283,12 @@ def held(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def bitmap(pairs: DataFrame) -> bytes:
-    """One bit for each fingerprint's leading bits: 2^22 words of 64 bits at most reach the driver, whatever the number of pairs."""
-    bits = min(max((pairs.count() * 8).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
-    place = F.shiftrightunsigned("fp", 64 - bits)
-    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - bits}) % 64 as int))")
-    words = pairs.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+def bitmap(hashes: DataFrame) -> bytes:
+    """One bit for each hash's leading bits: 2^22 words of 64 bits at most reach the driver, whatever the number of hashes."""
+    bits = min(max((hashes.count() * BITS_EACH).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
+    words = hashes.select(F.shiftright("h", HASH_BITS - bits).alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("bits")
+    ).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["at"].to_numpy()] = words["bits"].to_numpy()
     return out.tobytes()
@@ -279,7 +323,8 @@ def phrases(rows: DataFrame, heads: DataFrame) -> DataFrame:
             body, offsets = bytes_of(stretch)
             names = pa.array(langs).dictionary_encode()
             number = np.array([lang_number(x) for x in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy()]
-            own = Prefixes(body).of(offsets[:-1], offsets[1:], number)
+            prefixes = Prefixes(body)
+            own = prefixes.fingerprints(offsets[:-1], offsets[1:], number), prefixes.guards(offsets[:-1], offsets[1:], number)
             none = empty_phrase(number)
             same = (np.where(k > 0, own[0], none[0]) == fp.view(np.uint64)) & (np.where(k > 0, own[1], none[1]) == guard.view(np.uint64))
             out = pa.RecordBatch.from_arrays(
@@ -296,9 +341,9 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", mi
     """lang, phrase, k (words, 0 to 4), a (occurrences): all phrases of min_count occurrences, and each language's empty phrase."""
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
     rows = own.withColumn("tag", F.xxhash64("lang", "text").bitwiseAND((1 << TAG_BITS) - 1))
-    short = stored(counted(rows, (1, 2), min_count), "phrase-pairs")
-    long = stored(counted(rows, (3, 4), min_count, bitmap(short.where(words_in(F.col("pointer")) == 2))), "phrase-runs")
-    return stored(phrases(rows, short.unionByName(long)), "phrases")
+    short = frequent_hashes(rows, min_count)
+    every = short.unionByName(frequent_hashes(rows, min_count, bitmap(short)))
+    return stored(phrases(rows, stored(counted(rows, bitmap(every), min_count), "phrase-keys")), "phrases")
 
 
 def scored(found: DataFrame) -> DataFrame:

@@ -89,13 +89,12 @@ def narrow_fp(monkeypatch):
 
     from pyspark import cloudpickle
 
-    plain = collocations.Prefixes.of
+    plain = collocations.Prefixes.fingerprints
 
-    def of(self, first, last, lang):
-        fp, guard = plain(self, first, last, lang)
-        return fp & np.uint64(0xFC00000000000000), guard
+    def narrow(self, first, last, lang):
+        return plain(self, first, last, lang) & np.uint64(0xFC00000000000000)
 
-    monkeypatch.setattr(collocations.Prefixes, "of", of)
+    monkeypatch.setattr(collocations.Prefixes, "fingerprints", narrow)
     cloudpickle.register_pickle_by_value(sys.modules["pixsieve.llm.collocations"])
 
 
