@@ -77,20 +77,25 @@ def parse_uint32(text: Column, base: int) -> Column:
     raise ValueError("base must be 10 or 16")
 
 
+def place(v: Column) -> Column:
+    """A position or length as substring takes it: numbers of damaged files beyond 31 bits stand where no content is."""
+    return F.least(v.cast("bigint"), F.lit(0x7FFFFFFF).cast("bigint")).cast("int")
+
+
 def fixed_string(content: Column, offset: Column, length: Column) -> Column:
     """Printable text of a fixed field: stops at a zero byte, drops other non-printables."""
-    text = F.decode(F.substring(content, (offset + 1).cast("int"), length.cast("int")), "ISO-8859-1")
+    text = F.decode(F.substring(content, place(offset + 1), place(length)), "ISO-8859-1")
     return F.regexp_replace(F.substring_index(text, "\x00", 1), "[^\\x20-\\x7e]", "")
 
 
 def terminated_string(content: Column, offset: Column, limit: int = 255) -> Column:
     """Text up to a zero byte, at most ``limit`` bytes long."""
-    return F.substring_index(F.decode(F.substring(content, (offset + 1).cast("int"), F.lit(limit)), "ISO-8859-1"), "\x00", 1)
+    return F.substring_index(F.decode(F.substring(content, place(offset + 1), F.lit(limit)), "ISO-8859-1"), "\x00", 1)
 
 
 def wide_string(content: Column, offset: Column, chars: Column, big_endian: bool = True) -> Column:
     """16-bit text of that many characters."""
-    data = F.substring(content, (offset + 1).cast("int"), (chars * 2).cast("int"))
+    data = F.substring(content, place(offset + 1), place(chars * 2))
     return F.decode(data, "UTF-16BE" if big_endian else "UTF-16LE")
 
 
@@ -103,7 +108,7 @@ def length_prefixed_ascii(content: Column, offset: Column) -> Column:
     """u32 length and text; length 0 means a four-character code."""
     n = read_uint(content, offset, 4)
     size = F.when(n == 0, F.lit(4)).otherwise(n)
-    return F.decode(F.substring(content, (offset + 5).cast("int"), size.cast("int")), "ISO-8859-1")
+    return F.decode(F.substring(content, place(offset + 5), place(size)), "ISO-8859-1")
 
 
 def length_prefixed_wide(content: Column, offset: Column, shown: int | None = None) -> Column:
@@ -134,7 +139,7 @@ def unsigned(data: Column) -> Column:
 
 def read_uint(content: Column, offset: Column | int, width: int, little: bool = False) -> Column:
     """Unsigned number of 1, 2, 4 or 8 bytes at a zero-based offset; null when the bytes are not all there."""
-    at = (offset + 1).cast("int") if isinstance(offset, Column) else F.lit(offset + 1)
+    at = place(offset + 1) if isinstance(offset, Column) else F.lit(offset + 1)
     data = F.substring(content, at, F.lit(width))
     digits = F.hex(data)
     if little:

@@ -277,6 +277,58 @@ def icc_header(profiles: DataFrame) -> DataFrame:
     )
 
 
+ICC_LEAD = b"ICC_PROFILE\x00"
+
+
+def icc_profiles(files: DataFrame) -> DataFrame:
+    """path, chunks (declared), held, missing (chunk numbers), repeated, in_order, complete, data: profiles out of APP2 segments.
+
+    A profile is cut into numbered chunks, each with the number of all; the first of those numbered alike counts. data is
+    the chunks in the order of their numbers where all are there, else null. A file has 255 chunks of 64 KiB at most, so all
+    is done in the row that holds it. Files without a profile have no row.
+    """
+    found = F.filter(walks.jpeg_segments(F.col("content")), lambda s: (s["code"] == 0xE2) & s["complete"] & (s["len"] >= len(ICC_LEAD) + 4))
+    body = lambda s, skip, size: F.substring(F.col("content"), (s["offset"] + 5 + skip).cast("int"), size)
+    cut = files.select("path", "content", F.filter(found, lambda s: body(s, 0, F.lit(len(ICC_LEAD))) == F.lit(ICC_LEAD)).alias("segs")).where("size(segs) > 0")
+    byte = lambda b: F.conv(F.hex(b), 16, 10).cast("int")
+    chunks = F.transform("segs", lambda s: F.struct(
+        byte(body(s, len(ICC_LEAD), F.lit(1))).alias("no"), byte(body(s, len(ICC_LEAD) + 1, F.lit(1))).alias("all"), (s["offset"] + 5 + len(ICC_LEAD) + 2).alias("at"),
+        (s["len"] - 2 - len(ICC_LEAD) - 2).alias("size")))
+    listed = cut.select("path", "content", chunks.alias("pieces")).withColumns({
+        "numbers": F.transform("pieces", lambda c: c["no"]), "declared": F.array_max(F.transform("pieces", lambda c: c["all"]))})
+    wanted = F.when(F.col("declared") > 0, F.sequence(F.lit(1), F.col("declared"))).otherwise(F.array().cast("array<int>"))
+    audit = listed.select(
+        "path", "content", "pieces", F.col("declared").alias("chunks_all"), F.array_except(wanted, F.array_distinct("numbers")).alias("missing"),
+        (F.size("numbers") - F.size(F.array_distinct("numbers"))).alias("repeated"), (F.col("numbers") == F.array_sort("numbers")).alias("in_order"),
+        (F.forall("pieces", lambda c: (c["all"] == F.col("declared")) & c["no"].between(1, F.col("declared")))).alias("agreed"), wanted.alias("wanted"))
+    whole = (F.size("missing") == 0) & F.col("agreed") & (F.size("wanted") > 0)
+    first = F.transform("wanted", lambda n: F.get(F.filter("pieces", lambda c: c["no"] == n), 0))
+    data = F.unhex(F.array_join(F.transform(first, lambda c: F.hex(F.substring(F.col("content"), c["at"].cast("int"), c["size"].cast("int")))), ""))
+    return audit.select(
+        "path", F.col("chunks_all").alias("chunks"), F.size("pieces").alias("held"), "missing", "repeated", "in_order", whole.alias("complete"), F.when(whole, data).alias("data")
+    )
+
+
+# --- AVI -----------------------------------------------------------------------------------------
+
+def avi_frames(files: DataFrame, *keep: str) -> DataFrame:
+    """Video frames of AVI files: path, keep..., frame_no, stream, pos, len, indexed, key, jpeg, has_tables, scan_at, complete, frame.
+
+    Each frame is cut in the scanning task and goes on by itself, as ``carving.insert_tables`` takes it.
+    """
+    at = files.where(container_kind(F.col("content")) == "avi").select("path", *keep, "content", F.inline(walks.avi_frames("content")))
+    frame = F.substring("content", (F.col("pos") + 1).cast("int"), F.least(F.col("len"), F.length("content")).cast("int"))
+    return at.where("walked").select("path", *keep, "frame_no", "stream", "pos", "len", "indexed", "key", "jpeg", "has_tables", "scan_at", "complete", frame.alias("frame"))
+
+
+def avi_index_audit(files: DataFrame) -> DataFrame:
+    """path, frames (walked), indexed (of them), stray (index entries without a frame), agree: one row per AVI file with any."""
+    rows = files.where(container_kind(F.col("content")) == "avi").select("path", F.inline(walks.avi_frames("content")))
+    per = rows.groupBy("path").agg(
+        F.count_if("walked").alias("frames"), F.count_if(F.col("walked") & F.col("indexed")).alias("indexed"), F.count_if(~F.col("walked")).alias("stray"))
+    return per.withColumn("agree", (F.col("frames") == F.col("indexed")) & (F.col("stray") == 0))
+
+
 # --- PSD -----------------------------------------------------------------------------------------
 
 def psd_sections(files: DataFrame) -> DataFrame:
@@ -289,7 +341,7 @@ def psd_sections(files: DataFrame) -> DataFrame:
 
 
 def _section(at: str, size: str) -> Column:
-    return F.substring("content", (F.col(at) + 5).cast("int"), F.col(size).cast("int"))
+    return F.substring("content", sc.place(F.col(at) + 5), sc.place(F.col(size)))
 
 
 def enum_text(field: str, value: Column) -> Column:
@@ -338,7 +390,7 @@ def resource_fields(resources: DataFrame, layout: DataFrame, enums: DataFrame) -
     skip = F.col("skip_wide")
     at = F.col("at") + F.col("i") * F.col("stride") + F.when(skip > 0, first_wide).otherwise(0) + F.when(skip > 1, second_wide).otherwise(0)
     f = f.withColumn("place", at)
-    raw = F.substring(d, (F.col("place") + 1).cast("int"), F.col("width"))
+    raw = F.substring(d, sc.place(F.col("place") + 1), F.col("width"))
     f = f.withColumn("raw", F.when(F.length(raw) == F.col("width"), sc.unsigned(raw)))
     e = enums.select(F.col("field").alias("enum"), F.col("value").alias("raw"), F.col("text").alias("enum_text"))
     f = f.join(e, ["enum", "raw"], "left")
@@ -385,13 +437,16 @@ def psd_layers(files: DataFrame) -> DataFrame:
 
 # --- DICOM ---------------------------------------------------------------------------------------
 
-def dicom_elements(files: DataFrame, tags: DataFrame, enums: DataFrame) -> DataFrame:
-    """Named data elements; items of encapsulated pixel data that hold an image get its offset."""
+def dicom_elements(files: DataFrame, tags: DataFrame, enums: DataFrame, places: bool = False) -> DataFrame:
+    """Named data elements, those inside sequences too; items of encapsulated pixel data that hold an image get its offset.
+
+    Pixel data inside a sequence (a small preview, say) counts for no image. ``places`` adds depth, parent (seq of the
+    sequence that holds the element, -1 outside) and item.
+    """
     rows = walk_rows(files, walks.dicom_elements, F.col("content"), "path")
     kind = (
-        F.when((F.col("grp") == 0x7FE0) & (F.col("elem") == 0x0010) & F.col("undefined"), "start")
-        .when((F.col("grp") == 0xFFFE) & (F.col("elem") == 0xE000), "item")
-        .when((F.col("grp") == 0xFFFE) & (F.col("elem") == 0xE0DD), "end").otherwise("other")
+        F.when((F.col("grp") == 0x7FE0) & (F.col("elem") == 0x0010) & F.col("undefined") & (F.col("depth") == 0), "start")
+        .when(F.col("pixels") & (F.col("elem") == 0xE000), "item").when(F.col("pixels") & (F.col("elem") == 0xE0DD), "end").otherwise("other")
     )
     # all elements of a file come out of one record array, so a plain window per file is enough
     flagged = chains.encapsulated_items(rows.withColumn("kind", kind), span=None)
@@ -399,7 +454,7 @@ def dicom_elements(files: DataFrame, tags: DataFrame, enums: DataFrame) -> DataF
     out = lookups.describe_dicom(lookups.name_dicom(flagged.withColumn("value", text), tags), enums)
     return out.select(
         "path", "seq", "offset", "grp", "elem", "name", "known", "vr", "vr_explicit", "len", "value", "text", "is_offset_table", "is_jpeg",
-        F.when(F.col("is_jpeg"), F.col("offset") + 8).alias("jpeg_offset"),
+        F.when(F.col("is_jpeg"), F.col("offset") + 8).alias("jpeg_offset"), *(["depth", "parent", "item"] if places else []),
     )
 
 

@@ -178,13 +178,15 @@ def tiff_tags(data: bytes):
     """Directory entries of a TIFF block with their raw values, numeric ones as numbers too (a fraction as two).
 
     Sub-directories are followed once, and a maker note where it reads like a directory (offsets from the TIFF start).
-    ``complete`` is false where the declared count reaches past the block: the value then holds what is there. A directory
-    that is cut off ends, and the next one queued is read.
+    ``complete`` is false where the declared count reaches past the block: the value then holds what is there. Values of a
+    block's tags hold twice the block's bytes in all, more than any tags that do not share them; the values beyond, of
+    which damaged blocks have many, are left out as incomplete (their place and count are given). A directory that is cut
+    off ends, and the next one queued is read.
     """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
         return
-    todo, seen = [("ifd0", struct.unpack(order + "I", data[4:8])[0])], set()
+    todo, seen, room = [("ifd0", struct.unpack(order + "I", data[4:8])[0])], set(), 2 * len(data)
     while todo:
         section, at = todo.pop(0)
         if at in seen or at + 2 > len(data) or at == 0:
@@ -203,7 +205,10 @@ def tiff_tags(data: bytes):
             width = _TYPE_SIZE.get(typ, 1)
             size = width * count
             where = e + 8 if size <= 4 else struct.unpack_from(order + "I", data, e + 8)[0]
-            body = data[where : where + size]
+            here = max(0, min(size, len(data) - where))
+            if here > 4:
+                room -= here
+            body = data[where : where + size] if here <= 4 or room >= 0 else b""
             nums = None
             if typ in _NUMBERS:
                 held = len(body) // width * (2 if typ in (5, 10) else 1)
@@ -237,12 +242,22 @@ def image_resources(data: bytes):
 
 @walker("record:int dataset:int offset:long len:int data:bin")
 def iptc_datasets(data: bytes):
-    """IPTC records; a first byte other than 0x1C ends the block."""
+    """IPTC records; a first byte other than 0x1C ends the block.
+
+    A length with its top bit set is extended: its low bits tell how many bytes (four at most) hold the length itself.
+    """
     pos = 0
     while pos + 5 <= len(data) and data[pos] == 0x1C:
         record, dataset, size = struct.unpack_from(">BBH", data, pos + 1)
-        yield record, dataset, pos, size, data[pos + 5 : pos + 5 + size]
-        pos += 5 + size
+        at = pos + 5
+        if size & 0x8000:
+            width = size & 0x7FFF
+            if not 0 < width <= 4 or at + width > len(data):
+                return
+            size = int.from_bytes(data[at : at + width], "big")
+            at += width
+        yield record, dataset, pos, min(size, 0x7FFFFFFF), data[at : at + size]
+        pos = at + size
 
 
 @walker("layer:int transparency:bool top:long left:long bottom:long right:long chans:chans blend_sig:str blend_key:long opacity:int mask_len:long ranges:int name:str extra:keys complete:bool")
@@ -302,29 +317,64 @@ _VR_SHORT = set("AE AS AT CS DA DS DT FL FD IS LO LT PN SH SL SS ST TM UI UL US"
 _VR_LONG = set("OB OD OF OL OV OW SQ SV UC UN UR UT UV".split())
 
 
-@walker("grp:int elem:int vr:str vr_explicit:bool offset:long header:int len:long undefined:bool data:bin")
+_ITEM, _ITEM_END, _SEQUENCE_END = (0xFFFE, 0xE000), (0xFFFE, 0xE00D), (0xFFFE, 0xE0DD)
+
+
+@walker("grp:int elem:int vr:str vr_explicit:bool offset:long header:int len:long undefined:bool depth:int parent:int item:int pixels:bool data:bin")
 def dicom_elements(data: bytes):
-    """Data elements behind the preamble, values whole; pixel data and its items (their place and length are given) stay in
-    the file. An undefined length counts as 0; items have no VR."""
-    pos = 132
+    """Data elements behind the preamble, those inside sequences too, with or without a length, to any depth.
+
+    depth, parent (number of the sequence's own element, -1 outside) and item (from 1) place an element; the items of a
+    sequence and what ends them are of the sequence's inner depth. Values are whole, but for sequences, whose contents are
+    elements of their own, and pixel data and its items, which stay in the file (place and length are given; ``pixels`` marks
+    the items and the end of encapsulated pixel data outside sequences). An undefined length counts as 0; items have no VR.
+    Without VRs a value that begins with an item that fits into it is a sequence.
+    """
+    pos, end, seq = 132, len(data), 0
     if data[128:132] != b"DICM":
         return
-    while pos + 8 <= len(data):
-        grp, elem = struct.unpack_from("<HH", data, pos)
+    #: open sequences: where they end (none: by their delimiter), own number, items so far, where the open item ends, encapsulated
+    stack: list[list] = []
+    while pos + 8 <= end:
+        while stack and stack[-1][0] is not None and stack[-1][0] <= pos:
+            stack.pop()
+        grp, elem = tag = struct.unpack_from("<HH", data, pos)
         vr = data[pos + 4 : pos + 6].decode("latin-1")
-        item = grp == 0xFFFE and elem in (0xE000, 0xE00D, 0xE0DD)
-        if not item and vr in _VR_SHORT:
+        mark = tag in (_ITEM, _ITEM_END, _SEQUENCE_END)
+        if not mark and vr in _VR_SHORT:
             header, size, explicit = 8, struct.unpack_from("<H", data, pos + 6)[0], True
-        elif not item and vr in _VR_LONG and pos + 12 <= len(data):
+        elif not mark and vr in _VR_LONG and pos + 12 <= end:
             header, size, explicit = 12, struct.unpack_from("<I", data, pos + 8)[0], True
         else:
             header, size, explicit, vr = 8, struct.unpack_from("<I", data, pos + 4)[0], False, "??"
         undefined = size == 0xFFFFFFFF
         size = 0 if undefined else size
-        pixels = item or (grp, elem) == (0x7FE0, 0x0010)
-        body = data[pos + header : pos + header + (min(size, 4) if pixels else size)]
-        yield grp, elem, vr, explicit, pos, header, size, undefined, body
-        pos += header + size
+        inside = stack[-1] if stack else None
+        if tag == _ITEM and inside:
+            inside[2] += 1
+        place = (len(stack), inside[1] if inside else -1, inside[2] if inside else 0)
+        encapsulated = bool(inside) and inside[3]
+        at, opens, skip = pos + header, None, size
+        if mark:
+            body = data[at : at + min(size, 4)] if encapsulated else b""
+            skip = size if encapsulated or not inside else 0
+        elif tag == (0x7FE0, 0x0010):
+            body, opens = data[at : at + min(size, 4)], [None, seq, 0, True] if undefined else None
+        else:
+            inner = struct.unpack_from("<HHI", data, at) if size >= 8 and at + 8 <= end else None
+            nested = vr == "SQ" or (undefined and vr in ("UN", "??"))
+            if not explicit and inner and inner[:2] == _ITEM and (inner[2] == 0xFFFFFFFF or inner[2] + 8 <= size):
+                nested = True
+            body = b"" if nested else data[at : at + size]
+            if nested:
+                opens, skip = [None if undefined else at + size, seq, 0, False], 0
+        yield grp, elem, vr, explicit, pos, header, size, undefined, *place, encapsulated and len(stack) == 1 and mark, body
+        if tag == _SEQUENCE_END and inside:
+            stack.pop()
+        elif opens and (opens[0] is None or opens[0] > at):
+            stack.append(opens)
+        pos = at + skip
+        seq += 1
 
 
 @walker("version:str seq:int make:str model:str editor:int quality:str csig:str csig_rot:str subsampling:str sw_trim:str sw_disp:str complete:bool")
@@ -371,3 +421,50 @@ def signature_records(data: bytes, header: str, versions: str):
             number = editor.strip().isdecimal() and len(editor.strip()) < 10
             yield version, seq, make, model, int(editor) if number else None, quality, csig, csig_rot, *rest, whole and number
             seq += 1
+
+
+@walker("frame_no:int stream:int pos:long len:long walked:bool indexed:bool key:bool jpeg:bool has_tables:bool scan_at:long complete:bool")
+def avi_frames(data: bytes):
+    """Video chunks of an AVI file in the order of the file: chunks ##dc and ##db of the movie lists, grouped ones (rec) too.
+
+    pos and len are those of the chunk's data. indexed and key (a frame that needs no other) come from the old index, whose
+    places count from the movie list or from the file's start; entries without a chunk follow with walked false, without a
+    frame number. has_tables and scan_at are those of a frame's own marker segments. A chunk that the file ends in is not complete.
+    """
+    end, frames, entries, movie = len(data), [], [], None
+    todo = [(0, end)]
+    while todo:
+        pos, stop = todo.pop()
+        while pos + 8 <= stop:
+            name, size = data[pos : pos + 4], int.from_bytes(data[pos + 4 : pos + 8], "little")
+            at, after = pos + 8, pos + 8 + size + size % 2
+            if name in (b"RIFF", b"LIST") and at + 4 <= stop:
+                kind = data[at : at + 4]
+                if (name == b"RIFF" and kind in (b"AVI ", b"AVIX")) or (name == b"LIST" and kind in (b"movi", b"rec ")):
+                    if kind == b"movi" and movie is None:
+                        movie = at
+                    todo.append((after, stop))
+                    pos, stop = at + 4, min(at + size, stop)
+                    continue
+            elif name == b"idx1":
+                whole = data[at : min(at + size, stop)]
+                entries += list(struct.iter_unpack("<4sIII", whole[: len(whole) // 16 * 16]))
+            elif name[2:] in (b"dc", b"db") and name[:2].isdigit() and movie is not None:
+                frames.append((int(name[:2]), pos, at, size, min(at + size, end)))
+            pos = after
+    entries = [e for e in entries if e[0][2:] in (b"dc", b"db") and e[0][:2].isdigit()]
+    begins = {f[1] for f in frames}
+    shift = 0 if entries and entries[0][2] in begins else movie or 0
+    listed = {place + shift: (name, flags, size) for name, flags, place, size in entries}
+    for n, (stream, pos, at, size, stop) in enumerate(frames):
+        entry = listed.pop(pos, None)
+        jpeg, has_tables, scan_at = data[at : at + 2] == b"\xff\xd8", False, -1
+        if jpeg:
+            for code, place, _ in _segments(data[at:stop], 0):
+                if code == 0xDA:
+                    scan_at = place
+                    break
+                has_tables = has_tables or code == 0xC4
+        yield n + 1, stream, at, size, True, entry is not None, bool(entry and entry[1] & 0x10), jpeg, has_tables, scan_at, at + size <= end
+    for place, (name, flags, size) in listed.items():
+        yield None, int(name[:2]), place + 8, size, False, True, bool(flags & 0x10), False, False, -1, False
