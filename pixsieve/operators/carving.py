@@ -270,8 +270,12 @@ def standard_table(spark) -> DataFrame:
     return spark.range(1).select(F.lit("standard").alias("table_id"), int_array(STD_QUANT_LUMA).alias("table"))
 
 
-def hunt_hits(files: DataFrame, needles: DataFrame) -> DataFrame:
-    """All offsets of all distinct needles (at least 63 bytes long) in all files: path, pos, needle.
+#: Bytes of the longest form of a table.
+REACH = 64 * 4
+
+
+def hunt_hits(files: DataFrame, needles: DataFrame, reach: int = REACH) -> DataFrame:
+    """All offsets of all distinct needles (of 63 to ``reach`` bytes; a longer one ends the query) in all files: path, pos, needle.
 
     Files are cut into aligned blocks of 32 bytes. Wherever a needle lies, exactly one aligned block is the first that
     falls wholly inside it; so the needle's 32 possible leading blocks join the files' blocks by hash. Blocks that no
@@ -282,8 +286,8 @@ def hunt_hits(files: DataFrame, needles: DataFrame) -> DataFrame:
     shifts = F.transform(
         F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda s: F.struct(s.alias("s"), F.xxhash64(F.substring("needle", s + 1, F.lit(BLOCK))).alias("h"))
     )
-    keys = needles.select("needle").distinct().select("needle", F.inline(shifts))
-    reach = needles.agg(F.max(F.length("needle"))).first()[0] or 0
+    fit = F.when(F.length("needle") <= reach, F.col("needle")).otherwise(F.raise_error(F.lit(f"a needle is longer than {reach} bytes")).cast("binary"))
+    keys = needles.select(fit.alias("needle")).distinct().select("needle", F.inline(shifts))
     steps = F.sequence(F.lit(0), F.length("content") - BLOCK, F.lit(BLOCK))
     at = files.where(F.length("content") >= BLOCK).select("path", "content", F.explode(steps).alias("p"))
     hashed = may_hold(at, F.xxhash64(F.substring("content", F.col("p") + 1, F.lit(BLOCK))), keys.select("h")).where("__may")

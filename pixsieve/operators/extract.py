@@ -435,6 +435,21 @@ def psd_layers(files: DataFrame) -> DataFrame:
     )
 
 
+def psd_global_mask(files: DataFrame) -> DataFrame:
+    """path, offset, len, color_space, c1..c4, opacity, kind: the global mask of layered documents, one row where one is stored.
+
+    It follows the layer records inside their section; fields that the file does not have are null.
+    """
+    c = F.col("content")
+    s = psd_sections(files).where("layer_len > 4").withColumn("offset", F.col("layer_at") + 8 + sc.read_uint(c, F.col("layer_at") + 4, 4))
+    s = s.where(F.col("offset") + 4 <= F.col("layer_at") + 4 + F.col("layer_len")).withColumn("len", sc.read_uint(c, F.col("offset"), 4)).where("len > 0")
+    field = lambda skip, width: F.when(F.col("len") >= skip + width, sc.read_uint(c, F.col("offset") + 4 + skip, width))
+    return s.select(
+        "path", "offset", "len", field(0, 4).alias("color_space"), *[field(4 + 2 * i, 2).alias(f"c{i + 1}") for i in range(4)],
+        field(12, 2).alias("opacity"), field(14, 1).alias("kind"),
+    )
+
+
 # --- DICOM ---------------------------------------------------------------------------------------
 
 def dicom_elements(files: DataFrame, tags: DataFrame, enums: DataFrame, places: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixsieve.operators import extract as ex
 from pixsieve.operators import pictures
 from pixsieve.plans import inputs as inp
 from pixsieve.plans.packed import be, hx, sealed
@@ -48,7 +49,19 @@ def psd_row_audit(spark, d):
     return rows.select("path", "chan", "y", "method", "offset", "len", "expanded", "ok")
 
 
-QUERIES = {f.__name__: f for f in (psd_pixels, psd_row_audit)}
+def psd_global_mask(spark, d):
+    """Parts as documents with a global mask behind a few bytes of layer records; none in every fourth, a short one in every fifth."""
+    p = inp.table(spark, d, "part").withColumn("k", F.col("p_partkey"))
+    mask = F.concat(be(F.col("k") % 10, 4), *[be((F.col("k") + i) % 65536, 2) for i in range(4)], be(F.col("p_size"), 2), be(F.col("k") % 3 + 126, 1), hx("00"))
+    held = F.when(F.col("k") % 4 == 0, hx("")).when(F.col("k") % 5 == 0, F.substring(mask, 1, 6)).otherwise(mask)
+    p = p.select("k", sealed(held, "held"))
+    records = F.unhex(F.repeat(F.lit("00"), (F.col("k") % 6).cast("int")))
+    section = F.concat(be(F.length(records), 4), records, be(F.length("held"), 4), "held")
+    content = F.concat(hx("38425053 0001 000000000000 0003 00000001 00000001 0008 0003 00000000 00000000"), be(F.length(section), 4), section, hx("0000 010203"))
+    return ex.psd_global_mask(p.select(F.col("k").alias("path"), sealed(content, "content")))
+
+
+QUERIES = {f.__name__: f for f in (psd_pixels, psd_row_audit, psd_global_mask)}
 
 _ROWS = """p AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS w, CAST(p_partkey % 7 + 1 AS INTEGER) AS h, CAST(p_size // 2 AS BIGINT) AS half FROM part),
 r AS (SELECT *, CAST(c.i AS INTEGER) AS chan, CAST(l.i AS INTEGER) AS y FROM p, range(3) c(i), range(7) l(i) WHERE l.i < h)"""
@@ -65,4 +78,8 @@ SELECT k AS path, y, CAST(x AS INTEGER) AS x, CAST({_RED} AS INTEGER) AS r, CAST
 SELECT k AS path, chan, y, CAST(k % 2 AS INTEGER) AS method, CAST(40 + CASE WHEN k % 2 = 1 THEN 6 * h ELSE 0 END + n * (chan * h + y) AS BIGINT) AS "offset", CAST(n AS INTEGER) AS len,
   w - CASE WHEN (k % 10 = 5 AND chan = 0 AND y = 0 AND half > 1) OR (k % 10 = 0 AND chan = 2 AND y = h - 1) THEN 1 ELSE 0 END AS expanded,
   NOT ((k % 10 = 5 AND chan = 0 AND y = 0 AND half > 1) OR (k % 10 = 0 AND chan = 2 AND y = h - 1)) AS ok FROM s""",
+    "psd_global_mask": """WITH p AS (SELECT p_partkey AS k, p_size AS w, CASE WHEN p_partkey % 5 = 0 THEN 6 ELSE 16 END AS n FROM part WHERE p_partkey % 4 > 0)
+SELECT k AS path, 42 + k % 6 AS "offset", CAST(n AS BIGINT) AS len, k % 10 AS color_space, k % 65536 AS c1, CASE WHEN n = 16 THEN (k + 1) % 65536 END AS c2,
+  CASE WHEN n = 16 THEN (k + 2) % 65536 END AS c3, CASE WHEN n = 16 THEN (k + 3) % 65536 END AS c4, CAST(CASE WHEN n = 16 THEN w END AS BIGINT) AS opacity,
+  CASE WHEN n = 16 THEN k % 3 + 126 END AS kind FROM p""",
 }
