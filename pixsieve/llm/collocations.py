@@ -233,7 +233,10 @@ def runs_of(batch: Batch, bits: np.ndarray) -> Iterator[Counts]:
 
 
 def added_up(rows: DataFrame, counts_of, schema: str) -> DataFrame:
-    """What counts_of gives of the batches of rows, added up as far as a task holds it."""
+    """What counts_of gives of the batches of rows, added up as far as a task holds it, and dealt by its first column.
+
+    It is dealt before it is grouped, since adding up again in the same task would cost memory and find little.
+    """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def sent(counts: Counts, size: int = 1 << 17) -> Iterator[pa.RecordBatch]:
@@ -255,7 +258,7 @@ def added_up(rows: DataFrame, counts_of, schema: str) -> DataFrame:
         if parts:
             yield from sent(added(parts))
 
-    return rows.select("tag", "lang", "text").mapInArrow(run, schema)
+    return rows.select("tag", "lang", "text").mapInArrow(run, schema).repartition(names[0])
 
 
 def frequent_hashes(rows: DataFrame, min_count: int, bitmap_bytes: bytes | None = None) -> DataFrame:
