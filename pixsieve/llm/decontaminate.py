@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import free_name, stored, table, text_key, whole_text
-from pixsieve.llm.words import BASE, shingles, slices, word_hashes
+from pixsieve.llm.common import free_name, row_key, stored, table, text_key, whole_text
+from pixsieve.llm.words import BASE, INVERSE, powers, room, shingles, slices, word_hashes
 
 TILE = 5
 COVERAGE = 0.5
@@ -31,24 +31,27 @@ def bit_places(h: np.ndarray) -> np.ndarray:
 
 
 def item_words(items: DataFrame, id_col: str, text_col: str, tile: int) -> DataFrame:
-    """Per item with words: item, n words, k (its seeds' length: tile, or all words of a shorter item), words, seeds (as longs)."""
+    """Per item with words: key (of its id and text), item (its id), n words, k (its seeds' length: tile, or all words of a
+    shorter item), words, seeds (as longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b in slices(batch.column(1)):
-                words, counts, _, _ = word_hashes(batch.column(1).slice(a, b - a), strip=True)
-                for i, to, n in zip(batch.column(0).slice(a, b - a).to_pylist(), np.cumsum(counts), counts, strict=True):
+            for a, b in slices(batch.column(2)):
+                words, counts, _, _ = word_hashes(batch.column(2).slice(a, b - a), strip=True)
+                ids = (batch.column(c).slice(a, b - a).to_pylist() for c in (0, 1))
+                for key, i, to, n in zip(*ids, np.cumsum(counts), counts, strict=True):
                     if n:
                         own, k = words[to - n : to], min(tile, int(n))
                         seeds, _ = shingles(own, np.array([n]), k)
-                        rows.append((i, int(n), k, own.tobytes(), seeds.view(np.int64).tolist()))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["item", "n", "k", "words", "seeds"])
+                        rows.append((key, i, int(n), k, own.tobytes(), seeds.view(np.int64).tolist()))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "item", "n", "k", "words", "seeds"])
 
-    rows = items.select(F.col(id_col).cast("long").alias("item"), whole_text(text_col).alias("text")).where("item IS NOT NULL")
-    return rows.mapInArrow(run, "item long, n long, k int, words binary, seeds array<long>")
+    rows = items.select(F.col(id_col).cast("long").alias("item"), whole_text(text_col).alias("text"))
+    keyed = rows.select(row_key("item", F.col("text")).alias("key"), "item", "text").dropDuplicates(["key"])
+    return keyed.mapInArrow(run, "key binary, item long, n long, k int, words binary, seeds array<long>")
 
 
 def bitmaps(seeds: DataFrame) -> dict[int, np.ndarray]:
@@ -99,84 +102,100 @@ def stretches(rows: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
     return rows.mapInArrow(run, "tag binary, words binary, seeds array<struct<k: int, seed: long>>")
 
 
+class Runs:
+    """Karp-Rabin numbers of all runs of some words, of any length, rolled by running sums."""
+
+    def __init__(self, words: np.ndarray):
+        size = room(len(words))
+        self.words = words
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers(BASE, size)[: len(words)], out=self.sums[1:])
+        self.back = powers(INVERSE, size)[: len(words) + 1]
+
+    def free(self, marked: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, numbers) of the runs of this length without a marked word, by place."""
+        blocked = np.zeros(len(marked) + 1, np.int64)
+        np.cumsum(marked, out=blocked[1:])
+        at = np.flatnonzero(blocked[length:] == blocked[: len(blocked) - length])
+        return at, (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+
 def tiles(pattern: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in pattern, place in text, length), longest first, none shorter than least.
 
-    Running Karp-Rabin: for a search length the numbers of all unmarked runs of the text are rolled into a table, those
-    of the pattern are looked up, and each hit is extended word by word. A match above twice the search length starts the
-    search again with its length; otherwise matches are marked longest first and the search length is halved. Numbers 0
-    break the text.
+    Again and again the longest common run of unmarked words is marked, of equal ones the first in the pattern, then in the
+    text. Where a run is common its shorter parts are, so the greatest length is found by halving, each step linear in the
+    words; all matches of that length are marked in one pass, since a run once marked stays so. Numbers 0 break the text.
+    The lengths of the tiles add up to the pattern's at most, so there are no more different ones than about the square root of
+    twice that.
     """
+    if min(len(pattern), len(text)) < least:
+        return []
+    runs_p, runs_t = Runs(pattern), Runs(text)
     mark_p, mark_t = np.zeros(len(pattern), bool), text == 0
     out: list[tuple[int, int, int]] = []
-    length = max(least, min(20, len(pattern)))
-    while True:
-        longest, matches = length, []
-        table: dict[int, list[int]] = {}
-        for at, h in rolled(text, mark_t, length):
-            table.setdefault(h, []).append(at)
-        for p, h in rolled(pattern, mark_p, length):
-            for t in table.get(h, ()):
-                n = 0
-                while p + n < len(pattern) and t + n < len(text) and pattern[p + n] == text[t + n] and not mark_p[p + n] and not mark_t[t + n]:
-                    n += 1
-                if n >= length:
-                    matches.append((n, p, t))
-                    longest = max(longest, n)
-        if longest > 2 * length:
-            length = longest
-            continue
-        for n, p, t in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if not mark_p[p : p + n].any() and not mark_t[t : t + n].any():
-                mark_p[p : p + n] = mark_t[t : t + n] = True
-                out.append((p, t, n))
-        # a match cut by a longer one may leave runs of this length: search again until none is left
-        if matches and any(not mark_p[p : p + length].any() and not mark_t[t : t + length].any() for _, p, t in matches):
-            continue
-        if length == least:
-            if not matches:
-                return out
-            if not any(True for _ in common_runs(pattern, mark_p, text, mark_t, least)):
-                return out
-            continue
-        length = max(least, length // 2)
-
 
-def rolled(words: np.ndarray, marked: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """(place, Karp-Rabin number) of every run of unmarked words, rolled by running sums."""
-    n = len(words) - length + 1
-    if n <= 0:
-        return
-    h = np.zeros(n, np.uint64)
-    for j in range(length):
-        h = h * np.uint64(BASE) + words[j : j + n]
-    blocked = np.concatenate([[0], np.cumsum(marked)])
-    free = np.flatnonzero(blocked[length:] == blocked[:-length])
-    yield from zip(free.tolist(), h[free].tolist(), strict=True)
-
-
-def common_runs(pattern: np.ndarray, mark_p: np.ndarray, text: np.ndarray, mark_t: np.ndarray, least: int) -> set[int]:
-    return {h for _, h in rolled(pattern, mark_p, least)} & {h for _, h in rolled(text, mark_t, least)}
+    def common(length: int) -> bool:
+        return bool(np.isin(runs_p.free(mark_p, length)[1], runs_t.free(mark_t, length)[1]).any())
+
+    bound = min(len(pattern), len(text))
+    while bound >= least and common(least):
+        low, high, step = least, bound, least
+        while low < high:  # doubling first: most matches are short beside the text
+            at = min(high, low + step) if step else (low + high + 1) // 2
+            if common(at):
+                low, step = at, 2 * step
+            else:
+                high, step = at - 1, 0
+        out += marked_matches(runs_p, mark_p, runs_t, mark_t, low)
+        bound = low - 1
+    return out
+
+
+def marked_matches(runs_p: Runs, mark_p: np.ndarray, runs_t: Runs, mark_t: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Marks the matches of this length one after the other, by place in the pattern, then in the text, until none is left."""
+    at_t, numbers_t = runs_t.free(mark_t, length)
+    at_p, numbers_p = runs_p.free(mark_p, length)
+    order = np.argsort(numbers_t, kind="stable")
+    numbers_t, at_t = numbers_t[order], at_t[order]
+    first, last = np.searchsorted(numbers_t, numbers_p, "left"), np.searchsorted(numbers_t, numbers_p, "right")
+    there = np.flatnonzero(first < last)
+    out, next_of, free_from = [], {}, 0
+    for p, a, b in zip(at_p[there].tolist(), first[there].tolist(), last[there].tolist(), strict=True):
+        if p < free_from:
+            continue
+        own = next_of.get(a, a)  # places before it are marked for good
+        while own < b and mark_t[at_t[own] : at_t[own] + length].any():
+            own += 1
+        next_of[a] = own
+        for k in range(own, b):
+            t = int(at_t[k])
+            if not mark_t[t : t + length].any() and np.array_equal(runs_p.words[p : p + length], runs_t.words[t : t + length]):
+                mark_p[p : p + length] = mark_t[t : t + length] = True
+                out.append((p, t, length))
+                free_from = p + length
+                break
+    return out
 
 
 def matches(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, tile: int, coverage: float) -> DataFrame:
     """Pairs of a text (tag: its key) and an item it covers: tag, item, coverage, n_tiles. Equal texts are one."""
     words = stored(item_words(items, item_id, item_text, tile), "item-words")
-    seeds = words.select("item", "n", "k", F.explode("seeds").alias("seed")).distinct()
+    seeds = words.select("key", "n", "k", F.explode("seeds").alias("seed")).distinct()
     maps = bitmaps(seeds)
     hits = stretches(docs.select(text_key(whole_text(text_col)).alias("tag"), whole_text(text_col).alias("text")), maps)
     hits = stored(hits.groupBy("tag").agg(F.first("words").alias("words"), F.first("seeds").alias("seeds")), "stretches")
     # an item's coverage needs n * coverage words in tiles, and a tile of any length has a seed for every k words at least:
     # so many of its distinct seeds must be met that all but the rarest may be left out as a start
     often = seeds.groupBy("k", "seed").agg(F.count("*").alias("often"))
-    own = seeds.groupBy("item").agg(F.count("*").alias("own"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("often", "seed"))
-    start = seeds.join(often, ["k", "seed"]).join(own, "item").withColumn("rank", rank)
+    own = seeds.groupBy("key").agg(F.count("*").alias("own"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("often", "seed"))
+    start = seeds.join(often, ["k", "seed"]).join(own, "key").withColumn("rank", rank)
     # repeated words make fewer distinct seeds: with repeats every seed may start
     repeats = F.col("own") < F.col("n") - F.col("k") + 1
     start = start.where(repeats | (F.col("rank") <= F.col("own") - F.greatest(F.lit(1), F.ceil(F.col("n") * coverage / F.col("k") - 1e-9)) + 1))
-    pairs = hits.select("tag", F.explode("seeds").alias("s")).select("tag", "s.k", "s.seed").join(start.select("k", "seed", "item"), ["k", "seed"]).select("tag", "item").distinct()
-    joined = pairs.join(hits.select("tag", F.col("words").alias("text")), "tag").join(words.select("item", "n", "k", F.col("words").alias("pattern")), "item")
+    pairs = hits.select("tag", F.explode("seeds").alias("s")).select("tag", "s.k", "s.seed").join(start.select("k", "seed", "key"), ["k", "seed"]).select("tag", "key").distinct()
+    joined = pairs.join(hits.select("tag", F.col("words").alias("text")), "tag").join(words.select("key", "item", "n", "k", F.col("words").alias("pattern")), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,12 +215,12 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:
     """One row per document: doc_id, contaminated, coverage (of its best item, 0 without), n_items, items (ascending ids).
 
-    Words are compared without case (A to Z) and ASCII punctuation. Null and empty texts are clean; items without words or
-    id match nothing; items of fewer than `tile` words must stand as a whole; repeated rows each get their own; an empty
+    Words are compared without case (A to Z) and ASCII punctuation. Null and empty texts are clean; items without words
+    match nothing; those without an id count as one item, which the list does not name; items of fewer than `tile` words must stand as a whole; repeated rows each get their own; an empty
     table on either side gives clean rows or none. Other columns are not read.
     """
     found = matches(docs, items, text_col, item_id, item_text, tile, coverage)
-    per = found.groupBy("tag").agg(F.max("coverage").alias("coverage"), F.countDistinct("item").alias("n_items"), F.sort_array(F.collect_set("item")).alias("items"))
+    per = found.groupBy("tag").agg(F.max("coverage").alias("coverage"), F.countDistinct(F.coalesce(F.col("item").cast("string"), F.lit(""))).alias("n_items"), F.sort_array(F.collect_set("item")).alias("items"))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(whole_text(text_col)).alias("tag")).join(per, "tag", "left").select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<long>")).alias("items"),

@@ -1,3 +1,5 @@
+import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -134,6 +136,49 @@ def test_tiling_is_greedy_and_whole():
     assert decontaminate.tiles(p, np.array([1, 2, 3, 0, 4, 5, 6], np.uint64), 4) == []
 
 
+def plain_tiling(pattern, text, least):
+    """Marks the longest common run of unmarked words, the first in the pattern, then in the text, until none is long enough."""
+    used_p, used_t, out = [False] * len(pattern), [x == 0 for x in text], []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(pattern)):
+            for t in range(len(text)):
+                n = 0
+                while p + n < len(pattern) and t + n < len(text) and pattern[p + n] == text[t + n] and not used_p[p + n] and not used_t[t + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (p, t, n)
+        p, t, n = best
+        if n < least:
+            return out
+        used_p[p : p + n], used_t[t : t + n] = [True] * n, [True] * n
+        out.append(best)
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 3, 9])
+def test_tiling_equals_plain_search(alphabet):
+    rng = random.Random(alphabet)
+    for _ in range(60):
+        p, t = ([rng.randint(1, alphabet) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        t = [0 if rng.random() < 0.05 else x for x in t]
+        least = rng.randint(1, 5)
+        assert decontaminate.tiles(np.array(p, np.uint64), np.array(t, np.uint64), least) == plain_tiling(p, t, least)
+
+
+def test_tiling_of_long_and_repetitive_texts_is_quick():
+    word, rng = np.full(20_000, 7, np.uint64), np.random.default_rng(1)
+    long = rng.integers(1, 2**63, 20_000).astype(np.uint64)
+    shuffled = np.concatenate([x for x in np.array_split(long, 190)[::-1]])
+    before = time.process_time()
+    assert decontaminate.tiles(word, word, 5) == [(0, 0, 20_000)]
+    assert decontaminate.tiles(word[:100], word, 5) == [(0, 0, 100)] and decontaminate.tiles(word, word[:100], 5) == [(0, 0, 100)]
+    assert time.process_time() - before < 2
+    before = time.process_time()
+    assert decontaminate.tiles(long, np.concatenate([long[:50], long]), 5) == [(0, 50, 20_000)]
+    assert time.process_time() - before < 2
+    assert sum(n for _, _, n in decontaminate.tiles(long, shuffled, 5)) == 20_000
+
+
 def test_decontamination(spark, odd_docs, no_docs):
     item = " ".join(f"w{k}" for k in range(40))
     halves = item.split()
@@ -146,8 +191,8 @@ def test_decontamination(spark, odd_docs, no_docs):
     )
     items = spark.createDataFrame([(0, item), (1, "short one"), (2, None), (None, "nothing of it"), (3, ""), (4, item)], "item_id LONG, text STRING")
     got = Counter((r.doc_id, r.contaminated, tuple(r["items"])) for r in decontaminate.contaminated(docs, items).collect())
-    assert got == Counter({(1, True, (0, 4)): 1, (2, True, (0, 4)): 1, (3, False, ()): 1, (4, False, ()): 1, (5, False, ()): 1, (5, True, (0, 4)): 1, (6, True, (1,)): 1, (None, True, (0, 4)): 1})
-    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [3, 4, 5]
+    assert got == Counter({(1, True, (0, 4)): 1, (2, True, (0, 4)): 1, (3, False, ()): 1, (4, True, ()): 1, (5, False, ()): 1, (5, True, (0, 4)): 1, (6, True, (1,)): 1, (None, True, (0, 4)): 1})
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [3, 5]
     assert decontaminate.clean(odd_docs, items).columns == odd_docs.columns
     assert decontaminate.contaminated(odd_docs, items).count() == odd_docs.count()
     assert decontaminate.contaminated(no_docs, items).count() == 0
@@ -230,6 +275,45 @@ def test_main_text(page, text):
     assert main_text(page, STOPS) == text
 
 
+PROSE = "The man of the town is in the house of a friend and that is it."
+HAN = "这是第一段很长的文字，讲的是城里的一个人和他的朋友，以及他们住的房子，还有那里发生的许多事情。"
+GERMAN = "Der Mann aus der Stadt wohnt heute im Haus eines Freundes am Ende der Gasse."
+
+
+@pytest.mark.parametrize(
+    "page, stops, text",
+    [
+        (f"<body><p>{HAN}</p><p>{HAN}</p><a href=x>首页</a></body>", STOPS, f"{HAN}\n{HAN}"),
+        (f"<body><nav>Start Seite</nav><p>{GERMAN}</p></body>", frozenset(), GERMAN),
+        (f"<body><p>{GERMAN}</p></body>", STOPS, ""),
+        (f"<div class='legal-guide'><p>{PROSE}</p><p>Short.</p></div>", STOPS, f"{PROSE}\nShort."),
+        (f"<article><p>{PROSE}</p><div class='share-price'><p>It rose by a third.</p></div></article>", STOPS, f"{PROSE}\nIt rose by a third."),
+        (f"<div class='cookie-box'><p>{PROSE}</p></div><div id='comment_12'><p>{PROSE}</p></div><p>{PROSE}</p>", STOPS, PROSE),
+        (f"<div class='article'><p>{PROSE}</p></div><div class='related-posts'><p>{PROSE}</p></div>", STOPS, PROSE),
+    ],
+)
+def test_main_text_without_stop_words_and_with_hints(page, stops, text):
+    assert main_text(page, stops) == text
+
+
+def test_very_long_and_deep_pages():
+    many = "".join(f"<p>{PROSE} {k}</p>" for k in range(20_000))
+    assert len(main_text(f"<article>{many}</article>", STOPS).split("\n")) == 20_000
+    assert main_text("<div>" * 50_000 + f"<p>{PROSE}" + "</div>" * 50_000, STOPS) == PROSE
+    assert main_text(f"<article><p>{'x' * 2_000_000}", STOPS) == "x" * 2_000_000
+
+
+def test_stop_words_are_exact_however_pages_are_dealt(spark):
+    from pixsieve.llm import html
+
+    body = " ".join(["alpha beta"] * 30 + [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(400)])
+    rows = [(i, None, " " * 5000 + f"<!-- x --><html lang={lang}><p>{body}</p>") for i, lang in enumerate(["en-GB"] * 30 + ["klingon", "tlh", "DE"])]
+    rows.append((99, None, "<html lang=xx><p>once each here</p>"))
+    pages = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")
+    want = {lang: frozenset({"alpha", "beta"}) for lang in ("en", "", "tlh", "de")}
+    assert html.stop_words(pages.repartition(7)) == html.stop_words(pages.coalesce(1), held_words=50) == want
+
+
 def test_pages_table(spark):
     from pixsieve.llm import html
 
