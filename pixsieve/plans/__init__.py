@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("signature_plans", "chain_plans", "block_plans", "byte_plans", "lookup_plans", "corpus_plans", "extract_plans", "camera_plans", "file_plans", "picture_plans", "nested_plans")
+MODULES = ("signature_plans", "chain_plans", "block_plans", "byte_plans", "lookup_plans", "corpus_plans", "extract_plans", "camera_plans", "file_plans", "picture_plans", "nested_plans", "payload_plans")
 
 
 def _modules():
