@@ -2,9 +2,11 @@
 
 A page is cut into blocks at block-level tags. Pass one classifies each block on its own by length, link density and
 stop-word density (the stop words are the most frequent words of the page's language, learned from all pages): good, bad,
-or short and undecided. Pass two lets undecided blocks inherit the label of the nearest decided neighbour in their
+or short and undecided. Length counts words, and characters in scripts without spaces; where a language has no stop words
+to tell, length and links decide. Pass two lets undecided blocks inherit the label of the nearest decided neighbour in their
 container; headings look ahead first. Containers that never hold main text (navigation, footers, forms, blocks whose class
-or id says advert, menu, comments and the like) decide their blocks at once, an article or main element leans to good.
+or id says nothing but advert, menu, comments and the like) decide their blocks at once, an article or main element leans to
+good. A class that names such a part among other things (legal-guide, share-price) is a hint: it takes that leaning away.
 """
 
 from __future__ import annotations
@@ -38,6 +40,13 @@ MARKED = set(
     "topbar sidebar side rail aside widget widgets related recommended recommendations share sharing social subscribe subscription newsletter signup login search "
     "comment comments comms disqus reply replies respond discussion reviews complementary contentinfo toolbar skip tags taboola outbrain paywall".split()
 )
+#: Words that beside a marked one leave its meaning as it is: places, sizes, parts of a layout, who wrote it.
+NEUTRAL = set(
+    "box block section container wrapper wrap inner outer area body content list item items entry row col column grid panel pane card unit slot group zone module "
+    "main left right top bottom center middle page site global primary secondary small large big wide full fixed sticky mobile desktop text title link links btn button "
+    "icon icons image img user users reader readers visitor post posts article articles news story stories thread count form bar tab tabs trail strip region div span "
+    "ul li a p n s x new old all more first last default custom dark light js theme".split()
+)
 #: First words of names that tell about neighbours.
 BESIDE = {"has", "with", "no", "without", "js", "not"}
 #: Words that beside "header" still name the page's own.
@@ -50,22 +59,27 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SHORT_WORDS = 10
 LINK_DENSITY = 0.5
 STOP_HIGH, STOP_LOW = 0.25, 0.05
-LANGUAGE = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+#: A declared language: two or three letters, so that there are no more of them than such codes.
+LANGUAGE = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+#: Characters of scripts that are written without spaces (Thai, Lao, Burmese, Khmer, kana, Han); two count as a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "outside", "inside", "heading", "label", "container")
+    __slots__ = ("parts", "linked", "outside", "inside", "heading", "hinted", "label", "container")
 
-    def __init__(self, outside: bool, inside: bool, heading: bool, container: int):
-        self.parts, self.linked, self.outside, self.inside, self.heading = [], 0, outside, inside, heading
+    def __init__(self, outside: bool, inside: bool, heading: bool, hinted: bool, container: int):
+        self.parts, self.linked, self.outside, self.inside, self.heading, self.hinted = [], 0, outside, inside, heading, hinted
         self.label, self.container = None, container
 
 
-def marks(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role name a part that is not the article, or the element is hidden.
+def marks(attributes: str, inside: bool) -> bool | None:
+    """True if class, id or role name nothing but a part that is not the article, or the element is hidden; None if they name
+    one among other words.
 
     A name like has-sidebar says what stands beside the element; a header inside an article is the article's own.
     """
+    hint = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "style":
@@ -76,16 +90,20 @@ def marks(attributes: str, inside: bool) -> bool:
                 return True
         else:
             names = (re.split(r"[^a-z]+", x) for x in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split())
-            if any(MARKED.intersection(x) - ({"header"} if inside or not PAGE_HEAD.issuperset(x) else set()) for x in names if x[0] not in BESIDE and "with" not in x):
-                return True
-    return False
+            for x in names:
+                own = MARKED.intersection(x) - ({"header"} if inside or not PAGE_HEAD.issuperset(x) else set())
+                if own and x[0] not in BESIDE and "with" not in x:
+                    if all(w in MARKED or w in NEUTRAL or not w for w in x):
+                        return True
+                    hint = True
+    return None if hint else False
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with their text parts, in page order. Broken and cut-off markup closes what it leaves open."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, outside, inside an article, container
-    outside = inside = heading = False
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, outside, inside an article, hinted, container
+    outside = inside = heading = hinted = False
     container = links = 0
     current: Block | None = None
     at, containers = 0, 0
@@ -97,11 +115,11 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if not piece.strip():
                 return
-            current = Block(outside, inside, heading, container)
+            current = Block(outside, inside, heading, hinted, container)
             out.append(current)
         current.parts.append(piece)
         if links:
-            current.linked += len(piece)
+            current.linked += sum(map(len, piece.split()))
 
     while True:
         m = TOKEN.search(page, at)
@@ -132,39 +150,49 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             if any(x[0] == tag for x in stack):
                 while stack:
-                    name, outside, inside, container = stack.pop()
+                    name, outside, inside, hinted, container = stack.pop()
                     if name == tag:
                         break
         elif tag in OUTSIDE or tag in ("article", "main", "header", "section", "div", "ul", "ol", "table", "tr", "td", "body", "span", "p", "li", "dl", "blockquote", "figure", "details", "b", "strong", "i", "em"):
             if tag in ("p", "li") and stack and stack[-1][0] == tag:  # an open one ends by itself
-                _, outside, inside, container = stack.pop()
-            stack.append((tag, outside, inside, container))
+                _, outside, inside, hinted, container = stack.pop()
+            stack.append((tag, outside, inside, hinted, container))
             if tag in ("article", "main") and not outside:
                 inside = True
-            if tag in OUTSIDE or (tag == "header" and not inside) or (tag not in ("body", "article", "main") and attributes and marks(attributes, inside)):
+            marked = marks(attributes, inside) if attributes and tag not in ("body", "article", "main") else False
+            if tag in OUTSIDE or (tag == "header" and not inside) or marked:
                 if not outside:
                     current = None
                 outside = True
+            elif marked is None:
+                current, hinted = None, True
             if tag in ("article", "main", "section", "div", "aside", "td"):
                 containers += 1
                 container = containers
 
 
 def classify(block: Block, words: list[str], stops: frozenset[str]) -> bool | None:
-    """Pass one: True good, False bad, None undecided."""
+    """Pass one: True good, False bad, None undecided.
+
+    stops are the language's; without any, or in scripts without spaces, length and links decide.
+    """
     if block.outside:
         return False
     length = sum(map(len, words))
     if block.linked > LINK_DENSITY * max(1, length):
         return False
-    if len(words) < SHORT_WORDS:
+    unspaced = sum(len(UNSPACED.findall(w)) for w in words if not w.isascii())
+    if max(len(words), unspaced / 2) < SHORT_WORDS:
         return None
+    if not stops or unspaced > length / 2:
+        return None if block.hinted and not block.inside else True
     density = sum(w.strip(".,;:!?\"'()").lower() in stops for w in words) / len(words)
+    leaning = block.inside and not block.hinted
     if density >= STOP_HIGH:
         return True
-    if density < STOP_LOW and not block.inside:
+    if density < STOP_LOW and not leaning:
         return False
-    return True if block.inside else None
+    return True if leaning else None
 
 
 def settle(blocks: list[Block]) -> None:
@@ -219,45 +247,49 @@ def main_text(page: str, stops: frozenset[str]) -> str:
 
 
 def language(page: str) -> str:
-    m = LANGUAGE.search(page, 0, 2000)
+    """The language that the page declares, empty without."""
+    m = LANGUAGE.search(page)
     return m[1].lower() if m else ""
 
 
-def stop_words(pages: DataFrame, html_col: str = "html", share: float = 0.004) -> dict[str, frozenset[str]]:
-    """Per declared language the words that make up at least `share` of all its words: at most 1 / share of them."""
+def stop_words(pages: DataFrame, html_col: str = "html", share: float = 0.004, held_words: int = 200_000) -> dict[str, frozenset[str]]:
+    """Per declared language the words that surely make up `share` of all its words: at most 1 / share of them.
+
+    Surely: by three standard deviations and three words more than the share asks for, so that in a language of few words no
+    word passes by chance, and in one of many the share alone decides. Counts are exact: a task that holds many words
+    sends them on and begins anew.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        found: dict[str, Counter] = {}
-        totals: Counter = Counter()
+        found: Counter = Counter()
 
-        def thin(lang: str) -> None:  # lossy counting: what falls below the share so far cannot reach it by itself
-            least = totals[lang] * share / 20
-            found[lang] = Counter({w: n for w, n in found[lang].items() if n > least})
+        def sent() -> pa.RecordBatch:
+            keys = list(found)
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
 
         for batch in batches:
             for page in batch.column(0).to_pylist():
                 lang = language(page)
                 words = re.findall(r"[^\W\d_]+", re.sub(r"<[^>]*>", " ", page).lower())
-                found.setdefault(lang, Counter()).update(words)
-                totals[lang] += len(words)
-            for lang in found:
-                if len(found[lang]) > 200_000:
-                    thin(lang)
-        for lang in found:
-            thin(lang)
-        rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()] + [(lang, None, n) for lang, n in totals.items()]
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "word", "n"])
+                for w, n in Counter(words).items():
+                    found[lang, w] += n
+                found[lang, None] += len(words)
+                if len(found) > held_words:
+                    yield sent()
+        yield sent()
 
     counts = pages.select(whole_text(html_col)).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = stored(counts, "page-words")
     totals = counts.where("word IS NULL").select(F.col("lang").alias("l"), F.col("n").alias("total"))
-    often = counts.where("word IS NOT NULL").join(totals, F.col("lang") == F.col("l")).where(F.col("n") >= share * F.col("total"))
-    # at most 1 / share words a language; a language of few words in all is of no use and left out
+    least = share * F.col("total") + 3 * F.sqrt(share * F.col("total")) + 3
+    often = counts.where("word IS NOT NULL").join(totals, F.col("lang") == F.col("l")).where(F.col("n") >= least)
+    # at most 1 / share words a language, and no more languages than codes of three letters
     found: dict[str, set[str]] = {}
-    for lang, word in often.where("total >= 1000").select("lang", "word").collect():
+    for lang, word in often.select("lang", "word").collect():
         found.setdefault(lang, set()).add(word)
     return {k: frozenset(v) for k, v in found.items()}
 
@@ -266,14 +298,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per page: page_id, url, text (the article, empty if none), n_chars.
 
     A null page counts as empty, null ids and urls pass through, repeated rows stay, an empty table gives no rows, other
-    columns are not read. A page in a language without learned stop words is judged by the words of all languages.
+    columns are not read. A page without a declared language is judged by the stop words of all languages, one in a language
+    without learned stop words by length and links.
     """
     stops = stop_words(pages, html_col)
-    everything = frozenset().union(*stops.values()) if stops else frozenset()
+    stops = {**stops, "": frozenset().union(*stops.values())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p, stops.get(language(p), everything)) if p else "" for p in batch.column(2).to_pylist()]
+            texts = [main_text(p, stops.get(language(p), frozenset())) if p else "" for p in batch.column(2).to_pylist()]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 
