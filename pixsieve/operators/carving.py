@@ -164,6 +164,24 @@ def jpeg_frames(files: DataFrame, *keep: str, ignore_end: bool = False, force_so
     )
 
 
+def cut_frames(files: DataFrame, start_mark: bytes, end_mark: bytes, *keep: str, ignore_end: bool = False, unended: bool = False, max_size: int | None = None) -> DataFrame:
+    """The frames of ``carve_extents`` found, numbered and cut in the scanning task: path, keep..., frame_no (from 1), pos,
+    end_pos, terminated, written, frame.
+
+    Frames without an end mark are left out unless ``unended`` asks for them; those over ``max_size`` keep their number and
+    have no bytes.
+    """
+    found = walks.marked_frames(F.col("content"), F.lit(start_mark), F.lit(b"" if ignore_end else end_mark))
+    taken = found if unended or ignore_end else F.filter(found, lambda f: f["terminated"])
+    at = files.select("path", *keep, "content", F.posexplode(taken).alias("__no", "f"))
+    size = F.col("f.end_pos") - F.col("f.pos")
+    written = F.lit(True) if max_size is None else size <= max_size
+    cut = F.substring("content", (F.col("f.pos") + 1).cast("int"), size.cast("int"))
+    return at.select(
+        "path", *keep, (F.col("__no") + 1).cast("bigint").alias("frame_no"), "f.pos", "f.end_pos", "f.terminated", written.alias("written"), F.when(written, cut).alias("frame")
+    )
+
+
 def number_frames(frames: DataFrame, ok: Column, max_size: int | None = None, span: int | None = None) -> DataFrame:
     """Number the suitable frames of a file from 1; frames over ``max_size`` keep their number but are not written."""
     numbered = row_index(frames.where(ok), ["path"], "pos", "__i", span=span)

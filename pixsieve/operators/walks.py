@@ -166,6 +166,21 @@ def jpeg_frames(data: bytes, ignore_end: bool, force_soi: bool):
         pos = following
 
 
+@walker("pos:long end_pos:long terminated:bool")
+def marked_frames(data: bytes, start: bytes, end: bytes):
+    """Extents from each start mark to behind the first end mark after it, else to the next start mark, else to the end; an
+    empty end mark is nowhere."""
+    pos, stop = data.find(start), -1
+    while pos >= 0:
+        following = data.find(start, pos + 1)
+        if end and stop is not None and stop <= pos:
+            stop = data.find(end, pos + 1)
+            stop = None if stop < 0 else stop  # none here is none further on
+        ended = bool(end) and stop is not None
+        yield pos, stop + len(end) if ended else following if following >= 0 else len(data), ended
+        pos = following
+
+
 _TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _SUB_DIRECTORY = {0x8769: "exif", 0x8825: "gps", 0xA005: "interop"}
 

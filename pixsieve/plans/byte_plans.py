@@ -59,15 +59,18 @@ def frame_number(spark, d):
     return _frames(spark, d)
 
 
+def _cut(spark, d):
+    return cv.cut_frames(_html(spark, d), OPEN, CLOSE, max_size=MAX_FRAME)
+
+
 def frame_names(spark, d):
-    got = cv.frame_bytes(_frames(spark, d).where("written"), _html(spark, d))
+    got = _cut(spark, d).where("written")
     root = F.concat(F.lit("page"), F.col("path").cast("string"))
     return got.select("path", cv.frame_name(root, F.col("frame_no")).alias("name"), F.length("frame").alias("size"), F.md5("frame").alias("md5"))
 
 
 def mjpeg_dht(spark, d):
-    got = cv.frame_bytes(_frames(spark, d), _html(spark, d))
-    out = cv.insert_tables(got, SEGMENT, b"que", b"de")
+    out = cv.insert_tables(_cut(spark, d), SEGMENT, b"que", b"de")
     return out.select("path", "frame_no", "has_tables", F.length("frame").alias("size"), F.md5("frame").alias("md5"))
 
 

@@ -149,3 +149,20 @@ def test_forced_marks(files_of):
     assert [(bytes(r.frame), r.terminated) for r in got] == [(whole, False)]
     two = cv.jpeg_frames(files_of({"f": whole + b"tail" + whole}), ignore_end=True).orderBy("frame_no").collect()
     assert [bytes(r.frame) for r in two] == [whole + b"tail", whole]
+
+
+def test_cut_frames_equal_joined_extents(spark, files_of):
+    rng = random.Random(8)
+    blobs = {f"f{i}": b"".join(rng.choice([b"<p", b"<p>", b"</p>", b"x", b"<", b"p>"]) for _ in range(n)) for i, n in enumerate((0, 1, 5, 40, 200, 200))}
+    f = files_of(blobs)
+    for ignore in (False, True):
+        extents = cv.carve_extents(f, b"<p", b"</p>", ignore_end=ignore)
+        want = {(r.path, r.pos, r.end_pos, r.terminated and not ignore) for r in extents.collect()}
+        got = cv.cut_frames(f, b"<p", b"</p>", ignore_end=ignore, unended=True).collect()
+        assert {(r.path, r.pos, r.end_pos, r.terminated) for r in got} == want
+        assert all(blobs[r.path][r.pos : r.end_pos] == bytes(r.frame) for r in got)
+    numbered = cv.number_frames(cv.carve_extents(f, b"<p", b"</p>"), F.col("terminated"), 9)
+    want = {(r.path, r.pos, r.frame_no, r.written) for r in numbered.collect()}
+    got = cv.cut_frames(f, b"<p", b"</p>", max_size=9)
+    assert {(r.path, r.pos, r.frame_no, r.written) for r in got.collect()} == want and got.where("written <> (frame IS NOT NULL)").count() == 0
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
