@@ -33,7 +33,7 @@ def packed_rows(rows: DataFrame, blocks: int, key: Column) -> DataFrame:
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
         for batch in batches:
             if not batch.num_rows:
                 continue
