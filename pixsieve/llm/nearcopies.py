@@ -169,9 +169,7 @@ def links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Every pair of one sketch is linked directly, or through texts that it is linked with, or shown to be unlike.
     """
-    drawn = stored(sketches(rows), "sketches")
-    member = drawn.groupBy("sketch", "key", "tag").agg(F.min("n").alias("n"))
-    member = stored(member, "members")
+    member = stored(sketches(rows).groupBy("sketch", "key", "tag").agg(F.min("n").alias("n")), "members")
     bucket = member.groupBy("sketch", "key").agg(F.count("*").alias("held")).where("held > 1")
     shared = stored(member.join(bucket, ["sketch", "key"]), "shared-sketches")
     # the head of a sketch is the text that shares most over all its sketches: the original of edited copies, if it is there
@@ -182,7 +180,9 @@ def links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     fits = F.least("n", "head_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "head_n")
     first = starred.where(fits).select(F.col("head").alias("a"), F.col("tag").alias("b")).distinct()
     involved = starred.select("tag").union(starred.select("head")).distinct()
-    texts = stored(one_row_each(rows.select("tag", "text").join(involved, "tag", "left_semi"), "tag"), "near-texts")
+    # copies are merged where they are scanned, so that a text with very many meets the join once a task
+    merged = rows.groupBy("tag").agg(F.first("text").alias("text"))
+    texts = stored(merged.join(involved, "tag", "left_semi"), "near-texts")
     seen = stored(compared(first, texts, similarity), "compared")
     # what is unlike its head may be like another member of the sketch
     known = seen.select(F.col("a").alias("head"), F.col("b").alias("tag"), "distance", "alike")
@@ -252,65 +252,36 @@ def histograms(texts: DataFrame) -> DataFrame:
     return texts.select("tag", "text").mapInArrow(run, "tag binary, coarse array<int>, bins array<int>")
 
 
-def lone_shingles(texts: DataFrame) -> DataFrame:
-    """From different texts (tag, text): tag, lone (how many of a text's shingles stand in no other of them)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, own in enumerate(numbers(batch.column(1))):
-                h, n = np.unique(own, return_counts=True)
-                tags = batch.column(0).take(pa.array(np.full(len(h), k)))
-                yield pa.RecordBatch.from_arrays([tags, pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["tag", "h", "n"])
-
-    each = texts.select("tag", "text").mapInArrow(run, "tag binary, h long, n long")
-    single = each.groupBy("h").agg(F.count("*").alias("held"), F.min("tag").alias("tag"), F.min("n").alias("n")).where("held = 1")
-    return single.groupBy("tag").agg(F.sum("n").alias("lone"))
-
-
-def by_histogram(pairs: DataFrame, bins: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle histograms leave room for enough matches: an exact upper bound."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            x, y = (np.frombuffer(b"".join(batch.column(names.index(c)).to_pylist()), np.int32).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
-            n = batch.column(names.index("n_a")).to_numpy().astype(float) + batch.column(names.index("n_b")).to_numpy()
-            keep = pa.array(shared_bins(x, y) >= np.ceil(similarity * n / (1 + similarity) - 1e-9))
-            yield pa.RecordBatch.from_arrays([batch.column(names.index(c)).filter(keep) for c in ("a", "b")], names=["a", "b"])
-
-    side = lambda s: bins.select(F.col("tag").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
-
-
 def near_nodes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """One row per different text: tag, held (rows), n_links, class_size, has_id and first (the class's smallest id), best (the row key that stays)."""
+    """One row per different text: tag, held (rows), n_verified, class_size, has_id and first (the class's smallest id), best (the row key that stays)."""
     text = whole_text(text_col)
     rows = docs.select(text_key(text).alias("tag"), F.col(id_col).cast("long").alias("id"), row_key(id_col, text).alias("row"), text.alias("text"))
     found = links(rows.select("tag", "text"), similarity)
     labels = components(found, "classes")
     ends = found.select(F.col("a").alias("node"), F.col("b").alias("other")).union(found.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
-    degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = ends.groupBy("node").agg(F.count("*").alias("n_verified"))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
     copies = rows.groupBy(F.col("tag").alias("node")).agg(best.alias("best"), F.count("*").alias("held"))
-    nodes = copies.join(labels, "node", "left").join(degree, "node", "left").select("node", "best", "held", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "node").alias("label"))
+    nodes = copies.join(labels, "node", "left").join(degree, "node", "left").select("node", "best", "held", F.coalesce("n_verified", F.lit(0)).cast("long").alias("n_verified"), F.coalesce("label", "node").alias("label"))
     nodes = stored(nodes, "near-nodes")
     classes = nodes.groupBy("label").agg(F.min("best").alias("first"), F.sum("held").alias("class_size"))
-    return nodes.join(classes, "label").select(F.col("node").alias("tag"), "n_links", "first", "class_size")
+    return nodes.join(classes, "label").select(F.col("node").alias("tag"), "n_verified", "first", "class_size")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), class_size (rows), n_links, kept (one row a class).
+    """One row per document: doc_id, class_id (smallest id of its class), class_size (rows), n_verified, kept (one row a class).
 
     Words are compared without case (A to Z). A null text counts as empty. Equal texts are one class; texts without words
-    are alike only if equal; a text of fewer than five words has one shingle of them all. n_links counts the different texts
-    that this one was verified with; class ids are null where all ids of the class are. Of a class the row with the smallest
-    id stays, null ids last, one of rows equal in id and text. An empty table gives no rows; other columns are not read.
+    are alike only if equal; a text of fewer than five words has one shingle of them all. n_verified counts the
+    different texts that this one was compared with and found alike, not all that it is like; class ids are null where all
+    ids of the class are. Of a class the row with the smallest id stays, null ids last, one of rows equal in id and text. An
+    empty table gives no rows; other columns are not read.
     """
     text = whole_text(text_col)
     number = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(0)))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("tag"), row_key(id_col, text).alias("row")).withColumn("number", number)
     return keyed.join(near_nodes(docs, id_col, text_col, similarity), "tag").select(
-        F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", "n_links",
+        F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"), "class_size", "n_verified",
         ((F.col("row") == F.col("first.row")) & (F.col("number") == 1)).alias("kept"),
     )
 
