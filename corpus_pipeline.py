@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pixsieve.llm import decontaminate, mixing, nearcopies, tokens, toxicity
-from pixsieve.llm.common import stored, table
+from pixsieve.llm.common import free_name, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: Rows that a Python worker is handed at once: whole documents pass through, so fewer than Spark's default.
-BATCH_ROWS = "2000"
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, learned from the labels of these documents, does not reject."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
@@ -35,9 +32,22 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(*COLUMNS)
 
 
+def in_file_order(docs: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """The rows with the number of their file and their place in it: the order in which the stage before has written them. Rows
+    that come from no files are numbered as they stand."""
+    names = free_name(docs, "file_number"), free_name(docs, "file_row")
+    number = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+    try:
+        placed = docs.withColumns({names[0]: number, names[1]: F.col("_metadata.row_index")})
+    except AnalysisException:
+        placed = docs.withColumns({names[0]: F.lit(0), names[1]: F.monotonically_increasing_id()})
+    return placed, names
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place, length and checksum of every document of the mix in its token files."""
-    return tokens.tokenised(docs)
+    """Place, length and checksum of every document of the mix in its token files, which stand in the mix's training order."""
+    placed, order = in_file_order(docs)
+    return tokens.tokenised(placed, order=order)
 
 
 STAGES = [

@@ -5,11 +5,13 @@
 2. Ids are counted over all documents and ranked, most frequent first; the ranking is bounded by the vocabulary.
 3. Documents are range-partitioned and sorted by id. A file holds a stretch of ascending documents; a document is two byte
    strings: control bytes (two bits an id, its byte length less one, four ids a byte) and the ranks' low bytes.
-4. Reading looks up four lengths a control byte in a table of 256 rows and gathers the ranks with numpy.
+4. Reading looks up four lengths a control byte in a table of 256 rows and gathers the ranks with numpy. The ranking is
+   written beside the documents, so that any later session can read them.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import stored, table, whole_text
+from pixsieve.llm.common import shared_folder, stored, table, whole_text
 
 END_ID = 2
 #: Byte lengths of the four ids of each control byte.
@@ -112,10 +114,12 @@ def encoded(texts: pa.Array, path: str, end_id: int, width: np.dtype) -> tuple[n
     return ids, total[word_ends[1:] + np.arange(1, len(texts) + 1)]
 
 
-def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> tuple[DataFrame, np.dtype]:
-    """doc_id and the ids of the whole text as little-endian integers, two bytes wide where the vocabulary allows."""
+def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, order: tuple[str, ...] = ()) -> tuple[DataFrame, np.dtype]:
+    """doc_id, ids (of the whole text, as little-endian integers, two bytes wide where the vocabulary allows), and the columns
+    of order as order_0, order_1 ..."""
     vocabulary = tokenizer(path)[0].get_vocab_size(with_added_tokens=True)
     width = np.dtype("<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4")
+    places = [f"order_{k}" for k in range(len(order))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)[0]
@@ -136,11 +140,14 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
                         parts[i] = np.array([*own, end_id], width)
                     ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
                 column = binary_column(ids, ends * width.itemsize)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), column], names=["doc_id", "ids"])
+                kept = [batch.column(k).slice(at, to - at) for k in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([kept[0], column, *kept[1:]], names=["doc_id", "ids", *places])
                 at = to
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary"), width
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), *(F.col(f"`{c}`").cast("long").alias(p) for c, p in zip(order, places, strict=True))
+    )
+    return rows.mapInArrow(run, ", ".join(["doc_id long, ids binary", *(f"{p} long" for p in places)])), width
 
 
 def ranking(ids: DataFrame, width: np.dtype, vocabulary: int) -> np.ndarray:
@@ -198,14 +205,18 @@ def unpack(control: pa.Array, data: pa.Array, counts: np.ndarray) -> np.ndarray:
     return values
 
 
-def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
-    """Writes every document's ids in ascending id order to the shared folder; gives the files as a table, and the ranking."""
+def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, order: tuple[str, ...] = ()) -> None:
+    """Writes every document's ids below folder (documents), with the ranking they are coded by (dictionary).
+
+    Documents stand in ascending id order, or by the whole numbers in the columns of order.
+    """
+    spark = docs.sparkSession
     path = path or default_vocabulary()
-    ids, width = token_ids(docs, id_col, text_col, path, end_id)
+    ids, width = token_ids(docs, id_col, text_col, path, end_id, order)
     ids = stored(ids, "token-ids")
-    order = ranking(ids, width, max(tokenizer(path)[0].get_vocab_size(with_added_tokens=True), end_id + 1))
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
+    ranks = ranking(ids, width, max(tokenizer(path)[0].get_vocab_size(with_added_tokens=True), end_id + 1))
+    rank = np.empty(len(ranks), np.uint32)
+    rank[ranks] = np.arange(len(ranks), dtype=np.uint32)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -219,12 +230,20 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             parts = pa.array(np.full(batch.num_rows, part, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), parts, pa.array(starts), pa.array(counts), control, data], names=[x.split()[0] for x in FILE.split(", ")])
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return stored(ordered.mapInArrow(code, FILE), "token-files", "uncompressed"), order
+    ranked = pa.table({"rank": pa.array(range(len(ranks)), pa.int64()), "token": pa.array(ranks.astype(np.int64))})
+    spark.createDataFrame(ranked).coalesce(1).write.parquet(f"{folder}/dictionary")
+    keys = [f"order_{k}" for k in range(len(order))] or ["doc_id"]
+    ordered = ids.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id", "ids").select("doc_id", "ids")
+    ordered.mapInArrow(code, FILE).write.option("compression", "uncompressed").parquet(f"{folder}/documents")
 
 
-def read_files(files: DataFrame, order: np.ndarray) -> DataFrame:
-    """Per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def decoded(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
+    """Per document from the files: doc_id, part, at (ids before it in its part), n_tokens, ids_crc32 and, if asked, ids (unsigned
+    32-bit numbers, little-endian)."""
+    ranks = spark.read.parquet(f"{folder}/dictionary").toArrow()  # one number per id of the vocabulary
+    order = np.zeros(ranks.num_rows, np.uint32)
+    order[ranks["rank"].to_numpy()] = ranks["token"].to_numpy()
+    schema = "doc_id long, part int, at long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,20 +254,28 @@ def read_files(files: DataFrame, order: np.ndarray) -> DataFrame:
             ids = order[unpack(control, data, counts)].astype("<u4")
             ends = np.cumsum(counts)
             crc = [zlib.crc32(ids[b - c : b]) for b, c in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([doc, part, at, n, pa.array(crc, pa.int64())], names=["doc_id", "part", "at", "n_tokens", "ids_crc32"])
+            own = [binary_column(ids, ends * 4)] if with_ids else []
+            yield pa.RecordBatch.from_arrays([doc, part, at, n, pa.array(crc, pa.int64()), *own], names=[x.split()[0] for x in schema.split(", ")])
+
+    files = spark.read.parquet(f"{folder}/documents")
+    return files.select("doc_id", "part", "at", "n_tokens", "control", "data").mapInArrow(read, schema)
 
-    rows = files.select("doc_id", "part", "at", "n_tokens", "control", "data").mapInArrow(read, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     # one row per file part: all a single task holds
-    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("held"))
+    parts = spark.read.parquet(f"{folder}/documents").groupBy("part").agg(F.sum("n_tokens").alias("held"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    return rows.join(offsets, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return decoded(spark, folder).join(offsets, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenised(docs: DataFrame, **options) -> DataFrame:
-    """Writes the files and reads them back. A null or empty text is its end id alone; null ids come first; rows that repeat
-    an id follow each other, by their ids' bytes; an empty table gives no rows; other columns are not read."""
-    return read_files(*write_files(docs, **options))
+    """Writes the files to the shared folder and reads them back. A null or empty text is its end id alone; null ids come first;
+    rows that repeat an id follow each other, by their ids' bytes; an empty table gives no rows; other columns are not read."""
+    folder = f"{shared_folder(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    write_files(docs, folder, **options)
+    return read_files(docs.sparkSession, folder)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

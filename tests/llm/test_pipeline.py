@@ -1,7 +1,8 @@
 import hashlib
+import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,8 @@ def clean(rows: dict[int, str], items: list[str]) -> dict[int, str]:
     return {i: t for i, t in rows.items() if not covered(t)}
 
 
-def mixed(rows: dict[int, str], source: dict[int, str]) -> Counter:
+def mixed(rows: dict[int, str], source: dict[int, str]) -> list[int]:
+    """The ids of the mix in training order."""
     size = {i: len(re.findall(mixing.WORD, t)) for i, t in rows.items()}
     held = defaultdict(int)
     for i, n in size.items():
@@ -64,13 +66,18 @@ def mixed(rows: dict[int, str], source: dict[int, str]) -> Counter:
         goal |= {s: 3 * held[s] for s in over}
         rest -= sum(3 * held[s] for s in over)
         left -= over
-    out, done = Counter(), defaultdict(int)
+    out, done = [], defaultdict(int)
     for i in sorted(rows, key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
         s = source[i]
         whole = goal[s] // held[s]
-        out[i] = int(whole) + (done[s] + size[i] / 2 < goal[s] - whole * held[s])
+        copies = int(whole) + (done[s] + size[i] / 2 < goal[s] - whole * held[s])
+        begin = mixing.STARTS[sorted(held).index(s) % 3]
+        slope = (1 - begin) * 2
+        for copy in range(copies):
+            u = min(1.0, (done[s] + copy * held[s]) / goal[s])
+            out.append(((math.sqrt(begin * begin + slope * u * 2) - begin) / slope if slope else u, i, copy))
         done[s] += size[i]
-    return out
+    return [i for _, i, _ in sorted(out)]
 
 
 def test_pipeline_equals_brute_force(spark):
@@ -80,13 +87,11 @@ def test_pipeline_equals_brute_force(spark):
     toxic = {r.doc_id for r in toxicity.scored(docs, table(spark, SF, "labels")).collect() if r.score >= 0.5}
     rows = one_each({i: t for i, t in rows.items() if i not in toxic})
     rows = clean(rows, [r.text for r in table(spark, SF, "benchmark").collect()])
-    copies = mixed(rows, source)
     tok, start, want = tokens.tokenizer(tokens.default_vocabulary())[0], 0, []
-    for i in sorted(copies):
+    for i in mixed(rows, source):
         ids = [*tok.encode(rows[i], add_special_tokens=False).ids, 2]
-        for _ in range(copies[i]):
-            want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-            start += len(ids)
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
     assert got == sorted(want)
 
