@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 LABEL, CHILDREN, VALUE = range(3)
+#: What a node takes beside its label: a list, a dictionary, a value, a bytes object.
+NODE_BYTES = 400
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -24,7 +26,7 @@ def common_prefix(a: bytes, b: bytes) -> int:
 class RadixTrie:
     """Full byte strings, path compressed: a node is [label, children by first byte, value or None].
 
-    merge joins a terminal's value with the value of an equal string. `size` counts label bytes held.
+    merge joins a terminal's value with the value of an equal string. `size` counts the bytes held: labels and NODE_BYTES a node.
     """
 
     def __init__(self, merge: Callable):
@@ -39,13 +41,14 @@ class RadixTrie:
             child = node[CHILDREN].get(key[at])
             if child is None:
                 node[CHILDREN][key[at]] = [key[at:], {}, value]
-                self.grow(key, len(key) - at)
+                self.grow(key, len(key) - at + NODE_BYTES)
                 return
             label = child[LABEL]
             same = len(label) if key.startswith(label, at) else common_prefix(label, key[at : at + len(label)])
             if same < len(label):  # split the edge
                 lower = [label[same:], child[CHILDREN], child[VALUE]]
                 child[LABEL], child[CHILDREN], child[VALUE] = label[:same], {label[same]: lower}, None
+                self.grow(key, NODE_BYTES)
             node, at = child, at + same
         node[VALUE] = value if node[VALUE] is None else self.merge(node[VALUE], value)
 

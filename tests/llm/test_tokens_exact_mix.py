@@ -1,5 +1,11 @@
+import hashlib
+import json
+import subprocess
+import sys
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -24,6 +30,22 @@ def test_token_files_equal_plain_encoding(odd_docs, no_docs):
     assert tokens.tokenised(no_docs).count() == 0
 
 
+def test_token_files_are_read_by_another_process(spark, tmp_path):
+    texts = {1: "The quick brown fox.", 2: "", 3: "déjà vu 東京 \x1c 🙂", 7: "x" * 5000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING")
+    folder = str(tmp_path / "files")
+    tokens.write_files(docs, folder)
+    code = (
+        "import sys, json; from pixsieve.session import local_session; from pixsieve.llm import tokens; import numpy as np;"
+        "rows = tokens.decoded(local_session('other', 2), sys.argv[1], with_ids=True).collect();"
+        "print('IDS' + json.dumps({r.doc_id: np.frombuffer(r.ids, '<u4').tolist() for r in rows}))"
+    )
+    out = subprocess.run([sys.executable, "-c", code, folder], capture_output=True, text=True, cwd=Path(__file__).parents[2], timeout=120, check=True).stdout
+    got = json.loads(next(line for line in out.splitlines() if line.startswith("IDS"))[3:])
+    tok = tokens.tokenizer(tokens.default_vocabulary())[0]
+    assert got == {str(i): [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300)), min_size=1))
 def test_codes_round_trip(docs):
@@ -47,6 +69,19 @@ def test_trie_holds_every_string_once(keys):
     assert dict(trie.items()) | spilled == Counter(keys)
 
 
+def test_trie_size_is_what_it_holds():
+    tracemalloc.start()
+    trie = RadixTrie(lambda a, b: a + b)
+    for k in range(20_000):
+        trie.insert(hashlib.md5(str(k).encode()).digest()[:15], (True, k, 1))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert 0.5 * held < trie.size < 2 * held
+    while trie.held:
+        list(trie.evict())
+    assert trie.size == 0
+
+
 @given(st.binary(), st.binary())
 def test_common_prefix(a, b):
     n = common_prefix(a, b)
