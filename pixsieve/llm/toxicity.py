@@ -1,7 +1,7 @@
 """Toxicity of whole texts, read through leetspeak, spacing and repetition.
 
-Noisy channel: a word that mixes letters with other signs, repeats a letter three times or stands in a run of single
-letters becomes a lattice (a sign may be a letter, a separator or itself; a long run of a letter one or two letters; a gap
+Noisy channel: a word that mixes letters with other signs or begins with one that may be a letter, repeats a letter three
+times or every letter twice, or stands in a run of single letters becomes a lattice (a sign may be a letter, a separator or itself; a long run of a letter one or two letters; a gap
 may be closed). Viterbi finds the reading that a character 4-gram model, counted over all documents, finds likeliest.
 Words without such marks have one reading, themselves.
 
@@ -40,6 +40,11 @@ LEET = {
 #: Channel costs, natural logarithms: a letter sign, a dropped sign, a sign kept, a shortened run by 1 or 2, a closed gap.
 AS_LETTER, DROPPED, KEPT, RUN_ONE, RUN_TWO, CLOSED = -1.0, -3.0, -1.5, -1.0, -1.5, -0.5
 
+#: Letters that a word has at least if it writes each of them twice. Signs that begin a word as a letter.
+DOUBLED = 3
+LEADING = np.zeros(256, bool)
+LEADING[[ord(c) for c in "!(<"]] = True
+
 #: Symbols of the character model: 0 for any break, 1-26 letters, 27-31 bytes of other scripts' letters.
 SYMBOL = np.zeros(256, np.uint8)
 SYMBOL[97:123] = np.arange(1, 27)
@@ -82,6 +87,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Readings of each stretch of a lower-case token: (replacement, cost)."""
     out = []
     letters = [c.isalpha() for c in token]
+    doubled = len(token) >= 2 * DOUBLED and token[::2] == token[1::2]
     at = 0
     while at < len(token):
         c, to = token[at], at + 1
@@ -89,7 +95,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             to += 1
         n = to - at
         if letters[at]:
-            out.append([(c * n, 0.0)] if n < 3 else [(c, RUN_ONE), (c * 2, RUN_TWO), (c * n, 4 * RUN_ONE)])
+            out.append([(c * n, 0.0), *([(c * (n // 2), RUN_ONE)] if doubled else [])] if n < 3 or (doubled and n % 2 == 0) else [(c, RUN_ONE), (c * 2, RUN_TWO), (c * n, 4 * RUN_ONE)])
         else:
             single = at > 0 and letters[at - 1] and to < len(token) and letters[to] and (at < 2 or not letters[at - 2])
             gap = CLOSED if single or c.isspace() else DROPPED
@@ -159,7 +165,17 @@ def suspicious(body: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.nd
         trail = np.where((trail > first) & outer[body[trail - 1]], trail - 1, trail)
     trail = np.maximum(trail, lead)
     inner = (letters[last] - letters[first] >= 1) & (others[trail] - others[lead] > 0)
-    odd = inner | (triples[last] - triples[first] > 0)
+    # one sign before letters that may be a letter itself
+    begun = LEADING[body[np.minimum(first, n - 1)]] & (lead == first + 1) & (letters[trail] - letters[lead] >= DOUBLED)
+    # every letter twice: at each second place from the word's first on
+    twice = np.zeros(n + 2, np.int64)
+    twice[2 : n + 1] = letter[: n - 1] & (body[: n - 1] == body[1:]) if n > 1 else 0
+    by_two = twice.copy()  # sums over places of one parity
+    by_two[::2], by_two[1::2] = np.cumsum(twice[::2]), np.cumsum(twice[1::2])
+    size = last - first
+    even = (size % 2 == 0) & (size >= 2 * DOUBLED)
+    doubled = even & (by_two[np.where(even, last, 0)] - by_two[np.where(even, first, 0)] == size // 2)
+    odd = inner | begun | doubled | (triples[last] - triples[first] > 0)
     chars = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80)])
     single = (chars[last] - chars[first] == 1) & ((letters[last] > letters[first]) | (others[last] > others[first]))
     same = np.concatenate([[False], (doc[1:] == doc[:-1]) & single[1:] & single[:-1]])

@@ -26,10 +26,20 @@ def test_deobfuscation(spark):
     docs = spark.createDataFrame([(text,)], "text STRING")
     model = toxicity.char_model(toxicity.char_counts(docs, "text"))
     assert abs(np.exp(model.reshape(-1, 32)).sum(axis=1) - 1).max() < 1e-3
-    for seen, meant in {"1d10t": "idiot", "l.o.s.e.r": "loser", "i d i o t": "idiot", "stuuuupid": "stupid", "tr@sh": "trash", "the": "the"}.items():
+    for seen, meant in {"!diot": "idiot", "(lown": "clown", "iiddiioott": "idiot", "ccllowwnn": "ccllowwnn", "1d10t": "idiot", "l.o.s.e.r": "loser", "i d i o t": "idiot", "stuuuupid": "stupid", "tr@sh": "trash", "the": "the"}.items():
         assert toxicity.decode(seen, model) == meant
 
 
+def test_which_words_are_read_through_the_lattice():
+    seen = "!diot (lown iiddiioott 1d10t aabbcc (sd) plain end! (see also) aabb wheel balloon x"
+    body = np.frombuffer(seen.encode(), np.uint8)
+    inside = body != 32
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+    first, last = edges[::2], edges[1::2]
+    odd, _ = toxicity.suspicious(body, first, last, np.zeros(len(first), np.int64))
+    assert [w for w, o in zip(seen.split(), odd, strict=True) if o] == ["!diot", "(lown", "iiddiioott", "1d10t", "aabbcc", "(see"]
+
+
 def test_toxicity_finds_hidden_words(spark, odd_docs, no_docs):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("aeiounrstl"), 5)) for _ in range(200)]
