@@ -3,7 +3,8 @@
 Spark's own sinks name their files themselves. Here a row is (name, content); rows that follow each other under one name
 make one file. A task writes into a staging folder of its own attempt. When all tasks are through, the files move to their
 names; when one fails for good, the staging folder goes and the target is as it was. What a lost or repeated attempt left
-behind is never moved. An overwrite clears the target only at that point.
+behind is never moved. An overwrite clears the target only at that point. A driver that dies while files move leaves the
+moved ones and no _SUCCESS; the next run replaces them.
 
 Executors open the target by its URI (file, hdfs, s3, gs, abfs), as the driver's Hadoop settings qualify it.
 """

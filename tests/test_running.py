@@ -76,3 +76,20 @@ def test_results_do_not_depend_on_the_span(spark, name):
     assert want and sorted(map(str, small.collect())) == want
     assert sorted(map(str, SPANS[name](c, 1 << 18).collect())) == want
     c.unpersist()
+
+
+def test_marked_ranges_meet_their_rows_by_spans(spark):
+    from pixsieve.operators import chains
+
+    rows = spark.range(5000).selectExpr("CASE WHEN id < 4900 THEN 'hot' ELSE concat('p', id % 7) END AS path", "id AS idx")
+    marks = spark.createDataFrame(
+        [("hot", 4000, 37), ("hot", 64, 127), ("hot", 64, 64), ("hot", -5, 3), ("hot", -9, -1), ("hot", None, 5), ("p1", 4950, 10**12 // 10**7), ("other", 0, 9)], "path STRING, a LONG, b LONG")
+    got = chains.mcu_range(rows, marks, "idx", span=64)
+    ends = [(m.path, [x for x in (m.a, m.b) if x is not None]) for m in marks.collect()]  # a mark alone is a range of one
+    want = sorted((r.path, r.idx) for r in rows.collect() for path, own in ends if path == r.path and min(own) <= r.idx <= max(own))
+    assert sorted((r.path, r.idx) for r in got.collect()) == want and got.columns == ["path", "idx"]
+    plan = got.hint("merge")._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "path" in join and "__span" in join
+    # the rows of the one hot path lie in as many join keys as it has spans
+    assert rows.where("path = 'hot'").selectExpr("idx DIV 64 AS s").distinct().count() > 70
