@@ -28,7 +28,9 @@ def _docs(spark, d):
 
 
 def byte_search(spark, d):
-    return cv.find_all(_docs(spark, d), NEEDLES)
+    needles = spark.createDataFrame([(i, bytearray(n)) for i, n in enumerate(NEEDLES)], "needle_no INT, needle BINARY")
+    hits = nd.find_needles(_docs(spark, d), needles).join(needles, "needle")
+    return hits.select("path", "needle_no", F.col("pos").cast("int").alias("pos"))
 
 
 def next_prev(spark, d):
