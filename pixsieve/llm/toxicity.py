@@ -281,20 +281,18 @@ def evidence(labelled: DataFrame, reader_model: np.ndarray) -> np.ndarray:
                 sums[k] = sums[k] + values if k in sums else values
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "packed"])
 
-    # ENTRIES * 4 numbers at most reach the driver
+    # ENTRIES * 4 numbers at most reach the driver, which works them out stretch by stretch
     rows = labelled.select("text", "toxic").mapInArrow(count, "chunk int, packed binary").repartition("chunk").mapInArrow(add, "chunk int, packed binary").toArrow()
-    totals, words = np.zeros((4, ENTRIES)), np.zeros(4)
-    for k, packed in zip(rows["chunk"].to_pylist(), rows["packed"], strict=True):
-        values = np.frombuffer(packed.as_buffer(), np.int64)
-        if k < 0:
-            words += values
-        else:
-            totals[:, k * CHUNK : (k + 1) * CHUNK] = values.reshape(4, CHUNK)
-    rate = (totals[1] + 0.5) / (words[1] + 1) / ((totals[0] + 0.5) / (words[0] + 1))
-    odds = np.log(rate)
-    doubt = np.sqrt(1 / (totals[3] + 0.5) + 1 / (totals[2] + 0.5))
-    sure = np.maximum(0, np.abs(odds) - 1.5 * doubt)
-    return np.where((totals[2] + totals[3] >= 3), np.sign(odds) * sure, 0.0).astype(np.float32)
+    found = {k: np.frombuffer(packed.as_buffer(), np.int64) for k, packed in zip(rows["chunk"].to_pylist(), rows["packed"], strict=True)}
+    words = found.pop(-1, np.zeros(4, np.int64)).astype(float)
+    out = np.zeros(ENTRIES, np.float32)
+    for k, values in found.items():
+        totals = values.reshape(4, CHUNK)
+        odds = np.log((totals[1] + 0.5) / (words[1] + 1) / ((totals[0] + 0.5) / (words[0] + 1)))
+        doubt = np.sqrt(1 / (totals[3] + 0.5) + 1 / (totals[2] + 0.5))
+        sure = np.maximum(0, np.abs(odds) - 1.5 * doubt)
+        out[k * CHUNK : (k + 1) * CHUNK] = np.where(totals[2] + totals[3] >= 3, np.sign(odds) * sure, 0.0)
+    return out
 
 
 def signals(texts: pa.Array, reader: Reader, odds: np.ndarray) -> np.ndarray:
