@@ -62,15 +62,15 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def plain_parts(chunk: str) -> tuple[str, ...]:
-    """What a chunk is encoded as: its core and the stops and commas behind it, which the rules never join, in lower case
-    where that is plain ASCII (the tokenizer lower-cases itself)."""
-    core = chunk.rstrip(".,")
-    if not core or not core[-1].isalnum() or "<|" in chunk:
-        return (chunk,)
-    tail = chunk[len(core) :]
-    core = core.lower() if core.isascii() else core
-    return (core, tail) if tail else (core,)
+def parted(chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """What each chunk is encoded as: its core and the stops and commas behind it, which the rules never join, the core in lower
+    case where it is plain ASCII (the tokenizer lower-cases itself). A chunk whose core ends otherwise than in a letter or
+    digit, or that may hold a special token, is whole."""
+    trimmed = pc.ascii_rtrim(chunks, characters=".,")
+    splits = pc.and_(pc.match_substring_regex(trimmed, r"[\p{L}\p{N}]$"), pc.invert(pc.match_substring(chunks, "<|")))
+    tails = pc.extract_regex(chunks, r"(?P<tail>[.,]*)$").field("tail")
+    lower = pc.if_else(pc.string_is_ascii(trimmed), pc.ascii_lower(trimmed), trimmed)
+    return pc.if_else(splits, lower, chunks), pc.if_else(splits, tails, "")
 
 
 def encode_new(tok, known: dict, words: list[str], width: np.dtype) -> None:
@@ -90,28 +90,27 @@ def encode_new(tok, known: dict, words: list[str], width: np.dtype) -> None:
         known[w] = np.array(e.ids, width).tobytes()
 
 
+def ids_of(parts: pa.Array, tok, known: dict, width: np.dtype) -> pa.Array:
+    """The ids of each part as bytes; each different one is encoded once."""
+    coded = pc.dictionary_encode(parts)
+    words = coded.dictionary.to_pylist()
+    encode_new(tok, known, [w for w in words if w and w not in known], width)
+    return pa.array([known[w] if w else b"" for w in words], pa.binary()).take(coded.indices)
+
+
 def encoded(texts: pa.Array, path: str, end_id: int, width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, each text with its end, and the number of ids up to each text's end."""
     tok, known = tokenizer(path)
-    words = pc.utf8_split_whitespace(texts)
-    coded = pc.dictionary_encode(words.flatten())
-    chunks = coded.dictionary.to_pylist()
     if len(known) > REMEMBERED:
         known.clear()
-    missing = {w: plain_parts(w) for w in chunks if w not in known}
-    encode_new(tok, known, list({x for parts in missing.values() for x in parts if x not in known}), width)
-    for w, parts in missing.items():
-        if len(parts) > 1 or parts[0] != w:
-            known[w] = b"".join(known[x] for x in parts)
-    pieces = [known[w] for w in chunks] + [np.array([end_id], width).tobytes()]
-    lengths = np.array([len(p) for p in pieces], np.int64) // width.itemsize
-    flat = np.frombuffer(b"".join(pieces), width)
+    words = pc.utf8_split_whitespace(texts)
+    chunks = pc.dictionary_encode(words.flatten())
+    own = pc.binary_join_element_wise(*(ids_of(x, tok, known, width) for x in parted(chunks.dictionary)), pa.scalar(b"", pa.binary()))
+    pieces = pa.concat_arrays([own, pa.array([np.array([end_id], width).tobytes()], pa.binary())])
     word_ends = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
-    index = np.insert(coded.indices.to_numpy().astype(np.int64), word_ends[1:], len(chunks))
-    n = lengths[index]
-    ids = flat[spans((np.cumsum(lengths) - lengths)[index], n)]
-    total = np.concatenate([[0], np.cumsum(n)])
-    return ids, total[word_ends[1:] + np.arange(1, len(texts) + 1)]
+    taken = pieces.take(pa.array(np.insert(chunks.indices.to_numpy(), word_ends[1:], len(own))))
+    ends = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1].astype(np.int64) // width.itemsize
+    return np.frombuffer(taken.buffers()[2], width)[: ends[-1]], ends[word_ends[1:] + np.arange(1, len(texts) + 1)]
 
 
 def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, order: tuple[str, ...] = ()) -> tuple[DataFrame, np.dtype]:
