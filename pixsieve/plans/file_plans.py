@@ -41,7 +41,7 @@ def corpus_listing(spark, d):
     target = files.shared_folder(spark)
     docs = inp.table(spark, d, "documents").select(F.col("doc_id").alias("k"), "lang", F.encode("text", "UTF-8").alias("b"))
     names = F.get(F.array(*[F.lit(e) for e in corpus_plans.ENDINGS]), (F.col("k") % 6).cast("int"))
-    name = F.concat(F.when(F.col("k") % 3 == 0, "").otherwise(F.concat("lang", F.lit("/"))), F.lit("a b+%"), F.col("k").cast("string"), names)
+    name = F.concat(F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.coalesce("lang", F.lit("und")), F.lit("/"))), F.lit("a b+%"), F.col("k").cast("string"), names)
     content = F.when(F.col("k") % 17 > 0, F.col("b"))
     files.write_files(docs.select(name.alias("name"), content.alias("content")), target)
     listed = corpus.read_files(spark, target, recursive=True)
@@ -58,7 +58,7 @@ SELECT root || '.000001.jpg' AS name, CAST(length(jpeg) // 2 AS BIGINT) AS lengt
 UNION ALL SELECT root || '.000002.jpg', {len(camera_plans.CUT) // 2}, md5(unhex('{camera_plans.CUT}')) FROM n WHERE k % 4 = 0""",
     "report_files": f"""WITH {corpus_plans._REP}, t AS (SELECT path, string_agg(text || chr(10), '' ORDER BY seq) AS body FROM rep GROUP BY path)
 SELECT path || '.txt' AS name, CAST(octet_length(encode(body)) AS BIGINT) AS length, md5(body) AS md5 FROM t""",
-    "corpus_listing": f"""WITH f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || '/' END || 'a b+%' || doc_id || {_ENDS}[doc_id % 6 + 1] AS rel,
+    "corpus_listing": f"""WITH f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(lang, 'und') || '/' END || 'a b+%' || doc_id || {_ENDS}[doc_id % 6 + 1] AS rel,
   CAST(CASE WHEN doc_id % 17 > 0 THEN octet_length(encode(text)) ELSE 0 END AS BIGINT) AS length FROM documents)
 SELECT '/in/' || rel AS path, length, '/out/' || rel AS dst_path, '/out/' || rel || '.txt' AS log_path,
   CASE WHEN length = 0 THEN 'empty' WHEN length > 4294967295 THEN 'too_large' ELSE 'ok' END AS status
