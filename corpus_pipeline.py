@@ -12,8 +12,14 @@ from pixsieve.llm.common import free_name, stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Rows that a Python worker is handed at once, and the setting that says so: whole documents pass through, so fewer than
+#: Spark's default. The first stage sets it for all that follow, since they run when their rows are written; run() sets it back.
+BATCH_ROWS, SETTING = "2000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, learned from the labels of these documents, does not reject."""
+    spark.conf.set(SETTING, BATCH_ROWS)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
@@ -61,10 +67,13 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each one's rows written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(SETTING)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(SETTING, before)
 
 
 #: No SQL: toxicity is a trained model and near copies are a similarity join.
