@@ -16,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that become files in one task.
+TASK_ROWS = 1 << 12
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows become files, dealt evenly over as many tasks as it has rows for.
+
+    A row of some dozen bytes becomes hundreds of bytes of file and is walked in Python, yet Spark cuts a scan by the bytes it
+    reads: a million rows may be one task. The count comes from the files' footers.
+    """
+    t = table(spark, sf_dir, name)
+    tasks = -(-t.count() // TASK_ROWS)
+    return t.repartition(tasks) if tasks > 1 else t
+
+
 def sql_list(values) -> str:
     return "[" + ",".join(str(v) for v in values) + "]"
 

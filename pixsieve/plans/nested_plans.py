@@ -29,7 +29,7 @@ def movie_files(spark, sf_dir: str) -> DataFrame:
 
     The index lacks the last frame of every seventh and names one that is not there in every eleventh.
     """
-    p = inp.table(spark, sf_dir, "part").withColumns({"k": F.col("p_partkey"), "n": (F.col("p_partkey") % 4 + 1).cast("int")})
+    p = inp.spread(spark, sf_dir, "part").withColumns({"k": F.col("p_partkey"), "n": (F.col("p_partkey") % 4 + 1).cast("int")})
     numbers = F.sequence(F.lit(0), F.col("n") - 1)
 
     def frame(j):
@@ -66,7 +66,7 @@ def avi_index(spark, d):
 
 def nested_files(spark, sf_dir: str) -> DataFrame:
     """Parts as DICOM files: a sequence with a length holds two items, the second another sequence without one."""
-    p = inp.table(spark, sf_dir, "part")
+    p = inp.spread(spark, sf_dir, "part")
     brand = text(F.when(F.length("p_brand") % 2 == 1, F.concat("p_brand", F.lit(" "))).otherwise(F.col("p_brand")))
     b = F.length(brand)
     o = lambda v, width: ordered(v, width, F.lit(True))
@@ -118,7 +118,7 @@ def icc_chunks(spark, d):
 
 def endless_tags(spark, d):
     """Blocks of 40 tags that each claim 4 GiB: all are given, and no more bytes than the block holds twice."""
-    p = inp.table(spark, d, "part")
+    p = inp.spread(spark, d, "part")
     entry = "0100" + "0100" + "FFFFFFFF" + "0A000000"
     data = F.concat(hx("49492A0008000000" + f"{TAGS:02X}00" + entry * TAGS + "00000000"), F.unhex(F.repeat(F.lit("11"), F.col("p_size"))))
     rows = p.select(F.col("p_partkey").alias("path"), sealed(data, "data")).select("path", F.inline(walks.tiff_tags("data")))
@@ -127,7 +127,7 @@ def endless_tags(spark, d):
 
 def iptc_extended(spark, d):
     """Datasets with lengths in four and two bytes of their own between plain ones."""
-    p = inp.table(spark, d, "part")
+    p = inp.spread(spark, d, "part")
 
     def extended(dataset: int, width: int, data: Column) -> Column:
         return F.concat(hx(f"1C02{dataset:02X}80{width:02X}"), be(F.length(data), width), data)
