@@ -29,7 +29,9 @@ def _docs(spark, d):
 
 def byte_search(spark, d):
     needles = spark.createDataFrame([(i, bytearray(n)) for i, n in enumerate(NEEDLES)], "needle_no INT, needle BINARY")
-    hits = nd.find_needles(_docs(spark, d), needles).join(needles, "needle")
+    hits = nd.find_needles(_docs(spark, d), needles)
+    # a list of Python has no size to the optimizer, and hits shuffled by needle are as few tasks as needles
+    hits = hits.join(F.broadcast(needles), "needle")
     return hits.select("path", "needle_no", F.col("pos").cast("int").alias("pos"))
 
 

@@ -3,6 +3,7 @@
 import random
 
 from pixsieve.operators import needles as nd
+from pixsieve.plans import byte_plans
 
 
 def brute(blobs, needles):
@@ -53,3 +54,12 @@ def test_first_listed_marker(spark):
     texts = spark.createDataFrame([(1, "made with Paint and GIMP"), (2, "none"), (3, None), (4, "gimp GIMP"), (5, "")], "path LONG, text STRING")
     markers = spark.createDataFrame([(2, "GIMP"), (1, "Paint"), (0, ""), (2, "gimp")], "rank INT, marker STRING")
     assert {(r.path, r.marker) for r in nd.first_listed(texts, markers).collect()} == {(1, "Paint"), (4, "GIMP")}
+
+
+def test_search_hits_are_named_without_a_shuffle_by_needle(spark, tmp_path):
+    """Four needles are four keys: shuffled by them, the hits of all documents would be four tasks."""
+    spark.createDataFrame([(1, "the der the"), (2, None), (3, "zzzzz")], "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    hits = byte_plans.byte_search(spark, str(tmp_path))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, hits.collect())) == [(1, 0, 0), (1, 0, 8), (1, 1, 4), (3, 3, 0), (3, 3, 1)]
