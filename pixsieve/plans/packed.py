@@ -78,7 +78,7 @@ def coded_files(spark, sf_dir: str) -> DataFrame:
 
 def tiff_blocks(spark, sf_dir: str) -> DataFrame:
     """Parts as TIFF blocks in both byte orders: path, data."""
-    p = inp.table(spark, sf_dir, "part")
+    p = inp.spread(spark, sf_dir, "part")
     le = F.col("p_partkey") % 2 == 0
     size = F.col("p_size")
 
@@ -120,7 +120,7 @@ def exif_files(spark, sf_dir: str) -> DataFrame:
 
 def icc_profiles(spark, sf_dir: str) -> DataFrame:
     """Orders as ICC profile headers: path, data."""
-    o = inp.table(spark, sf_dir, "orders")
+    o = inp.spread(spark, sf_dir, "orders")
     at = F.col("o_orderdate")
     stamp = [f(at) for f in (F.year, F.month, F.dayofmonth, F.hour, F.minute, F.second)]
     space = F.when(F.col("o_orderstatus") == "O", text("RGB ")).otherwise(text("GRAY"))
@@ -187,7 +187,7 @@ def psd_files(spark, sf_dir: str) -> DataFrame:
 
 def dicom_files(spark, sf_dir: str) -> DataFrame:
     """Parts as encapsulated DICOM files: path, content."""
-    p = inp.table(spark, sf_dir, "part")
+    p = inp.spread(spark, sf_dir, "part")
     le = F.lit(True)
 
     def o(v, width):

@@ -27,7 +27,7 @@ def test_spread_deals_rows_evenly(spark, tables, monkeypatch):
     assert sorted(dealt.collect(), key=str) == sorted(inp.table(spark, tables, "part").collect(), key=str)
 
 
-@pytest.mark.parametrize("build", [nested_plans.movie_files, nested_plans.nested_files, nested_plans.endless_tags, packed.psd_files, payload_plans.resource_files])
+@pytest.mark.parametrize("build", [nested_plans.movie_files, nested_plans.nested_files, nested_plans.endless_tags, packed.psd_files, payload_plans.resource_files, packed.exif_files, packed.dicom_files])
 def test_files_are_packed_and_walked_by_many_tasks(spark, tables, monkeypatch, build):
     few = build(spark, tables)
     monkeypatch.setattr(inp, "TASK_ROWS", 50)
