@@ -17,7 +17,7 @@ def picture_files(spark, sf_dir: str) -> DataFrame:
     Odd parts are stored by run lengths: half a line repeated, the rest copied. Every fifth of them has a first run that is
     one too short, if it has two; every fifth raw one lacks its last byte.
     """
-    p = inp.table(spark, sf_dir, "part").withColumns({"k": F.col("p_partkey"), "w": F.col("p_size"), "h": (F.col("p_partkey") % 7 + 1).cast("int")})
+    p = inp.spread(spark, sf_dir, "part").withColumns({"k": F.col("p_partkey"), "w": F.col("p_size"), "h": (F.col("p_partkey") % 7 + 1).cast("int")})
     half = F.floor(F.col("w") / 2).cast("int")
 
     def byte(v):
@@ -51,7 +51,7 @@ def psd_row_audit(spark, d):
 
 def psd_global_mask(spark, d):
     """Parts as documents with a global mask behind a few bytes of layer records; none in every fourth, a short one in every fifth."""
-    p = inp.table(spark, d, "part").withColumn("k", F.col("p_partkey"))
+    p = inp.spread(spark, d, "part").withColumn("k", F.col("p_partkey"))
     mask = F.concat(be(F.col("k") % 10, 4), *[be((F.col("k") + i) % 65536, 2) for i in range(4)], be(F.col("p_size"), 2), be(F.col("k") % 3 + 126, 1), hx("00"))
     held = F.when(F.col("k") % 4 == 0, hx("")).when(F.col("k") % 5 == 0, F.substring(mask, 1, 6)).otherwise(mask)
     p = p.select("k", sealed(held, "held"))
