@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -26,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 STAGING = "_staging-"
 DONE = "_SUCCESS"
 MOVERS = 16
+#: Moves that wait for a mover at once.
+MOVES = 1 << 12
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -97,32 +100,41 @@ class FileWriter(DataSourceArrowWriter):
                 stream.close()
         return Staged(folder, len(begun))
 
+    def _staged(self, system: fs.FileSystem, messages: list[Staged | None]) -> Iterator[list[tuple[str, str]]]:
+        """(place, name) of the files of one task after the other."""
+        for message in messages:
+            if message is not None and message.files:
+                found = system.get_file_info(fs.FileSelector(message.folder, recursive=True))
+                yield [(info.path, info.path[len(message.folder) + 1:]) for info in found if info.type == fs.FileType.File]
+
     def commit(self, messages: list[Staged | None]) -> None:
+        """Looks through the tasks' files one task at a time: the driver keeps eight bytes a file, to find names of two tasks."""
         system, base, staging = self._open()
-        moves, names = [], set()
-        for message in messages:
-            if message is None or not message.files:
-                continue
-            for info in system.get_file_info(fs.FileSelector(message.folder, recursive=True)):
-                if info.type == fs.FileType.File:
-                    name = info.path[len(message.folder) + 1:]
-                    if name in names:  # Spark aborts the write
-                        raise ValueError(f"two tasks wrote {name!r}")
-                    names.add(name)
-                    moves.append((info.path, f"{base}/{name}"))
+        hashes = [np.fromiter((hash(name) for _, name in moves), np.int64, len(moves)) for moves in self._staged(system, messages)]
+        every = np.sort(np.concatenate([np.zeros(0, np.int64), *hashes]))
+        del hashes
+        doubtful = set(every[1:][every[1:] == every[:-1]].tolist())
+        names = set()
+        for moves in self._staged(system, messages) if doubtful else ():
+            for name in (name for _, name in moves if hash(name) in doubtful):
+                if name in names:  # Spark aborts the write
+                    raise ValueError(f"two tasks wrote {name!r}")
+                names.add(name)
         system.create_dir(base, recursive=True)
         if self.overwrite:
             for old in system.get_file_info(fs.FileSelector(base)):
                 if old.base_name != f"{STAGING}{self.job}":
                     (system.delete_dir if old.type == fs.FileType.Directory else system.delete_file)(old.path)
-        for above in sorted({place.rsplit("/", 1)[0] for _, place in moves}):
-            system.create_dir(above, recursive=True)
         with ThreadPoolExecutor(MOVERS) as pool:
-            list(pool.map(lambda m: system.move(*m), moves))
+            for moves in self._staged(system, messages):
+                for above in sorted({f"{base}/{name}".rsplit("/", 1)[0] for _, name in moves}):
+                    system.create_dir(above, recursive=True)
+                for at in range(0, len(moves), MOVES):
+                    list(pool.map(lambda m: system.move(m[0], f"{base}/{m[1]}"), moves[at : at + MOVES]))
         if system.get_file_info(staging).type != fs.FileType.NotFound:
             system.delete_dir(staging)
         with system.open_output_stream(f"{base}/{DONE}") as done:
-            done.write(f"{len(moves)} files\n".encode())
+            done.write(f"{len(every)} files\n".encode())
 
     def abort(self, messages: list[Staged | None]) -> None:
         system, _, staging = self._open()

@@ -126,3 +126,43 @@ def test_a_root_without_scheme_follows_the_default_file_system(spark, tmp_path):
     finally:
         conf.set("fs.defaultFS", before)
     assert files.qualified(spark, "/in") == "file:///in"
+
+
+def test_a_tree_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver holds no listing; hidden names, times and empty files are as with Spark's own source."""
+    for i in range(60):
+        at = tmp_path / f"d{i % 3}" / ("deep +%é" if i % 2 else "")
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"f {i}.{'JPG' if i % 4 else 'png'}").write_bytes(bytes([i]) * (i % 5))
+    for name in ("_SUCCESS", ".x.jpg", "_part/y.jpg", "d0/z.jpg._COPYING_"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"hidden")
+    monkeypatch.setattr(corpus, "TASK_FILES", 7)
+    by_tasks = [corpus.read_files(spark, str(tmp_path), recursive=True, extract_all=a, with_empty=e) for a in (False, True) for e in (False, True)]
+    monkeypatch.setattr(corpus, "OPENED", ())
+    by_spark = [corpus.read_files(spark, str(tmp_path), recursive=True, extract_all=a, with_empty=e) for a in (False, True) for e in (False, True)]
+    for one, other in zip(by_tasks, by_spark, strict=True):
+        assert one.columns == other.columns
+        shown = [sorted((r.path, r.modificationTime and int(r.modificationTime.timestamp()), r.length, bytes(r.content)) for r in df.collect()) for df in (one, other)]
+        assert shown[0] == shown[1] and shown[0]
+        assert not one._jdf.inputFiles()[0].endswith((".JPG", ".png"))
+    assert by_tasks[3].rdd.getNumPartitions() == 9
+    assert "ArrowEvalPython" not in by_tasks[3].select("path", "length")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_commit_keeps_few_moves_waiting(tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOVES", 3)
+    writer = files.FileWriter(tmp_path.as_uri(), False)
+    staging = tmp_path / f"{files.STAGING}{writer.job}"
+    for task in range(4):
+        (staging / str(task) / "sub").mkdir(parents=True)
+        for k in range(10):
+            (staging / str(task) / "sub" / f"{task}-{k}").write_bytes(bytes([k]))
+    (staging / "3" / "sub" / "0-5").write_bytes(b"twice")
+    messages = [files.Staged(str(staging / str(t)), 10) for t in range(4)]
+    with pytest.raises(ValueError, match="two tasks wrote 'sub/0-5'"):
+        writer.commit(messages)
+    assert not (tmp_path / "sub").exists()
+    (staging / "3" / "sub" / "0-5").unlink()
+    writer.commit(messages)
+    assert there(tmp_path) == {f"sub/{t}-{k}": bytes([k]) for t in range(4) for k in range(10)} | {"_SUCCESS": b"40 files\n"}

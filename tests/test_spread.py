@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixsieve.plans import inputs as inp
-from pixsieve.plans import nested_plans, packed, payload_plans, picture_plans
+from pixsieve.plans import camera_plans, nested_plans, packed, payload_plans, picture_plans
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def test_spread_deals_rows_evenly(spark, tables, monkeypatch):
     assert sorted(dealt.collect(), key=str) == sorted(inp.table(spark, tables, "part").collect(), key=str)
 
 
-@pytest.mark.parametrize("build", [nested_plans.movie_files, nested_plans.nested_files, nested_plans.endless_tags, packed.psd_files, payload_plans.resource_files, packed.exif_files, packed.dicom_files, picture_plans.psd_pixels])
+@pytest.mark.parametrize("build", [nested_plans.movie_files, nested_plans.nested_files, nested_plans.endless_tags, packed.psd_files, payload_plans.resource_files, packed.exif_files, packed.dicom_files, picture_plans.psd_pixels, camera_plans.camera_files])
 def test_files_are_packed_and_walked_by_many_tasks(spark, tables, monkeypatch, build):
     few = build(spark, tables)
     monkeypatch.setattr(inp, "TASK_ROWS", 50)
