@@ -27,8 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 STAGING = "_staging-"
 DONE = "_SUCCESS"
 MOVERS = 16
-#: Moves that wait for a mover at once.
-MOVES = 1 << 12
+#: Moves that one mover makes at once.
+MOVES = 1 << 6
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -120,6 +120,11 @@ class FileWriter(DataSourceArrowWriter):
                 if name in names:  # Spark aborts the write
                     raise ValueError(f"two tasks wrote {name!r}")
                 names.add(name)
+
+        def moved(some: list[tuple[str, str]]) -> None:
+            for place, name in some:
+                system.move(place, f"{base}/{name}")
+
         system.create_dir(base, recursive=True)
         if self.overwrite:
             for old in system.get_file_info(fs.FileSelector(base)):
@@ -129,8 +134,7 @@ class FileWriter(DataSourceArrowWriter):
             for moves in self._staged(system, messages):
                 for above in sorted({f"{base}/{name}".rsplit("/", 1)[0] for _, name in moves}):
                     system.create_dir(above, recursive=True)
-                for at in range(0, len(moves), MOVES):
-                    list(pool.map(lambda m: system.move(m[0], f"{base}/{m[1]}"), moves[at : at + MOVES]))
+                list(pool.map(moved, (moves[at : at + MOVES] for at in range(0, len(moves), MOVES))))
         if system.get_file_info(staging).type != fs.FileType.NotFound:
             system.delete_dir(staging)
         with system.open_output_stream(f"{base}/{DONE}") as done:
