@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,10 +30,19 @@ END_ID = 2
 #: Byte lengths of the four ids of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 #: Text handled at once, and distinct chunks remembered by a worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 REMEMBERED = 800_000
 #: A sign that stands alone between chunks encoded together.
 MARK = "\x01"
+#: What may stand behind a chunk's core: ASCII punctuation.
+STOPS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Rules that leave a run of lower-case letters as it is, whole, and the letters for which this is used.
+RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+)
+LETTERS = "^[a-zß-öø-ÿ]+$"
 FILE = "doc_id long, part int, at long, n_tokens long, control binary, data binary"
 
 
@@ -49,6 +59,22 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
+@lru_cache(maxsize=2)
+def letter_tokenizer(path: str):
+    """The same vocabulary for runs of LETTERS alone, without the rules that do nothing to them; none if the rules are others."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tok = tokenizer(path)[0]
+    if tok.normalizer is None or tok.pre_tokenizer is None:
+        return None
+    normalizer, cut = (json.loads(x.__getstate__()) for x in (tok.normalizer, tok.pre_tokenizer))
+    if (normalizer, cut) != (RULES[0], {"type": "Sequence", "pretokenizers": list(RULES[1:])}):
+        return None
+    plain = Tokenizer(tok.model)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return plain
+
+
 def binary_column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values that lie one after the other in data; ends in bytes."""
     offsets = np.zeros(len(ends) + 1, np.int32)
@@ -63,13 +89,16 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def parted(chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """What each chunk is encoded as: its core and the stops and commas behind it, which the rules never join, the core in lower
-    case where it is plain ASCII (the tokenizer lower-cases itself). A chunk whose core ends otherwise than in a letter or
-    digit, or that may hold a special token, is whole."""
-    trimmed = pc.ascii_rtrim(chunks, characters=".,")
-    splits = pc.and_(pc.match_substring_regex(trimmed, r"[\p{L}\p{N}]$"), pc.invert(pc.match_substring(chunks, "<|")))
-    tails = pc.extract_regex(chunks, r"(?P<tail>[.,]*)$").field("tail")
-    lower = pc.if_else(pc.string_is_ascii(trimmed), pc.ascii_lower(trimmed), trimmed)
+    """What each chunk is encoded as: its core and the punctuation behind it, which the rules never join, the core in lower
+    case where it is ASCII and the letters of Latin-1 (the tokenizer lower-cases itself). A chunk whose core ends otherwise than
+    in a letter or digit, once normalised, or that may hold a special token, is whole."""
+    trimmed = pc.ascii_rtrim(chunks, characters=STOPS)
+    simple = pc.match_substring_regex(trimmed, "^[\\x00-\\x7fÀ-ÿ]*$")
+    normal = pc.if_else(simple, trimmed, pc.utf8_normalize(pc.if_else(simple, "", trimmed), "NFC"))
+    ends = pc.and_(pc.match_substring_regex(normal, r"[\p{L}\p{N}]$"), pc.invert(pc.ends_with(normal, "İ")))  # its lower case ends in a dot
+    splits = pc.and_(ends, pc.invert(pc.match_substring(chunks, "<|")))
+    tails = pc.extract_regex(chunks, r"(?P<tail>[!-/:-@\[-`{-~]*)$").field("tail")
+    lower = pc.if_else(simple, pc.utf8_lower(trimmed), trimmed)
     return pc.if_else(splits, lower, chunks), pc.if_else(splits, tails, "")
 
 
@@ -90,11 +119,16 @@ def encode_new(tok, known: dict, words: list[str], width: np.dtype) -> None:
         known[w] = np.array(e.ids, width).tobytes()
 
 
-def ids_of(parts: pa.Array, tok, known: dict, width: np.dtype) -> pa.Array:
-    """The ids of each part as bytes; each different one is encoded once."""
+def ids_of(parts: pa.Array, tok, known: dict, width: np.dtype, plain=None) -> pa.Array:
+    """The ids of each part as bytes; each different one is encoded once, runs of LETTERS by plain, if given."""
     coded = pc.dictionary_encode(parts)
     words = coded.dictionary.to_pylist()
-    encode_new(tok, known, [w for w in words if w and w not in known], width)
+    new = [w for w in words if w and w not in known]
+    if plain is not None and new:
+        letters = pc.match_substring_regex(pa.array(new, pa.string()), LETTERS).to_pylist()
+        encode_new(plain, known, [w for w, x in zip(new, letters, strict=True) if x], width)
+        new = [w for w, x in zip(new, letters, strict=True) if not x]
+    encode_new(tok, known, new, width)
     return pa.array([known[w] if w else b"" for w in words], pa.binary()).take(coded.indices)
 
 
@@ -105,7 +139,7 @@ def encoded(texts: pa.Array, path: str, end_id: int, width: np.dtype) -> tuple[n
         known.clear()
     words = pc.utf8_split_whitespace(texts)
     chunks = pc.dictionary_encode(words.flatten())
-    own = pc.binary_join_element_wise(*(ids_of(x, tok, known, width) for x in parted(chunks.dictionary)), pa.scalar(b"", pa.binary()))
+    own = pc.binary_join_element_wise(*(ids_of(x, tok, known, width, letter_tokenizer(path)) for x in parted(chunks.dictionary)), pa.scalar(b"", pa.binary()))
     pieces = pa.concat_arrays([own, pa.array([np.array([end_id], width).tobytes()], pa.binary())])
     word_ends = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
     taken = pieces.take(pa.array(np.insert(chunks.indices.to_numpy(), word_ends[1:], len(own))))
