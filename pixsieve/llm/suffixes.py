@@ -39,8 +39,8 @@ from pixsieve.llm.words import BASE, INVERSE, bytes_of, mixed, powers, room, sli
 
 LENGTH = 100
 BLOCK_BYTES = 6 << 20
-#: Text whose anchors are worked out at once: the windows' minima take some 60 bytes for each of its bytes.
-ANCHOR_BYTES = (1 << 19) - (1 << 12)
+#: Text whose anchors are worked out at once: the windows' minima take some 60 bytes for each of its bytes, and should stay in the cache.
+ANCHOR_BYTES = (1 << 17) - (1 << 12)
 #: A run is hot with more different surroundings than this in all, and than so many for each block.
 HOT, HOT_PER_BLOCK = 256, 2
 #: Strings whose bytes are gathered at once.
@@ -78,7 +78,8 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     ends = np.append(begins[1:], len(starts)) - 1
     place, first, last = where[begins], starts[begins], starts[ends]
     around = mixed((running[last + length] - running[first]) * powers(INVERSE, size)[first] + (last - first).astype(np.uint64))
-    return place, first, last, h[place], mixed(around + (place - first).astype(np.uint64))
+    # anchors' hashes are the smallest of many; mixed again they fall into all ranges alike
+    return place, first, last, mixed(h[place] + np.uint64(1)), mixed(around + (place - first).astype(np.uint64))
 
 
 class Block:
