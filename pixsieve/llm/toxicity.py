@@ -254,8 +254,17 @@ def counted(own: np.ndarray, doc: np.ndarray, label: np.ndarray, totals: np.ndar
 CHUNK = 4096
 
 
+def log_odds(words: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Of some entries, from words 0 and 1, documents 0 and 1 in all and of each entry; less what is in doubt."""
+    odds = np.log((totals[1] + 0.5) / (words[1] + 1) / ((totals[0] + 0.5) / (words[0] + 1)))
+    doubt = np.sqrt(1 / (totals[3] + 0.5) + 1 / (totals[2] + 0.5))
+    sure = np.maximum(0, np.abs(odds) - 1.5 * doubt)
+    return np.where(totals[2] + totals[3] >= 3, np.sign(odds) * sure, 0.0)
+
+
 def evidence(labelled: DataFrame, reader_model: np.ndarray) -> np.ndarray:
-    """The table of log odds from (text, toxic). Sums travel as packed stretches of 4096 entries, one per task and stretch."""
+    """The table of log odds from (text, toxic). Sums travel as packed stretches of 4096 entries, one per task and stretch, each
+    with the task's words and documents by label, so that the odds are worked out where a stretch is added up."""
     shared = labelled.sparkSession.sparkContext.broadcast(reader_model)  # 4 MiB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,30 +277,29 @@ def evidence(labelled: DataFrame, reader_model: np.ndarray) -> np.ndarray:
                 counted(own, doc, label[a:b], totals)
                 words[:2] += np.bincount(label[a:b][doc], minlength=2)[:2]
                 words[2:] += np.bincount(label[a:b], minlength=2)[:2]
+        if not words.any():
+            return
         parts = totals.reshape(4, -1, CHUNK).transpose(1, 0, 2)
-        used = [k for k in range(len(parts)) if parts[k].any()]
-        rows = [parts[k].astype(np.uint32).tobytes() for k in used] + [words.astype(np.int64).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array([*used, -1], pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "packed"])
+        rows = [words.astype(np.int64).tobytes() + (part.astype(np.uint32).tobytes() if part.any() else b"") for part in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "packed"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(packed.as_buffer(), np.int64 if k < 0 else np.uint32).astype(np.int64)
-                sums[k] = sums[k] + values if k in sums else values
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["chunk", "packed"])
-
-    # ENTRIES * 4 numbers at most reach the driver, which works them out stretch by stretch
+                own = sums.setdefault(k, np.zeros(4 + 4 * CHUNK, np.int64))
+                own[:4] += np.frombuffer(packed.as_buffer(), np.int64, 4)
+                values = np.frombuffer(packed.as_buffer(), np.uint32, offset=32)
+                own[4 : 4 + len(values)] += values
+        odds = [(k, log_odds(v[:4].astype(float), v[4:].reshape(4, CHUNK))) for k, v in sums.items()]
+        odds = [(k, v.astype(np.float32).tobytes()) for k, v in odds if v.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in odds], pa.int32()), pa.array([v for _, v in odds], pa.binary())], names=["chunk", "packed"])
+
+    # four bytes an entry reach the driver
     rows = labelled.select("text", "toxic").mapInArrow(count, "chunk int, packed binary").repartition("chunk").mapInArrow(add, "chunk int, packed binary").toArrow()
-    found = {k: np.frombuffer(packed.as_buffer(), np.int64) for k, packed in zip(rows["chunk"].to_pylist(), rows["packed"], strict=True)}
-    words = found.pop(-1, np.zeros(4, np.int64)).astype(float)
     out = np.zeros(ENTRIES, np.float32)
-    for k, values in found.items():
-        totals = values.reshape(4, CHUNK)
-        odds = np.log((totals[1] + 0.5) / (words[1] + 1) / ((totals[0] + 0.5) / (words[0] + 1)))
-        doubt = np.sqrt(1 / (totals[3] + 0.5) + 1 / (totals[2] + 0.5))
-        sure = np.maximum(0, np.abs(odds) - 1.5 * doubt)
-        out[k * CHUNK : (k + 1) * CHUNK] = np.where(totals[2] + totals[3] >= 3, np.sign(odds) * sure, 0.0)
+    for k, packed in zip(rows["chunk"].to_pylist(), rows["packed"], strict=True):
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(packed.as_buffer(), np.float32)
     return out
 
 
