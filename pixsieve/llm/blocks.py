@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import block_count
+from pixsieve.llm.common import block_count, light
 
 PACKED = "block int, packed binary"
 MESSAGE = "shard int, block int, packed binary"
@@ -51,7 +51,7 @@ def packed_rows(rows: DataFrame, blocks: int, key: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(block[begins], pa.int32()), pa.array(out, pa.binary())], names=["block", "packed"])
 
     dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block_of_row"), *names)
-    return dealt.mapInArrow(run, PACKED)
+    return dealt.mapInArrow(light(run), PACKED)
 
 
 def unpacked(packed: pa.ChunkedArray | pa.Array) -> pa.Table:

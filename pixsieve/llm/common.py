@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pixsieve.llm.words import powers
+
 #: Text that one block (one group of documents handled together by one Python call) holds on average.
 BLOCK_BYTES = 16 << 20
 
@@ -48,6 +53,50 @@ def block_count(docs: DataFrame, text: Column, block_bytes: int = BLOCK_BYTES) -
     return max(1, math.ceil(total / block_bytes))
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system. Allocators keep it otherwise, and Spark keeps the workers: each one that waits
+    would hold what its largest task took, beside the JVM and the workers of the next stages."""
+    powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def light(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task's function over batches that gives its memory back when it ends."""
+
+    def own(batches: Batches) -> Batches:
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
+def light_group(run: Callable) -> Callable:
+    """The same for a function over a group."""
+
+    def own(key, part):
+        out = run(key, part)
+        give_back()
+        return out
+
+    return own
+
+
+def light_cogroup(run: Callable) -> Callable:
+    """The same for a function over two groups of a key."""
+
+    def own(key, left, right):
+        out = run(key, left, right)
+        give_back()
+        return out
+
+    return own
+
+
 def remainder(id_name: str = "doc_id", n: int = 5) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_name).cast("string"), F.lit("")).cast("binary")) % n

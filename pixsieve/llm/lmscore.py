@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixsieve.llm.blocks import MESSAGE, blocks_for, by_shard, messages, pack_arrays, packed_rows, shard_bits, unpack_arrays, unpacked
-from pixsieve.llm.common import remainder, stored, table, whole_text
+from pixsieve.llm.common import light_cogroup, light_group, remainder, stored, table, whole_text
 from pixsieve.llm.words import BASE, mixed, slices, word_hashes
 
-BLOCK_BYTES = 11 << 20
+#: A block takes some twenty times its text while it is scored, and two of them meet on an executor of two cores.
+BLOCK_BYTES = 7 << 20
 #: Pairs that occur less often are left to the backoff, unless a caller keeps all (1, as the query does).
 KEPT = 2
 END = np.uint64(0xE17A1465E17A1465)
@@ -235,6 +236,7 @@ def score_block(bits: int, n_train: int, n_words: int, cuts: tuple[float, float,
         n = np.zeros(len(found), np.int64)
         for s, a, b in by_shard(found, bits):
             n[a:b] = got[0, 2 * s + 1][0]
+        del got, pairs  # what is not needed beside the automaton goes first
         before, after = where[at - 1][first], where[at][first]
         unigram = (c + 0.5) / (n_train + 0.5 * (n_words + 1))
         d1, d2, d3 = cuts
@@ -244,9 +246,11 @@ def score_block(bits: int, n_train: int, n_words: int, cuts: tuple[float, float,
         share = (n[kept] - np.select([n[kept] == 1, n[kept] == 2], [d1, d2], d3)) / np.maximum(c[before[kept]], 1)
         arcs = np.log10(share + backoff[before[kept]] * unigram[after[kept]])
         machine = Automaton(vocabulary, np.log10(unigram), np.log10(backoff), found[kept], arcs)
+        del found, first, n, before, after, kept, share, at
         docs = np.repeat(np.arange(len(counts)), counts)
         base = np.bincount(docs, weights=np.log10(unigram)[where], minlength=len(counts))
         known = np.bincount(docs, weights=(c > 0)[where], minlength=len(counts)).astype(np.int64)
+        del docs, where
         return pa.table([
             rows["id"], rows["held_out"], pa.array(counts, pa.int64()), pa.array(known), pa.array(np.full(len(counts), n_train)),
             pa.array(base), pa.array(machine.read(words, counts)),
@@ -269,8 +273,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     blocks = blocks_for(rows, F.col("text"), block_bytes)
     bits = shard_bits(blocks)
     packed = packed_rows(rows, blocks, F.struct("id", "text"))
-    asked = packed.groupBy("block").applyInArrow(ask(bits), MESSAGE)
-    counts = stored(asked.groupBy("shard").applyInArrow(count_shard(bits, kept), COUNTED), "lm-counts", "uncompressed")
+    asked = packed.groupBy("block").applyInArrow(light_group(ask(bits)), MESSAGE)
+    counts = stored(asked.groupBy("shard").applyInArrow(light_group(count_shard(bits, kept)), COUNTED), "lm-counts", "uncompressed")
     n_train = n_words = 0
     sums = np.zeros(4, np.int64)
     for shard, values in counts.where("kind = 2").select("shard", "packed").collect():  # a few numbers a shard
@@ -282,13 +286,13 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     words = counts.where("kind = 4").drop("kind")
     # both sides come from one table: the second takes column names of its own
     asked_words = words.select(F.col("shard").alias("of_shard"), F.col("block").alias("at_block"), F.col("packed").alias("keys"))
-    held = counts.where("kind = 1").drop("kind").groupBy("block").cogroup(asked_words.groupBy("at_block")).applyInArrow(spell_block(bits), MESSAGE)
-    held = words.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(weigh_shard, MESSAGE)
+    held = counts.where("kind = 1").drop("kind").groupBy("block").cogroup(asked_words.groupBy("at_block")).applyInArrow(light_cogroup(spell_block(bits)), MESSAGE)
+    held = words.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(light_cogroup(weigh_shard), MESSAGE)
     replies = counts.where("kind = 0").union(held.withColumn("kind", F.lit(3)))
     scored = packed.groupBy("block").cogroup(replies.groupBy("block"))
     ones = sums.tolist()
     cuts = once_discount(ones[0], ones[1]), *discounts(*ones)
-    return scored.applyInArrow(score_block(bits, n_train, n_words, cuts, kept), SCORED)
+    return scored.applyInArrow(light_cogroup(score_block(bits, n_train, n_words, cuts, kept)), SCORED)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
