@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pixsieve.bitmaps import may_hold
 from pixsieve.llm.blocks import MESSAGE, blocks_for, by_shard, messages, pack_arrays, packed_rows, shard_bits, unpack_arrays, unpacked
-from pixsieve.llm.common import remainder, stored, table, whole_text
+from pixsieve.llm.common import light, light_cogroup, light_group, remainder, stored, table, whole_text
 from pixsieve.llm.words import BASE, bytes_of, mixed, slices
 
 ORDER = 4
@@ -35,30 +35,55 @@ SYMBOLS = 0x110000 + 1
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all texts, and how many each has."""
     body, offsets = bytes_of(texts)
+    if not (body & 0x80).any():
+        return body.astype(np.int32) + 1, np.diff(offsets)
     lead = np.flatnonzero((body & 0xC0) != 0x80)
-    size = np.diff(np.append(lead, len(body)))
-    code = body[lead].astype(np.int64)
-    code &= np.where(code < 0x80, 0x7F, np.where(code < 0xE0, 0x1F, np.where(code < 0xF0, 0x0F, 0x07)))
+    code = body[lead].astype(np.int32)
+    wide = np.flatnonzero(code >= 0x80)
+    size = np.append(lead[1:], len(body))[wide] - lead[wide]
+    code[wide] &= np.where(code[wide] < 0xE0, 0x1F, np.where(code[wide] < 0xF0, 0x0F, 0x07))
     for j in (1, 2, 3):
-        more = np.flatnonzero(size > j)
+        more = wide[size > j]
         code[more] = code[more] << 6 | body[lead[more] + j] & 0x3F
     return np.minimum(code, 0x10FFFF) + 1, np.diff(np.searchsorted(lead, offsets))
 
 
-def symbol_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of ORDER symbols, one for each symbol of each text (breaks stand before a text and once after it), as a number
-    of the first ones and the last, and how many each text has."""
+def ranked(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, which lie below size, ascending, and where each code is among them. They are marked in a table, unless
+    that would be much longer than the codes; then they are sorted."""
+    if size > max(1 << 16, 4 * len(codes)):
+        return np.unique(codes, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[codes] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - np.int32(1))[codes]
+
+
+def symbol_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs of ORDER symbols, as a number of the first ones and the last; which of them ends at each symbol of each
+    text (breaks stand before a text and once after it); and how many symbols each text has.
+
+    Runs of k symbols are numbered, and such a number with the next symbol is the code of a run of k + 1."""
     symbols, n = code_points(texts)
-    lead = ORDER - 1
-    padded = np.zeros(len(symbols) + len(n) * (lead + 1), np.int64)
-    begins = np.cumsum(n) - n + np.arange(len(n)) * (lead + 1) + lead
-    padded[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(len(symbols))] = symbols
-    ends = np.cumsum(n + 1)
-    at = np.repeat(begins - (ends - (n + 1)), n + 1) + np.arange(ends[-1] if len(n) else 0)
-    context = np.zeros(len(at), np.int64)
-    for j in range(lead, 0, -1):
-        context = context << BITS | padded[at - j]
-    return context, padded[at], n + 1
+    breaks = ORDER - 1
+    begins = np.cumsum(n) - n + np.arange(len(n)) * ORDER
+    ending = np.ones(len(symbols) + len(n) * ORDER, bool)  # ORDER - 1 breaks before each text, one behind it
+    for j in range(breaks):
+        ending[begins + j] = False
+    inner = ending.copy()
+    inner[begins + breaks + n] = False
+    laid = np.zeros(len(inner), np.int32)
+    laid[inner] = symbols
+    known, symbol = ranked(laid, int(laid.max(initial=0)) + 1)
+    known = known.astype(np.int64)
+    context, last, number = np.zeros(len(known), np.int64), known, symbol
+    for k in range(2, ORDER + 1):
+        context = context << BITS | last
+        size = len(context) * len(known)
+        code = number[:-1].astype(np.int32 if size < 1 << 31 else np.int64) * len(known) + symbol[k - 1 :]
+        found, number = ranked(code[ending[breaks:]] if k == ORDER else code, size)
+        before, at = np.divmod(found, max(1, len(known)))
+        context, last = context[before], known[at]
+    return context, last, number.astype(np.int32), n + 1
 
 
 def numbered(k: int, context: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -72,11 +97,10 @@ def run_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(0), 4 << 20):
-                context, last, _ = symbol_runs(batch.column(0).slice(a, b - a))
-                _, at, n = np.unique(numbered(ORDER, context, last), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(context[at]), pa.array(last[at]), pa.array(n)], names=["context", "last", "n"])
+                context, last, where, _ = symbol_runs(batch.column(0).slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(last), pa.array(np.bincount(where))], names=["context", "last", "n"])
 
-    return texts.mapInArrow(run, "context long, last long, n long").groupBy("context", "last").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(light(run), "context long, last long, n long").groupBy("context", "last").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -144,7 +168,7 @@ def model_rows(orders: list[tuple[DataFrame, DataFrame]], bits: int) -> DataFram
             of = F.shiftright("context", BITS), F.col("context").bitwiseAND(F.lit(MASK))
             both = both.union(weights.select(F.lit(k - 1).cast("long"), *of, F.lit(True), "weight"))
         rows = both if rows is None else rows.union(both)
-    return rows.mapInArrow(run, "shard int, h long, context boolean, value double")
+    return rows.mapInArrow(light(run), "shard int, h long, context boolean, value double")
 
 
 class Runs:
@@ -154,15 +178,14 @@ class Runs:
         context, last, number, sizes = [], [], [], []
         for chunk in rows["text"].chunks:
             for a, b in slices(chunk):
-                c, x, n = symbol_runs(chunk.slice(a, b - a))
-                h, at, where = np.unique(numbered(ORDER, c, x), return_index=True, return_inverse=True)
-                context.append(c[at])
-                last.append(x[at])
-                number.append((h, where.astype(np.int32)))
+                c, x, where, n = symbol_runs(chunk.slice(a, b - a))
+                context.append(c)
+                last.append(x)
+                number.append((numbered(ORDER, c, x), where))
                 sizes.append(n)
         h, at = np.unique(np.concatenate([x for x, _ in number]), return_index=True)
         context, last = np.concatenate(context)[at], np.concatenate(last)[at]
-        self.where = np.concatenate([np.searchsorted(h, own)[where].astype(np.int32) for own, where in number])
+        self.where = np.concatenate([np.searchsorted(h, own).astype(np.int32)[where] for own, where in number])
         self.sizes = np.concatenate(sizes)
         low = lambda k: context & ((1 << (BITS * k)) - 1)
         self.runs = [numbered(k, low(k - 1), last) for k in range(1, ORDER + 1)]
@@ -230,10 +253,11 @@ def perplexities(docs: DataFrame, orders: list[tuple[DataFrame, DataFrame]], id_
     bits = shard_bits(blocks)
     packed = packed_rows(rows, blocks, F.struct("id", "text"))
     first = orders[0][1].first()
-    asked = packed.groupBy("block").applyInArrow(ask(bits), MESSAGE)
+    # asked and scored in one job: both read the blocks from one exchange, so the texts stand on disk once
+    asked = packed.groupBy("block").applyInArrow(light_group(ask(bits)), MESSAGE)
     model = model_rows(orders, bits)
-    replies = stored(asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, MESSAGE), "run-shares", "uncompressed")
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(bits, first.weight if first else 1.0), SCORED)
+    replies = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(light_cogroup(answer), MESSAGE)
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(light_cogroup(score_block(bits, first.weight if first else 1.0)), SCORED)
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", low: float = LOW, high: float = HIGH) -> DataFrame:
