@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import free_name, row_key, stored, table, text_key, whole_text
+from pixsieve.llm.common import free_name, light, row_key, stored, table, text_key, whole_text
 from pixsieve.llm.words import BASE, INVERSE, powers, room, shingles, slices, word_hashes
 
 TILE = 5
@@ -51,7 +51,7 @@ def item_words(items: DataFrame, id_col: str, text_col: str, tile: int) -> DataF
 
     rows = items.select(F.col(id_col).cast("long").alias("item"), whole_text(text_col).alias("text"))
     keyed = rows.select(row_key("item", F.col("text")).alias("key"), "item", "text").dropDuplicates(["key"])
-    return keyed.mapInArrow(run, "key binary, item long, n long, k int, words binary, seeds array<long>")
+    return keyed.mapInArrow(light(run), "key binary, item long, n long, k int, words binary, seeds array<long>")
 
 
 def bitmaps(seeds: DataFrame) -> dict[int, np.ndarray]:
@@ -70,7 +70,7 @@ def stretches(rows: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
     spark_map = rows.sparkSession.sparkContext.broadcast(packed)  # at most `tile` maps of 2 MiB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {k: np.unpackbits(np.frombuffer(v, np.uint8)).view(bool) for k, v in spark_map.value.items()}
+        own = {k: np.frombuffer(v, np.uint8) for k, v in spark_map.value.items()}  # a bit stays a bit: 2 MiB each, not 16
         for batch in batches:
             out = []
             for a, b in slices(batch.column(1)):
@@ -80,7 +80,8 @@ def stretches(rows: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
                 starts = np.cumsum(counts) - counts
                 for k, bits in own.items():
                     h, per = shingles(words, counts, k)
-                    hit = np.flatnonzero(bits[bit_places(h)])
+                    place = bit_places(h)
+                    hit = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
                     ends = np.cumsum(per)
                     doc = np.searchsorted(ends, hit, "right")
                     at = starts[doc] + hit - (ends[doc] - per[doc])
@@ -99,7 +100,7 @@ def stretches(rows: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
             kinds = (pa.binary(), pa.binary(), pa.list_(pa.struct([("k", pa.int32()), ("seed", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["tag", "words", "seeds"])
 
-    return rows.mapInArrow(run, "tag binary, words binary, seeds array<struct<k: int, seed: long>>")
+    return rows.mapInArrow(light(run), "tag binary, words binary, seeds array<struct<k: int, seed: long>>")
 
 
 class Runs:
@@ -209,7 +210,7 @@ def matches(docs: DataFrame, items: DataFrame, text_col: str, item_id: str, item
             kinds = (pa.binary(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(by_column, kinds, strict=True)], names=["tag", "item", "coverage", "n_tiles"])
 
-    return joined.mapInArrow(run, "tag binary, item long, coverage double, n_tiles long").where(F.col("coverage") >= coverage - 1e-9)
+    return joined.mapInArrow(light(run), "tag binary, item long, coverage double, n_tiles long").where(F.col("coverage") >= coverage - 1e-9)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tile: int = TILE, coverage: float = COVERAGE) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import free_name, one_row_each, row_key, stored, table, text_key, whole_text
+from pixsieve.llm.common import free_name, light, one_row_each, row_key, stored, table, text_key, whole_text
 from pixsieve.llm.components import components
 from pixsieve.llm.words import mixed, shingles, slices, word_hashes
 
@@ -93,7 +93,7 @@ def sketches(rows: DataFrame) -> DataFrame:
                 columns = [pa.array(number, pa.int32()), pa.array(key.view(np.int64)), tags.take(pa.array(doc)), pa.array(per[doc], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH_ROWS.split(", ")])
 
-    return rows.select("tag", "text").mapInArrow(run, SKETCH_ROWS)
+    return rows.select("tag", "text").mapInArrow(light(run), SKETCH_ROWS)
 
 
 def least_matches(n1: int, n2: int, similarity: float) -> int:
@@ -151,7 +151,7 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     left = texts.select(F.col("tag").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("tag").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return joined.mapInArrow(run, "a binary, b binary, distance long, alike boolean")
+    return joined.mapInArrow(light(run), "a binary, b binary, distance long, alike boolean")
 
 
 def numbers(texts: pa.Array) -> list[np.ndarray]:
@@ -233,7 +233,7 @@ def lone_shingles(texts: DataFrame) -> DataFrame:
                 tags = batch.column(0).take(pa.array(np.full(len(h), k)))
                 yield pa.RecordBatch.from_arrays([tags, pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["tag", "h", "n"])
 
-    each = texts.select("tag", "text").mapInArrow(run, "tag binary, h long, n long")
+    each = texts.select("tag", "text").mapInArrow(light(run), "tag binary, h long, n long")
     single = each.groupBy("h").agg(F.count("*").alias("held"), F.min("tag").alias("tag"), F.min("n").alias("n")).where("held = 1")
     return single.groupBy("tag").agg(F.sum("n").alias("lone"))
 
@@ -249,7 +249,7 @@ def histograms(texts: DataFrame) -> DataFrame:
             columns = [pa.array(x, pa.list_(pa.int32())) for x in (coarse, bins)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["tag", "coarse", "bins"])
 
-    return texts.select("tag", "text").mapInArrow(run, "tag binary, coarse array<int>, bins array<int>")
+    return texts.select("tag", "text").mapInArrow(light(run), "tag binary, coarse array<int>, bins array<int>")
 
 
 def near_nodes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:

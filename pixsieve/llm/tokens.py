@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixsieve.llm.common import shared_folder, stored, table, whole_text
+from pixsieve.llm.common import light, shared_folder, stored, table, whole_text
 
 END_ID = 2
 #: Byte lengths of the four ids of each control byte.
@@ -180,7 +180,7 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: in
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), *(F.col(f"`{c}`").cast("long").alias(p) for c, p in zip(order, places, strict=True))
     )
-    return rows.mapInArrow(run, ", ".join(["doc_id long, ids binary", *(f"{p} long" for p in places)])), width
+    return rows.mapInArrow(light(run), ", ".join(["doc_id long, ids binary", *(f"{p} long" for p in places)])), width
 
 
 def ranking(ids: DataFrame, width: np.dtype, vocabulary: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def ranking(ids: DataFrame, width: np.dtype, vocabulary: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["token", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for token, n in ids.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n")).collect():
+    for token, n in ids.select("ids").mapInArrow(light(count), "token long, n long").groupBy("token").agg(F.sum("n")).collect():
         counts[token] = n
     return np.lexsort((np.arange(vocabulary), -counts)).astype(np.uint32)
 
@@ -267,7 +267,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     spark.createDataFrame(ranked).coalesce(1).write.parquet(f"{folder}/dictionary")
     keys = [f"order_{k}" for k in range(len(order))] or ["doc_id"]
     ordered = ids.repartitionByRange(*keys).sortWithinPartitions(*keys, "doc_id", "ids").select("doc_id", "ids")
-    ordered.mapInArrow(code, FILE).write.option("compression", "uncompressed").parquet(f"{folder}/documents")
+    ordered.mapInArrow(light(code), FILE).write.option("compression", "uncompressed").parquet(f"{folder}/documents")
 
 
 def decoded(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -291,7 +291,7 @@ def decoded(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFra
             yield pa.RecordBatch.from_arrays([doc, part, at, n, pa.array(crc, pa.int64()), *own], names=[x.split()[0] for x in schema.split(", ")])
 
     files = spark.read.parquet(f"{folder}/documents")
-    return files.select("doc_id", "part", "at", "n_tokens", "control", "data").mapInArrow(read, schema)
+    return files.select("doc_id", "part", "at", "n_tokens", "control", "data").mapInArrow(light(read), schema)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixsieve.llm.common import free_name, remainder, table, whole_text
+from pixsieve.llm.common import free_name, light, remainder, table, whole_text
 from pixsieve.llm.words import BASE, INVERSE, LOWER, PUNCTUATION, SPACE, bytes_of, mixed, powers, room, slices
 
 #: Labelled rows that the classifier is fitted on at most, and those of them that only the regression sees.
@@ -66,7 +66,7 @@ def char_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["code", "n"])
 
-    rows = docs.select(whole_text(text_col)).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(whole_text(text_col)).mapInArrow(light(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << 20)
     out[rows["code"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -296,7 +296,7 @@ def evidence(labelled: DataFrame, reader_model: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in odds], pa.int32()), pa.array([v for _, v in odds], pa.binary())], names=["chunk", "packed"])
 
     # four bytes an entry reach the driver
-    rows = labelled.select("text", "toxic").mapInArrow(count, "chunk int, packed binary").repartition("chunk").mapInArrow(add, "chunk int, packed binary").toArrow()
+    rows = labelled.select("text", "toxic").mapInArrow(light(count), "chunk int, packed binary").repartition("chunk").mapInArrow(light(add), "chunk int, packed binary").toArrow()
     out = np.zeros(ENTRIES, np.float32)
     for k, packed in zip(rows["chunk"].to_pylist(), rows["packed"], strict=True):
         out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(packed.as_buffer(), np.float32)
@@ -362,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                 x = signals(batch.column(0).slice(a, b - a), reader, shared.value[1])
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, b - a)], names=["x", "toxic"])
 
-    rows = known.where(remainder("id") == 4).select("text", "toxic").mapInArrow(seen, "x binary, toxic int").toArrow()  # a quarter of `labelled_rows` short rows
+    rows = known.where(remainder("id") == 4).select("text", "toxic").mapInArrow(light(seen), "x binary, toxic int").toArrow()  # a quarter of `labelled_rows` short rows
     y = rows["toxic"].to_numpy().astype(float)
     width = signals(pa.array([""], pa.string()), Reader(chars), odds).shape[1]
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), float).reshape(-1, width)
@@ -408,7 +408,7 @@ def with_score(rows: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     rows_names = rows.columns
     schema = T.StructType([*(f for f in rows.schema if f.name != drop), T.StructField(score, T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(light(run), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, labelled_rows: int = LABELLED) -> DataFrame:
