@@ -41,6 +41,8 @@ LENGTH = 100
 BLOCK_BYTES = 6 << 20
 #: Text whose anchors are worked out at once: the windows' minima take some 60 bytes for each of its bytes, and should stay in the cache.
 ANCHOR_BYTES = (1 << 17) - (1 << 12)
+#: The place of a run in such a stretch, as so many bits. The bits above them of a run's hash choose the anchors, everywhere.
+PLACE_BITS = 17
 #: A run is hot with more different surroundings than this in all, and than so many for each block.
 HOT, HOT_PER_BLOCK = 256, 2
 #: Strings whose bytes are gathered at once.
@@ -60,18 +62,11 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers(BASE, size)[:n], out=running[1:])
     h = mixed((running[k:] - running[: n - k + 1]) * powers(INVERSE, size)[: n - k + 1])
     w = length - k + 1  # runs in a string
-    value, where, span = h, np.arange(len(h), dtype=np.int32), 1
-    while span < w:  # smallest of `span` runs from here, leftmost if equal
-        step = min(span, w - span)
-        right = value[step:]
-        keep = value[: len(right)] <= right
-        where = np.where(keep, where[: len(right)], where[step:])
-        value = np.where(keep, value[: len(right)], right)
-        span += step
+    where = smallest(h >> np.uint64(PLACE_BITS), w)
     starts = np.arange(len(where))
-    text = np.searchsorted(offsets, starts, "right") - 1
-    valid = starts + length <= offsets[text + 1]
-    starts, where, text = starts[valid], where[valid].astype(np.int64), text[valid]
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(where)]
+    valid = starts + length <= offsets[1:][text]
+    starts, where, text = starts[valid], where[valid], text[valid]
     if not len(starts):
         return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     begins = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (text[1:] != text[:-1])]))
@@ -82,6 +77,27 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return place, first, last, mixed(h[place] + np.uint64(1)), mixed(around + (place - first).astype(np.uint64))
 
 
+def smallest(value: np.ndarray, w: int) -> np.ndarray:
+    """The place of the smallest of w values from each place on, the leftmost if equal. Values leave PLACE_BITS bits free."""
+    if len(value) <= 1 << PLACE_BITS:  # with its place below it, a value's minima are those of single numbers
+        value = value << np.uint64(PLACE_BITS) | np.arange(len(value), dtype=np.uint64)
+        span = 1
+        while span < w:
+            step = min(span, w - span)
+            value = np.minimum(value[:-step], value[step:])
+            span += step
+        return (value & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    where, span = np.arange(len(value), dtype=np.int32), 1
+    while span < w:
+        step = min(span, w - span)
+        right = value[step:]
+        keep = value[: len(right)] <= right
+        where = np.where(keep, where[: len(right)], where[step:])
+        value = np.where(keep, value[: len(right)], right)
+        span += step
+    return where.astype(np.int64)
+
+
 class Block:
     """A block's rows in (id, tag) order with their bytes and anchors, the same in every phase."""
 
