@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixsieve.bitmaps import may_hold
-from pixsieve.llm.common import stored, table, whole_text
+from pixsieve.llm.common import block_count, light, stored, table, whole_text
 from pixsieve.llm.words import LOWER, bytes_of, mixed, powers, room
 
 LONGEST = 4
@@ -51,9 +51,12 @@ TAG_BITS, PLACE_BITS, LENGTH_BITS = 29, 31, 3
 #: Bits of a fingerprint by which the first scan counts.
 HASH_BITS = 40
 #: Bytes of text whose fingerprints are worked out at once (tables of powers are kept in powers of two), and keys that a
-#: task adds up before it sends some on.
+#: task has room for to add up before it sends some on (twice as many of half their columns).
 SLICE_BYTES = (1 << 19) - (1 << 12)
-HELD_KEYS = 1 << 20
+HELD_KEYS = 3 << 19
+#: Text that a task of the scans behind a bitmap adds up: it sends a row for each frequent phrase it meets, so small tasks send
+#: them all again and again.
+UNIT_BYTES = 128 << 20
 #: The bitmap of frequent runs: so many bits each, so that few others pass, within these bounds (2^28 bits are 32 MiB).
 BITS_EACH = 64
 BITMAP_BITS = (20, 28)
@@ -157,21 +160,36 @@ class Words:
 Counts = list[np.ndarray]
 
 
+def added_down(columns: Counts, used: int) -> int:
+    """Equal keys among the first `used` ones added up in their place, in order; returns how many are left. One column after the
+    other, so that little is held beside them."""
+    if not used:
+        return 0
+    order = np.argsort(columns[0][:used], kind="stable")
+    for x in columns:
+        x[:used] = x[:used][order]
+    del order
+    fp, n, *more = (x[:used] for x in columns)
+    new = np.ones(used, bool)
+    new[1:] = fp[1:] != fp[:-1]
+    if more:
+        new[1:] |= more[0][1:] != more[0][:-1]
+    begins = np.flatnonzero(new)
+    left = len(begins)
+    n[:left] = np.add.reduceat(n, begins)
+    for x in (fp, *more[:1]):
+        x[:left] = x[begins]
+    if more:
+        more[1][:left] = np.minimum.reduceat(more[1], begins)
+    return left
+
+
 def added(parts: list[Counts]) -> Counts:
     """Equal keys added up; parts: fp, n, and in the last scan guard and pointer, of which the smallest stays. Keys that share
     fp alone stay apart, in more rows than one perhaps."""
-    fp, n, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if not len(fp):
-        return [fp, n, *more]
-    order = np.argsort(fp, kind="stable")
-    fp = fp[order]
-    new = np.concatenate([[True], fp[1:] != fp[:-1]])
-    if more:
-        guard = more[0][order]
-        new[1:] |= guard[1:] != guard[:-1]
-    begins = np.flatnonzero(new)
-    whole = [fp[begins], np.add.reduceat(n[order], begins)]
-    return [*whole, guard[begins], np.minimum.reduceat(more[1][order], begins)] if more else whole
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    left = added_down(columns, len(columns[0]))
+    return [x[:left] for x in columns]
 
 
 class Batch:
@@ -232,6 +250,38 @@ def runs_of(batch: Batch, bits: np.ndarray) -> Iterator[Counts]:
         yield added(parts)
 
 
+def summed(each: Iterator[Counts], limit: int) -> Iterator[Counts]:
+    """What each gives, added up in room for so many keys. When it is full the rarest go; the others go on being added up."""
+    columns, used, half = None, 0, limit // 2
+    for counts in each:
+        size = len(counts[0])
+        if columns is None:
+            columns = [np.empty(limit, x.dtype) for x in counts]
+        if used + size > limit:
+            used = added_down(columns, used)
+            if used > half:
+                n = columns[1][:used]
+                stays = n > np.partition(n, used - half)[used - half]
+                yield [x[:used][~stays] for x in columns]
+                for x in columns:
+                    x[: int(stays.sum())] = x[:used][stays]
+                used = int(stays.sum())
+        if used + size > limit:
+            yield counts
+            continue
+        for x, own in zip(columns, counts, strict=True):
+            x[used : used + size] = own
+        used += size
+    if used:
+        used = added_down(columns, used)
+        yield [x[:used] for x in columns]
+
+
+def in_units(rows: DataFrame) -> DataFrame:
+    """The rows in tasks of about UNIT_BYTES of text where theirs are smaller, but no fewer than can run at once."""
+    return rows.coalesce(max(block_count(rows, F.col("text"), UNIT_BYTES), rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def added_up(rows: DataFrame, counts_of, schema: str) -> DataFrame:
     """What counts_of gives of the batches of rows, added up as far as a task holds it, and dealt by its first column.
 
@@ -244,21 +294,11 @@ def added_up(rows: DataFrame, counts_of, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[a : a + size].view(np.int64)) for x in counts], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held_keys = [], 0
-        for batch in batches:
-            for counts in counts_of(Batch(batch)):
-                parts.append(counts)
-                held_keys += len(counts[0])
-                if held_keys > HELD_KEYS:
-                    parts = [added(parts)]
-                    held_keys = len(parts[0][0])
-                    if held_keys > HELD_KEYS // 2:
-                        yield from sent(parts[0])
-                        parts, held_keys = [], 0
-        if parts:
-            yield from sent(added(parts))
+        each = (counts for batch in batches for counts in counts_of(Batch(batch)))
+        for counts in summed(each, HELD_KEYS * 4 // len(names)):
+            yield from sent(counts)
 
-    return rows.select("tag", "lang", "text").mapInArrow(run, schema).repartition(names[0])
+    return rows.select("tag", "lang", "text").mapInArrow(light(run), schema).repartition(names[0])
 
 
 def frequent_hashes(rows: DataFrame, min_count: int, bitmap_bytes: bytes | None = None) -> DataFrame:
@@ -344,9 +384,9 @@ def frequent(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", mi
     """lang, phrase, k (words, 0 to 4), a (occurrences): all phrases of min_count occurrences, and each language's empty phrase."""
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), whole_text(text_col).alias("text"))
     rows = own.withColumn("tag", F.xxhash64("lang", "text").bitwiseAND((1 << TAG_BITS) - 1))
-    short = frequent_hashes(rows, min_count)
-    every = short.unionByName(frequent_hashes(rows, min_count, bitmap(short)))
-    return stored(phrases(rows, stored(counted(rows, bitmap(every), min_count), "phrase-keys")), "phrases")
+    short, units = frequent_hashes(rows, min_count), in_units(rows)
+    every = short.unionByName(frequent_hashes(units, min_count, bitmap(short)))
+    return stored(phrases(rows, stored(counted(units, bitmap(every), min_count), "phrase-keys")), "phrases")
 
 
 def scored(found: DataFrame) -> DataFrame:

@@ -106,3 +106,39 @@ def test_cuts_keep_pieces_whole():
         assert [a for a, _ in parts] == [0, *[b for _, b in parts[:-1]]] and parts[-1][1] == len(body)
         for _, to in parts[:-1]:
             assert to in offsets or collocations.BREAK[body[to - 1]]
+
+
+def counts_of(keys):
+    fp, n = np.unique(np.array(keys, np.uint64), return_counts=True)
+    return [fp, n, fp + np.uint64(1), n * 0 + 8]
+
+
+def test_keys_that_recur_stay_in_a_full_table():
+    """30 frequent keys among ever new ones: each is sent once at the end, not with every full table."""
+    parts = [counts_of([*range(30), *range(30), *range(1000 + 50 * i, 1050 + 50 * i)]) for i in range(40)]
+    out = [[x.copy() for x in counts] for counts in collocations.summed(iter(parts), 200)]
+    fp, n, guard, pointer = (np.concatenate(x) for x in zip(*out, strict=True))
+    assert len(fp) == 30 + 40 * 50 and len(np.unique(fp)) == len(fp)
+    assert (n[fp < 30] == 80).all() and (n[fp >= 1000] == 1).all()
+    assert (guard == fp + 1).all() and (pointer == 8).all()
+
+
+def test_counts_larger_than_the_table_go_through():
+    parts = [counts_of(range(5)), counts_of(range(50)), counts_of(range(5))]
+    total = Counter()
+    for fp, n, *_ in collocations.summed(iter(parts), 10):
+        total.update(dict(zip(fp.tolist(), n.tolist(), strict=True)))
+    assert total == Counter({i: 3 if i < 5 else 1 for i in range(50)})
+    assert list(collocations.summed(iter([]), 10)) == []
+
+
+def test_small_tasks_add_up_together(spark):
+    """64 tasks of one text each: a phrase is sent by a few units, not by each of them."""
+    rows = spark.createDataFrame([(i, "en", "one two three four") for i in range(64)], "tag LONG, lang STRING, text STRING").repartition(64)
+    units = collocations.in_units(rows)
+    most = max(1, spark.sparkContext.defaultParallelism)
+    assert units.rdd.getNumPartitions() <= most
+    full = np.full(1 << 10, 255, np.uint8)
+    sent = collocations.added_up(units, lambda batch: collocations.runs_of(batch, full), "fp long, n long, guard long, pointer long")
+    assert sent.count() <= most * 11  # ten phrases and the empty one
+    assert sent.agg({"n": "sum"}).first()[0] == 64 * (10 + 4)
