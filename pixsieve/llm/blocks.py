@@ -109,9 +109,12 @@ Answer = Callable[[list[list[np.ndarray]]], list[tuple[np.ndarray, ...]]]
 
 
 def answered(requests: DataFrame, answer: Answer, odd: Answer | None = None) -> DataFrame:
-    """Per shard the answers to all blocks: answer gets each block's arrays and gives each block's reply; odd, if given, does so in shards of odd number."""
+    """Per shard the answers to all blocks: answer gets each block's arrays and gives each block's reply; odd, if given, does so in
+    shards of odd number. What a block sends to a shard below 0 comes back as it is."""
 
     def run(key, asked):
+        if key[0].as_py() < 0:
+            return asked
         asked = asked.sort_by("block")
         blocks = asked["block"].to_pylist()
         own = odd if odd and key[0].as_py() % 2 else answer

@@ -17,7 +17,7 @@ anchors (about one position in 26) together with the bytes that stand before the
    its own way, by the hash of all its bytes: blocks ask which strings another block has too, send the bytes and earliest
    place of those, and shards answer which stand earlier. The edges of a hot line, different in every document, end with the
    question.
-5. Blocks mark the bytes of repeated strings, count and hash what is left.
+5. Blocks mark the bytes of repeated strings, count and hash what is left. Of their anchors they read what they noted in 2.
 
 Strings are compared by their bytes; hashes only choose anchors and shards. Equal suffixes of a block travel once, and so do
 equal strings of hot runs: a run costs a shard a few entries per block, however many documents hold it in whatever text.
@@ -98,44 +98,24 @@ def smallest(value: np.ndarray, w: int) -> np.ndarray:
     return where.astype(np.int64)
 
 
-class Block:
-    """A block's rows in (id, tag) order with their bytes and anchors, the same in every phase."""
+class Rows:
+    """A block's rows in (id, tag) order with their bytes, the same in every phase."""
 
     def __init__(self, packed, length: int):
         rows = unpacked(packed).sort_by([("order", "ascending"), ("id", "ascending"), ("tag", "ascending")])
-        self.rows = rows
+        self.rows, self.length = rows, length
         self.order, self.tag = rows["order"].to_numpy(), rows["tag"].to_numpy()
         self.ids = rows["id"].fill_null(0).to_numpy()
-        bodies, sizes, parts, base = [], [], [], 0
-        for chunk in rows["text"].chunks:
-            for a, b in slices(chunk, ANCHOR_BYTES):
-                body, offsets = bytes_of(chunk.slice(a, b - a))
-                place, first, last, h, around = anchors(body, offsets, length)
-                parts.append((place + base, first + base, last + base, h, around))
-                bodies.append(body)
-                sizes.append(np.diff(offsets))
-                base += len(body)
-        self.body = np.concatenate(bodies) if bodies else np.zeros(0, np.uint8)
-        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        parts = [bytes_of(chunk) for chunk in rows["text"].chunks]
+        self.body = np.concatenate([body for body, _ in parts]) if parts else np.zeros(0, np.uint8)
+        self.sizes = np.concatenate([np.diff(offsets) for _, offsets in parts]) if parts else np.zeros(0, np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
-        none = np.zeros(0, np.int64)
-        empty = (none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-        self.place, self.first, self.last, self.hash, self.around = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
-
-    def kinds(self, replies, bits: int) -> np.ndarray:
-        """Per anchor whether its run is unique (0), stands elsewhere too (1), or is hot (2)."""
-        keys, at, n = np.unique(self.hash, return_inverse=True, return_counts=True)
-        kind = (n > 1).astype(np.uint8)
-        for (s, a, b), own in zip(by_shard(keys, bits), answers(replies, keys, bits), strict=True):
-            kind[a:b] = np.maximum(kind[a:b], own)
-        return kind[at]
 
-    def strings(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The strings of hot runs: where they start, in order, their hashes, and which of them is the first with the same bytes.
-        One whose hash, but not bytes, an earlier one has counts as a first."""
-        hot = np.flatnonzero(kinds == 2)
-        n = self.last[hot] - self.first[hot] + 1
-        starts = np.repeat(self.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    def strings(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The strings of hot runs, whose anchors have these first and last starts: where they start, in order, their hashes, and
+        which of them is the first with the same bytes. One whose hash, but not bytes, an earlier one has counts as a first."""
+        n = last - first + 1
+        starts = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         h = np.zeros(len(starts), np.uint64)
         for a in range(0, len(starts), GATHERED):
             at, own = starts[a : a + GATHERED], h[a : a + GATHERED]
@@ -155,6 +135,30 @@ class Block:
         """The bytes of strings, one a row."""
         return self.body[starts[:, None] + np.arange(self.length)]
 
+class Block(Rows):
+    """The same with their anchors."""
+
+    def __init__(self, packed, length: int):
+        super().__init__(packed, length)
+        parts, base = [], 0
+        for chunk in self.rows["text"].chunks:
+            for a, b in slices(chunk, ANCHOR_BYTES):
+                body, offsets = bytes_of(chunk.slice(a, b - a))
+                place, first, last, h, around = anchors(body, offsets, length)
+                parts.append((place + base, first + base, last + base, h, around))
+                base += len(body)
+        none = np.zeros(0, np.int64)
+        empty = (none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        self.place, self.first, self.last, self.hash, self.around = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
+
+    def kinds(self, replies, bits: int) -> np.ndarray:
+        """Per anchor whether its run is unique (0), stands elsewhere too (1), or is hot (2)."""
+        keys, at, n = np.unique(self.hash, return_inverse=True, return_counts=True)
+        kind = (n > 1).astype(np.uint8)
+        for (s, a, b), own in zip(by_shard(keys, bits), answers(replies, keys, bits), strict=True):
+            kind[a:b] = np.maximum(kind[a:b], own)
+        return kind[at]
+
     def survivors(self, kinds: np.ndarray, bits: int) -> tuple[list[tuple], list[int], np.ndarray]:
         """The anchors whose run is neither unique nor hot: (shard, suffix, bytes before reversed, least and most bytes before,
         row, place), sorted and without repeats of a suffix, what each stands for among the block's anchors, and the repeats."""
@@ -173,8 +177,6 @@ class Block:
                 single.append(r)
         return single, [r[7] for r in single], np.array(repeats, np.int64)
 
-    length = LENGTH
-
 
 def shards_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
@@ -233,6 +235,12 @@ def shared_firsts(h: np.ndarray, of: np.ndarray, replies, bits: int) -> np.ndarr
     return own[np.argsort(h[own], kind="stable")]
 
 
+def noted(replies) -> list[np.ndarray]:
+    """What a block noted in phase 2: first and last starts of the anchors that are repeats in it, the others' places and shards as it
+    sent them, first and last starts of hot runs' anchors."""
+    return unpack_arrays(of_kind(replies, 5)["packed"][0].as_buffer())
+
+
 def send_strings(bits: int, length: int):
     """Hot runs, blocks: bytes and earliest places of strings that another block may have too."""
 
@@ -240,8 +248,8 @@ def send_strings(bits: int, length: int):
         asked = of_kind(replies, 3)
         if not part.num_rows or not asked.num_rows:
             return messages([])
-        block = Block(part["packed"], length)
-        starts, h, of = block.strings(block.kinds(of_kind(replies, 1), bits))
+        block = Rows(part["packed"], length)
+        starts, h, of = block.strings(*noted(replies)[4:])
         own = shared_firsts(h, of, asked, bits)
         out = []
         for s, a, b in by_shard(h[own], bits):
@@ -269,23 +277,28 @@ def later_strings(length: int):
 
 
 def send_suffixes(bits: int, length: int):
-    """Phase 2, blocks: to even shards a sorted, front-coded run of suffixes, to odd ones the hashes of hot runs' strings."""
+    """Phase 2, blocks: to even shards a sorted, front-coded run of suffixes, to odd ones the hashes of hot runs' strings, and to
+    itself, below 0, what it needs of its anchors later."""
 
     def run(key, part, replies):
         if not part.num_rows:
             return messages([])
         block = Block(part["packed"], length)
         kinds = block.kinds(replies, bits)
-        rows, _, _ = block.survivors(kinds, bits)
-        out, at = [], 0
+        rows, own, repeats = block.survivors(kinds, bits)
+        hot = np.flatnonzero(kinds == 2)
+        ends = block.first[hot], block.last[hot]
+        number, shards = key[0].as_py(), np.array([r[0] for r in rows], np.int64)
+        note = pack_arrays(block.first[repeats], block.last[repeats], block.place[np.array(own, np.int64)], shards, *ends)
+        out, at = [(-1 - number, number, note)], 0
         while at < len(rows):
             to = at
             while to < len(rows) and rows[to][0] == rows[at][0]:
                 to += 1
-            out.append((2 * rows[at][0], key[0].as_py(), front_coded(rows[at:to], block)))
+            out.append((2 * rows[at][0], number, front_coded(rows[at:to], block)))
             at = to
-        keys = np.unique(block.strings(kinds)[1])
-        return messages(out + [(2 * s + 1, key[0].as_py(), pack_arrays(keys[a:b])) for s, a, b in by_shard(keys, bits)])
+        keys = np.unique(block.strings(*ends)[1])
+        return messages(out + [(2 * s + 1, number, pack_arrays(keys[a:b])) for s, a, b in by_shard(keys, bits)])
 
     return run
 
@@ -428,21 +441,19 @@ def cut_block(bits: int, length: int, with_text: bool):
     def run(key, part, replies):
         if not part.num_rows:
             return empty_result()
-        block = Block(part["packed"], length)
-        kinds, second = block.kinds(of_kind(replies, 1), bits), of_kind(replies, 2)
-        rows, own, repeats = block.survivors(kinds, bits)
+        block, second = Rows(part["packed"], length), of_kind(replies, 2)
+        repeats_first, repeats_last, place, shards, *hot = noted(replies)
         got = dict(zip(second["shard"].to_pylist(), second["packed"], strict=True))
         step = np.zeros(len(block.body) + 1, np.int32)
-        np.add.at(step, block.first[repeats], 1)
-        np.add.at(step, block.last[repeats] + length, -1)
-        own, shards = np.array(own, np.int64), np.array([r[0] for r in rows], np.int64)
+        np.add.at(step, repeats_first, 1)
+        np.add.at(step, repeats_last + length, -1)
         for s in np.unique(shards):
-            mine = own[shards == s]
+            mine = place[shards == s]
             before, after = (x.astype(np.int64) for x in unpack_arrays(got[int(s)].as_buffer()))
             hit = np.flatnonzero(after > 0)
-            np.add.at(step, block.place[mine[hit]] - before[hit], 1)
-            np.add.at(step, block.place[mine[hit]] + after[hit], -1)
-        starts, h, of = block.strings(kinds)
+            np.add.at(step, mine[hit] - before[hit], 1)
+            np.add.at(step, mine[hit] + after[hit], -1)
+        starts, h, of = block.strings(*hot)
         if len(starts):
             sent = shared_firsts(h, of, of_kind(replies, 3), bits)
             later = np.concatenate([np.zeros(0, bool), *answers(of_kind(replies, 4), h[sent], bits)])
@@ -492,8 +503,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common = stored(answered(asked, shared_runs(hot)), "common-runs", "uncompressed")
     sent = packed.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(send_suffixes(bits, length), MESSAGE)
     marks = stored(answered(sent, lambda m: covers(m, length), shared_strings), "repeat-marks", "uncompressed")
-    kind = F.when(F.col("shard") % 2 == 0, 2).otherwise(3)
-    replies = common.withColumn("kind", F.lit(1)).union(marks.select(F.floor(F.col("shard") / 2).cast("int").alias("shard"), "block", "packed", kind.alias("kind")))
+    kind = F.when(F.col("shard") < 0, 5).when(F.col("shard") % 2 == 0, 2).otherwise(3)
+    replies = marks.select(F.floor(F.col("shard") / 2).cast("int").alias("shard"), "block", "packed", kind.alias("kind"))
     if not marks.where("shard % 2 = 1").isEmpty():
         strings = packed.groupBy("block").cogroup(replies.where("kind <> 2").groupBy("block")).applyInArrow(send_strings(bits, length), MESSAGE)
         later = stored(answered(strings, later_strings(length)), "later-strings", "uncompressed")
