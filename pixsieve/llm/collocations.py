@@ -51,9 +51,9 @@ TAG_BITS, PLACE_BITS, LENGTH_BITS = 29, 31, 3
 #: Bits of a fingerprint by which the first scan counts.
 HASH_BITS = 40
 #: Bytes of text whose fingerprints are worked out at once (tables of powers are kept in powers of two), and keys that a
-#: task has room for to add up before it sends some on (twice as many of half their columns).
+#: task has room for to add up before it sends some on.
 SLICE_BYTES = (1 << 19) - (1 << 12)
-HELD_KEYS = 3 << 19
+HELD_KEYS = 1 << 20
 #: Text that a task of the scans behind a bitmap adds up: it sends a row for each frequent phrase it meets, so small tasks send
 #: them all again and again.
 UNIT_BYTES = 128 << 20
@@ -252,23 +252,23 @@ def runs_of(batch: Batch, bits: np.ndarray) -> Iterator[Counts]:
 
 def summed(each: Iterator[Counts], limit: int) -> Iterator[Counts]:
     """What each gives, added up in room for so many keys. When it is full the rarest go; the others go on being added up."""
-    columns, used, half = None, 0, limit // 2
+    columns, used = None, 0
     for counts in each:
         size = len(counts[0])
+        if size > limit:
+            yield counts
+            continue
         if columns is None:
             columns = [np.empty(limit, x.dtype) for x in counts]
         if used + size > limit:
             used = added_down(columns, used)
-            if used > half:
+            if used > (kept := min(limit * 3 // 4, limit - size)):
                 n = columns[1][:used]
-                stays = n > np.partition(n, used - half)[used - half]
+                stays = n > np.partition(n, used - kept - 1)[used - kept - 1]
                 yield [x[:used][~stays] for x in columns]
                 for x in columns:
                     x[: int(stays.sum())] = x[:used][stays]
                 used = int(stays.sum())
-        if used + size > limit:
-            yield counts
-            continue
         for x, own in zip(columns, counts, strict=True):
             x[used : used + size] = own
         used += size
@@ -295,7 +295,7 @@ def added_up(rows: DataFrame, counts_of, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = (counts for batch in batches for counts in counts_of(Batch(batch)))
-        for counts in summed(each, HELD_KEYS * 4 // len(names)):
+        for counts in summed(each, HELD_KEYS):
             yield from sent(counts)
 
     return rows.select("tag", "lang", "text").mapInArrow(light(run), schema).repartition(names[0])
